@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.queries import texts
+from quarry.queries import chunking, texts
 
-MODULES = (texts,)
+MODULES = (texts, chunking)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
