@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.queries import chunking, texts
+from quarry.queries import chunking, indexing, tagging, texts
 
-MODULES = (texts, chunking)
+MODULES = (texts, chunking, tagging, indexing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
