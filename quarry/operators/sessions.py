@@ -49,7 +49,7 @@ def with_pair(turns: DataFrame, pairs: DataFrame, ttl: int = TTL, most: int = ME
     last = turns.join(pairs.select("session_key", F.col("ts").alias("now")), "session_key")
     kept = live(last, F.col("now"), ttl, 1 << 30).select("session_key", "seq", "role", "text", "ts")
     top = turns.groupBy("session_key").agg(F.max("seq").alias("top"))
-    both = F.array(F.struct(F.lit(1).alias("k"), F.lit("user").alias("role"), F.col("user_text").alias("text")), F.struct(F.lit(2), F.lit("assistant"), F.col("assistant_text")))
+    both = F.array(F.struct(F.lit(1).alias("k"), F.lit("user").alias("role"), F.col("user_text").alias("text")), F.struct(F.lit(2).alias("k"), F.lit("assistant").alias("role"), F.col("assistant_text").alias("text")))
     new = pairs.join(top, "session_key", "left").select("session_key", "ts", F.coalesce("top", F.lit(0)).alias("top"), F.explode(both).alias("p"))
     new = new.select("session_key", (F.col("top") + F.col("p.k")).alias("seq"), "p.role", "p.text", "ts")
     rows = kept.unionByName(new).withColumn("text", T.context_text("text")).where("text <> ''")

@@ -95,7 +95,7 @@ def c4_stream_contexts(spark: SparkSession, d: str) -> DataFrame:
     source, out, marks = (shared_folder(spark) for _ in range(3))
     turns(spark, d).where("ts is not null").withColumn("reset", C.command("text", COMMANDS) == "reset").write.parquet(source)
     stream = spark.readStream.schema("session_key string, seq long, role string, text string, ts long, reset boolean").parquet(source)
-    query = session_contexts(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    query = session_contexts(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(once=True).start()  # with timeouts by processing time, availableNow would go on for ever
     query.awaitTermination()
     return spark.read.parquet(out).select("session_key", "seq", F.col("context_turns").cast("long").alias("context_turns"), "context")
 
@@ -170,9 +170,9 @@ _PARSED = f"""parsed as (select item_id as query_id, case when item_id % 5 in (0
 SQL = {
     "v1_parsed": f"with {_PARSED} select query_id, array_to_string(ids, ',') as ids, answerable, gaps from parsed",
     "v1_selected": f"""with {_PARSED}, cand as (select item_id as query_id, unnest(range(1, item_id % 9 + 2)) as rank from benchmark),
-        p as (select query_id, unnest(ids) as rank, generate_subscripts(ids, 1) as at from parsed),
-        o as (select query_id, rank, min(at) as at from p group by all), j as (select o.* from o join cand using (query_id, rank)),
-        k as (select *, row_number() over (partition by query_id order by at) as place from j)
+        p as (select query_id, unnest(ids) as rank, generate_subscripts(ids, 1) as pos from parsed),
+        o as (select query_id, rank, min(pos) as pos from p group by all), j as (select o.* from o join cand using (query_id, rank)),
+        k as (select *, row_number() over (partition by query_id order by pos) as place from j)
         select query_id, rank, place from k where place <= 5 union all select query_id, rank, rank from cand where rank <= 5 and query_id not in (select query_id from j)""",
     "v2_overridden": f"with {_PARSED} select query_id, (query_id % 3 = 0 or query_id % 2 = 0) and (answerable or query_id % 7 < 3) as answerable, query_id % 3 <> 0 and query_id % 2 = 0 as use_first from parsed",
     "v3_status": "select conv_id, turn, case when n % 11 = 0 then 'no_hits' when n % 13 = 0 or (n % 3 = 0 and not (n % 7 = 0 and n % 2 = 0)) then 'unanswerable' when n % 5 = 0 and not (n % 7 = 0 and n % 2 = 0) then 'unverified' else 'answered' end as status from (select conv_id, turn, conv_id + turn as n from conversations)",
