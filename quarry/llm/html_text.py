@@ -34,6 +34,8 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 CUT = frozenset("nav aside footer form button select script style noscript template iframe textarea title head svg canvas object dialog menu".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CUT_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside notice cookie cookies consent banner popup modal overlay ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments respond reply replies disqus share sharing social related recommended newsletter subscribe subscription signup login search widget".split())
+#: Those of them that an article may call parts of its own.
+OF_ARTICLES = frozenset("header masthead banner".split())
 #: Elements that hold paragraphs side by side.
 CONTAINERS = frozenset("article main section div td body html #root".split())
 #: Which open elements a start tag closes by itself.
@@ -69,7 +71,7 @@ def _is_cut(tag: str, attributes: str, inside: bool) -> bool:
         if name.lower() == "role":
             if value.strip().lower() in CUT_ROLES:
                 return True
-        elif any(w.lower() in CUT_WORDS for w in _WORDS.findall(value)):
+        elif any(w.lower() in CUT_WORDS and not (inside and w.lower() in OF_ARTICLES) for w in _WORDS.findall(value)):
             return True
     return False
 

@@ -27,7 +27,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import batch, shared_folder, utf8, written
+from quarry.llm.shared import batch, utf8, written
+from quarry.sources.shared import shared_folder
 
 _PIECE = 1 << 18
 _ID = "X-Record-Key"
