@@ -191,7 +191,7 @@ SQL = {
         lb as (select path, block_no, pos, last_value(nullif(substr({sql_clean_cell(f"regexp_extract(line, {lit(C.CAPTION)}, 1)")}, 1, 160), '') ignore nulls) over (partition by path, block_no order by pos) as label from ln)
         select path, pos, coalesce(label, 'Table row') as label from cell_rows join lb using (path, block_no, pos)""",
     "p12_parent_context": f"with {sql_blocks(SQL_DOCS)} select path, {_context()} as context from blk",
-    "p13_parents": f"with recursive {sql_blocks(SQL_CONVS)}, {sql_packed(400)} select path, block_no, count(distinct chunk) as n_chunks, sum(length(line) + 1) - 1 as parent_chars from pk group by path, block_no",
+    "p13_parents": f"with recursive {sql_blocks(SQL_CONVS)}, {sql_packed(400)} select path, block_no, count(distinct chunk) as n_chunks, cast(sum(length(line) + 1) - 1 as bigint) as parent_chars from pk group by path, block_no",
     "p14_chunks": f"""with recursive {sql_blocks(SQL_CONVS)}, {sql_packed(600).replace('ln as', 'l0 as').replace('from ln', 'from l0').replace('join ln', 'join l0')}, {_RECS.replace('ln as', 'l1 as').replace('from ln', 'from l1')}, {_MD_ROWS.replace('ln as', 'l2 as').replace('from ln', 'from l2')},
         lb as (select path, block_no, pos, last_value(nullif(substr({sql_clean_cell(f"regexp_extract(line, {lit(C.CAPTION)}, 1)")}, 1, 160), '') ignore nulls) over (partition by path, block_no order by pos) as label from l2),
         every as (select path, 'section_summary' as chunk_type, 1 as kind_no, {_SUMMARY} as text from blk where len(list_filter(lines, lambda x: not starts_with(x, '|'))) > 0
@@ -199,5 +199,5 @@ SQL = {
           union all select path, 'text', 3, string_agg(line, chr(10) order by i) from pk group by path, block_no, chunk
           union all select c.path, 'table_row', 4, coalesce(label, 'Table row') || ': ' || array_to_string(cells, ' | ') || case when {_context()} <> '' then chr(10) || 'Parent section context: ' || {_context()} else '' end
              from cell_rows c join lb using (path, block_no, pos) join blk b on b.path = c.path and b.block_no = c.block_no)
-        select path, chunk_type, cast(kind_no as bigint) as kind_no, count(*) as n, sum(length(text)) as chars, count(*) as n_ids from every group by all""",
+        select path, chunk_type, cast(kind_no as bigint) as kind_no, count(*) as n, cast(sum(length(text)) as bigint) as chars, count(*) as n_ids from every group by all""",
 }
