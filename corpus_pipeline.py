@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, decontaminate, pii, quality, simhash
+from quarry.llm import bpe, decontaminate, jaccard, pii, quality, simhash
 from quarry.llm.queries import tokenizer
 from quarry.sources.shared import shared_folder
 
@@ -20,13 +20,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates: that with the smallest doc_id.
+    """One document of each group of op6's SimHash near-duplicates: that with the smallest doc_id. No stage; see drop_similar."""
+    return _one_of_each(docs, simhash.near_duplicates(docs))
+
+
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more: that with the smallest doc_id."""
+    return _one_of_each(docs, jaccard.near_duplicates(docs))
+
+
+def _one_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of docs that stand for their component.
 
     Of rows that repeat a kept doc_id one stays. Documents without an id can't stand for a group; they stay.
     """
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id is null"))
+    kept = named.where("doc_id = component_id").select("doc_id").distinct()
+    rows = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return rows.union(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +57,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality", keep_quality),
-    ("near_duplicates", drop_near_duplicates),
+    ("near_duplicates", drop_similar),
     ("decontamination", drop_contaminated),
     ("personal_data", redact_personal_data),
     ("bpe", encode),
