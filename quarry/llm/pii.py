@@ -10,7 +10,7 @@ The model is trained here, on sentences made from fixed forms with a fixed seed
 gradient ascent on the conditional likelihood; it is a small table of weights that is sent with the tasks.
 
 Null texts count as empty and have no spans. Texts are searched whole; only the surroundings of digits and @ signs are
-decoded, in windows of bounded length, so very long texts take time in proportion. Repeated rows give repeated
+decoded, the segments of a bounded number of pieces at a time, so very long texts take time in proportion. Repeated rows give repeated
 results; an empty table gives an empty result; only the named columns are read. Offsets are code points, end exclusive.
 """
 
@@ -128,11 +128,11 @@ class SemiCrf:
         self.weights[-1] = 0
         self.step = np.zeros((len(TYPES), len(TYPES)))
 
-    def segments(self, text: str, at: list[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
-        """(first piece, end piece, feature ids): single pieces, and longer runs around a digit or an @."""
+    def segments(self, text: str, at: list[tuple[int, int]], firsts: int | None = None) -> list[tuple[int, int, list[int]]]:
+        """(first piece, end piece, feature ids): single pieces, and longer runs around a digit or an @. firsts: only those that begin in so many pieces."""
         trigger = np.cumsum([0, *(any(c.isdigit() or c == "@" for c in text[a:b]) for a, b in at)]).tolist()
         out = []
-        for i in range(len(at)):
+        for i in range(len(at) if firsts is None else firsts):
             for j in range(i + 1, min(len(at), i + LONGEST) + 1):
                 if j > i + 1 and (trigger[j] == trigger[i] or "\n" in text[at[j - 2][1] : at[j - 1][0]]):
                     if trigger[j] != trigger[i]:
@@ -151,27 +151,36 @@ class SemiCrf:
         return s
 
     def decode(self, text: str, at: list[tuple[int, int]]) -> list[Span]:
-        """The best segmentation of a window's pieces; its spans in characters."""
-        segments = self.segments(text, at)
-        s, n = self.scores(segments), len(at)
-        ends: list[list[int]] = [[] for _ in range(n + 1)]
-        for k, (_, j, _) in enumerate(segments):
-            ends[j].append(k)
-        best = np.full((n + 1, len(TYPES)), -np.inf)
+        """The best segmentation of a window's pieces; its spans in characters.
+
+        Segments are scored for WINDOW first pieces at a time, but one dynamic program runs over all pieces. It holds the
+        scores of the last LONGEST ends, and per end and type two small numbers: the segment's length and the type before.
+        """
+        n, ends = len(at), [[] for _ in range(LONGEST + 1)]
+        best = np.full((LONGEST + 1, len(TYPES)), -np.inf)
         best[0, 0] = 0
-        back: list[list[tuple[int, int] | None]] = [[None] * len(TYPES) for _ in range(n + 1)]
-        for j in range(1, n + 1):
-            for k in ends[j]:
-                i = segments[k][0]
-                through = best[i][:, None] + self.step
-                prev = through.argmax(axis=0)
-                value = through[prev, range(len(TYPES))] + s[k]
-                for y in np.flatnonzero(value > best[j]):
-                    best[j, y], back[j][y] = value[y], (k, int(prev[y]))
-        out, j, y = [], n, int(best[n].argmax())
+        back = np.zeros((n + 1, len(TYPES), 2), np.int8)
+        for begin in range(0, n, WINDOW):
+            stop = min(n, begin + WINDOW)
+            segments = self.segments(text, at[begin : stop + LONGEST], stop - begin)
+            mine: dict[int, list[tuple[int, np.ndarray]]] = {}
+            for (i, j, _), row in zip(segments, self.scores(segments), strict=True):
+                mine.setdefault(begin + j, []).append((begin + i, row))
+            for j in range(begin + 1, stop + 1):
+                here = j % (LONGEST + 1)
+                best[here] = -np.inf
+                for i, row in [*ends[here], *mine.pop(j, [])]:
+                    through = best[i % (LONGEST + 1)][:, None] + self.step
+                    prev = through.argmax(axis=0)
+                    value = through[prev, range(len(TYPES))] + row
+                    for y in np.flatnonzero(value > best[here]):
+                        best[here, y], back[j, y] = value[y], (j - i, prev[y])
+                ends[here] = []
+            for j, own in mine.items():  # that end in the next slice
+                ends[j % (LONGEST + 1)] += own
+        out, j, y = [], n, int(best[n % (LONGEST + 1)].argmax())
         while j:
-            k, before = back[j][y]
-            i = segments[k][0]
+            i, before = j - int(back[j, y, 0]), int(back[j, y, 1])
             if y:
                 out.append((TYPES[y], at[i][0], at[j - 1][1]))
             j, y = i, before
@@ -285,7 +294,7 @@ def trained(count: int = 240, epochs: int = 6) -> SemiCrf:
 
 
 def _windows(text: str) -> list[tuple[int, int]]:
-    """Stretches around digits and @ signs with two words before and one after, joined where they meet; cut at WINDOW pieces."""
+    """Stretches around digits and @ signs with two words before and one after, joined where they meet."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         a, b = m.span()
@@ -307,8 +316,7 @@ def spans(text: str, model: SemiCrf | None) -> tuple[list[Span], list[Span]]:
     more: list[Span] = []
     for a, b in _windows(text):
         at = [(x + a, y + a) for x, y in (m.span() for m in _PIECE.finditer(text[a:b]))]
-        for i in range(0, len(at), WINDOW):
-            more += model.decode(text, at[i : i + WINDOW])
+        more += model.decode(text, at)
     taken = sorted((x, y) for _, x, y in base)
     ends = np.array([y for _, y in taken])
     free = []

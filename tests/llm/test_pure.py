@@ -83,6 +83,17 @@ def test_pii_adds_secrets_and_keeps_base_spans():
     assert pii.spans("nothing here", pii.trained()) == ([], [])
 
 
+def test_crf_on_a_stretch_of_many_slices(monkeypatch):
+    """A long list of numbers is decoded as in one piece: no entity is split or lost where segments are dealt to slices."""
+    r = random.Random(6)
+    numbers = [f"({r.randint(200, 999)}) {r.randint(200, 999)}-{r.randint(1000, 9999)}" for _ in range(600)]
+    mixed, model = " ".join(t for t, _ in pii._examples(400, seed=9)), pii.trained()
+    sliced = [pii.spans(t, model)[1] for t in (", ".join(numbers), mixed)]
+    assert [s[0] for s in sliced[0]] == ["phone"] * len(numbers)
+    monkeypatch.setattr(pii, "WINDOW", 1 << 20)
+    assert [pii.spans(t, model)[1] for t in (", ".join(numbers), mixed)] == sliced
+
+
 def test_decontamination_against_a_double_loop():
     r = random.Random(5)
     word = lambda: r.choice(["a", "b", "c", "dd", "é"])
