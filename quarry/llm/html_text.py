@@ -3,7 +3,8 @@
 A page is read into a node tree. Every node gets its composite text density: characters per tag, raised or lowered by
 the share of its characters that are link text, against the share in the body. A node's density sum adds the densities
 of its children. The node with the largest sum is found; the smallest density on its path down from the body is the
-threshold, and from the body down, the largest-sum subtree of each node at or above the threshold is taken as content.
+threshold, and from the body down, the largest-sum subtree of each node at or above the threshold is taken as content,
+whether or not one was taken above it.
 
 Before that, what a page names as not its article is cut: menus, headers and footers outside the article, sidebars,
 notices, adverts, forms, scripts, styles and reader comments, by element, role or a word of its class or id.
@@ -173,13 +174,17 @@ def content(root: Node) -> list[Node]:
     while node is not body:
         node = node.parent
         threshold = min(threshold, node.density)
-    taken, todo = [], [body]
+    first = _whole(best)
+    above = {id(n) for n in _above(first)}
+    taken, todo = [first], [body]
     while todo:
         node = todo.pop()
         if node.chars and node.density >= threshold:
-            taken.append(_whole(top[id(node)]))
-        else:
-            todo += [c for c in reversed(node.children) if isinstance(c, Node) and not c.cut]
+            whole = _whole(top[id(node)])
+            taken.append(top[id(node)] if id(whole) in above else whole)  # a stray paragraph doesn't bring the whole page
+        todo += [c for c in reversed(node.children) if isinstance(c, Node) and not c.cut]
+    place = {id(n): i for i, n in enumerate(nodes)}
+    taken.sort(key=lambda n: place[id(n)])
     own = {id(n) for n in taken}
     return [n for n in {id(n): n for n in taken}.values() if not any(id(x) in own for x in _above(n))]
 

@@ -151,6 +151,16 @@ def test_html_main_text():
         assert isinstance(html_text.main_text(odd), str)
 
 
+def test_html_sections_side_by_side():
+    part = lambda w: f"<p>{f'{w} ' * 40}</p>"
+    menu = "<ul><li><a href=x>one</a></li><li><a href=y>two</a></li></ul>"
+    for tag in ("section", "div"):
+        inner = "".join(f"<{tag}>{part(w) * 5}</{tag}>" for w in ("first", "other", "third"))
+        for page in (f"<body>{menu}<main>{inner}</main></body>", f"<body>{inner}</body>"):
+            text = html_text.main_text(page)
+            assert [text.count(w) for w in ("first", "other", "third")] == [200] * 3 and text.index("first") < text.index("other") < text.index("third")
+
+
 def test_warc_members_and_normaliser_parts():
     made = [warc.record(str(i), None if i % 2 else "http://x/\n", b"p" * i, "2024-01-01T00:00:00Z") for i in range(50)]
     back = list(warc.records(warc.inflated(io.BytesIO(gzip.compress(b"".join(made))), 7)))
