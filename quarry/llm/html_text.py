@@ -44,6 +44,9 @@ CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "
 #: Where such a search for an element to close ends.
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 
+#: Elements that may stand in a head; any other, and any text, closes an open head.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[A-Za-z])[^>]*\Z", re.S)
 _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -84,6 +87,8 @@ def parse(html: str) -> Node:
     while at < len(html):
         m = _TOKEN.search(html, at)
         text = html[at : m.start()] if m else html[at:]
+        if here.tag == "head" and text.strip():
+            here = here.parent
         if text and not here.cut:
             here.children.append(unescape(text))
         if not m:
@@ -104,6 +109,8 @@ def parse(html: str) -> Node:
             elif tag == "p" and not here.cut:
                 here.children.append("\n\n")
             continue
+        if here.tag == "head" and tag not in IN_HEAD:
+            here = here.parent
         if tag in CLOSES:
             stop, node = SCOPE.get(tag, set()) | {"article", "section", "div", "body", "main", "td", "th", "table"} - CLOSES[tag], here
             while node.parent is not None and node.tag not in stop:

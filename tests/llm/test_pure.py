@@ -161,6 +161,12 @@ def test_html_sections_side_by_side():
             assert [text.count(w) for w in ("first", "other", "third")] == [200] * 3 and text.index("first") < text.index("other") < text.index("third")
 
 
+def test_html_head_without_end_tag():
+    for head in ("<head>", "<head><meta charset=utf-8><title>T</title><style>p{}</style>", "<head><title>T</title></head>"):
+        for body in ("<body><p>one</p></body>", "<p>one</p>", "<div>one</div>", "one"):
+            assert html_text.main_text(f"<html>\n{head}\n{body}</html>") == "one"
+
+
 def test_warc_members_and_normaliser_parts():
     made = [warc.record(str(i), None if i % 2 else "http://x/\n", b"p" * i, "2024-01-01T00:00:00Z") for i in range(50)]
     back = list(warc.records(warc.inflated(io.BytesIO(gzip.compress(b"".join(made))), 7)))
