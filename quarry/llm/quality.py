@@ -1,34 +1,38 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed n-grams are fitted: one on target documents, one on the raw text of all documents. A
-document's log importance is the sum of the log ratios of its n-grams; adding Gumbel noise and taking the k largest
-draws k documents without replacement in proportion to the (tempered) weights.
-
-N-grams are words, the four characters that begin a word, runs of other visible characters, and two shares in tenths
-(each tenth reached is one feature, per size of text): of pairs that repeat a word, and of grams that aren't words. Each
-counts once per document, so that one document's repetitions can't pass for a habit of the corpus. An n-gram is hashed twice,
-and the ratio nearer to 1 holds, so that a rare word that shares one bucket with a bad one isn't blamed. Ratios count
-where they are below `most_ratio` and the target count is `sure` standard deviations short of the expected one: n-grams
-that the target avoids lower a document, and no amount of ordinary text makes up for them.
-
-Counts of the raw model cover every document. Target documents come from labels: a bounded sample of at most
-`max_labels` labelled ids, those of smallest hash, is the only bound here. A fifth of the sample is held out; its scores
-set the limit that tells target from other documents best, k is the number of all documents at or above it, and the k
-largest noisy keys are kept, by an exact search over histograms that fetches at most 4096 counts at a time.
+document's log importance is the sum, over all its n-grams and their repetitions, of the log ratio of target to raw
+probability. Gumbel noise is added, and the k largest are kept: a draw of k documents without replacement in proportion
+to their importance weights.
+
+N-grams are words, runs of ASCII marks (each a 64-bit hash), and pairs of neighbours between white space (`1 <<
+PAIR_BITS` buckets; all pairs of equal neighbours are one n-gram). Words and pairs have models of their own. The
+ratio of an n-gram seen `own` times in target documents, where `expected` follow from the raw model, is (own + smooth) /
+(expected + smooth). Its log counts in proportion to the posterior probability that the ratio differs from 1 at all, at
+prior odds of exp(-sure^2 / 2): chance differences of rare n-grams count next to nothing, whichever side they are on.
+
+Counts of both models are summed in Spark over all documents, in a table that grows with the corpus. Target documents
+come from labels: a bounded sample of at most `max_labels` labelled ids, those of smallest hash, is the only bound here.
+A fifth of its target documents is held out; their scores and those of the other labelled documents set the limit that
+tells them apart best, where a lost share of target documents counts ten times, and k is the number of all documents at
+or above it. So k follows the corpus, while which documents near the limit are among the k is left to the draw.
+
+What reaches the driver and is sent with the tasks: the sample, and the n-grams whose ratio counts at all (over
+`least_weight`). Such an n-gram has an own and expected count of at least 3 together, and both sum up to the number of
+target n-grams, so there are fewer than those of the sampled documents; of more than `most_grams` those of the largest
+weight are taken.
 
 Null and empty texts have no n-grams and score 0. Null ids take part, with the noise of a null. Rows with equal id and
 text tie: all of them stay or go together, so the sample may exceed k by such ties. Without usable labels every
-document scores 0 and all stay. Labels may hold nulls, repeats (the worst counts) and unknown ids.
+document scores 0 and all stay. Labels may hold nulls, repeats (the worst counts) and unknown ids. An empty document
+table gives an empty result. Columns of docs may have any names: the score and key are named around them.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +41,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.shared import PIECE, batch, written
+from quarry.llm.shared import LOWER, PIECE, WORD_BYTES, batch, discard, utf8, written
 
-_GRAM = re.compile(r"\w+|[^\w\s]+")
-_BITS = 19
-_SIZE = 1 << _BITS
+PAIR_BITS = 18
+#: N-grams that a task holds before it counts them.
+_AT_ONCE = 1 << 21
+#: Turns every byte but ASCII marks into a space.
+_MARK_BYTES = bytes(b if 0x21 <= b <= 0x7E and not chr(b).isalnum() else 0x20 for b in range(256))
+_SAME = np.uint64(0x5BD1E9955BD1E995)
 
 
-class _Buckets(dict):
-    """n-gram -> the bits of its two buckets; forgets all when full."""
+class _Hashes(dict):
+    """n-gram -> its 64-bit hash; forgets all when full."""
 
-    def __missing__(self, gram: str) -> int:
-        h = xxhash.xxh64_intdigest(gram.encode("utf-8", "replace")) & _SIZE * _SIZE - 1
+    def __missing__(self, gram: bytes) -> int:
+        h = xxhash.xxh64_intdigest(gram)
         if len(gram) <= 64:
             if len(self) >= 400_000:
                 self.clear()
@@ -56,18 +63,19 @@ class _Buckets(dict):
         return h
 
 
-def grams(text: str, known: _Buckets) -> np.ndarray:
-    """The buckets of a text's distinct n-grams, in two rows: those of the first table and, above them, of the second."""
-    found = _GRAM.findall(text.lower())
-    if not found:
-        return np.zeros((2, 0), np.int64)
-    again = 10 * sum(map(eq, found, islice(found, 1, None))) // len(found)
-    marks = 10 * (len(found) - sum(map(str.isalnum, found))) // len(found)
-    size, distinct = min(len(found).bit_length(), 9), set(found)
-    own = {f"<{w[:4]}" for w in distinct if len(w) > 4}
-    own.update(distinct, [f"<again {i} {size}>" for i in range(1, again + 1)], [f"<marks {i} {size}>" for i in range(1, marks + 1)])
-    h = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
-    return np.stack([h & _SIZE - 1, (h >> _BITS) + _SIZE])
+def _pairs(h: np.ndarray) -> np.ndarray:
+    if len(h) < 2:
+        return np.zeros(0, np.int64)
+    p = np.where(h[:-1] == h[1:], _SAME, (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:])
+    p = (p ^ (p >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (p >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+
+def grams(text: bytes, known: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a text's words and marks, as signed longs, and the buckets of its pairs, all with repetitions."""
+    parts = (text.translate(WORD_BYTES).split() + text.translate(_MARK_BYTES).split(), text.translate(LOWER).split())
+    words, between = (np.fromiter(map(known.__getitem__, part), np.uint64, len(part)) for part in parts)
+    return words.view(np.int64), _pairs(between)
 
 
 def labelled(labels: DataFrame, max_labels: int = 20_000, id_col: str = "doc_id") -> dict[int, bool]:
@@ -81,55 +89,101 @@ def _held_out(key) -> bool:
     return zlib.crc32(str(key).encode()) % 5 == 0
 
 
-def fit(docs: DataFrame, sample: dict, id_col: str = "doc_id", text_col: str = "text", most_ratio: float = 0.37, sure: float = 3.5) -> np.ndarray:
-    """Log ratio of target to raw probability per bucket. The counts are summed in Spark, over all documents."""
-    target = frozenset(k for k, good in sample.items() if good and not _held_out(k))
+def counts(docs: DataFrame, target: frozenset, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The written table (pair, gram, raw, own): how often each n-gram stands in all documents and in the target ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, own, known, n, n_own = np.zeros(2 * _SIZE, np.int64), np.zeros(2 * _SIZE, np.int64), _Buckets(), 0, 0
-        for b in batches:
-            for at in range(0, b.num_rows, PIECE):
-                piece = b.slice(at, PIECE)
-                rows = [grams(t or "", known) for t in piece.column(1).to_pylist()]
-                chosen = [g for key, g in zip(piece.column(0).to_pylist(), rows, strict=True) if key in target]
-                np.add.at(raw, np.concatenate(rows, axis=1).ravel(), 1)
-                n, n_own = n + len(rows), n_own + len(chosen)
-                if chosen:
-                    np.add.at(own, np.concatenate(chosen, axis=1).ravel(), 1)
-        at = np.flatnonzero(raw)
-        yield batch(bucket=pa.array([-1, *at.tolist()], pa.int64()), raw=pa.array([n, *raw[at].tolist()], pa.int64()), own=pa.array([n_own, *own[at].tolist()], pa.int64()))
-
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, "bucket long, raw long, own long")
-    counts = written(rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own")))
-    model, total = np.zeros(2 * _SIZE), counts.where("bucket < 0").first()
-    if total is None or not total.own:
-        return model
-    expected = F.col("raw") * (total.own / total.raw)
-    ratio = F.log((F.col("own") + 1) / (expected + 1))
-    short = (ratio <= math.log(most_ratio)) & (F.col("own") - expected <= -sure * F.sqrt(expected))
-    for r in counts.where((F.col("bucket") >= 0) & short).select("bucket", ratio.alias("ratio")).collect():  # at most 2 * _SIZE rows
-        model[r.bucket] = r.ratio
-    return model
-
-
-def scores(docs: DataFrame, model: np.ndarray, text_col: str = "text", score_col: str = "_score") -> DataFrame:
-    """docs, all columns, with score_col: the sum of the log ratios of the text's n-grams, 0 without any."""
-    sent = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32))  # 4 MB, whatever the corpus
+        known, held, size = _Hashes(), [], 0
+        pairs = np.zeros((2, 1 << PAIR_BITS), np.int64)
+
+        def counted() -> pa.RecordBatch:
+            every, place, raw = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True, return_counts=True)
+            mine = np.concatenate([np.full(len(w), chosen) for w, chosen in held])
+            own = np.bincount(place[mine], minlength=len(every))
+            return table(False, every, raw, own)
+
+        def table(pair: bool, gram: np.ndarray, raw: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+            return batch(pair=pa.array(np.full(len(gram), pair)), gram=pa.array(gram.astype(np.int64)), raw=pa.array(raw.astype(np.int64)), own=pa.array(own.astype(np.int64)))
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, PIECE):
+                b = whole.slice(at, PIECE)
+                for key, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
+                    words, two = grams(text, known)
+                    if not len(words):
+                        continue
+                    chosen = key in target
+                    held.append((words, chosen))
+                    size += len(words)
+                    if len(two):
+                        found, n = np.unique(two, return_counts=True)
+                        pairs[0, found] += n
+                        if chosen:
+                            pairs[1, found] += n
+                    if size >= _AT_ONCE:
+                        yield counted()
+                        held, size = [], 0
+        if held:
+            yield counted()
+        at = np.flatnonzero(pairs[0])
+        yield table(True, at, pairs[0, at], pairs[1, at])
+
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, "pair boolean, gram long, raw long, own long")
+    return written(rows.groupBy("pair", "gram").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own")))
+
+
+class Model:
+    """The log ratios that count: of words and marks by hash, of pairs by bucket."""
+
+    def __init__(self, words: dict[int, float], pairs: dict[int, float]) -> None:
+        order = np.array(sorted(words), np.int64)
+        self.words, self.word_weights = order, np.array([words[k] for k in order.tolist()], np.float64)
+        self.pairs = np.zeros(1 << PAIR_BITS)
+        if pairs:
+            self.pairs[list(pairs)] = list(pairs.values())
+        self.empty = not (words or pairs)
+
+    def score(self, words: np.ndarray, pairs: np.ndarray) -> float:
+        total = float(self.pairs[pairs].sum())
+        if len(self.words) and len(words):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            total += float(self.word_weights[at][self.words[at] == words].sum())
+        return total
+
+
+def fit(counted: DataFrame, smooth: float = 0.1, sure: tuple[float, float] = (5.0, 8.0), least_weight: float = 1e-3, most_grams: int = 1 << 22) -> Model:
+    """The model of a table of counts. sure: of words and marks, and of pairs."""
+    totals = {r.pair: (r.raw, r.own) for r in counted.groupBy("pair").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own")).collect()}
+    found: dict[bool, dict[int, float]] = {False: {}, True: {}}
+    for pair, (raw, own) in totals.items():
+        if not own:
+            continue
+        expected = F.col("raw") * (own / raw)
+        ratio = F.log((F.col("own") + smooth) / (expected + smooth))
+        square = (F.col("own") - expected) ** 2 / (expected + 1)
+        weight = ratio / (1 + F.exp(F.least(F.lit(50.0), (sure[pair] ** 2 - square) / 2)))
+        rows = counted.where(F.col("pair") == pair).select("gram", weight.alias("weight")).where(F.abs("weight") > least_weight)
+        found[pair] = {r.gram: r.weight for r in rows.orderBy(F.abs("weight").desc(), "gram").limit(most_grams).collect()}
+    return Model(found[False], found[True])
+
+
+def scores(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "_score") -> DataFrame:
+    """docs, all columns, with score_col: the log importance of the text, 0 without n-grams."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, known = sent.value, _Buckets()
+        known, own = _Hashes(), sent.value
         for whole in batches:
             for at in range(0, whole.num_rows, PIECE):
                 b = whole.slice(at, PIECE)
-                texts = b.column(b.schema.get_field_index(text_col)).cast(pa.string()).to_pylist()
-                out = [float(weight[grams(t or "", known)].max(axis=0).sum()) for t in texts]
+                out = [own.score(*grams(t, known)) if t else 0.0 for t in utf8(b.column(b.schema.get_field_index(text_col)).cast(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, score_col])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
-def limit_between(good: list[float], bad: list[float]) -> float:
-    """The score that tells the two best: the largest sum of both rates, in the middle of the gap."""
+def limit_between(good: list[float], bad: list[float], dear: float = 10.0) -> float:
+    """The score that tells the two best, in the middle of the gap: the largest sum of both rates, that of good counted dear times."""
     if not bad:
         return -math.inf
     if not good:
@@ -138,33 +192,45 @@ def limit_between(good: list[float], bad: list[float]) -> float:
     best, at, below = -1.0, points[0][0] - 1, [0, 0]
     for (x, kind), (y, _) in zip(points, [*points[1:], (points[-1][0] + 1, 0)], strict=True):
         below[kind] += 1
-        rate = below[0] / len(bad) + 1 - below[1] / len(good)
+        rate = below[0] / len(bad) + dear * (1 - below[1] / len(good))
         if y > x and rate > best:
             best, at = rate, (x + y) / 2
     return at
 
 
-def _kth_largest(keys: DataFrame, k: int) -> float:
-    """The k-th largest of the column key, exactly: the range that holds it shrinks by histograms of 4096 counts."""
-    low, high = keys.agg(F.min("key"), F.max("key")).first()
-    while low is not None and low < high:
-        width = (high - low) / 4096
-        slot = F.least(F.floor((F.col("key") - low) / width), F.lit(4095))
+def gumbel(*columns: Column, seed: int = 7) -> Column:
+    """Standard Gumbel noise from a hash of the columns: the same on every run and in every task."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) + 0.5) / float(1 << 53)
+    return -F.log(-F.log(u))
+
+
+def noisy(score: Column, *columns: Column, seed: int = 7) -> Column:
+    """score plus noise, as a long in billionths, so that an exact search needs no comparison of doubles."""
+    return F.least(F.greatest(F.round((score + gumbel(*columns, seed=seed)) * 1e9), F.lit(-9e18)), F.lit(9e18)).cast("long")
+
+
+def kth_largest(keys: DataFrame, k: int) -> int | None:
+    """The k-th largest of the long column key, exactly: the range that holds it shrinks by histograms of 4096 counts."""
+    row = keys.agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("key").alias("n")).first()
+    if not row.n or k < 1 or k > row.n:
+        return None
+    low, high = row.a, row.b
+    while low < high:
+        width = (high - low) // 4096 + 1
+        slot = F.expr(f"cast((cast(key as decimal(38, 0)) - {low}) div {width} as int)")
         rows = keys.where(F.col("key").between(low, high)).groupBy(slot.alias("slot")).agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).collect()
         for r in sorted(rows, key=lambda r: -r.slot):
             if k <= r.n:
                 break
             k -= r.n
-        if (r.a, r.b) == (low, high):
-            break
         low, high = r.a, r.b
-    return -math.inf if low is None else low
+    return low
 
 
-def gumbel(*columns: Column, seed: int = 7) -> Column:
-    """Standard Gumbel noise from a hash of the columns: the same on every run and in every task."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) + 0.5) / float(1 << 53)
-    return -F.log(-F.log(u))
+def drawn(table: DataFrame, k: int, key_col: str = "key") -> DataFrame:
+    """The rows of the k largest keys (longs), and rows that tie with the last of them."""
+    least = kth_largest(table.select(F.col(key_col).alias("key")), k)
+    return table.where(F.col(key_col) >= least) if least is not None else table.where(F.lit(k > 0))
 
 
 def _free(name: str, taken: list[str]) -> str:
@@ -173,29 +239,29 @@ def _free(name: str, taken: list[str]) -> str:
     return name
 
 
-def _resampled(docs: DataFrame, rows: DataFrame, labels: DataFrame, id_col: str, text_col: str, columns: list[str], max_labels: int = 20_000, temperature: float = 0.02, seed: int = 7) -> tuple[DataFrame, str, str, float]:
-    """The written table of rows' columns with score and key, their names, and the key of the last document that is kept."""
+def _resampled(docs: DataFrame, rows: DataFrame, labels: DataFrame, id_col: str, text_col: str, columns: list[str], max_labels: int = 20_000, seed: int = 7) -> tuple[DataFrame, str, str]:
+    """The drawn rows' columns with score and key, and the names of these."""
     sample = labelled(labels, max_labels)
-    model = fit(docs, sample, id_col, text_col)
+    counted = counts(docs, frozenset(k for k, good in sample.items() if good and not _held_out(k)), id_col, text_col)
+    model = fit(counted)
+    discard(counted)
     score, key = _free("_score", rows.columns), _free("_key", rows.columns)
-    noisy = F.col(score) / F.lit(temperature) + gumbel(F.col(id_col), F.xxhash64(F.col(text_col)), seed=seed)
-    table = written(scores(rows, model, text_col, score).withColumn(key, noisy).select(*columns, score, key))
+    table = written(scores(rows, model, text_col, score).withColumn(key, noisy(F.col(score), F.col(id_col), F.xxhash64(F.col(text_col)), seed=seed)).select(*columns, score, key))
     tested = {k: good for k, good in sample.items() if _held_out(k) or not good}
     wanted = docs.sparkSession.createDataFrame([*tested.items()], f"_id {docs.schema[id_col].dataType.simpleString()}, good boolean")
     seen = table.join(F.broadcast(wanted), table[id_col] == wanted["_id"]).select("good", F.col(score).alias("score")).collect() if tested else []  # max_labels ids
-    limit = limit_between([r.score for r in seen if r.good], [r.score for r in seen if not r.good]) if model.any() else -math.inf
-    k = table.where(F.col(score) >= limit).count()
-    return table, score, key, (_kth_largest(table.select(F.col(key).alias("key")), k) if k else math.inf)
+    limit = limit_between([r.score for r in seen if r.good], [r.score for r in seen if not r.good]) if not model.empty else -math.inf
+    return drawn(table, table.where(F.col(score) >= limit).count(), key), score, key
 
 
 def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """(id_col, score, key) of the sampled documents."""
+    """(id_col, score, key: score plus noise) of the sampled documents."""
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    table, score, key, least = _resampled(rows, rows, labels, id_col, text_col, [id_col], **how)
-    return table.where(F.col(key) >= least).select(id_col, F.col(score).alias("score"), F.col(key).alias("key"))
+    table, score, key = _resampled(rows, rows, labels, id_col, text_col, [id_col], **how)
+    return table.select(id_col, F.col(score).alias("score"), (F.col(key) / 1e9).alias("key"))
 
 
 def filtered(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs, all columns, that are sampled. They are written once with their keys, so no text is shuffled."""
-    table, _, key, least = _resampled(docs, docs, labels, id_col, text_col, docs.columns, **how)
-    return table.where(F.col(key) >= least).select(*docs.columns)
+    table, _, _ = _resampled(docs, docs, labels, id_col, text_col, docs.columns, **how)
+    return table.select(*docs.columns)

@@ -116,14 +116,60 @@ def test_quality(spark, docs, empty):
     good = {i for i in range(600) if i % 5}
     assert len(kept & good) > 0.99 * len(good) and len(kept - good) <= 2
     assert {x.doc_id for x in quality.filtered(table.withColumn("_score", F.lit("clash")), marks).collect()} == kept
+    assert quality.filtered(empty, marks).columns == empty.columns and quality.filtered(empty, marks).count() == 0
     assert quality.kept(docs, marks.limit(0)).count() == docs.count() and quality.kept(empty, marks).count() == 0
 
 
 def test_kth_largest(spark):
-    values = [random.Random(9).gauss(0, 1) for _ in range(3000)] + [0.5] * 50
-    keys = spark.createDataFrame([(v,) for v in values], "key double")
-    for k in (1, 2, 1500, 3049, 3050):
-        assert quality._kth_largest(keys, k) == sorted(values, reverse=True)[k - 1]
+    values = [random.Random(9).randint(-(10**17), 10**17) for _ in range(3000)] + [5] * 50 + [9 * 10**18, -9 * 10**18]
+    keys = spark.createDataFrame([(v,) for v in values], "key long")
+    for k in (1, 2, 1500, 3049, 3052):
+        assert quality.kth_largest(keys, k) == sorted(values, reverse=True)[k - 1]
+    assert quality.kth_largest(keys, 0) is None and quality.kth_largest(keys.limit(0), 1) is None
+
+
+def test_importance_ratios_against_brute_force(spark):
+    """Counts and log ratios of all n-grams of a small corpus, word by word."""
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(["ab", "cd,", "ef", "gh!!", "IJ"] if i % 3 else ["ab", "zz", "zz", "cd,"]) for _ in range(60))) for i in range(90)]
+    target = frozenset(i for i, _ in rows if i % 3 and i % 2)
+    table = spark.createDataFrame([*rows, (None, "ab cd"), (1000, None)], "doc_id long, text string")
+    got = {(x.pair, x.gram): (x.raw, x.own) for x in quality.counts(table, target).collect()}
+    want, known = {}, quality._Hashes()
+    for i, text in [*rows, (None, "ab cd")]:
+        words, pairs = quality.grams(text.encode(), known)
+        for key in [(False, int(g)) for g in words] + [(True, int(g)) for g in pairs]:
+            a, b = want.get(key, (0, 0))
+            want[key] = a + 1, b + (i in target)
+    assert got == want
+    model = quality.fit(spark.createDataFrame([(*k, *v) for k, v in got.items()], "pair boolean, gram long, raw long, own long"), sure=(2.0, 2.0))
+    for pair in (False, True):
+        raw, own = (sum(v[i] for k, v in want.items() if k[0] == pair) for i in (0, 1))
+        for (kind, gram), (n, mine) in want.items():
+            if kind == pair:
+                expected = n * own / raw
+                weight = math.log((mine + 0.1) / (expected + 0.1)) / (1 + math.exp(min(50, (4 - (mine - expected) ** 2 / (expected + 1)) / 2)))
+                at = np.searchsorted(model.words, gram)
+                held = model.pairs[gram] if pair else model.word_weights[at] if at < len(model.words) and model.words[at] == gram else 0.0
+                assert held == pytest.approx(weight if abs(weight) > 1e-3 else 0.0)
+    words, pairs = quality.grams(b"zz zz cd, ef", known)
+    assert model.score(words, pairs) < 0 < model.score(*quality.grams(b"ef gh!! IJ", known))
+
+
+def test_the_draw_follows_the_weights(spark):
+    """Of one drawn row per seed, each is chosen about as often as its importance weight says."""
+    scores, trials = [0.0, 1.0, 2.0, -1.0], 3000
+    rows = spark.createDataFrame([(t, i, s) for t in range(trials) for i, s in enumerate(scores)], "t long, i int, s double")
+    keys = rows.withColumn("key", quality.noisy(F.col("s"), F.col("t"), F.col("i")))
+    chosen = [0] * 4
+    for r in keys.groupBy("t").agg(F.max_by("i", "key").alias("i")).collect():
+        chosen[r.i] += 1
+    total = sum(map(math.exp, scores))
+    for n, s in zip(chosen, scores, strict=True):
+        p = math.exp(s) / total
+        assert abs(n / trials - p) < 4 * math.sqrt(p * (1 - p) / trials)
+    drawn = quality.drawn(keys, 500)
+    assert drawn.count() == 500 and drawn.agg(F.min("key")).first()[0] >= keys.join(drawn, ["t", "i"], "left_anti").agg(F.max("key")).first()[0]
 
 
 def test_url_rules(spark):

@@ -6,9 +6,11 @@ import gzip
 import io
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -161,6 +163,82 @@ def test_html_sections_side_by_side():
             assert [text.count(w) for w in ("first", "other", "third")] == [200] * 3 and text.index("first") < text.index("other") < text.index("third")
 
 
+def test_html_densities_against_recursion():
+    """Every node's counts, density and density sum, by the formula, on random trees."""
+    r = random.Random(11)
+
+    def made(depth: int):
+        return [r.choice(["div", "p", "a", "b", "ul", "li", "section"]), [made(depth - 1) if depth and r.random() < 0.7 else " ".join("w" * r.randint(1, 8) for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 4))]]
+
+    def html(node) -> str:
+        return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(html, node[1]))}</{node[0]}>"
+
+    def count(page, i):
+        below = [k for k in range(len(page.tags)) if page.parents[k] == i]
+        rest = [count(page, k) for k in below]
+        c = page.own[i] + sum(x[0] for x in rest)
+        linked = c if page.tags[i] == "a" else sum(x[1] for x in rest)
+        return c, linked, sum(x[2] + 1 for x in rest), sum(x[3] + (page.tags[k] == "a") for k, x in zip(below, rest, strict=True))
+
+    for _ in range(60):
+        page = html_text.parse(f"<body>{''.join(html(made(3)) for _ in range(3))}</body>")
+        chars, link_chars, density = html_text.weigh(page)
+        body = html_text.body_of(page)
+        bc, bl, _, _ = count(page, body)
+        for i in range(len(page.tags)):
+            c, linked, t, lt = count(page, i)
+            base = np.log(c / max(1, c - linked) * linked + bl / max(1, bc) * c + np.e)
+            want = c / max(1, t) * np.log(max(1, c / max(1, linked) * max(1, t) / max(1, lt))) / np.log(max(base, np.e)) if c else 0.0
+            assert (chars[i], link_chars[i]) == (c, linked) and density[i] == pytest.approx(want)
+        total = html_text.density_sums(page, density, [False] * len(page.tags))
+        assert total == pytest.approx([page.own[i] + sum(density[k] for k in range(len(page.tags)) if page.parents[k] == i) for i in range(len(page.tags))])
+
+
+def _p(word: str, n: int = 40) -> str:
+    return f"<p>{f'{word} ' * n}</p>"
+
+
+@pytest.mark.parametrize(("html", "words"), [
+    (f"<body><div>{_p('aa') * 3}</div><ul><li>one point</li><li>two</li></ul></body>", "aa point two"),
+    (f"<body><h1>Title words</h1><div>{_p('aa') * 3}</div></body>", "Title aa"),
+    (f"<body><div>{_p('aa') * 3}</div><table><tr><td>cell</td><td>other</td></tr></table></body>", "aa cell other"),
+    (f"<body><div>{_p('aa') * 3}</div><div>{_p('bb', 10) * 2}</div><div>{_p('cc', 5)}</div></body>", "aa bb cc"),
+    (f"<body><section>{_p('aa') * 3}</section><section>{_p('bb', 8)}</section></body>", "aa bb"),
+    *[(f'<body><{t} class="{c}">{_p("aa") * 3}</{t}></body>', "aa") for t, c in (("div", "page has-sidebar"), ("section", "post no-comments"), ("div", "search-article widget-main"), ("form", "x"), ("div", "comments"))],
+    (f"<body><main><header><h1>Head</h1></header>{_p('aa') * 3}</main></body>", "Head aa"),
+    ("<body>" + "".join(f'<section class="comments">{_p(w)}</section>' for w in ("aa", "bb", "cc")) + "</body>", "aa bb cc"),
+    ('<body><p class="x>Hello</p><p title="a > b">World</p></body>', "Hello World"),
+])
+def test_html_keeps_what_stands_beside_the_content(html, words):
+    text = html_text.main_text(html)
+    assert all(w in text for w in words.split()) and "<" not in text and "class" not in text
+
+
+def test_html_density_decides_without_an_article():
+    """Parts without a name: link lists and thin bare text go, whatever holds them; without densities they would stay."""
+    menu = "<ul><li><a href=x>First link</a></li><li><a href=y>Second link</a></li></ul>"
+    for page in (f"<body>{menu}<div>{_p('aa') * 3}</div><div>Copyright us</div></body>", f"<body><div><div>{menu}</div><div>{_p('aa') * 3}</div></div></body>", f"<body>{menu}{_p('aa') * 3}{menu}</body>"):
+        text = html_text.main_text(page)
+        assert text.count("aa") == 120 and "link" not in text and "Copyright" not in text
+    whole = html_text.main_text(f"<body><div>{_p('aa')}<ul><li><a href=x>a source</a></li></ul>{_p('bb')}</div></body>")
+    assert "a source" in whole
+
+
+def test_html_pages_need_no_article_element():
+    """The given pages give the same text with a div in the article's place, but for those whose advert is as long."""
+    pages = [h for h in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist() if h]
+    differ = [h for h in pages if html_text.main_text(h) != html_text.main_text(h.replace("<article>", "<div>").replace("</article>", "</div>"))]
+    assert len(differ) <= len(pages) // 100 + 1
+    assert all(len(html_text.main_text(h)) < 120 for h in differ)
+
+
+def test_html_takes_time_in_proportion():
+    for html, most in (("<a x\"" * 8000 + '\">', 1), ("<b>" * 8000 + "</i>" * 8000, 1), ("<b>" * 125_000 + "</i>" * 125_000, 10), ('<a x"' * 150_000 + ">", 10), ("<div>" * 60_000 + "x", 10), ("<b>" * 20_000 + "<p></p>" * 20_000, 10), ('<a ">" ' * 40_000 + "'", 20), ("<noscript>" * 50_000, 10)):
+        began = time.process_time()
+        html_text.main_text(html)
+        assert time.process_time() - began < most
+
+
 def test_html_head_without_end_tag():
     for head in ("<head>", "<head><meta charset=utf-8><title>T</title><style>p{}</style>", "<head><title>T</title></head>"):
         for body in ("<body><p>one</p></body>", "<p>one</p>", "<div>one</div>", "one"):
