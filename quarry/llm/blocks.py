@@ -14,18 +14,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.shared import Scratch
+
+
+def chunks(size: Column, block: int) -> Column:
+    """The number of chunks of a bucket of `size` items."""
+    return F.ceil(size / F.lit(block)).cast("int")
 
-def dealt(items: DataFrame, bucket: Column, item: Column, block: int = 4096) -> DataFrame:
-    """items with (bucket, ci, cj, side): one row per block that the item takes part in, none if it is alone in its bucket.
+
+def places(item: Column, n: Column) -> Column:
+    """Array of (ci, cj, side): the blocks of a bucket of n chunks that an item takes part in.
 
     side is 0 for an item of chunk ci and 1 for one of chunk cj; in a block with ci = cj every item has side 0.
     """
-    rows = items.withColumn("bucket", bucket)
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("bucket_size")).where("bucket_size > 1")
-    n = F.ceil(F.col("bucket_size") / F.lit(block)).cast("int")
     mine = F.pmod(F.xxhash64(item, F.lit("chunk")), n.cast("long")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.least(mine, j).alias("ci"), F.greatest(mine, j).alias("cj"), (mine > j).cast("int").alias("side")))
-    return rows.join(sizes, "bucket").withColumn("at", F.explode(pairs)).select(*items.columns, "bucket", F.col("at.ci").alias("ci"), F.col("at.cj").alias("cj"), F.col("at.side").alias("side"))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.least(mine, j).alias("ci"), F.greatest(mine, j).alias("cj"), (mine > j).cast("int").alias("side")))
+
+
+def dealt(items: DataFrame, bucket: Column, item: Column, scratch: Scratch, block: int = 4096) -> DataFrame:
+    """items with (bucket, ci, cj, side): one row per block that the item takes part in, none if it is alone in its bucket.
+
+    The sizes of buckets are written first, so that the join to them is one that Spark splits at a hot bucket.
+    """
+    rows = items.withColumn("bucket", bucket)
+    sizes = scratch.written(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket", chunks(F.col("size"), block).alias("n_chunks")))
+    at = F.explode(places(item, F.col("n_chunks")))
+    return rows.join(sizes, "bucket").withColumn("at", at).select(*items.columns, "bucket", F.col("at.ci").alias("ci"), F.col("at.cj").alias("cj"), F.col("at.side").alias("side"))
 
 
 def map_blocks(rows: DataFrame, schema: str, func: Callable[[pa.Table], pa.Table | None]) -> DataFrame:

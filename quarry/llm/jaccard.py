@@ -1,32 +1,19 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
+"""Sets of word shingles: their hashes, the buckets of texts that are alike, and exact Jaccard similarity.
 
-Two texts are linked where the sets of their `width`-word shingles have a Jaccard similarity of at least `similarity`.
-At 0.8 two SimHash fingerprints lie about 10 of 64 bits apart and often more than 15; ranges of the bits that such pairs
-must agree in would be 3 bits wide and hold an eighth of the corpus each. So candidates come from MinHash instead: 20
-bands of 4 minima each, in one of which at least a pair of similarity 0.8 agrees with a probability of 1 - 3e-5 (0.85:
-1 - 4e-7). Texts in a bucket are then compared by their whole sets, so every link is exact, but for equal 64-bit hashes
-of different shingles.
-
-Texts with equal sets are one node in all of this, so exact copies cost one row. Sets are made only for nodes that share
-a bucket. In a block, nodes that earlier links already join are not compared again. Linked nodes leave a block as
-stars, never as all pairs; components are found by rounds of joins (components.py).
+Two sets of Jaccard similarity s agree in the least hash of a random order with probability s. `BANDS` buckets are made
+of the least hashes of `ROWS` orders each; at least a pair of similarity 0.8 shares one of 20 buckets of 4 with a
+probability of 1 - 3e-5 (0.85: 1 - 4e-7). Equal sets are told by a 64-bit hash of the whole set.
 
 Words are those between ASCII white space, A-Z in lower case. A text of fewer words than `width` has itself as its one
-shingle. Null texts count as empty; texts without words equal each other and nothing else. Texts are read whole. A null
-id takes part but is nobody's component_id. Repeated rows give repeated result rows.
+shingle; a text without words has an empty set.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quarry.llm.blocks import dealt, forest, map_blocks, starts
-from quarry.llm.components import components
-from quarry.llm.shared import LOWER, batch, map_batches, utf8, written
+from quarry.llm.shared import LOWER
 
 BANDS, ROWS = 20, 4
 _MIX = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64) | np.array([[[0]], [[1]]], np.uint64)
@@ -35,7 +22,7 @@ _AT_ONCE = 1 << 11
 
 
 def shingles(text: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a UTF-8 text's shingles."""
+    """The 64-bit hashes of a UTF-8 text's shingles, in order, with repeats."""
     found = text.translate(LOWER).split()
     if not found:
         return np.zeros(0, np.uint64)
@@ -44,7 +31,15 @@ def shingles(text: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
         return np.array([digest(whole, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
     begin = np.concatenate([[0], ends[:-width]]).tolist()
-    return np.unique(np.array([digest(whole[a:b], seed) for a, b in zip(begin, (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64))
+    return np.array([digest(whole[a:b], seed) for a, b in zip(begin, (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, as sorted arrays, have a Jaccard similarity of at least `similarity`."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
 
 
 def node(own: np.ndarray) -> int:
@@ -59,57 +54,3 @@ def bands(own: np.ndarray) -> np.ndarray:
     for i in range(0, len(own), _AT_ONCE):
         least = np.minimum(least, ((own[i : i + _AT_ONCE] ^ _MIX[0]) * _MIX[1]).min(axis=1))
     return np.array([xxhash.xxh64_intdigest(m.tobytes(), t) for t, m in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
-
-
-def block_stars(table: pa.Table, similarity: float = 0.8) -> pa.Table:
-    """(u, v) per node of a run of blocks that is linked, directly or not, to another one v of its block."""
-    names, edges, x, y = table.column("node").to_numpy(), starts(table), [], []
-    for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        sets = [set(np.frombuffer(s.as_py(), "<u8").tolist()) for s in table.column("shingles")[begin:end]]
-        order, group = sorted(range(len(sets)), key=lambda i: len(sets[i])), list(range(len(sets)))
-        for at, i in enumerate(order):
-            for j in order[at + 1 :]:
-                if len(sets[i]) / len(sets[j]) < similarity:
-                    break
-                if group[i] == group[j]:
-                    continue
-                both = len(sets[i] & sets[j])
-                if both / (len(sets[i]) + len(sets[j]) - both) >= similarity:
-                    x.append(begin + i)
-                    y.append(begin + j)
-                    old, new = group[j], group[i]
-                    group = [new if g == old else g for g in group]
-    root = forest(len(names), np.array(x, int), np.array(y, int))
-    moved = np.flatnonzero(root != np.arange(len(names)))
-    return pa.table({"u": names[moved], "v": names[root[moved]]})
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, block: int = 256) -> DataFrame:
-    """(id_col, component_id: the smallest id reachable over links) per row of docs.
-
-    Names and bands are computed once and written. Texts are read again, and shuffled, only for nodes in shared buckets.
-    """
-    texts, keys = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), [f"b{t}" for t in range(BANDS)]
-    texts = texts.withColumn("text_hash", F.xxhash64("text"))
-
-    def signed(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, width) for t in utf8(b.column(2))]
-        made = np.array([bands(s) if len(s) else np.zeros(BANDS, np.int64) for s in sets]).reshape(-1, BANDS)
-        return batch(id=b.column(0), text_hash=b.column(1), node=pa.array([node(s) for s in sets], pa.int64()), n=pa.array([len(s) for s in sets], pa.int64()), **{k: pa.array(np.ascontiguousarray(made[:, t])) for t, k in enumerate(keys)})
-
-    def whole(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, width) for t in utf8(b.column(0))]
-        return batch(node=pa.array([node(s) for s in sets], pa.int64()), shingles=pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()))
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    own = written(map_batches(texts.select("id", "text_hash", "text"), f"id {kind}, text_hash long, node long, n long, {', '.join(f'{k} long' for k in keys)}", signed))
-    distinct = written(own.groupBy("node").agg(F.min("id").alias("least"), *[F.min(c).alias(c) for c in ("text_hash", "n", *keys)]))
-    items = distinct.where("n > 0").select("node", F.explode(F.array(*keys)).alias("key"))
-    rows = written(dealt(items, F.col("key"), F.col("node"), block).select("node", "bucket", "ci", "cj"))
-    shared = written(distinct.join(rows.select("node").distinct(), "node", "left_semi").select("text_hash"))
-    again = texts.join(shared, "text_hash", "left_semi").dropDuplicates(["text_hash"]).select("text")
-    sets = written(map_batches(again, "node long, shingles binary", whole))
-    found = components(map_blocks(rows.join(sets, "node").select("node", "shingles", "bucket", "ci", "cj"), "u long, v long", lambda t: block_stars(t, similarity)))
-    rooted = distinct.select("node", "least").join(found.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.select("id", "node").join(rooted.join(least, "root").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "component_id")

@@ -3,15 +3,18 @@
 The base kinds (email, ip, card, phone) are found by pattern and check, leftmost and non-overlapping per kind. Besides
 them a semi-Markov CRF labels whole candidate segments: a segment of up to `longest` pieces has features of the span as
 a whole (its digits, separators, groups, checksum, key word, neighbours), and one dynamic program over a window chooses
-boundaries and kinds together, each entity bounded in length. What it finds beside the base spans is added, under the
-base kinds or as `secret`; base spans always stay, added ones never overlap them.
+boundaries and kinds together, each entity bounded in length. Only segments with the form of a kind are candidates for
+it: cards pass the Luhn check, parts of an ip are at most 255, phones have 9 to 15 digits and don't begin with a year,
+secrets are a key word with its value or one unbroken run of letters and digits. What it finds beside the base spans is
+added, under the base kinds or as `secret`; base spans always stay, added ones never overlap them.
 
 The model is trained here, on sentences made from fixed forms with a fixed seed (a few seconds, once per process), by
-gradient ascent on the conditional likelihood; it is a small table of weights that is sent with the tasks.
+gradient ascent on the conditional likelihood; among them are many that look like entities and are none: checksums,
+identifiers, paths of URLs, dates, serial and order numbers. It is a small table of weights that is sent with the tasks.
 
 Null texts count as empty and have no spans. Texts are searched whole; only the surroundings of digits and @ signs are
 decoded, the segments of a bounded number of pieces at a time, so very long texts take time in proportion. Repeated rows give repeated
-results; an empty table gives an empty result; only the named columns are read. Offsets are code points, end exclusive.
+results; an empty table gives an empty result; only the named columns are read, so others may have any name. Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -33,7 +36,6 @@ TYPES = ("none", *KINDS, "secret")
 Span = tuple[str, int, int]
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
@@ -80,8 +82,11 @@ def base_spans(text: str) -> list[Span]:
 
 
 _PIECE = re.compile(r"[^\W_]+|[^\s]")
-_TRIGGER = re.compile(r"\S*[0-9@]\S*")
-_KEYED = re.compile(r"(?:password|passwd|pwd|secret|token|api|key|auth)[\w ]*\s*[=:]\s*[\"']?[^\s\"']{6,}", re.I)
+_TRIGGER, _SPACE = re.compile(r"[0-9@]"), re.compile(r"\s")
+_KEYED = re.compile(r"(?:password|passwd|pwd|secret|token|api|key|auth)\w*(?: \w+)?\s*[=:]\s*(?:\"[^\s\"']{6,}\"|'[^\s\"']{6,}'|[^\s\"']{6,})", re.I)
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_CALL = re.compile(r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,5}\)[ .-]?)?[0-9]{2,5}(?:[ ./-][0-9]{2,5}){0,5}|\+[0-9]{9,15}")
+_YEAR = re.compile(r"\(?(?:19|20)[0-9]{2}\b")
 _GROUPS = re.compile(r"[0-9]+")
 #: Pieces in the longest segment, and in the longest window that is decoded at once.
 LONGEST, WINDOW = 14, 400
@@ -91,27 +96,46 @@ def _size(n: int, steps: tuple[int, ...]) -> int:
     return sum(n >= s for s in steps)
 
 
-def features(span: str, before: str, after: str) -> list[str]:
-    """Whole-span features."""
+def allowed(span: str) -> tuple[int, ...]:
+    """The kinds, as places in TYPES, whose form the span has."""
+    if "@" in span:
+        return (1,) if _EMAIL.fullmatch(span) else ()
+    if _KEYED.fullmatch(span):
+        return (5,)
+    digits = sum(map(len, groups := _GROUPS.findall(span)))
+    if not digits:
+        return ()
+    if span.isascii() and span.isalnum() and not span.isdigit():
+        return (5,) if len(span) >= 16 else ()
+    out = []
+    if len(groups) == 4 and ".".join(groups) == span and all(len(g) <= 3 and int(g) <= 255 for g in groups):
+        out.append(2)
+    if 13 <= digits <= 19 and _CARD.fullmatch(span.replace(".", "-")) and luhn("".join(groups)):
+        out.append(3)
+    if 9 <= digits <= 15 and (len(groups) > 1 or span[0] == "+") and _CALL.fullmatch(span) and not _YEAR.match(span):
+        out.append(4)
+    return tuple(out)
+
+
+def features(span: str, before: str, after: str, word: str = "") -> list[str]:
+    """Whole-span features; before and after: the neighbouring characters, word: the piece before the span."""
     groups = _GROUPS.findall(span)
     digits, letters = sum(map(len, groups)), sum(map(str.isalpha, span))
     marks = "".join(sorted({c for c in span if not c.isalnum()}))
     nd, nl = _size(digits, (1, 4, 7, 9, 10, 11, 13, 16, 17, 20)), _size(letters, (1, 4, 11, 21))
     out = [
-        "1", f"d{nd}", f"l{nl}", f"m{marks}", f"m{marks} d{nd}", f"d{nd} l{nl}", f"g{'-'.join(str(len(g)) for g in groups[:6])} {marks}" if not letters else f"a{len(groups)}",
+        "1", f"d{nd}", f"l{nl}", f"m{marks}", f"m{marks} d{nd}", f"d{nd} l{nl}", f"g{'-'.join(str(len(g)) for g in groups[:6])} {marks}" if not letters else f"a{min(9, len(groups))}",
         f"first {_kind(span[0])} last {_kind(span[-1])}", f"out {_kind(before)} {_kind(after)}", f"at{min(2, span.count('@'))}",
     ]
-    if "@" in span:
-        local, _, domain = span.partition("@")
-        out.append(f"mail {bool(local)} {bool(_DOMAIN.fullmatch(domain))} {' ' in span}")
-    if len(groups) == 4 and span.count(".") == 3 and not letters:
-        out.append(f"octets {all(len(g) < 4 and int(g) < 256 for g in groups)} {marks}")
     if 13 <= digits <= 19 and not letters:
         out.append(f"luhn {luhn(''.join(groups))} {marks}")
     if _KEYED.fullmatch(span):
         out.append("keyed")
     if len(span) >= 16 and span.isalnum() and letters and digits:
-        out.append("mixed upper" if span.isupper() else "mixed hex" if set(span.lower()) <= set("0123456789abcdef") else "mixed")
+        form = "upper" if span.isupper() else "hex" if set(span.lower()) <= set("0123456789abcdef") else "mixed"
+        out += [form, f"{form} {span[:4] if form == 'upper' else _size(len(span), (20, 32, 33, 40, 41))}"]
+        if word.isalnum() and len(word) <= 12:
+            out.append(f"{form} after {word.lower()}")
     return out
 
 
@@ -128,26 +152,34 @@ class SemiCrf:
         self.weights[-1] = 0
         self.step = np.zeros((len(TYPES), len(TYPES)))
 
-    def segments(self, text: str, at: list[tuple[int, int]], firsts: int | None = None) -> list[tuple[int, int, list[int]]]:
-        """(first piece, end piece, feature ids): single pieces, and longer runs around a digit or an @. firsts: only those that begin in so many pieces."""
-        trigger = np.cumsum([0, *(any(c.isdigit() or c == "@" for c in text[a:b]) for a, b in at)]).tolist()
+    def segments(self, text: str, at: list[tuple[int, int]], firsts: int | None = None) -> list[tuple[int, int, list[int], tuple[int, ...]]]:
+        """(first piece, end piece, feature ids, kinds): single pieces, and longer runs with the form of some kind.
+
+        Runs hold a digit or an @ and lie in one line. firsts: only those that begin in so many pieces.
+        """
+        trigger = np.cumsum([0, *(_TRIGGER.search(text, a, b) is not None for a, b in at)]).tolist()
         out = []
         for i in range(len(at) if firsts is None else firsts):
             for j in range(i + 1, min(len(at), i + LONGEST) + 1):
-                if j > i + 1 and (trigger[j] == trigger[i] or "\n" in text[at[j - 2][1] : at[j - 1][0]]):
-                    if trigger[j] != trigger[i]:
+                a, b = at[i][0], at[j - 1][1]
+                if j > i + 1:
+                    if "\n" in text[at[j - 2][1] : at[j - 1][0]]:
                         break
+                    if trigger[j] == trigger[i]:
+                        continue
+                kinds = allowed(text[a:b]) if trigger[j] > trigger[i] else ()
+                if j > i + 1 and not kinds:
                     continue
-                a, b = at[i][0], at[j - 1][1]
-                ids = [self.names.get(f, -1) for f in features(text[a:b], text[a - 1 : a], text[b : b + 1])]
-                out.append((i, j, [k for k in ids if k >= 0]))
+                word = text[at[i - 1][0] : at[i - 1][1]] if i else ""
+                ids = [self.names.get(f, -1) for f in features(text[a:b], text[a - 1 : a], text[b : b + 1], word)]
+                out.append((i, j, [k for k in ids if k >= 0], kinds))
         return out
 
-    def scores(self, segments: list[tuple[int, int, list[int]]]) -> np.ndarray:
-        s = np.array([self.weights[ids].sum(axis=0) for _, _, ids in segments])
-        for k, (i, j, _) in enumerate(segments):
-            if j > i + 1:
-                s[k, 0] = -np.inf
+    def scores(self, segments: list[tuple[int, int, list[int], tuple[int, ...]]]) -> np.ndarray:
+        s = np.full((len(segments), len(TYPES)), -np.inf)
+        for k, (i, j, ids, kinds) in enumerate(segments):
+            y = [*([0] if j == i + 1 else []), *kinds]
+            s[k, y] = self.weights[ids][:, y].sum(axis=0)
         return s
 
     def decode(self, text: str, at: list[tuple[int, int]]) -> list[Span]:
@@ -164,7 +196,7 @@ class SemiCrf:
             stop = min(n, begin + WINDOW)
             segments = self.segments(text, at[begin : stop + LONGEST], stop - begin)
             mine: dict[int, list[tuple[int, np.ndarray]]] = {}
-            for (i, j, _), row in zip(segments, self.scores(segments), strict=True):
+            for (i, j, _, _), row in zip(segments, self.scores(segments), strict=True):
                 mine.setdefault(begin + j, []).append((begin + i, row))
             for j in range(begin + 1, stop + 1):
                 here = j % (LONGEST + 1)
@@ -189,7 +221,7 @@ class SemiCrf:
     def gradient(self, segments, s: np.ndarray, n: int, gold: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray]:
         """Of the log likelihood of the gold segmentation: per segment and type, and per step of types."""
         starts_, ends = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
-        for k, (i, j, _) in enumerate(segments):
+        for k, (i, j, _, _) in enumerate(segments):
             starts_[i].append(k)
             ends[j].append(k)
         a, b = np.full((n + 1, len(TYPES)), -np.inf), np.full((n + 1, len(TYPES)), -np.inf)
@@ -205,10 +237,10 @@ class SemiCrf:
             leave[i] = np.logaddexp.reduce([s[k] + b[segments[k][1]] for k in starts_[i]], axis=0)
             b[i] = np.logaddexp.reduce(self.step + leave[i][None, :], axis=1)
         total = np.logaddexp.reduce(a[n])
-        g = np.array([-np.exp(enter[i] + s[k] + b[j] - total) for k, (i, j, _) in enumerate(segments)])
+        g = np.array([-np.exp(enter[i] + s[k] + b[j] - total) for k, (i, j, _, _) in enumerate(segments)])
         h = -sum(np.exp(a[i][:, None] + self.step + leave[i][None, :] - total) for i in range(n))
         before, i = 0, 0
-        where = {(i, j): k for k, (i, j, _) in enumerate(segments)}
+        where = {(i, j): k for k, (i, j, _, _) in enumerate(segments)}
         while i < n:
             j, y = next(((j, y) for (x, j), y in gold.items() if x == i), (i + 1, 0))
             g[where[i, j], y] += 1
@@ -228,7 +260,7 @@ class SemiCrf:
             for segments, n, gold in data:
                 g, h = self.gradient(segments, self.scores(segments), n, gold)
                 full = np.zeros_like(self.weights)
-                for (_, _, ids), row in zip(segments, g, strict=True):
+                for (_, _, ids, _), row in zip(segments, g, strict=True):
                     full[ids] += row
                 full -= 0.002 * self.weights
                 size += full**2
@@ -238,56 +270,64 @@ class SemiCrf:
 
 
 def _examples(count: int, seed: int = 5) -> list[tuple[str, list[Span]]]:
-    """Sentences with marked entities, made from fixed forms."""
+    """Sentences with marked entities, made from fixed forms, and with what looks like entities and is none."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(2, 9)))
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    hexed = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n - 2)) + "a7"
 
-    def card() -> str:
+    def card(good: bool) -> str:
         body = r.choice("3456") + digits(14)
-        body += next(c for c in "0123456789" if luhn(body + c))
+        body += r.choice([c for c in "0123456789" if luhn(body + c) == good])
         return r.choice([body, *(s.join(body[i : i + 4] for i in range(0, 16, 4)) for s in "- .")])
 
-    def entity() -> tuple[str, str]:
-        kind = r.choice(("email", "ip", "card", "phone", "phone", "secret", "secret", "none", "none", "none"))
-        if kind == "email":
-            return kind, f"{word()}{r.choice(['', '.', '_'])}{r.choice([word(), digits(2)])}@{word()}{r.choice(['', digits(1)])}.{r.choice([word() + '.', ''])}{r.choice(['com', 'org', 'net', 'de'])}"
-        if kind == "ip":
-            return kind, ".".join(str(r.randint(1, 255)) for _ in range(4))
-        if kind == "card":
-            return kind, card()
-        if kind == "phone":
-            a, b, c = digits(3), digits(3), digits(4)
-            return kind, r.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{digits(2)} {a} {b} {c}", f"+{digits(2)}{a}{b}{c}"])
-        if kind == "secret":
-            hexed = "".join(r.choice("0123456789abcdef") for _ in range(r.choice([18, 32, 40])))
-            return kind, r.choice([f"password={hexed}", f'token = "{hexed}"', f"api_key={hexed}", f"secret: {hexed}", "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(15)) + "7"])
-        return kind, r.choice([f"{digits(1)}.{digits(1)}", f"version {digits(1)}", digits(r.randint(1, 6)), f"{digits(2)}:{digits(2)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(1)}.{digits(2)}.{digits(1)}", f"{digits(3)},{digits(3)}", digits(r.choice([13, 16, 20])) + "0", f"300.{digits(3)}.999.{digits(1)}", f"p. {digits(3)}-{digits(3)}", f"@{word()}", f"{word()}{digits(2)}", f"({digits(4)})"])
-
+    def phone() -> str:
+        a, b, c = digits(3), digits(3), digits(4)
+        return r.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{digits(2)} {a} {b} {c}", f"+{digits(2)}{a}{b}{c}", f"0{digits(3)} {b} {c}", f"+{digits(2)} {digits(2)} {digits(4)} {digits(4)}"])
+
+    def secret() -> str:
+        key = r.choice(["password", "passwd", "token", "api_key", "secret", "auth_token"])
+        value = r.choice([hexed(r.choice([18, 32, 40])), mixed(r.randint(8, 40))])
+        return r.choice([f"{key}={value}", f'{key} = "{value}"', f"{key}: {value}", f"{key}='{value}'", "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(15)) + "7", mixed(r.choice([20, 24, 36]))])
+
+    def other() -> str:
+        return r.choice([
+            f"{digits(1)}.{digits(1)}", f"version {digits(1)}", digits(r.randint(1, 9)), f"{digits(2)}:{digits(2)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(1)}.{digits(2)}.{digits(1)}", f"{digits(3)},{digits(3)}",
+            digits(r.choice([13, 16, 20])) + "0", card(False), f"300.{digits(3)}.999.{digits(1)}", f"p. {digits(3)}-{digits(3)}", f"@{word()}", f"{word()}{digits(2)}", f"({digits(4)})", f"20{digits(2)}-{digits(3)}-{digits(4)}", f"(19{digits(2)}) {digits(3)}-{digits(4)}",
+            f"{r.choice(['sha', 'SHA', 'sha1', 'sha256', 'md5', 'commit', 'hash', 'checksum', 'revision', 'digest', 'etag'])}{r.choice([' ', ': ', '='])}{hexed(r.choice([16, 20, 32, 40]))}", f"{hexed(8)}-{hexed(4)}-{hexed(4)}-{hexed(4)}-{hexed(12)}",
+            f"https://{word()}.org/{word()}/{mixed(r.randint(16, 30))}", f"/{word()}/{hexed(20)}/{word()}", f"{word()}/{hexed(32)}.png", f"ISBN {digits(3)}-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", f"no. {digits(3)}-{digits(2)}", f"{digits(2)}/{digits(2)}/20{digits(2)}",
+            f"order {digits(10)}", f"{digits(1)}.{digits(8)}, {digits(2)}.{digits(6)}", f"{word().upper()}-{digits(4)}-{digits(4)}", f"x{digits(1)} x{digits(1)} x{digits(1)}", f"key {digits(3)}", f"token {digits(2)} of {digits(2)}",
+        ])
+
+    makers = {"email": lambda: f"{word()}{r.choice(['', '.', '_'])}{r.choice([word(), digits(2)])}@{word()}{r.choice(['', digits(1)])}.{r.choice([word() + '.', ''])}{r.choice(['com', 'org', 'net', 'de'])}", "ip": lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)), "card": lambda: card(True), "phone": phone, "secret": secret, "none": other}
     out = []
     for _ in range(count):
-        text, spans = word(), []
+        text, found = word(), []
         for _ in range(r.randint(1, 2)):
-            kind, value = entity()
+            kind = r.choice(("email", "ip", "card", "phone", "phone", "secret", "secret", *["none"] * 7))
+            value = makers[kind]()
             text += r.choice([" ", ", ", ": ", " (" if kind != "none" else " "])
             if kind != "none":
-                spans.append((kind, len(text), len(text) + len(value)))
+                found.append((kind, len(text), len(text) + len(value)))
             text += value + r.choice(["", ".", ","]) + " " + word()
-        out.append((text, spans))
+        out.append((text, found))
     return out
 
 
 @lru_cache(maxsize=1)
-def trained(count: int = 240, epochs: int = 6) -> SemiCrf:
+def trained(count: int = 700, epochs: int = 5) -> SemiCrf:
     rows = _examples(count)
     names: dict[str, int] = {}
     for text, _ in rows:
         at = [m.span() for m in _PIECE.finditer(text)]
         for i in range(len(at)):
+            word = text[at[i - 1][0] : at[i - 1][1]] if i else ""
             for j in range(i + 1, min(len(at), i + LONGEST) + 1):
                 a, b = at[i][0], at[j - 1][1]
-                for f in features(text[a:b], text[a - 1 : a], text[b : b + 1]):
-                    names.setdefault(f, len(names))
+                if j == i + 1 or allowed(text[a:b]):
+                    for f in features(text[a:b], text[a - 1 : a], text[b : b + 1], word):
+                        names.setdefault(f, len(names))
     model = SemiCrf(names)
     model.train(rows, epochs)
     return model
@@ -296,13 +336,17 @@ def trained(count: int = 240, epochs: int = 6) -> SemiCrf:
 def _windows(text: str) -> list[tuple[int, int]]:
     """Stretches around digits and @ signs with two words before and one after, joined where they meet."""
     out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = m.span()
+    done = 0
+    while m := _TRIGGER.search(text, done):
+        run = text[done : m.start()]  # each part of the text is looked through once
+        a = done + max(run.rfind(" "), run.rfind("\n"), run.rfind("\t")) + 1
+        b = end.start() if (end := _SPACE.search(text, m.end())) else len(text)
+        done = b
         for _ in range(2):
             a = max(text.rfind(" ", max(0, a - 40), max(0, a - 1)) + 1, a - 40, 0)
         b = end if (end := text.find(" ", b + 1, b + 40)) >= 0 else min(len(text), b + 40)
         if out and a <= out[-1][1] + 1:
-            out[-1][1] = b
+            out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
@@ -343,17 +387,17 @@ def redacted(text: str, found: list[Span]) -> str:
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id_col, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all, as kind:start:end)."""
+    """Per row of docs: id_col, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all, as kind:start:end), n_spans."""
     model = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = [spans(t or "", model.value) for t in b.column(1).to_pylist()]
         counts = {f"n_{kind}": pa.array([sum(s[0] == kind for s in base) for base, _ in rows], pa.int64()) for kind in KINDS}
         digests = [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in rows]
-        return batch(id=b.column(0), **counts, base_sha256=pa.array(digests, pa.string()), spans=pa.array([joined(every) for _, every in rows], pa.string()))
+        return batch(id=b.column(0), **counts, base_sha256=pa.array(digests, pa.string()), spans=pa.array([joined(every) for _, every in rows], pa.string()), n_spans=pa.array([len(every) for _, every in rows], pa.int64()))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
     return map_batches(docs.select(F.col(id_col), F.col(text_col).cast("string")), schema, run).withColumnRenamed("id", id_col)
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, decontaminate, embeddings, html_text, licences, pii, quality, simhash, urlrules, warc
+from quarry.llm.shared import written
+from quarry.sources.shared import shared_folder
 
 #: Host, path prefix and action of each rule.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -27,9 +29,11 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = (pages := _read(spark, sf_dir, "pages")).schema["page_id"].dataType
-    rows = warc.read_records(warc.archive(pages)).select(F.col("key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest")
-    return warc.revisits(warc.written(rows), "page_id")
+    pages, folder = _read(spark, sf_dir, "pages"), shared_folder(spark)
+    kind = pages.schema["page_id"].dataType
+    rows = written(warc.read_records(warc.archive(pages, folder=folder), payloads=False))
+    warc.drop(spark, folder)
+    return rows.select(F.col("key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,24 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """The written tables of one job; last() writes its result and deletes the others."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.tables.append(written(df))
+        return self.tables[-1]
+
+    def last(self, df: DataFrame) -> DataFrame:
+        out = written(df)
+        for table in self.tables:
+            discard(table)
+        self.tables.clear()
+        return out
+
+
 def map_batches(df: DataFrame, schema: str, func: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
     """func over pieces of at most PIECE rows of df's Arrow batches, in the executors' Python workers."""
 

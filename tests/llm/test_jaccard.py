@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from quarry.llm import jaccard
+from quarry.llm import simhash
 
 
 def brute(texts: list[str | None]) -> list[int]:
@@ -45,7 +45,7 @@ def test_components_are_those_of_brute_force(spark):
     want = brute(texts)
     assert len(set(want)) < len(texts)
     for block in (256, 2):
-        got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs, block=block).collect()}
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, width=5, similarity=0.8, block=block).collect()}
         assert [got[i] for i in range(len(texts))] == want
 
 
