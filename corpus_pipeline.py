@@ -9,34 +9,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, decontaminate, jaccard, pii, quality, simhash
+from quarry.llm import bpe, decontaminate, pii, quality, simhash
 from quarry.llm.queries import tokenizer
+from quarry.llm.shared import written
 from quarry.sources.shared import shared_folder
 
 
+#: Ids (8 bytes each) that are sent to all tasks at most.
+MOST_SENT = 2_000_000
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling keeps; those unlike the target documents, toxic ones among them, go."""
     return quality.filtered(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of op6's SimHash near-duplicates: that with the smallest doc_id. No stage; see drop_similar."""
-    return _one_of_each(docs, simhash.near_duplicates(docs))
-
-
-def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more: that with the smallest doc_id."""
-    return _one_of_each(docs, jaccard.near_duplicates(docs))
-
-
-def _one_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their component.
+    """One document of each group that SimHash links at a Jaccard similarity of five-word shingles of 0.8 or more: that with the smallest doc_id.
 
-    Of rows that repeat a kept doc_id one stays. Documents without an id can't stand for a group; they stay.
+    Of rows that repeat a kept doc_id that with the smallest hash stays. Documents without an id can't stand for a group;
+    they stay. Ids to leave out are broadcast while there are at most MOST_SENT; only with more, texts are shuffled.
     """
-    kept = named.where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.union(docs.where("doc_id is null"))
+    named = simhash.near_duplicates(docs, width=5, similarity=0.8)
+    stands = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = named.where("doc_id is not null").groupBy("doc_id").agg(F.max(stands).alias("kept"), F.count("*").alias("n"))
+    odd = written(ids.where("not kept or n > 1").select("doc_id", "kept"))
+    few = odd.count() <= MOST_SENT
+    rows = docs.join(F.broadcast(odd) if few else odd, "doc_id", "left_anti")
+    repeated = odd.where("kept").select("doc_id")
+    if repeated.isEmpty():
+        return rows
+    again = docs.join(F.broadcast(repeated) if few else repeated, "doc_id", "left_semi")
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    first = again.groupBy("doc_id").agg(F.min_by(whole, F.struct(F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns))).alias("_row"))
+    return rows.unionByName(first.select("_row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +63,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality", keep_quality),
-    ("near_duplicates", drop_similar),
+    ("near_duplicates", drop_near_duplicates),
     ("decontamination", drop_contaminated),
     ("personal_data", redact_personal_data),
     ("bpe", encode),
