@@ -2,17 +2,20 @@
 
 The templates' words, one template after another, make one suffix automaton. A document's words stream through it; at
 each place the state gives the longest run ending there that occurs in some template (matching statistics). Runs that
-cannot grow and have at least `least` words are kept and, per template, chained in order of both texts; a template
-whose words are covered to `enough` by its best chain adds its label. Independently, the places of the base phrases are
-counted by themselves, and their labels always stay.
+cannot grow and have at least `least` words (`least_long` for templates of over `LONG` words) are kept and, per template,
+chained in order of both texts; a template whose words are covered to `enough` by its best chain adds its label.
+Independently, the places of the base phrases are counted by themselves, and their labels always stay.
+
+Templates are short notices, and the full texts in `licence_texts/`, one file each, named by label and version.
 
 Null texts have no words. Documents of any length are streamed whole. Repeated rows give repeated results, an empty
-table an empty one; only the two named columns are read.
+table an empty one; only the two named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +27,11 @@ from quarry.llm.shared import batch, map_batches, utf8, words
 #: The phrases whose places count, and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
+#: Words from which on a template is long.
+LONG = 40
+
 #: Short public licence notices and the labels that they stand for.
-TEMPLATES = (
+NOTICES = (
     ("mit", "Released under the MIT License."),
     ("mit", "This project is licensed under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
@@ -45,10 +51,20 @@ TEMPLATES = (
 )
 
 
+@lru_cache(maxsize=1)
+def templates() -> tuple[tuple[str, str], ...]:
+    """(label, text) of the notices and of the full texts."""
+    files = sorted((f for f in resources.files("quarry.llm").joinpath("licence_texts").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return (*NOTICES, *((f.name.split(".")[0], f.read_text(encoding="utf-8")) for f in files))
+
+
 class SuffixAutomaton:
-    """Of several word sequences: each gets an end mark of its own, so that no match runs over from one to the next."""
+    """Of several word sequences: each gets an end mark of its own, so that no match runs over from one to the next.
+
+    Where a state's words end is known for states of at least `least` words.
+    """
 
-    def __init__(self, sequences: list[list[int]]) -> None:
+    def __init__(self, sequences: list[list[int]], least: int = 1) -> None:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length, self.ends = [-1], [0], [[]]
         last = 0
@@ -56,7 +72,7 @@ class SuffixAutomaton:
             for place, word in enumerate([*sequence, -2 - number]):
                 last = self._extend(last, word, (number, place))
         for state in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            if self.link[state] > 0:
+            if self.link[state] > 0 and self.length[self.link[state]] >= least:
                 self.ends[self.link[state]] += self.ends[state]
 
     def _extend(self, last: int, word: int, end: tuple[int, int]) -> int:
@@ -105,13 +121,15 @@ class SuffixAutomaton:
 
 
 class Scanner:
-    def __init__(self, templates=TEMPLATES, phrases=PHRASES, least: int = 3, enough: float = 0.8) -> None:
-        self.least, self.enough, self.labels = least, enough, [label for label, _ in templates]
-        texts = [words(t.encode()) for _, t in templates]
+    def __init__(self, known: tuple[tuple[str, str], ...] | None = None, phrases=PHRASES, least: int = 3, least_long: int = 6, enough: float = 0.8) -> None:
+        known = templates() if known is None else known
+        self.least, self.enough, self.labels = least, enough, [label for label, _ in known]
+        texts = [words(t.encode()) for _, t in known]
+        self.need = [least_long if len(t) > LONG else least for t in texts]
         self.phrases = [(p.encode().split(), label) for p, label in phrases]
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for t in texts for w in t} | {w for p, _ in self.phrases for w in p}))}
         self.sizes = [len(t) for t in texts]
-        self.machine = SuffixAutomaton([[self.vocabulary[w] for w in t] for t in texts])
+        self.machine = SuffixAutomaton([[self.vocabulary[w] for w in t] for t in texts], least)
 
     def scan(self, text: bytes) -> tuple[int, list[int], list[str], list[str], float, list[tuple[int, int, str]]]:
         """Number of words, starts of base phrases, base labels, all labels, best coverage, covered (first, end, label)."""
@@ -133,6 +151,8 @@ class Scanner:
         for a, b in runs:
             for end, n, state in self.machine.matches(ids[a:b].tolist(), self.least):
                 for number, place in self.machine.ends[state]:
+                    if n < self.need[number]:
+                        continue
                     pieces.setdefault(number, []).append((a + end - n, place + 1 - n, n))
         for number, own in pieces.items():
             score, first, end = self._chain(own, self.sizes[number])
@@ -157,22 +177,22 @@ class Scanner:
         return best
 
 
-@lru_cache(maxsize=4)
-def _scanner(templates, phrases, least: int, enough: float) -> Scanner:
-    return Scanner(templates, phrases, least, enough)
+@lru_cache(maxsize=2)
+def _scanner(known, phrases, least: int, least_long: int, enough: float) -> Scanner:
+    return Scanner(known, phrases, least, least_long, enough)
 
 
-def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, phrases=PHRASES, least: int = 3, enough: float = 0.8) -> DataFrame:
+def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known=None, phrases=PHRASES, least: int = 3, least_long: int = 6, enough: float = 0.8) -> DataFrame:
     """Per row of docs: id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     first_word and last_word: the smallest and largest start of a base phrase, in words from 0, else null. score: the
-    best coverage of a template. spans: (first word, end word, label) of the covered templates. templates and phrases
-    are (label, text) and (phrase, label) tuples of bounded size, sent with the tasks.
+    best coverage of a template. spans: (first word, end word, label) of the covered templates. known (templates() by
+    default) and phrases are (label, text) and (phrase, label) tuples of bounded size, sent with the tasks.
     """
-    templates, phrases = tuple(map(tuple, templates)), tuple(map(tuple, phrases))
+    known, phrases = tuple(map(tuple, templates() if known is None else known)), tuple(map(tuple, phrases))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        scanner = _scanner(templates, phrases, least, enough)
+        scanner = _scanner(known, phrases, least, least_long, enough)
         rows = [scanner.scan(t) for t in utf8(b.column(1))]
         long = lambda x: pa.array(x, pa.int64())
         return batch(
