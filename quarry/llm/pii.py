@@ -82,7 +82,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 _PIECE = re.compile(r"[^\W_]+|[^\s]")
-_TRIGGER, _SPACE = re.compile(r"[0-9@]"), re.compile(r"\s")
+_TRIGGER, _SPACE, _REST = re.compile(r"[0-9@]"), re.compile(r"\s"), re.compile(r"[^\W_]*")
 _KEYED = re.compile(r"(?:password|passwd|pwd|secret|token|api|key|auth)\w*(?: \w+)?\s*[=:]\s*(?:\"[^\s\"']{6,}\"|'[^\s\"']{6,}'|[^\s\"']{6,})", re.I)
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _CALL = re.compile(r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,5}\)[ .-]?)?[0-9]{2,5}(?:[ ./-][0-9]{2,5}){0,5}|\+[0-9]{9,15}")
@@ -90,6 +90,7 @@ _YEAR = re.compile(r"\(?(?:19|20)[0-9]{2}\b")
 _GROUPS = re.compile(r"[0-9]+")
 #: Pieces in the longest segment, and in the longest window that is decoded at once.
 LONGEST, WINDOW = 14, 400
+AROUND = 64
 
 
 def _size(n: int, steps: tuple[int, ...]) -> int:
@@ -334,13 +335,23 @@ def trained(count: int = 700, epochs: int = 5) -> SemiCrf:
 
 
 def _windows(text: str) -> list[tuple[int, int]]:
-    """Stretches around digits and @ signs with two words before and one after, joined where they meet."""
+    """Stretches around digits and @ signs with two words before and one after, joined where they meet.
+
+    A run without white space is taken from AROUND characters before the piece with the digit or @ to as many after it.
+    """
     out: list[list[int]] = []
     done = 0
     while m := _TRIGGER.search(text, done):
-        run = text[done : m.start()]  # each part of the text is looked through once
-        a = done + max(run.rfind(" "), run.rfind("\n"), run.rfind("\t")) + 1
-        b = end.start() if (end := _SPACE.search(text, m.end())) else len(text)
+        a = m.start()
+        while a > done and text[a - 1].isalnum():
+            a -= 1
+        run = text[max(done, a - AROUND) : a]
+        a -= len(run) - (max(run.rfind(" "), run.rfind("\n"), run.rfind("\t")) + 1)
+        b = _REST.match(text, m.end()).end()
+        if end := _SPACE.search(text, b, b + AROUND):
+            b = end.start()
+        else:
+            b = _REST.match(text, min(len(text), b + AROUND)).end()
         done = b
         for _ in range(2):
             a = max(text.rfind(" ", max(0, a - 40), max(0, a - 1)) + 1, a - 40, 0)

@@ -141,14 +141,17 @@ def records(pieces: Iterator[bytes]) -> Iterator[bytes]:
         raise ValueError("the archive ends inside a record")
 
 
-def _open(path: str):
-    """The file system and the name of a path as Spark writes it."""
+def uri(path: str) -> str:
+    """A path as Spark writes it, as pyarrow reads it."""
     scheme = path.partition(":")[0]
     if scheme == "dbfs":
-        path = "/dbfs/" + path[5:].lstrip("/")
-    elif scheme in ("s3a", "s3n"):
-        path = "s3" + path[3:]
-    return fs.FileSystem.from_uri(path)
+        return "/dbfs/" + path[5:].lstrip("/")
+    return "s3" + path[3:] if scheme in ("s3a", "s3n") else path
+
+
+def _open(path: str):
+    """The file system and the name of a path."""
+    return fs.FileSystem.from_uri(uri(path))
 
 
 def _path(spark: SparkSession, folder: str):

@@ -146,7 +146,7 @@ def test_decontamination_of_many_words_takes_bounded_memory():
     """A part of the size that a worker holds at most: two million words make ten of them."""
     r, words_ = random.Random(4), [f"w{i}" for i in range(70_000)]
     items = [(str(i), " ".join(r.choices(words_, k=100))) for i in range(2200)]
-    assert 180 << 20 < len(items) * 91 * 10 * 2 * decontaminate.NODE_BYTES < decontaminate.MOST_BYTES
+    assert 140 << 20 < len(items) * 91 * 10 * 2 * decontaminate.NODE_BYTES < decontaminate.MOST_BYTES
     before = int(open("/proc/self/statm").read().split()[1]) * 4096
     machine = decontaminate.Automaton(items, 10)
     assert int(open("/proc/self/statm").read().split()[1]) * 4096 - before < 450 << 20
@@ -337,7 +337,7 @@ def test_warc_revisits_and_paths():
     fields, body = warc.parts(warc.revisit(block, "9", "urn:uuid:1"))
     assert (fields["WARC-Type"], fields["WARC-Refers-To"], fields["X-Refers-To-Key"], fields["X-Record-Key"], body) == ("revisit", "<urn:uuid:1>", "9", "7", b"")
     assert fields["WARC-Payload-Digest"] == f"sha1:{warc.digest(b'payload')}"
-    assert warc._open("file:///tmp/x")[1] == "/tmp/x" and warc._open("dbfs:/a/b")[1] == "/dbfs/a/b" and warc._open("s3a://bucket/a")[1] == "bucket/a"
+    assert warc._open("file:///tmp/x")[1] == "/tmp/x" and warc.uri("dbfs:/a/b") == "/dbfs/a/b" and warc.uri("s3a://bucket/a") == "s3://bucket/a"
 
 
 def test_hadamard_is_orthogonal_and_codes_agree_for_near_vectors():
