@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.sources.tables import drop_table, write_table
 
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id", tokens_col: str = "tokens") -> DataFrame:
@@ -33,6 +35,62 @@ def idf(df: Column, n: Column) -> Column:
     return F.log1p((n - df + 0.5) / (df + 0.5))
 
 
+def bm25_part(tf: Column, df: Column, length: Column, n: Column, avg_len: Column, k1: float = 1.4, b: float = 0.72) -> Column:
+    """What one token adds to a chunk's BM25."""
+    return idf(df, n) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_len))
+
+
+def token_key(token: Column) -> Column:
+    return F.xxhash64(token)
+
+
+@dataclass(frozen=True)
+class Index:
+    """The written tables that searches read: built once, searched many times.
+
+    postings: token, salt, chunk_id, tf, part (what the token adds to the chunk's BM25); tokens: token, df, n_salts;
+    forward: chunk_id, keys (sorted hashes of its tokens), weights (their parts); lengths: chunk_id, len; stats: n,
+    avg_len. The posting list of a frequent token is cut into n_salts lists, by chunk.
+    """
+
+    postings: DataFrame
+    tokens: DataFrame
+    forward: DataFrame
+    lengths: DataFrame
+    stats: DataFrame
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Index:
+        return cls(*[spark.read.parquet(f"{folder}/{name}") for name in ("postings", "tokens", "forward", "lengths", "stats")])
+
+
+def build(chunks: DataFrame, folder: str, id_col: str = "chunk_id", tokens_col: str = "tokens", salt_rows: int = 100_000, k1: float = 1.4, b: float = 0.72) -> Index:
+    """Writes the index of chunks below folder, in one pass over them. salt_rows: the longest posting list in one piece.
+
+    A chunk's tokens are counted before the shuffle. Joins to a frequent token are joins of two written tables, which
+    Spark splits.
+    """
+    spark = chunks.sparkSession
+
+    def put(rows: DataFrame, name: str) -> DataFrame:
+        write_table(rows, None, f"{folder}/{name}", "errorifexists")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    own = put(chunks.select(F.col(id_col).alias("chunk_id"), F.col(tokens_col).alias("tokens"), F.size(tokens_col).cast("long").alias("len")), "tokenized")
+    lengths = put(own.select("chunk_id", "len"), "lengths")
+    stats = put(corpus_stats(lengths), "stats")
+    raw = put(own.select("chunk_id", "len", F.explode("tokens").alias("token")).groupBy("token", "chunk_id", "len").agg(F.count("*").alias("tf")), "counted")
+    tokens = put(document_frequency(raw).withColumn("n_salts", F.ceil(F.col("df") / salt_rows).cast("int")), "tokens")
+    part = bm25_part(F.col("tf"), F.col("df"), F.col("len"), F.col("n"), F.col("avg_len"), k1, b)
+    salt = F.pmod(F.xxhash64("chunk_id"), F.col("n_salts").cast("long")).cast("int")
+    postings = put(raw.join(tokens, "token").join(F.broadcast(stats)).select("token", salt.alias("salt"), "chunk_id", "tf", part.alias("part")), "postings")
+    pairs = F.sort_array(F.collect_list(F.struct(token_key(F.col("token")).alias("key"), F.col("part").alias("weight"))))
+    put(postings.groupBy("chunk_id").agg(pairs.alias("p")).select("chunk_id", F.col("p.key").alias("keys"), F.col("p.weight").alias("weights")), "forward")
+    for name in ("tokenized", "counted"):
+        drop_table(spark, f"{folder}/{name}")
+    return Index.load(spark, folder)
+
+
 def bucket(token: Column, dim: int = 768) -> Column:
     """A token's bucket, from the first 32 bits of its MD5."""
     return F.pmod(F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long"), F.lit(max(64, dim)))

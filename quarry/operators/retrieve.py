@@ -6,12 +6,14 @@ they are compared, so that equal chunks tie whatever order their sums ran in.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.index import idf
+from quarry.operators.index import Index, token_key
 from quarry.operators.rules import Rules
 
 DIGITS = 6
@@ -23,19 +25,35 @@ def query_tokens(queries: DataFrame, tokens: Column) -> DataFrame:
     return queries.select(*QV, F.explode(F.array_distinct(tokens)).alias("token"))
 
 
+def lists(tokens: DataFrame, posted: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
+    """tokens (token, n_salts and others) with the chunk_id, and columns, of their posting lists.
+
+    A list that the index has cut into n_salts pieces is joined piece by piece, so a frequent token is many keys.
+    """
+    if "salt" not in posted.columns:
+        return tokens.join(posted.select("token", "chunk_id", *columns), "token")
+    pieces = tokens.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)))
+    return pieces.join(posted.select("token", "salt", "chunk_id", *columns), ["token", "salt"]).drop("salt", "n_salts")
+
+
 def candidates(tokens: DataFrame, posted: DataFrame, stats: DataFrame, df: DataFrame, target: int = 1200, most_tokens: int = 72, common: float = 0.85, chunks: DataFrame | None = None) -> DataFrame:
     """(query_id, variant_no, chunk_id) of the chunks worth scoring.
 
     A query's tokens are taken rarest first, longer ones and then the alphabet deciding ties; tokens in `common` of all
     chunks don't count. Posting lists are added until there are `target` chunks or `most_tokens` tokens. Exactly that,
     without a loop: a chunk enters at its first token's rank, and a rank is used while the ranks before it have brought
-    fewer than target chunks. chunks (chunk_id): what a query without a usable token gets, namely all of them.
+    fewer than target chunks. The chunks before a rank are at least as many as the list before it is long, so at most one
+    list of target or more chunks is read for a query, and no other frequent token is joined at all.
+
+    chunks (chunk_id): what a query without a usable token gets, namely all of them. That is a cross join of such queries
+    and all chunks, which are all its result; without chunks they get none.
     """
     target = max(50, target)
-    usable = tokens.join(df, "token").join(F.broadcast(stats.select("n"))).where(F.col("df") < F.greatest(F.col("n") * common, F.lit(1.0)))
+    usable = tokens.join(df, "token").join(F.broadcast(stats.select("n"))).where(F.col("df") < F.greatest(F.col("n") * common, F.lit(1.0))).drop("n")
     order = Window.partitionBy(*QV).orderBy("df", F.length("token").desc(), "token")
-    ranked = usable.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most_tokens).select(*QV, "token", "r")
-    first = ranked.join(posted.select("token", "chunk_id"), "token").groupBy(*QV, "chunk_id").agg(F.min("r").alias("r"))
+    ranked = usable.withColumn("r", F.row_number().over(order)).withColumn("list_before", F.lag("df", 1, 0).over(order))
+    ranked = ranked.where((F.col("r") <= most_tokens) & (F.col("list_before") < target)).drop("df", "list_before")
+    first = lists(ranked, posted).groupBy(*QV, "chunk_id").agg(F.min("r").alias("r"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*QV).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     used = first.groupBy(*QV, "r").agg(F.count("*").alias("n")).withColumn("before", before).where((F.col("r") == 1) | (F.col("before") < target)).select(*QV, "r")
     out = first.join(used, [*QV, "r"], "left_semi").select(*QV, "chunk_id")
@@ -45,20 +63,60 @@ def candidates(tokens: DataFrame, posted: DataFrame, stats: DataFrame, df: DataF
     return out
 
 
-def bm25(tokens: DataFrame, posted: DataFrame, df: DataFrame, lengths: DataFrame, stats: DataFrame, k1: float = 1.4, b: float = 0.72, among: DataFrame | None = None) -> DataFrame:
-    """(query_id, variant_no, chunk_id, bm25). among: only these candidates; sums are partial before the shuffle."""
-    rows = tokens.join(df, "token").join(posted, "token")
-    if among is not None:
-        rows = rows.join(among, [*QV, "chunk_id"], "left_semi")
-    rows = rows.join(lengths, "chunk_id").join(F.broadcast(stats))
-    part = idf(F.col("df"), F.col("n")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return rows.groupBy(*QV, "chunk_id").agg(F.sum(part).alias("bm25"))
+def bm25(tokens: DataFrame, index: Index) -> DataFrame:
+    """(query_id, variant_no, chunk_id, bm25) of every chunk with a token of the query; sums are partial before the shuffle."""
+    rows = lists(tokens.join(index.tokens.select("token", "n_salts"), "token"), index.postings, ["part"])
+    return rows.groupBy(*QV, "chunk_id").agg(F.sum("part").alias("bm25"))
+
 
+def query_side(tokens: DataFrame) -> DataFrame:
+    """(query_id, variant_no, keys, weights) of the tokens of each query, to go with an index's forward table."""
+    return tokens.groupBy(*QV).agg(F.sort_array(F.collect_list(token_key(F.col("token")))).alias("keys")).withColumn("weights", F.transform("keys", lambda k: F.lit(1.0)))
 
-def sparse_cosine(among: DataFrame, query_vectors: DataFrame, chunk_vectors: DataFrame) -> DataFrame:
-    """(query_id, variant_no, chunk_id, sparse) over candidates only: there are too few buckets to join a corpus on."""
-    rows = among.join(chunk_vectors, "chunk_id").join(query_vectors.withColumnRenamed("w", "q"), [*QV, "bucket"])
-    return rows.groupBy(*QV, "chunk_id").agg(F.sum(F.col("w") * F.col("q")).alias("sparse"))
+
+def vector_side(vectors: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, keys, weights) of sparse vectors (key, bucket, w)."""
+    rows = vectors.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("bucket", "w"))).alias("p"))
+    return rows.select(*key, F.col("p.bucket").alias("keys"), F.col("p.w").alias("weights"))
+
+
+def pair_scores(among: DataFrame, queries: DataFrame, chunks: DataFrame, name: str, blocks: int = 64) -> DataFrame:
+    """(query_id, variant_no, chunk_id, name): for each pair the sum over common keys of the product of both weights.
+
+    queries: query_id, variant_no, keys, weights; chunks: chunk_id, keys (sorted), weights. The work follows the pairs,
+    whatever tokens they share: a chunk's keys come once to the queries that ask for it, those in `blocks` lists, and each
+    list is looked up in one go. Pairs without a common key are left out.
+    """
+    ids = [(c, among.schema[c].dataType.simpleString()) for c in (*QV, "chunk_id")]
+    block = F.pmod(F.xxhash64(*QV), F.lit(blocks))
+    asked = among.join(queries.select(*QV, F.col("keys").alias("k"), F.col("weights").alias("w")), list(QV))
+    grouped = asked.groupBy("chunk_id", block.alias("block")).agg(F.collect_list(F.struct(*QV, "k", "w")).alias("asked"))
+    rows = grouped.join(chunks, "chunk_id").select("chunk_id", "asked", "keys", "weights")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            chunk, lists_, keys, weights = b.columns
+            pairs = lists_.flatten()
+            wanted, own = pairs.field("k"), keys.flatten().to_numpy()
+            q_keys, q_weights, own_weights = wanted.flatten().to_numpy(), pairs.field("w").flatten().to_numpy(), weights.flatten().to_numpy()
+            ends = np.concatenate([[0], np.cumsum(wanted.value_lengths().to_numpy())])
+            first = np.concatenate([[0], np.cumsum(lists_.value_lengths().to_numpy())])
+            at = np.concatenate([[0], np.cumsum(keys.value_lengths().to_numpy())])
+            total = np.zeros(len(pairs))
+            for i in range(b.num_rows):
+                mine, mine_weights = own[at[i] : at[i + 1]], own_weights[at[i] : at[i + 1]]
+                if not len(mine):
+                    continue
+                lo, hi = ends[first[i]], ends[first[i + 1]]
+                place = np.minimum(np.searchsorted(mine, q_keys[lo:hi]), len(mine) - 1)
+                product = np.where(mine[place] == q_keys[lo:hi], mine_weights[place] * q_weights[lo:hi], 0.0)
+                query = np.repeat(np.arange(first[i + 1] - first[i]), np.diff(ends[first[i] : first[i + 1] + 1]))
+                total[first[i] : first[i + 1]] = np.bincount(query, product, first[i + 1] - first[i])
+            chunk_ids = chunk.take(pa.array(np.repeat(np.arange(b.num_rows), np.diff(first))))
+            keep = pa.array(total != 0)
+            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (pairs.field(QV[0]), pairs.field(QV[1]), chunk_ids, pa.array(total))], names=[*QV, "chunk_id", name])
+
+    return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in ids) + f", {name} double")
 
 
 def cosine(left: Column, right: Column) -> Column:

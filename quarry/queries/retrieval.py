@@ -15,6 +15,7 @@ from quarry.queries.chunking import sql_fires
 from quarry.queries.indexing import SQL_INDEX, doc_tokens
 from quarry.queries.shared import read, sql_tokens
 from quarry.queries.tagging import TOPICS, sql_values
+from quarry.sources.shared import shared_folder
 
 _W = "(^|[^a-z])(%s)([^a-z]|$)"
 #: Our own rules: what a query asks for, what a document is, and factors for pairs of them.
@@ -23,23 +24,39 @@ IS = [*any_of(1, "c", "english", "regex", _W % "the"), *any_of(2, "c", "table",
 FACTORS = ((1, 1, 1.2517, 0.5239), (2, 1, 0.2713, 1.1037), (3, 2, 0.9137, 1.0), (1, 3, 1.4973, 1.0))
 
 
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def index_of(spark: SparkSession, d: str) -> I.Index:
+    """The index of the documents, built below the shared folder by the first query of a Spark application that asks for it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        folder = shared_folder(spark)
+        I.build(doc_tokens(spark, d), folder)
+        _BUILT[key] = folder
+    return I.Index.load(spark, _BUILT[key])
+
+
 class Corpus:
-    """The index tables of the documents, as lazily planned DataFrames."""
+    """The documents' index, and every benchmark text as a query."""
 
     def __init__(self, spark: SparkSession, d: str) -> None:
-        self.docs = read(spark, d, "documents")
-        self.tokens = doc_tokens(spark, d)
-        self.posted = I.postings(self.tokens)
-        self.df, self.lengths = I.document_frequency(self.posted), I.chunk_lengths(self.tokens)
-        self.stats = I.corpus_stats(self.lengths)
+        self.docs, self.index = read(spark, d, "documents"), index_of(spark, d)
         self.queries = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(0).cast("long").alias("variant_no"), "text")
         self.asked = R.query_tokens(self.queries, T.tokenize("text"))
 
-    def bm25(self, among: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
-        return R.bm25(self.asked if asked is None else asked, self.posted, self.df, self.lengths, self.stats, among=among)
+    def candidates(self, asked: DataFrame | None = None) -> DataFrame:
+        return R.candidates(self.asked if asked is None else asked, self.index.postings, self.index.stats, self.index.tokens)
 
     def scored(self, asked: DataFrame | None = None) -> DataFrame:
-        return R.combined(self.bm25(asked=asked))
+        """The candidates' BM25."""
+        asked = self.asked if asked is None else asked
+        return R.combined(R.pair_scores(self.candidates(asked), R.query_side(asked), self.index.forward, "bm25"))
+
+    def sparse(self, among: DataFrame) -> DataFrame:
+        own = I.hashed_vectors(self.index.postings.select("token", "chunk_id", "tf"))
+        asked = I.hashed_vectors(self.asked.withColumn("tf", F.lit(1)), key=R.QV)
+        return R.pair_scores(among, R.vector_side(asked, R.QV), R.vector_side(own, ["chunk_id"]), "sparse")
 
     def fields(self) -> DataFrame:
         kind = F.when(F.col("doc_id") % 2 == 0, "text").otherwise("table_row")
@@ -47,19 +64,18 @@ class Corpus:
 
 
 def r1_candidates(spark: SparkSession, d: str) -> DataFrame:
-    c = Corpus(spark, d)
-    return R.candidates(c.asked, c.posted, c.stats, c.df, target=120, most_tokens=12).select("query_id", "chunk_id")
+    return Corpus(spark, d).candidates().select("query_id", "chunk_id")
 
 
 def r2_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.top(Corpus(spark, d).scored(), 5).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+    """Without pruning: every chunk that has a token of the query."""
+    c = Corpus(spark, d)
+    return R.top(R.combined(R.bm25(c.asked, c.index)), 5).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def r3_sparse_cosine(spark: SparkSession, d: str) -> DataFrame:
     c = Corpus(spark, d)
-    among = R.candidates(c.asked, c.posted, c.stats, c.df, target=120, most_tokens=12)
-    vectors = I.hashed_vectors(c.asked.withColumn("tf", F.lit(1)), key=R.QV)
-    return R.sparse_cosine(among, vectors, I.hashed_vectors(c.posted)).select("query_id", "chunk_id", F.round("sparse", 6).alias("sparse"))
+    return c.sparse(c.candidates()).select("query_id", "chunk_id", F.round("sparse", 6).alias("sparse"))
 
 
 def _unit_embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -73,21 +89,17 @@ def r4_dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return dense_topk(asked, rows.select(F.col("vec_id").alias("chunk_id"), "vector"), 5).select("query_id", "chunk_id", "dense", F.col("rank").cast("long").alias("rank"))
 
 
-def _pairs(spark: SparkSession, d: str) -> tuple[Corpus, DataFrame]:
-    c = Corpus(spark, d)
-    among = R.candidates(c.asked, c.posted, c.stats, c.df, target=120, most_tokens=12)
-    vectors = I.hashed_vectors(c.asked.withColumn("tf", F.lit(1)), key=R.QV)
-    return c, R.combined(c.bm25(among), R.sparse_cosine(among, vectors, I.hashed_vectors(c.posted)))
-
-
 def r5_combined(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d)[1].select("query_id", "chunk_id", "score")
+    c = Corpus(spark, d)
+    among = c.candidates()
+    scores = R.pair_scores(among, R.query_side(c.asked), c.index.forward, "bm25")
+    return R.combined(scores, c.sparse(among)).select("query_id", "chunk_id", "score")
 
 
 def r6_adjusted(spark: SparkSession, d: str) -> DataFrame:
     c = Corpus(spark, d)
     chunks = c.docs.select(F.col("doc_id").alias("chunk_id"), F.lower("text").alias("x"))
-    rows = R.adjusted(R.top(c.scored(), 40).drop("rank"), R.query_flags(c.queries, F.lower("text"), Rules(ASKS)), R.chunk_flags(chunks, F.col("x"), Rules(IS)), FACTORS)
+    rows = R.adjusted(c.scored(), R.query_flags(c.queries, F.lower("text"), Rules(ASKS)), R.chunk_flags(chunks, F.col("x"), Rules(IS)), FACTORS)
     return rows.select("query_id", "chunk_id", "score")
 
 
@@ -97,9 +109,7 @@ def r7_best_per_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r8_pruned_topk(spark: SparkSession, d: str) -> DataFrame:
-    c = Corpus(spark, d)
-    among = R.candidates(c.asked, c.posted, c.stats, c.df, target=120, most_tokens=12)
-    return R.top(R.combined(c.bm25(among)), R.variant_size(5)).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+    return R.top(Corpus(spark, d).scored(), R.variant_size(5)).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def _hits(c: Corpus, asked: DataFrame | None = None, limit: int = 8) -> DataFrame:
@@ -224,12 +234,14 @@ def _variants_sql(extra: bool) -> str:
 
 _BM = """bm as (select query_id, variant_no, post.chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (1 - 0.72 + 0.72 * len / avg_len))) as bm25
       from asked join df using (token) join post using (token) join lens on lens.chunk_id = post.chunk_id, stats group by query_id, variant_no, post.chunk_id),
-    scored as (select query_id, variant_no, chunk_id, round(bm25, 6) as score from bm where round(bm25, 6) > 0)"""
-_CAND = """ranked as (select query_id, token, row_number() over (partition by query_id order by df, length(token) desc, token) as r from asked join df using (token), stats where df < greatest(n * 0.85, 1.0)),
-    firsts as (select query_id, chunk_id, min(r) as r from ranked join post using (token) where r <= 12 group by query_id, chunk_id),
-    per as (select query_id, r, count(*) as k from firsts group by query_id, r),
-    cum as (select query_id, r, coalesce(sum(k) over (partition by query_id order by r rows between unbounded preceding and 1 preceding), 0) as before from per),
-    cand as (select firsts.query_id, chunk_id from firsts join cum using (query_id, r) where r = 1 or before < 120)"""
+    every as (select query_id, variant_no, chunk_id, round(bm25, 6) as score from bm where round(bm25, 6) > 0)"""
+_CAND = """ranked as (select query_id, variant_no, token, row_number() over (partition by query_id, variant_no order by df, length(token) desc, token) as r from asked join df using (token), stats where df < greatest(n * 0.85, 1.0)),
+    firsts as (select query_id, variant_no, chunk_id, min(r) as r from ranked join post using (token) where r <= 72 group by query_id, variant_no, chunk_id),
+    per as (select query_id, variant_no, r, count(*) as k from firsts group by query_id, variant_no, r),
+    cum as (select query_id, variant_no, r, coalesce(sum(k) over (partition by query_id, variant_no order by r rows between unbounded preceding and 1 preceding), 0) as before from per),
+    cand as (select firsts.query_id, firsts.variant_no, chunk_id from firsts join cum using (query_id, variant_no, r) where r = 1 or before < 1200),
+    scored as (select every.* from every join cand using (query_id, variant_no, chunk_id))"""
+_BM_CAND = f"{_BM}, {_CAND}"
 _SPARSE = """cv0 as (select chunk_id, cast(('0x' || substr(md5(token), 1, 8))::bigint % 768 as bigint) as bucket, sum(tf) as c from post group by all),
     cv as (select chunk_id, bucket, c / sqrt(sum(c * c) over (partition by chunk_id)) as w from cv0),
     qv0 as (select query_id, cast(('0x' || substr(md5(token), 1, 8))::bigint % 768 as bigint) as bucket, count(*) as c from asked group by all),
@@ -250,12 +262,12 @@ def _balanced_sql(limit: int) -> str:
 
 
 def _fused_sql(extra: bool) -> str:
-    return f"""with {SQL_INDEX}, {_variants_sql(extra)}, {_ASKED}, {_BM}, {_balanced_sql(8)},
+    return f"""with {SQL_INDEX}, {_variants_sql(extra)}, {_ASKED}, {_BM_CAND}, {_balanced_sql(8)},
     fused as (select hits.query_id, variant_no, chunk_id, hit_key, rank, round(score * weight + bonus / (rank + 1), 6) as score from hits join v using (query_id, variant_no)),
     one as (select *, row_number() over (partition by query_id, hit_key order by score desc, variant_no, rank) as k from fused)"""
 
 
-_BASE = f"with {SQL_INDEX}, {_V1}, {_ASKED}, {_BM}"
+_BASE = f"with {SQL_INDEX}, {_V1}, {_ASKED}, {_BM_CAND}"
 _TOPICS = sql_values(Rules(TOPICS))
 _COVER = f"""{_BASE}, {_balanced_sql(8)},
     fac as (select doc_id as chunk_id, {_TOPICS} as facets, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 300) as excerpt from (select doc_id, text, lower(text) as x from documents)),
@@ -272,18 +284,17 @@ def _factor_sql() -> str:
 
 
 SQL = {
-    "r1_candidates": f"{_BASE}, {_CAND} select query_id, chunk_id from cand",
-    "r2_bm25_topk": f"{_BASE} select query_id, chunk_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from scored) where rank <= 5",
-    "r3_sparse_cosine": f"{_BASE}, {_CAND}, {_SPARSE} select query_id, chunk_id, round(sparse, 6) as sparse from sparse",
+    "r1_candidates": f"{_BASE} select query_id, chunk_id from cand",
+    "r2_bm25_topk": f"{_BASE} select query_id, chunk_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from every) where rank <= 5",
+    "r3_sparse_cosine": f"{_BASE}, {_SPARSE} select query_id, chunk_id, round(sparse, 6) as sparse from sparse",
     "r4_dense_topk": """with u as (select vec_id, list_transform(e, lambda v: v / sqrt(list_sum(list_transform(e, lambda w: w * w)))) as e from (select vec_id, cast(embedding as double[]) as e from embeddings)),
         p as (select q.vec_id as query_id, c.vec_id as chunk_id, list_dot_product(q.e, c.e) as s from u q, u c where q.vec_id % 50 = 0)
         select query_id, chunk_id, round(s, 6) as dense, rank from (select *, row_number() over (partition by query_id order by round(s, 6) desc, chunk_id) as rank from p where s > 0) where rank <= 5""",
-    "r5_combined": f"{_BASE}, {_CAND}, {_SPARSE} select query_id, chunk_id, round(coalesce(bm25, 0) + 0.55 * coalesce(sparse, 0), 6) as score from cand left join bm using (query_id, chunk_id) left join sparse using (query_id, chunk_id)",
-    "r6_adjusted": f"""{_BASE}, t as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from scored) where rank <= 40),
-        x as (select t.query_id, t.chunk_id, t.score, lower(b.text) as qx, lower(d.text) as cx from t join benchmark b on b.item_id = t.query_id join documents d on d.doc_id = t.chunk_id)
+    "r5_combined": f"{_BASE}, {_SPARSE} select query_id, chunk_id, round(coalesce(bm25, 0) + 0.55 * coalesce(sparse, 0), 6) as score from cand left join bm using (query_id, chunk_id) left join sparse using (query_id, chunk_id)",
+    "r6_adjusted": f"""{_BASE}, x as (select t.query_id, t.chunk_id, t.score, lower(b.text) as qx, lower(d.text) as cx from scored t join benchmark b on b.item_id = t.query_id join documents d on d.doc_id = t.chunk_id)
         select query_id, chunk_id, round(score * {_factor_sql()}, 6) as score from x""",
     "r7_best_per_key": f"{_BASE}, {_FIELDS} select query_id, chunk_id, hit_key, score from best",
-    "r8_pruned_topk": f"{_BASE}, {_CAND} select query_id, chunk_id, score, rank from (select scored.*, row_number() over (partition by query_id order by score desc, chunk_id) as rank from scored join cand using (query_id, chunk_id)) where rank <= 25",
+    "r8_pruned_topk": f"{_BASE} select query_id, chunk_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from scored) where rank <= 25",
     "r9_balanced": f"{_BASE}, {_balanced_sql(8)} select query_id, chunk_id, source as source_label, score, rank from hits",
     "r10_fused": f"{_fused_sql(False)} select query_id, cast(variant_no as bigint) as variant_no, chunk_id, hit_key, round(score, 4) as score from one where k = 1",
     "r11_priority": f"{_fused_sql(True)} select query_id, cast(variant_no as bigint) as variant_no, chunk_id, hit_key, round(score, 3) as score from one where k = 1",
@@ -294,7 +305,7 @@ SQL = {
         o as (select *, row_number() over (partition by query_id, lower(text) order by facet, item_no) as k from s),
         p as (select *, row_number() over (partition by query_id order by facet, item_no) as pass_no from o where k = 1)
         select query_id, pass_no, text from p where pass_no <= 2""",
-    "r15_appended": f"""with {SQL_INDEX}, {_variants_sql(False)}, {_ASKED}, {_BM}, {_balanced_sql(8)},
+    "r15_appended": f"""with {SQL_INDEX}, {_variants_sql(False)}, {_ASKED}, {_BM_CAND}, {_balanced_sql(8)},
         ident as (select hits.*, source || '|' || section || '|' || chunk_type || '|' || substr(sha1({_EXCERPT}), 1, 12) as identity from hits join (select doc_id, text from documents) d on d.doc_id = chunk_id),
         a as (select * from ident where variant_no = 0),
         b as (select *, row_number() over (partition by query_id, identity order by rank) as k from ident where variant_no = 1 and not exists (select 1 from a where a.query_id = ident.query_id and a.identity = ident.identity)),

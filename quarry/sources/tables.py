@@ -1,7 +1,9 @@
-"""Session and user tables behind JDBC or in Parquet, with upserts by key."""
+"""Tables behind JDBC or in Parquet: index and hit tables, session and user tables with upserts by key."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,13 +15,20 @@ def read_table(spark: SparkSession, url: str | None, table: str, **options: str)
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
-def write_table(rows: DataFrame, url: str | None, table: str, mode: str = "append", **options: str) -> None:
+def write_table(rows: DataFrame, url: str | None, table: str, mode: str = "append", by: Sequence[str] = (), **options: str) -> None:
+    """rows into a table by JDBC, or, without a url, into the Parquet folder `table`, in folders by the columns `by`."""
     if url is None:
-        rows.write.mode(mode).parquet(table)
+        rows.write.mode(mode).partitionBy(*by).parquet(table)
     else:
         rows.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
 
 
+def drop_table(spark: SparkSession, folder: str) -> None:
+    """Deletes a Parquet folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def upserted(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """old with new: per key the row of the largest order, new before old on a tie."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
