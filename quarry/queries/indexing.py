@@ -123,6 +123,8 @@ SQL = {
     "i7_missing": "select distinct 'k' || doc_id as key from documents where doc_id not in (select vec_id from embeddings)",
     "i8_unit_vectors": """with s as (select vec_id, list_transform(embedding, lambda v: cast(v as double) * 3) as e from embeddings)
         select vec_id, array_to_string(list_transform(e, lambda v: printf('%.5f', round(v / sqrt(list_sum(list_transform(e, lambda w: w * w))), 5))), ' ') as unit from s""",
+    "i9_embed_missing": """select 'k' || vec_id as key, cast(len(embedding) as bigint) as dims from embeddings
+        union all select distinct 'k' || doc_id, 6 from documents where doc_id not in (select vec_id from embeddings) and regexp_matches(text, '[aeiou ]')""",
     "i10_status": f"""with {SQL_INDEX}, {_HAY}, o as (select len({sql_values(Rules(ONTOLOGY), True)}) as n_o, len({_CAPTURED}) as n_c from h)
         select count(*) as n_files, count(*) as n_chunks, cast(0 as bigint) as n_section_summary, cast(0 as bigint) as n_recommendation, count(*) as n_text, cast(0 as bigint) as n_table_row,
           count(*) filter (n_c > 0) as n_tagged, count(*) filter (n_o > 0) as n_ontology, (select count(*) from df) as n_tokens, (select count(distinct chunk_id) from post) as n_vectors from o""",

@@ -28,6 +28,22 @@ def sql_tokens(x: str) -> str:
     return f"list_filter(regexp_extract_all(lower({x}), {lit(T.TOKEN)}), lambda t: length(t) > 1 or regexp_matches(t, {lit(T.ONE)}))"
 
 
+def sql_excerpt(source: str, name: str, chars: int) -> str:
+    """Common table expressions from source (text, q: tokens, and more) to name, with excerpt."""
+    return f"""{name}_1 as (select *, {sql_collapse("coalesce(text, '')")} as flat, list_transform(list_filter(q, lambda t: t <> ''), lambda t: lower(t)) as toks from {source}),
+    {name}_2 as (select *, string_split(regexp_replace(flat, '([.!?。！？]) ', '\\1' || chr(10), 'g'), chr(10)) as parts from {name}_1),
+    {name}_3 as (select *, list_transform(parts, lambda s: len(list_filter(toks, lambda t: contains(lower(s), t)))) as points from {name}_2),
+    {name}_4 as (select *, list_max(points) as most, list_position(points, list_max(points)) as best from {name}_3),
+    {name}_5 as (select *, list_filter(flatten(list_transform(range(1, len(parts) + 1), lambda k: [best - k, best + k])), lambda i: i >= 1 and i <= len(parts)) as visits from {name}_4),
+    {name}_6 as (select *, list_reduce(list_prepend({{'size': length(parts[best]), 'chosen': [best], 'seen': 0}}, list_transform(visits, lambda i: {{'size': length(parts[i]), 'chosen': [i], 'seen': 1}})), lambda a, e:
+        case when a.size >= {chars} then a when a.size + 1 + e.size <= {chars} then {{'size': a.size + 1 + e.size, 'chosen': list_concat(a.chosen, e.chosen), 'seen': a.seen + 1}} else {{'size': a.size, 'chosen': a.chosen, 'seen': a.seen + 1}} end) as r from {name}_5),
+    {name}_7 as (select *, visits[r.seen + 1:] as rest, coalesce(list_min(list_filter(list_transform(toks, lambda t: instr(lower(flat), t)), lambda p: p > 0)), 1) - 1 as f from {name}_6),
+    {name}_8 as (select *, least(length(flat), greatest(0, f - {chars // 3}) + {chars}) as fin from {name}_7),
+    {name} as (select *, case when length(flat) <= {chars} then flat
+        when len(parts) > 1 and most > 0 then (case when len(list_filter(rest, lambda i: i < best)) > 0 then '...' else '' end) || array_to_string(list_transform(list_sort(r.chosen), lambda i: parts[i]), ' ') || (case when len(list_filter(rest, lambda i: i > best)) > 0 then '...' else '' end)
+        else (case when fin - {chars} > 0 then '...' else '' end) || trim(substr(flat, greatest(0, fin - {chars}) + 1, fin - greatest(0, fin - {chars}))) || (case when fin < length(flat) then '...' else '' end) end as excerpt from {name}_8)"""
+
+
 def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files without headings: (path, text)."""
     return read(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")

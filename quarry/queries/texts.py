@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.functions.excerpt import excerpt, parent_excerpt
-from quarry.queries.shared import lit, read, sql_collapse, sql_strip, sql_tokens
+from quarry.queries.shared import lit, read, sql_collapse, sql_excerpt, sql_strip, sql_tokens
 
 
 def f1_tokenize(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +89,11 @@ sql_clean_cell = _clean_cell
 
 _NAME = rf"(?is)(^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(T.NAME_ENDS)})(?:[^\p{{L}}\p{{N}}_].*|$)"
 
+_EXCERPT = f"with s as (select doc_id, text, {sql_tokens('text')}[20:25] as q from documents)"
+
 SQL = {
+    "f10_best_excerpt": f"{_EXCERPT}, {sql_excerpt('s', 'x', 520)} select doc_id, excerpt from x",
+    "f11_parent_excerpt": f"{_EXCERPT}, {sql_excerpt('s', 'x', 1800)} select doc_id, case when coalesce(text, '') = '' or text = substr(text, 1, 400) then '' else excerpt end as excerpt from x",
     "f1_tokenize": f"select doc_id, cast(len(t) as bigint) as n_tokens, array_to_string(t, ' ') as tokens from (select doc_id, {sql_tokens('text')} as t from documents)",
     "f2_indexed_tokens": "select doc_id, array_to_string(" + sql_tokens("source || ' ' || doc_id || ' ' || lang || ' text lang:' || lang || ' has_text' || chr(10) || text") + ", ' ') as tokens from documents",
     "f3_clean_cell": f"select page_id, {_clean_cell('html')} as cell from pages",
