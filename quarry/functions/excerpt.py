@@ -28,11 +28,6 @@ def _points(sentence: Column, tokens: Column, bonus: Bonus) -> Column:
     return reduce(add, more, own)
 
 
-def _let(value: Column, of: Callable[[Column], Column]) -> Column:
-    """of(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), of), 1)
-
-
 def _outwards(parts: Column, best: Column, chars: int) -> Column:
     """Sentences from the best one (a place from 1) outwards, left before right, taken while they fit."""
     visits = F.filter(F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array(best - k, best + k))), lambda i: (i >= 1) & (i <= F.size(parts)))
@@ -46,7 +41,7 @@ def _outwards(parts: Column, best: Column, chars: int) -> Column:
     def of(order: Column) -> Column:
         begin = F.struct(F.length(F.element_at(parts, best)).alias("size"), F.array(best).alias("chosen"), F.lit(0).alias("seen"))
         sized = F.transform(order, lambda i: F.struct(i.alias("i"), F.length(F.element_at(parts, i)).alias("n")))
-        return _let(F.aggregate(sized, begin, visit), shown(order))
+        return T.let(F.aggregate(sized, begin, visit), shown(order))
 
     def shown(order: Column) -> Callable[[Column], Column]:
         def text(a: Column) -> Column:
@@ -57,7 +52,7 @@ def _outwards(parts: Column, best: Column, chars: int) -> Column:
 
         return text
 
-    return _let(visits, of)
+    return T.let(visits, of)
 
 
 def _around(flat: Column, tokens: Column, chars: int) -> Column:
@@ -80,9 +75,9 @@ def excerpt(text: Column, tokens: Column, chars: int, bonus: Bonus | None = None
     asked = F.transform(F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: F.coalesce(t, F.lit("")) != ""), F.lower)
 
     def around(flat: Column) -> Column:
-        return _let(F.split(F.regexp_replace(flat, f"({ENDS}) ", "$1\n"), "\n"), lambda parts: _let(F.transform(parts, lambda s: _points(F.lower(s), asked, bonus or {})), lambda points: _let(F.array_max(points), lambda most: F.when((F.size(parts) > 1) & (most > 0), _let(F.array_position(points, most).cast("int"), lambda best: _outwards(parts, best, chars))).otherwise(_around(flat, asked, chars)))))
+        return T.let(F.split(F.regexp_replace(flat, f"({ENDS}) ", "$1\n"), "\n"), lambda parts: T.let(F.transform(parts, lambda s: _points(F.lower(s), asked, bonus or {})), lambda points: T.let(F.array_max(points), lambda most: F.when((F.size(parts) > 1) & (most > 0), T.let(F.array_position(points, most).cast("int"), lambda best: _outwards(parts, best, chars))).otherwise(_around(flat, asked, chars)))))
 
-    return _let(T.collapse(text), lambda flat: F.when(F.length(flat) <= chars, flat).otherwise(around(flat)))
+    return T.let(T.collapse(text), lambda flat: F.when(F.length(flat) <= chars, flat).otherwise(around(flat)))
 
 
 def parent_excerpt(parent: Column, chunk: Column, tokens: Column, chars: int = 1800) -> Column:

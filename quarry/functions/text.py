@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,12 +18,15 @@ TOKEN = r"[A-Za-z][A-Za-z0-9+-]*|[0-9]+(?:\.[0-9]+)?|[\x{4e00}-\x{9fff}]{1,4}"
 ONE = r"^[0-9\x{4e00}-\x{9fff}]"
 #: Character references that clean_cell() decodes without Python.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
-#: Words and marks that end a name, and what is cut off its ends.
-NAME_ENDS = "and with but because who that having taking using on".split()
-NAME_MARKS = "，|。|、|；|;|,|！|!|？|[?]|目前|正在|有|患有|罹患|得了|想問|請問"
+#: Fixed value: what is cut off the ends of a name.
 NAME_STRIP = r"[ ，。,.！!？?]"
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value computed once for each row, wherever of() uses it."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
@@ -70,13 +74,21 @@ def context_text(c: Column | str, chars: int = 700) -> Column:
     return F.substring(collapse(c), 1, chars)
 
 
-def clean_name(c: Column | str, chars: int = 20) -> Column:
-    """What may be a name: up to the first word or mark that ends one."""
-    out = F.regexp_replace(text(c), rf"(?is)(^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(NAME_ENDS)})(?:[^\p{{L}}\p{{N}}_].*|$)", "$1")
-    out = F.regexp_replace(out, f"(?s)(?:{NAME_MARKS}).*$", "")
+def clean_name(c: Column | str, ends: Sequence[str], marks: Sequence[str], chars: int = 20) -> Column:
+    """What may be a name: up to the first of the words `ends` or the marks `marks`, which may stand in a word."""
+    out = text(c)
+    if ends:
+        out = F.regexp_replace(out, name_end(ends), "$1")
+    if marks:
+        out = F.regexp_replace(out, f"(?s)(?:{'|'.join(map(re.escape, marks))}).*$", "")
     return F.substring(F.regexp_replace(F.regexp_replace(out, f"{WS}+", " "), f"^{NAME_STRIP}+|{NAME_STRIP}+$", ""), 1, chars)
 
 
+def name_end(ends: Sequence[str]) -> str:
+    """The pattern of a whole word of `ends` and all after it."""
+    return rf"(?is)(^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(map(re.escape, ends))})(?:[^\p{{L}}\p{{N}}_].*|$)"
+
+
 def jaccard(left: Column, right: Column) -> Column:
     """Similarity of two token arrays as sets, 0 if either is empty."""
     both = F.size(F.array_intersect(left, right))
@@ -98,9 +110,8 @@ def json_list(c: Column | str) -> Column:
 
 def dedupe(c: Column) -> Column:
     """Trimmed terms of an array, the first spelling of each, in order; case doesn't count, empty terms go."""
-    terms = F.filter(F.transform(c, lambda x: F.trim(text(x))), lambda x: x != "")
-    lowered = F.transform(terms, F.lower)
-    return F.filter(terms, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+    first = lambda terms, lowered: F.filter(terms, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+    return let(F.filter(F.transform(c, lambda x: F.trim(text(x))), lambda x: x != ""), lambda terms: let(F.transform(terms, F.lower), lambda lowered: first(terms, lowered)))
 
 
 def without_trailing_question(c: Column | str, starters: Sequence[str] = ("Could you", "May I", "What", "How"), short: int = 120) -> Column:

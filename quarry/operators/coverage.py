@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,33 +33,57 @@ class Weights:
     missing: dict[str, float] = field(default_factory=dict)
 
 
-def _pick(rows: list[dict], required: set[str], preferred: str, limit: int, w: Weights) -> list[int]:
-    """Places of the chosen rows, in order of choice; of equal values the first row wins."""
-    top = max((r["score"] for r in rows), default=1.0) or 1.0
-    facets, tokens = [set(r["facets"]) for r in rows], [set(r["tokens"]) for r in rows]
-    fixed = []
-    for r, own in zip(rows, facets, strict=True):
-        value = r["score"] / top - (w.other_source if preferred and preferred not in r["source_label"].lower() else 0.0)
-        if required:
-            value -= (0.0 if own & required else w.no_target) + w.each_missing * len(required - own)
-            value -= sum(loss for f, loss in w.missing.items() if f in required and f not in own)
-        fixed.append(value)
-    left, chosen, covered = [*range(len(rows))], [], set()
-    while left and len(chosen) < limit:
-        best, at = -1.0, 0
-        for place, i in enumerate(left):
-            fresh = facets[i] - covered
-            value = fixed[i] + w.target * len(fresh & required)
-            value += w.general * min(len(fresh), w.general_most) if required else w.general_free * min(len(fresh), w.general_free_most)
-            if chosen:
-                value += w.new_source * all(rows[i]["source"] != rows[k]["source"] for k in chosen) + w.new_section * all(rows[i]["section"] != rows[k]["section"] for k in chosen)
-                value -= w.same_place * any(all(rows[i][c] == rows[k][c] for c in ("source", "section", "chunk_type")) for k in chosen)
-                value -= w.similar * any(tokens[i] and tokens[k] and len(tokens[i] & tokens[k]) / len(tokens[i] | tokens[k]) > w.similarity for k in chosen)
-            if value > best:
-                best, at = value, place
-        i = left.pop(at)
+def _members(lists: Sequence[Sequence[str]]) -> tuple[np.ndarray, dict[str, int]]:
+    """Which row has which value, as a matrix, and the values' columns."""
+    place = {v: k for k, v in enumerate(dict.fromkeys(v for own in lists for v in own))}
+    out = np.zeros((len(lists), len(place)), bool)
+    for i, own in enumerate(lists):
+        out[i, [place[v] for v in own]] = True
+    return out, place
+
+
+def _pick(pool: pd.DataFrame, required: set[str], preferred: str, limit: int, w: Weights) -> list[int]:
+    """Places of the chosen rows, in order of choice; of equal values the first row wins.
+
+    All pairs are compared once; each choice then only adds one row of the matrices to what counts as seen.
+    """
+    n = len(pool)
+    facets, place = _members(pool["facets"].tolist())
+    wanted = np.array([v in required for v in place], bool)
+    tokens = _members(pool["tokens"].tolist())[0].astype(np.int64)
+    both, sizes = tokens @ tokens.T, tokens.sum(axis=1)
+    close = both > w.similarity * np.maximum(1, sizes[:, None] + sizes - both)
+    same = {c: (values := pool[c].to_numpy())[:, None] == values for c in ("source", "section", "chunk_type")}
+    same_place = same["source"] & same["section"] & same["chunk_type"]
+
+    score = pool["score"].to_numpy(float)
+    top = score.max() if n and score.max() else 1.0
+    value = score / top
+    if preferred:
+        value = value - w.other_source * ~pool["source_label"].str.lower().str.contains(preferred, regex=False).to_numpy(bool)
+    if required:
+        has = (facets & wanted).sum(axis=1)
+        value = value - w.no_target * (has == 0) - w.each_missing * (len(required) - has)
+        for facet, loss in w.missing.items():
+            if facet in required:
+                value = value - loss * ~(facets[:, place[facet]] if facet in place else np.zeros(n, bool))
+    each, most = (w.general, w.general_most) if required else (w.general_free, w.general_free_most)
+
+    chosen: list[int] = []
+    covered, seen = np.zeros(len(place), bool), {k: np.zeros(n, bool) for k in ("source", "section", "place", "close")}
+    left = np.ones(n, bool)
+    while left.any() and len(chosen) < limit:
+        fresh = facets & ~covered
+        gain = w.target * (fresh & wanted).sum(axis=1) + each * np.minimum(fresh.sum(axis=1), most)
+        if chosen:
+            gain = gain + w.new_source * ~seen["source"] + w.new_section * ~seen["section"] - w.same_place * seen["place"] - w.similar * seen["close"]
+        # values at or below -1 count as equal, so the first of them is taken
+        i = int(np.argmax(np.where(left, np.maximum(np.round(value + gain, 12), -1.0), -np.inf)))
         chosen.append(i)
+        left[i] = False
         covered |= facets[i]
+        for k, matrix in (("source", same["source"]), ("section", same["section"]), ("place", same_place), ("close", close)):
+            seen[k] |= matrix[i]
     return chosen
 
 
@@ -78,7 +103,7 @@ def rerank(hits: DataFrame, limit: int, weights: Weights = Weights()) -> DataFra
             other = ~frame["source_label"].str.lower().str.contains(preferred, regex=False)
             frame = frame.assign(_o=other).sort_values("_o", kind="stable")
         frame = frame.head(3 * limit)
-        chosen = _pick(frame.to_dict("records"), set(frame["required"].iloc[0]), preferred, limit, weights)
+        chosen = _pick(frame, set(frame["required"].iloc[0]), preferred, limit, weights)
         return pd.DataFrame({"query_id": frame["query_id"].iloc[chosen].tolist(), "chunk_id": frame["chunk_id"].iloc[chosen].tolist(), "place": range(1, len(chosen) + 1)})
 
     return rows.groupBy("query_id").applyInPandas(choose, f"query_id {key}, chunk_id {chunk}, place int")

@@ -7,6 +7,7 @@ they are compared, so that equal chunks tie whatever order their sums ran in.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,23 @@ DIGITS = 6
 QV = ("query_id", "variant_no")
 
 
+@dataclass(frozen=True)
+class Limits:
+    """How many hits a search returns for a query, and how long their excerpts are."""
+
+    hits: int
+    chars: int
+
+
+#: For candidates that something else chooses from, and for answers.
+CANDIDATES, ANSWERS, STRICT = Limits(15, 700), Limits(3, 520), Limits(5, 900)
+
+
+def answer_limits(strict: bool = False, own: Limits = ANSWERS, least: Limits = STRICT) -> Limits:
+    """own; when answers must be strict, at least as much as least."""
+    return Limits(max(own.hits, least.hits), max(own.chars, least.chars)) if strict else own
+
+
 def query_tokens(queries: DataFrame, tokens: Column) -> DataFrame:
     """(query_id, variant_no, token) of the distinct tokens of each query."""
     return queries.select(*QV, F.explode(F.array_distinct(tokens)).alias("token"))

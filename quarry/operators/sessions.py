@@ -6,6 +6,8 @@ beyond its last turns: windows keep at most `most` rows per session.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,9 +79,9 @@ def plausible_name(name: Column, rejected: list[str], prefixes: list[str], parts
     return out
 
 
-def display_name(text: Column | str, patterns: list[str], rejected: list[str], prefixes: list[str], parts: list[str]) -> Column:
-    """The first pattern's capture that is a plausible name once cleaned, else null."""
-    names = [T.clean_name(F.regexp_extract(T.text(text), p, 1)) for p in patterns]
+def display_name(text: Column | str, patterns: list[str], rejected: list[str], prefixes: list[str], parts: list[str], ends: Sequence[str] = (), marks: Sequence[str] = ()) -> Column:
+    """The first pattern's capture that is a plausible name once cleaned, else null. ends, marks: see clean_name()."""
+    names = [T.clean_name(F.regexp_extract(T.text(text), p, 1), ends, marks) for p in patterns]
     return F.coalesce(*[F.when(plausible_name(n, rejected, prefixes, parts), n) for n in names])
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators.rules import Rules
 
-FIELDS = ("concepts", "target_chapters", "evidence_targets", "avoid_routes", "required_facets", "search_queries")
+FIELDS = ("concepts", "target_parts", "evidence_wanted", "avoided", "required_facets", "search_queries")
 _VARIANT = "array<struct<label:string,text:string,weight:double>>"
 
 
@@ -98,10 +98,10 @@ def variants(query: Column, synonyms: Sequence[tuple[str, Sequence[str]]], entri
     for rules, text, weight in conditional:
         parts.append(F.when(rules.any(query), F.array(one("condition", F.replace(F.lit(text), F.lit("{query}"), query), weight))).otherwise(none))
     every = F.filter(F.transform(F.concat(*[p.cast(_VARIANT) for p in parts]), lambda v: F.struct(v["label"].alias("label"), T.collapse(v["text"]).alias("text"), v["weight"].alias("weight"))), lambda v: v["text"] != "")
-    keys = F.transform(every, lambda v: F.lower(v["text"]))
-    once = F.slice(F.filter(every, lambda v, i: F.array_position(keys, F.lower(v["text"])) == i + 1), 1, max(8, limit))
-    more = one("tokens", F.array_join(expanded_tokens(query, synonyms, entries), " "), 0.84)
-    return F.when(F.size(once) == 1, F.concat(once, F.array(more).cast(_VARIANT))).otherwise(once)
+    once = lambda all_, keys: F.slice(F.filter(all_, lambda v, i: F.array_position(keys, F.lower(v["text"])) == i + 1), 1, max(8, limit))
+    more = F.array(one("tokens", F.array_join(expanded_tokens(query, synonyms, entries), " "), 0.84)).cast(_VARIANT)
+    first = T.let(every, lambda all_: T.let(F.transform(all_, lambda v: F.lower(v["text"])), lambda keys: once(all_, keys)))
+    return T.let(first, lambda found: F.when(F.size(found) == 1, F.concat(found, more)).otherwise(found))
 
 
 def variant_table(queries: DataFrame, made: Column) -> DataFrame:
@@ -118,16 +118,16 @@ def compares(query: Column, first: Sequence[str], second: Sequence[str]) -> Colu
 def intent(query: Column, comparison: Column, facets: Column, planned: dict[str, Column]) -> dict[str, Column]:
     """A query's intent by rule: its type, sorted facets, and the plan's lists."""
     return {
-        "clinical_intent": T.collapse(query), "question_type": F.when(comparison, "comparison").otherwise("general"),
+        "intent_text": T.collapse(query), "question_type": F.when(comparison, "comparison").otherwise("general"),
         "required_facets": T.dedupe(F.concat(F.array_sort(F.array_distinct(facets)), planned["required_facets"])),
-        **{f: planned[f] for f in ("concepts", "target_chapters", "evidence_targets", "avoid_routes")},
+        **{f: planned[f] for f in ("concepts", "target_parts", "evidence_wanted", "avoided")},
     }
 
 
 def retrieval_text(query: Column, wanted: dict[str, Column], planner: Column | None = None, chars: int = 1400) -> Column:
     """The query, its intent's texts and the planner's, in a row, cut."""
-    plain = [wanted["clinical_intent"], wanted["question_type"]]
-    lists = [wanted[f] for f in ("required_facets", "concepts", "target_chapters", "evidence_targets", "avoid_routes")]
+    plain = [wanted["intent_text"], wanted["question_type"]]
+    lists = [wanted[f] for f in ("required_facets", "concepts", "target_parts", "evidence_wanted", "avoided")]
     return F.substring(F.array_join(F.filter(F.flatten(F.array(F.array(query, *plain), *lists, F.array(planner) if planner is not None else texts(()))), lambda x: F.coalesce(x, F.lit("")) != ""), " "), 1, chars)
 
 

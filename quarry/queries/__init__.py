@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.queries import chunking, conversing, indexing, planning, retrieval, tagging, texts
+from quarry.queries import chunking, conversing, indexing, planning, retrieval, sourcing, tagging, texts
 
-MODULES = (texts, chunking, tagging, indexing, planning, retrieval, conversing)
+MODULES = (sourcing, texts, chunking, tagging, indexing, planning, retrieval, conversing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

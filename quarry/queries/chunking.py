@@ -26,12 +26,13 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
     return C.sections(md_convs(spark, d))
 
 
+_LINK = r'<li><a href="([^"]*)">([^<]*)</a>'
+
+
 def md_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages as files whose list items became HTML table rows over several lines: (path, text)."""
-    rows = F.regexp_replace("html", "(?s)<(script|style|head)>.*?</(script|style|head)>", "")
-    rows = F.regexp_replace(F.regexp_replace(rows, "<li>", "\n<tr>\n<td>"), "</li>", "</td>\n<td>x &amp; y</td></tr>\n")
-    rows = F.regexp_replace(F.regexp_replace(rows, "<h1>", "\n# "), "</h1>", "\n")
-    return read(spark, d, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"), rows.alias("text"))
+    """The links of pages as HTML tables whose rows span two lines: (path, text)."""
+    rows = F.zip_with(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1)), F.regexp_extract_all("html", F.lit(_LINK), F.lit(2)), lambda x, y: F.concat(F.lit("<TR class=r><td>"), x, F.lit("</td>\n<th> "), y, F.lit("</th></tr>")))
+    return read(spark, d, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("# Links\n"), F.array_join(rows, "\n")).alias("text"))
 
 
 def p1_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -186,6 +187,9 @@ SQL = {
     "p6_text_chunks": f"with recursive {sql_blocks(SQL_DOCS)}, {sql_packed(1800)} select path, cast(chunk as bigint) as pos, string_agg(line, chr(10) order by i) as text from pk group by path, block_no, chunk",
     "p7_summaries": f"with {sql_blocks(SQL_CONVS)} select path, block_no, {_SUMMARY} as text from blk where len(list_filter(lines, lambda x: not starts_with(x, '|'))) > 0",
     "p8_recommendations": f"with {sql_blocks(SQL_DOCS)}, {_RECS} select path, pos, text from recs",
+    "p10_html_rows": f"""with l as (select page_id, regexp_extract_all(html, {lit(_LINK)}, 1) as h, regexp_extract_all(html, {lit(_LINK)}, 2) as t from pages),
+        u as (select page_id, unnest(range(1, len(h) + 1)) as k, h, t from l), c as (select page_id, k, {sql_clean_cell("h[k]")} as a, {sql_clean_cell("t[k]")} as b from u)
+        select 'pages/' || page_id || '.md' as path, cast(1 as bigint) as block_no, 2 * k - 1 as pos, a || ' | ' || b as row from c where a <> '' and b <> '' and not regexp_matches(a || ' | ' || b, '^[-:| ]+$')""",
     "p9_markdown_rows": f"with {sql_blocks(SQL_DOCS)}, {_MD_ROWS} select path, pos, cast(len(cells) as bigint) as n_cells, array_to_string(cells, ' | ') as row from cell_rows",
     "p11_captions": f"""with {sql_blocks(_CAPTIONED)}, {_MD_ROWS},
         lb as (select path, block_no, pos, last_value(nullif(substr({sql_clean_cell(f"regexp_extract(line, {lit(C.CAPTION)}, 1)")}, 1, 160), '') ignore nulls) over (partition by path, block_no order by pos) as label from ln)

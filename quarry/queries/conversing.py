@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import sessions as C
 from quarry.operators import verdicts as V
-from quarry.queries.shared import lit, read, sql_collapse, sql_strip
+from quarry.queries.shared import NAME_ENDS, NAME_MARKS, lit, read, sql_clean_name, sql_collapse, sql_strip
 from quarry.sources import tables, webhook
 
 BASE = 1_700_000_000
@@ -109,7 +109,7 @@ def c6_commands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _name() -> Column:
-    return C.display_name("text", NAMES, REJECTED, PREFIXES, PARTS)
+    return C.display_name("text", NAMES, REJECTED, PREFIXES, PARTS, NAME_ENDS, NAME_MARKS)
 
 
 def c7_names(spark: SparkSession, d: str) -> DataFrame:
@@ -152,10 +152,7 @@ _COMMAND = "case " + " ".join(f"when regexp_matches(text, {lit(p)}) then '{n}'"
 def _name_sql() -> str:
     out = []
     for p in NAMES:
-        raw = f"regexp_extract(text, {lit(p)}, 1)"
-        for pattern, into in ((rf"(?is)(^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(T.NAME_ENDS)})(?:[^\p{{L}}\p{{N}}_].*|$)", "\\1"), (f"(?s)(?:{T.NAME_MARKS}).*$", ""), (T.WS + "+", " "), (f"^{T.NAME_STRIP}+|{T.NAME_STRIP}+$", "")):
-            raw = f"regexp_replace({raw}, {lit(pattern)}, {lit(into)}, 'g')"
-        n = f"substr({raw}, 1, 20)"
+        n = sql_clean_name(f"regexp_extract(text, {lit(p)}, 1)")
         out.append(f"case when {n} <> '' and lower(trim({n})) not in ({', '.join(map(lit, REJECTED))})" + "".join(f" and not starts_with(lower(trim({n})), {lit(x)})" for x in PREFIXES) + "".join(f" and not contains({n}, {lit(x)})" for x in PARTS) + f" then {n} end")
     return f"coalesce({', '.join(out)})"
 

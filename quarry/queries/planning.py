@@ -29,9 +29,9 @@ CONCEPTS = [
 FACETS = [*all_of(1, "facet", "place", "contains", ("en ", "in "), ("la ", "the ")), *any_of(2, "facet", "question", "contains", "?"), *any_of(3, "facet", "both", "contains_ci", "und", "and ")]
 SOURCES = [*all_of(1, "source", "src1", "contains_ci", ("the",), ("of",)), *any_of(2, "source", "src2", "contains", "und "), *any_of(3, "source", "src3", "contains", "que ")]
 PROFILES = {
-    "german": {"concepts": ["noun", "case"], "target_chapters": ["Grammar"], "evidence_targets": ["Ending"], "required_facets": ["both"], "search_queries": ["german nouns", "cases of nouns", "und so weiter"]},
-    "english": {"concepts": ["Noun", "article"], "target_chapters": ["grammar", "Usage"], "avoid_routes": ["spelling"], "search_queries": ["english articles", "German nouns"]},
-    "romance": {"concepts": ["gender"], "evidence_targets": ["ending", "accent"], "required_facets": ["place"], "search_queries": ["gender of nouns", "accents"]},
+    "german": {"concepts": ["noun", "case"], "target_parts": ["Grammar"], "evidence_wanted": ["Ending"], "required_facets": ["both"], "search_queries": ["german nouns", "cases of nouns", "und so weiter"]},
+    "english": {"concepts": ["Noun", "article"], "target_parts": ["grammar", "Usage"], "avoided": ["spelling"], "search_queries": ["english articles", "German nouns"]},
+    "romance": {"concepts": ["gender"], "evidence_wanted": ["ending", "accent"], "required_facets": ["place"], "search_queries": ["gender of nouns", "accents"]},
 }
 FIRST, SECOND = ("the", "der", "que"), ("in ", "en ", "la ")
 
@@ -162,7 +162,7 @@ def _variants_sql(cap: int) -> str:
 
 _COMPARES = "(regexp_matches(x, '[0-9]') and (" + " or ".join(f"contains(lower(x), {lit(t)})" for t in FIRST) + ") and (" + " or ".join(f"contains(lower(x), {lit(t)})" for t in SECOND) + "))"
 _REQUIRED = f"list_filter(list_concat(list_sort(list_distinct({_FACETS})), {_field('required_facets')}), lambda t, i: list_position(list_concat(list_sort(list_distinct({_FACETS})), {_field('required_facets')}), t) = i)"
-_INTENT = f"i as (select query_id, x, case when {_COMPARES} then 'comparison' else 'general' end as question_type, {_REQUIRED} as required_facets, " + ", ".join(f"{_field(f)} as {f}" for f in ("concepts", "target_chapters", "evidence_targets", "avoid_routes")) + " from q)"
+_INTENT = f"i as (select query_id, x, case when {_COMPARES} then 'comparison' else 'general' end as question_type, {_REQUIRED} as required_facets, " + ", ".join(f"{_field(f)} as {f}" for f in ("concepts", "target_parts", "evidence_wanted", "avoided")) + " from q)"
 
 SQL = {
     "q1_matched_entries": f"with {_Q} select query_id, array_to_string(list_filter([" + ", ".join(f"case when {_trig(e)} then {lit(e.entry_id)} end" for e in ENTRIES) + "], lambda t: t is not null), ',') as entries from q",
@@ -175,7 +175,7 @@ SQL = {
     "q8_variant_cap": f"with {_variants_sql(8)} select query_id, cast(len(vs) as bigint) as n from c",
     "q9_intent": f"with {_Q}, {_INTENT} select query_id, question_type, array_to_string(required_facets, '|') as required_facets, array_to_string(concepts, '|') as concepts from i",
     "q10_comparison": f"with {_Q} select query_id, {_COMPARES} as compares from q",
-    "q11_retrieval_text": f"with {_Q}, {_INTENT} select query_id, substr(array_to_string(list_filter(list_concat([x, {sql_collapse('x')}, question_type], required_facets, concepts, target_chapters, evidence_targets, avoid_routes), lambda t: t <> ''), ' '), 1, 1400) as retrieval from i",
+    "q11_retrieval_text": f"with {_Q}, {_INTENT} select query_id, substr(array_to_string(list_filter(list_concat([x, {sql_collapse('x')}, question_type], required_facets, concepts, target_parts, evidence_wanted, avoided), lambda t: t <> ''), ' '), 1, 1400) as retrieval from i",
     "q12_preferred_source": f"with {_Q} select query_id, {sql_first(Rules(SOURCES), '')} as preferred from q",
     "q13_broad": f"with {_Q} select query_id, (list_contains({_FACETS}, 'question') or contains(lower(x), 'overview') or contains(lower(x), 'sch ')) as broad from q",
 }

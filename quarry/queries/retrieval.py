@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.functions.excerpt import excerpt
 from quarry.operators import coverage as V
 from quarry.operators import index as I
 from quarry.operators import retrieve as R
@@ -13,9 +14,10 @@ from quarry.operators.dense import dense_topk
 from quarry.operators.rules import Rules, any_of
 from quarry.queries.chunking import sql_fires
 from quarry.queries.indexing import SQL_INDEX, doc_tokens
-from quarry.queries.shared import read, sql_tokens
+from quarry.queries.shared import read, sql_excerpt, sql_tokens
 from quarry.queries.tagging import TOPICS, sql_values
 from quarry.sources.shared import shared_folder
+from quarry.sources.tables import read_table, write_table
 
 _W = "(^|[^a-z])(%s)([^a-z]|$)"
 #: Our own rules: what a query asks for, what a document is, and factors for pairs of them.
@@ -141,11 +143,31 @@ def r11_priority(spark: SparkSession, d: str) -> DataFrame:
     return R.fused(_hits(c, asked), variants).select("query_id", "variant_no", "chunk_id", "hit_key", F.round("score", 3).alias("score"))
 
 
-def _evidence(spark: SparkSession, d: str, limit: int = 8) -> tuple[Corpus, DataFrame]:
+def _with_excerpts(c: Corpus, hits: DataFrame, chars: int) -> DataFrame:
+    """hits with the part of the document that fits the query best; texts are fetched for hits only."""
+    asked = c.queries.select("query_id", F.array_distinct(T.tokenize("text")).alias("q"))
+    rows = hits.join(c.docs.select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id").join(asked, "query_id")
+    return rows.withColumn("excerpt", excerpt(F.col("text"), F.col("q"), chars)).drop("text", "q")
+
+
+def _limited(spark: SparkSession, d: str, limits: R.Limits) -> DataFrame:
+    c = Corpus(spark, d)
+    return _with_excerpts(c, _hits(c, limit=limits.hits), limits.chars).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "excerpt")
+
+
+def r17_candidate_limits(spark: SparkSession, d: str) -> DataFrame:
+    return _limited(spark, d, R.CANDIDATES)
+
+
+def r17_strict_limits(spark: SparkSession, d: str) -> DataFrame:
+    return _limited(spark, d, R.answer_limits(strict=True))
+
+
+def _evidence(spark: SparkSession, d: str, limit: int = 8, chars: int = R.ANSWERS.chars) -> tuple[Corpus, DataFrame]:
     """Balanced hits with what the later steps need."""
     c = Corpus(spark, d)
-    body = c.docs.select(F.col("doc_id").alias("chunk_id"), F.substring(T.collapse("text"), 1, 300).alias("excerpt"), Rules(TOPICS).values(F.lower("text")).alias("facets"))
-    return c, _hits(c, limit=limit).join(body, "chunk_id")
+    body = c.docs.select(F.col("doc_id").alias("chunk_id"), Rules(TOPICS).values(F.lower("text")).alias("facets"))
+    return c, _with_excerpts(c, _hits(c, limit=limit), chars).join(body, "chunk_id")
 
 
 def _needs(c: Corpus) -> DataFrame:
@@ -188,8 +210,7 @@ def r15_appended(spark: SparkSession, d: str) -> DataFrame:
     c, hits = _evidence(spark, d)
     key = V.identity(F.col("source"), F.col("section"), F.col("chunk_type"), F.col("excerpt"))
     variants, asked = _variants(c)
-    body = c.docs.select(F.col("doc_id").alias("chunk_id"), F.substring(T.collapse("text"), 1, 300).alias("excerpt"))
-    more = _hits(c, asked.where("variant_no = 1")).join(body, "chunk_id").withColumn("identity", key).withColumn("pass_no", F.lit(1))
+    more = _with_excerpts(c, _hits(c, asked.where("variant_no = 1")), R.ANSWERS.chars).withColumn("identity", key).withColumn("pass_no", F.lit(1))
     columns = ["query_id", "chunk_id", "identity", "rank"]
     return V.appended(hits.withColumn("identity", key).select(*columns), more.select(*columns, "pass_no")).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
@@ -207,21 +228,28 @@ def r18_answerable(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r19_pack(spark: SparkSession, d: str) -> DataFrame:
-    c, hits = _evidence(spark, d, 3)
-    rows = hits.select("query_id", "rank", F.concat(F.lit("doc "), F.col("chunk_id").cast("string")).alias("title"), "source_label", "section", "chunk_type", F.col("facets").alias("metadata"), "score", F.substring("excerpt", 1, 80).alias("excerpt"), F.lit("").alias("parent_excerpt"))
+    c, hits = _evidence(spark, d, 3, 200)
+    rows = hits.select("query_id", "rank", F.concat(F.lit("doc "), F.col("chunk_id").cast("string")).alias("title"), "source_label", "section", "chunk_type", F.col("facets").alias("metadata"), "score", "excerpt", F.lit("").alias("parent_excerpt"))
     return V.pack(rows)
 
 
 def s6_trace(spark: SparkSession, d: str) -> DataFrame:
-    """The trace lines, parsed again: number of hits and the best score."""
+    """The trace lines, parsed again: a row per hit."""
     c, hits = _evidence(spark, d)
     rows = V.trace(hits.withColumn("metadata", F.col("facets")).select("query_id", "rank", "score", "source_label", "section", "chunk_type", "metadata", "facets", "excerpt"))
-    read_ = F.from_json("trace", "array<struct<rank:int,score:double,facets:array<string>,excerpt:string>>")
-    rows = rows.select("query_id", read_.alias("t"))
-    return rows.select("query_id", F.size("t").cast("long").alias("n_hits"), F.round(F.element_at("t", 1)["score"], 2).alias("best"), F.array_join(F.element_at("t", 1)["facets"], ",").alias("facets"))
+    read_ = F.from_json("trace", "array<struct<rank:bigint,score:double,source_label:string,section:string,chunk_type:string,facets:array<string>,excerpt:string>>")
+    rows = rows.select("query_id", F.explode(read_).alias("t"))
+    return rows.select("query_id", *[F.col(f"t.{x}").alias(x) for x in ("rank", "score", "source_label", "section", "chunk_type", "excerpt")], F.array_join("t.facets", ",").alias("facets"))
+
 
+def s6_hit_table(spark: SparkSession, d: str) -> DataFrame:
+    """The hits written as a table in folders by source, and read back."""
+    folder = shared_folder(spark)
+    write_table(_hits(Corpus(spark, d)).select("query_id", "chunk_id", "source_label", "score", F.col("rank").cast("long").alias("rank")), None, folder, by=["source_label"])
+    return read_table(spark, None, folder)
 
-QUERIES = (r1_candidates, r2_bm25_topk, r3_sparse_cosine, r4_dense_topk, r5_combined, r6_adjusted, r7_best_per_key, r8_pruned_topk, r9_balanced, r10_fused, r11_priority, r12_rerank, r13_coverage, r14_second_pass, r15_appended, r16_whole_sections, r18_answerable, r19_pack, s6_trace)
+
+QUERIES = (r1_candidates, r2_bm25_topk, r3_sparse_cosine, r4_dense_topk, r5_combined, r6_adjusted, r7_best_per_key, r8_pruned_topk, r9_balanced, r10_fused, r11_priority, r12_rerank, r13_coverage, r14_second_pass, r15_appended, r16_whole_sections, r17_candidate_limits, r17_strict_limits, r18_answerable, r19_pack, s6_trace, s6_hit_table)
 
 _V1 = f"v as (select item_id as query_id, 0 as variant_no, list_distinct({sql_tokens('text')}) as t, 1.0 as weight, 35.0 as bonus from benchmark)"
 _ASKED = "asked as (select query_id, variant_no, unnest(list_distinct(t)) as token from v)"
@@ -270,11 +298,16 @@ def _fused_sql(extra: bool) -> str:
 _BASE = f"with {SQL_INDEX}, {_V1}, {_ASKED}, {_BM_CAND}"
 _TOPICS = sql_values(Rules(TOPICS))
 _COVER = f"""{_BASE}, {_balanced_sql(8)},
-    fac as (select doc_id as chunk_id, {_TOPICS} as facets, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 300) as excerpt from (select doc_id, text, lower(text) as x from documents)),
+    fac as (select doc_id as chunk_id, {_TOPICS} as facets from (select doc_id, lower(text) as x from documents)),
     need as (select item_id as query_id, text, list_sort(list_distinct(list_concat({_TOPICS}, ['mail']))) as required from (select item_id, text, lower(text) as x from benchmark)),
     have as (select query_id, list_sort(list_distinct(flatten(list(facets)))) as covered, count(*) as n from hits join fac using (chunk_id) group by query_id),
     cov as (select query_id, text, required, coalesce(covered, []) as covered, list_filter(required, lambda f: not list_contains(coalesce(covered, []), f)) as missing, coalesce(n, 0) as n from need left join have using (query_id))"""
-_EXCERPT = "substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 300)"
+
+
+def _excerpts_sql(chars: int) -> str:
+    """From hits to shown: with the excerpt for the query's tokens."""
+    return f"""qt as (select item_id as query_id, list_distinct({sql_tokens('text')}) as q from benchmark),
+    bodies as (select hits.*, d.text, qt.q from hits join documents d on d.doc_id = hits.chunk_id join qt using (query_id)), {sql_excerpt('bodies', 'shown', chars)}"""
 
 
 def _factor_sql() -> str:
@@ -306,7 +339,7 @@ SQL = {
         p as (select *, row_number() over (partition by query_id order by facet, item_no) as pass_no from o where k = 1)
         select query_id, pass_no, text from p where pass_no <= 2""",
     "r15_appended": f"""with {SQL_INDEX}, {_variants_sql(False)}, {_ASKED}, {_BM_CAND}, {_balanced_sql(8)},
-        ident as (select hits.*, source || '|' || section || '|' || chunk_type || '|' || substr(sha1({_EXCERPT}), 1, 12) as identity from hits join (select doc_id, text from documents) d on d.doc_id = chunk_id),
+        {_excerpts_sql(520)}, ident as (select *, source || '|' || section || '|' || chunk_type || '|' || substr(sha1(excerpt), 1, 12) as identity from shown),
         a as (select * from ident where variant_no = 0),
         b as (select *, row_number() over (partition by query_id, identity order by rank) as k from ident where variant_no = 1 and not exists (select 1 from a where a.query_id = ident.query_id and a.identity = ident.identity)),
         c as (select *, row_number() over (partition by query_id order by rank) as m from b where k = 1),
@@ -318,8 +351,12 @@ SQL = {
         j as (select a.query_id, a.source, a.section, own.chunk_id, a.score + 12 as score, row_number() over (partition by a.query_id order by a.rank) as m from asked2 a join own using (source, section))
         select query_id, source, section, chunk_id, round(score, 4) as score from j where m <= 2""",
     "r18_answerable": f"{_BASE} select item_id as query_id, item_id in (select query_id from scored where score > 60) as answerable from benchmark",
-    "r19_pack": f"""{_BASE}, {_balanced_sql(3)}, fac as (select doc_id as chunk_id, {_TOPICS} as facets, substr({_EXCERPT}, 1, 80) as excerpt from (select doc_id, text, lower(text) as x from documents))
+    "r17_candidate_limits": f"{_BASE}, {_balanced_sql(15)}, {_excerpts_sql(700)} select query_id, chunk_id, rank, excerpt from shown",
+    "r17_strict_limits": f"{_BASE}, {_balanced_sql(5)}, {_excerpts_sql(900)} select query_id, chunk_id, rank, excerpt from shown",
+    "r19_pack": f"""{_BASE}, {_balanced_sql(3)}, {_excerpts_sql(200)}, fac as (select doc_id as chunk_id, {_TOPICS} as facets from (select doc_id, lower(text) as x from documents))
         select query_id, string_agg('[' || rank || '] doc ' || chunk_id || chr(10) || 'Source: ' || source || chr(10) || 'Section: ' || section || chr(10) || 'Type: ' || chunk_type || chr(10) || 'Tags: ' || case when len(facets) = 0 then 'none' else array_to_string(facets, ', ') end || chr(10) || 'Excerpt: ' || excerpt, chr(10) || chr(10) order by rank) as evidence
-        from hits join fac using (chunk_id) group by query_id""",
-    "s6_trace": f"{_COVER} select query_id, count(*) as n_hits, round(arg_min(round(score, 3), rank), 2) as best, array_to_string(list_sort(arg_min(facets, rank)), ',') as facets from hits join fac using (chunk_id) group by query_id",
+        from shown join fac using (chunk_id) group by query_id""",
+    "s6_trace": f"""{_COVER}, {_excerpts_sql(520)}
+        select query_id, rank, round(score, 3) as score, source as source_label, section, chunk_type, substr(excerpt, 1, 420) as excerpt, array_to_string(list_sort(facets), ',') as facets from shown join fac using (chunk_id)""",
+    "s6_hit_table": f"{_BASE}, {_balanced_sql(8)} select query_id, chunk_id, source as source_label, score, rank from hits",
 }

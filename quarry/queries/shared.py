@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 
 
+#: Our own words and marks that end a name.
+NAME_ENDS, NAME_MARKS = ("and", "or", "but", "who", "is", "der", "que"), (",", ";", "!", "?", "ß")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -28,6 +34,14 @@ def sql_tokens(x: str) -> str:
     return f"list_filter(regexp_extract_all(lower({x}), {lit(T.TOKEN)}), lambda t: length(t) > 1 or regexp_matches(t, {lit(T.ONE)}))"
 
 
+def sql_clean_name(x: str) -> str:
+    """clean_name() with our words and marks."""
+    marks = f"(?s)(?:{'|'.join(map(re.escape, NAME_MARKS))}).*$"
+    for pattern, into in ((T.name_end(NAME_ENDS), "\\1"), (marks, ""), (T.WS + "+", " "), (f"^{T.NAME_STRIP}+|{T.NAME_STRIP}+$", "")):
+        x = f"regexp_replace({x}, {lit(pattern)}, {lit(into)}, 'g')"
+    return f"substr({x}, 1, 20)"
+
+
 def sql_excerpt(source: str, name: str, chars: int) -> str:
     """Common table expressions from source (text, q: tokens, and more) to name, with excerpt."""
     return f"""{name}_1 as (select *, {sql_collapse("coalesce(text, '')")} as flat, list_transform(list_filter(q, lambda t: t <> ''), lambda t: lower(t)) as toks from {source}),
@@ -35,8 +49,8 @@ def sql_excerpt(source: str, name: str, chars: int) -> str:
     {name}_3 as (select *, list_transform(parts, lambda s: len(list_filter(toks, lambda t: contains(lower(s), t)))) as points from {name}_2),
     {name}_4 as (select *, list_max(points) as most, list_position(points, list_max(points)) as best from {name}_3),
     {name}_5 as (select *, list_filter(flatten(list_transform(range(1, len(parts) + 1), lambda k: [best - k, best + k])), lambda i: i >= 1 and i <= len(parts)) as visits from {name}_4),
-    {name}_6 as (select *, list_reduce(list_prepend({{'size': length(parts[best]), 'chosen': [best], 'seen': 0}}, list_transform(visits, lambda i: {{'size': length(parts[i]), 'chosen': [i], 'seen': 1}})), lambda a, e:
-        case when a.size >= {chars} then a when a.size + 1 + e.size <= {chars} then {{'size': a.size + 1 + e.size, 'chosen': list_concat(a.chosen, e.chosen), 'seen': a.seen + 1}} else {{'size': a.size, 'chosen': a.chosen, 'seen': a.seen + 1}} end) as r from {name}_5),
+    {name}_6 as (select *, list_reduce(list_prepend({{'size': length(parts[best]), 'chosen': [best], 'seen': 0}}, list_transform(visits, lambda i: {{'size': length(parts[i]), 'chosen': [i], 'seen': 1}})), lambda acc_, new_:
+        case when acc_.size >= {chars} then acc_ when acc_.size + 1 + new_.size <= {chars} then {{'size': acc_.size + 1 + new_.size, 'chosen': list_concat(acc_.chosen, new_.chosen), 'seen': acc_.seen + 1}} else {{'size': acc_.size, 'chosen': acc_.chosen, 'seen': acc_.seen + 1}} end) as r from {name}_5),
     {name}_7 as (select *, visits[r.seen + 1:] as rest, coalesce(list_min(list_filter(list_transform(toks, lambda t: instr(lower(flat), t)), lambda p: p > 0)), 1) - 1 as f from {name}_6),
     {name}_8 as (select *, least(length(flat), greatest(0, f - {chars // 3}) + {chars}) as fin from {name}_7),
     {name} as (select *, case when length(flat) <= {chars} then flat

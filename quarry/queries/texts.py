@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.functions.excerpt import excerpt, parent_excerpt
-from quarry.queries.shared import lit, read, sql_collapse, sql_excerpt, sql_strip, sql_tokens
+from quarry.queries.shared import NAME_ENDS, NAME_MARKS, lit, read, sql_clean_name, sql_collapse, sql_excerpt, sql_strip, sql_tokens
 
 
 def f1_tokenize(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +35,7 @@ def f5_context_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f6_clean_name(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "conversations").select("conv_id", "turn", T.clean_name("text").alias("name"))
+    return read(spark, d, "conversations").select("conv_id", "turn", T.clean_name("text", NAME_ENDS, NAME_MARKS).alias("name"))
 
 
 def f7_jaccard(spark: SparkSession, d: str) -> DataFrame:
@@ -87,8 +87,6 @@ def _clean_cell(x: str) -> str:
 
 sql_clean_cell = _clean_cell
 
-_NAME = rf"(?is)(^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(T.NAME_ENDS)})(?:[^\p{{L}}\p{{N}}_].*|$)"
-
 _EXCERPT = f"with s as (select doc_id, text, {sql_tokens('text')}[20:25] as q from documents)"
 
 SQL = {
@@ -99,7 +97,7 @@ SQL = {
     "f3_clean_cell": f"select page_id, {_clean_cell('html')} as cell from pages",
     "f4_tidy_label": "select doc_id, regexp_replace(replace(replace(regexp_replace('_- ' || source || ' - ' || lang || '--x ' || substr(text, 1, 80) || ' -', " + lit(T.WS + "+") + ", ' ', 'g'), ' - ', ' '), '--', '-'), '^[ _-]+|[ _-]+$', '', 'g') as label from documents",
     "f5_context_text": f"select conv_id, turn, substr({sql_collapse('text')}, 1, 700) as context from conversations",
-    "f6_clean_name": f"select conv_id, turn, substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, {lit(_NAME)}, '\\1', 'g'), {lit(f'(?s)(?:{T.NAME_MARKS}).*$')}, '', 'g'), {lit(T.WS + '+')}, ' ', 'g'), {lit(f'^{T.NAME_STRIP}+|{T.NAME_STRIP}+$')}, '', 'g'), 1, 20) as name from conversations",
+    "f6_clean_name": f"select conv_id, turn, {sql_clean_name('text')} as name from conversations",
     "f7_jaccard": f"""with t as (select doc_id, list_distinct({sql_tokens('text')}) as s from documents)
         select a.doc_id, case when len(a.s) > 0 and len(b.s) > 0 then round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) else 0.0 end as similarity
         from t a join t b on b.doc_id = a.doc_id + 1""",
