@@ -266,6 +266,38 @@ def test_embedding_links_found_at_the_limit(spark, dims):
     assert all(got[i] == 0 for i in [*range(350, 400), *range(750, 800)])
 
 
+def test_pipeline_stages_on_odd_rows(spark, docs, empty):
+    """Null, empty and very long texts, repeated rows and ids, null ids, clashing names and empty tables."""
+    import corpus_pipeline
+
+    folder, rows = "/root/testdata/sf0.001", docs.count()
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert name == "bpe" or out.schema == docs.schema
+        assert stage(spark, empty, folder).count() == 0
+    assert stages["quality"](spark, docs, folder).count() == rows  # nothing here is like what the labels reject
+    kept = stages["near_duplicates"](spark, docs, folder).collect()
+    ids = [r.doc_id for r in kept if r.doc_id is not None]
+    # texts without words are one group, those of 3, 4 and 5 are another; rows without an id stay
+    assert sorted(ids) == [0, 3, 6, 7, 8] and len(kept) - len(ids) == 2
+    assert stages["decontamination"](spark, docs, folder).count() == rows
+    clean = {r.doc_id: r.text for r in stages["personal_data"](spark, docs, folder).collect()}
+    assert clean[7] == "call <phone> or <email>" and clean[0] is None and len(clean[6]) == len(LONG)
+    tokens = stages["bpe"](spark, docs, folder).collect()
+    assert len(tokens) == rows and {r.n_tokens for r in tokens if r.doc_id in (0, 1)} == {0}
+
+
+def test_near_duplicate_stage_beyond_what_is_sent(spark, docs, monkeypatch):
+    """The same rows stay where too many ids go for them to be sent to all tasks; of rows of one id always the same one."""
+    import corpus_pipeline
+
+    more = docs.union(spark.createDataFrame([(8, "another text under the same id", None, "s", None, "x", "y")], docs.schema))
+    few = sorted(map(str, corpus_pipeline.drop_near_duplicates(spark, more, "").collect()))
+    monkeypatch.setattr(corpus_pipeline, "MOST_SENT", 0)
+    assert sorted(map(str, corpus_pipeline.drop_near_duplicates(spark, more.repartition(5), "").collect())) == few
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
