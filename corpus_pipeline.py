@@ -1,7 +1,11 @@
 """From raw documents to token ids: quality, near duplicates, benchmark passages, personal data, BPE.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and returns a DataFrame that is
-written as Parquet and read again for the next one. All but the last return the columns of documents.
+written as Parquet and read again for the next one. All but the last return the columns of documents; further columns,
+whatever their names, stay as they are. A null text counts as empty, and null and empty texts stay in every stage, but
+for near duplicates, of which those without words are one group. Rows without a doc_id stay in all stages. Rows that
+repeat each other stay or go together, but for near duplicates, which keep one row of each doc_id. Texts of any length are
+taken whole. An empty table gives an empty result, and so do empty labels or an empty benchmark leave all rows.
 """
 
 from __future__ import annotations
