@@ -62,8 +62,12 @@ class Rules:
         self.rules = [Rule(n, r["target"], r["value"], tuple((neg, tuple(t)) for (_, neg), t in r["clauses"].items())) for n, r in found.items()]
 
     @classmethod
-    def table(cls, rules: DataFrame, target: str | None = None) -> Rules:
-        return cls([tuple(r) for r in rules.select(*[c.split()[0] for c in COLUMNS.split(", ")]).collect()], target)
+    def table(cls, rules: DataFrame, target: str | None = None, most: int = 10_000) -> Rules:
+        """The rules of a table; more than `most` rows are an error."""
+        rows = [tuple(r) for r in rules.select(*[c.split()[0] for c in COLUMNS.split(", ")]).limit(most + 1).collect()]
+        if len(rows) > most:
+            raise ValueError(f"over {most} rows of rules: too many to compile into an expression")
+        return cls(rows, target)
 
     def first(self, text: Column, default: str = "") -> Column:
         """The value of the first rule that fires."""
