@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,3 +34,32 @@ def upserted(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """old with new: per key the row of the largest order, new before old on a tie."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     return both.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc(), F.col("_new").desc()))).where("_n = 1").drop("_n", "_new")
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """The complete versions of a table, in order."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        return []
+    found = [s.getPath() for s in store.listStatus(where)]
+    return sorted(int(p.getName()[1:]) for p in found if re.fullmatch("v[0-9]+", p.getName()) and store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def read_latest(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """The last complete version of a table that upsert_batch() keeps, or the last one below `before`; None if there is none."""
+    found = [v for v in _versions(spark, folder) if before is None or v < before]
+    return spark.read.parquet(f"{folder}/v{found[-1]}") if found else None
+
+
+def upsert_batch(new: DataFrame, batch: int, folder: str, key: str, order: str) -> None:
+    """Brings a stream's batch into a table: for foreachBatch. Each batch is a version made from the one before it.
+
+    A repeated batch gives the same version again. Readers keep the version that they have opened: the last two stay.
+    """
+    spark = new.sparkSession
+    old = read_latest(spark, folder, before=batch)
+    upserted(new.limit(0) if old is None else old, new, key, order).write.mode("overwrite").parquet(f"{folder}/v{batch}")
+    for v in _versions(spark, folder):
+        if v < batch - 1:
+            drop_table(spark, f"{folder}/v{v}")

@@ -70,3 +70,22 @@ def test_upsert_and_cache(spark, tmp_path):
     assert {(r.k, r.v) for r in tables.upserted(old, new, "k", "at").collect()} == {("a", "z"), ("b", "y"), ("c", "n")}
     (tmp_path / "cache.jsonl").write_text('{"key": "a", "values": [1, 0]}\nbad\n{"key": "z", "values": [0, 0]}\n{"key": "a", "values": [0, 2]}\n')
     assert [(r.key, r["values"]) for r in read_cache((spark, str(tmp_path / "cache.jsonl"))).collect()] == [("a", [0.0, 1.0])]
+
+
+def test_upserts_from_a_stream(spark, tmp_path):
+    """Batches of a stream end as the last row of each key; a repeated batch changes nothing."""
+    from quarry.sources import tables
+
+    rows = [("a", 1, "x"), ("b", 1, "y"), ("a", 3, "z"), ("a", 2, "late"), ("c", 1, "w"), ("b", 1, "again")]
+    for i, row in enumerate(rows):
+        spark.createDataFrame([row], "k string, seq int, v string").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    folder = f"file://{tmp_path}/table"
+    stream = spark.readStream.schema("k string, seq int, v string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    query = stream.writeStream.foreachBatch(lambda new, batch: tables.upsert_batch(new, batch, folder, "k", "seq")).option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {r.k: (r.seq, r.v) for r in tables.read_latest(spark, folder).collect()}
+    assert got.keys() == {"a", "b", "c"} and got["a"] == (3, "z") and got["c"] == (1, "w") and got["b"][0] == 1
+    last = tables._versions(spark, folder)
+    assert len(last) == 2
+    tables.upsert_batch(tables.read_latest(spark, folder).limit(0), last[-1], folder, "k", "seq")
+    assert {r.k for r in tables.read_latest(spark, folder).collect()} <= got.keys() and tables.read_latest(spark, f"{folder}x") is None
