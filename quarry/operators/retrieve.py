@@ -98,13 +98,14 @@ def vector_side(vectors: DataFrame, key: Sequence[str]) -> DataFrame:
     return rows.select(*key, F.col("p.bucket").alias("keys"), F.col("p.w").alias("weights"))
 
 
-def pair_scores(among: DataFrame, queries: DataFrame, chunks: DataFrame, name: str, blocks: int = 64) -> DataFrame:
+def pair_scores(among: DataFrame, queries: DataFrame, chunks: DataFrame, name: str, most: int = 4096) -> DataFrame:
     """(query_id, variant_no, chunk_id, name): for each pair the sum over common keys of the product of both weights.
 
     queries: query_id, variant_no, keys, weights; chunks: chunk_id, keys (sorted), weights. The work follows the pairs,
-    whatever tokens they share: a chunk's keys come once to the queries that ask for it, those in `blocks` lists, and each
-    list is looked up in one go. Pairs without a common key are left out.
+    whatever tokens they share: a chunk's keys come once to the queries that ask for it, or once for each block of about
+    `most` queries, and a block's keys are looked up in one go. Pairs without a common key are left out.
     """
+    blocks = 1 + queries.count() // most
     ids = [(c, among.schema[c].dataType.simpleString()) for c in (*QV, "chunk_id")]
     block = F.pmod(F.xxhash64(*QV), F.lit(blocks))
     asked = among.join(queries.select(*QV, F.col("keys").alias("k"), F.col("weights").alias("w")), list(QV))
