@@ -102,26 +102,42 @@ def pair_scores(among: DataFrame, queries: DataFrame, chunks: DataFrame, name: s
     """(query_id, variant_no, chunk_id, name): for each pair the sum over common keys of the product of both weights.
 
     queries: query_id, variant_no, keys, weights; chunks: chunk_id, keys (sorted), weights. The work follows the pairs,
-    whatever tokens they share: a chunk's keys come once to the queries that ask for it, or once for each block of about
-    `most` queries, and a block's keys are looked up in one go. Pairs without a common key are left out.
+    whatever tokens they share: a chunk's keys come once to the queries that ask for it and are looked up in one go. Up to
+    `most` queries are sent to all tasks, so that a pair is two numbers. More of them travel with their pairs, and a
+    chunk's keys come once for each block of about `most` queries. Pairs without a common key are left out.
     """
-    blocks = 1 + queries.count() // most
     ids = [(c, among.schema[c].dataType.simpleString()) for c in (*QV, "chunk_id")]
+    found = queries.select(*QV, "keys", "weights").limit(most + 1).collect()
+    if len(found) <= most:
+        known = {(r[0], r[1]): (np.array(r[2], np.int64), np.array(r[3], np.float64)) for r in found}
+        sent = among.sparkSession.sparkContext.broadcast(known)
+        pairs, extra = among.join(F.broadcast(queries.select(*QV)), list(QV), "left_semi"), []
+        blocks = 1
+    else:
+        sent, extra, blocks = None, ["k", "w"], 1 + queries.count() // most
+        pairs = among.join(queries.select(*QV, F.col("keys").alias("k"), F.col("weights").alias("w")), list(QV))
     block = F.pmod(F.xxhash64(*QV), F.lit(blocks))
-    asked = among.join(queries.select(*QV, F.col("keys").alias("k"), F.col("weights").alias("w")), list(QV))
-    grouped = asked.groupBy("chunk_id", block.alias("block")).agg(F.collect_list(F.struct(*QV, "k", "w")).alias("asked"))
+    # pairs are small but looking them up is not: without a number, Spark would put them into few tasks
+    tasks = int(among.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = pairs.repartition(tasks, "chunk_id").groupBy("chunk_id", block.alias("block")).agg(F.collect_list(F.struct(*QV, *extra)).alias("asked"))
     rows = grouped.join(chunks, "chunk_id").select("chunk_id", "asked", "keys", "weights")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             chunk, lists_, keys, weights = b.columns
-            pairs = lists_.flatten()
-            wanted, own = pairs.field("k"), keys.flatten().to_numpy()
-            q_keys, q_weights, own_weights = wanted.flatten().to_numpy(), pairs.field("w").flatten().to_numpy(), weights.flatten().to_numpy()
-            ends = np.concatenate([[0], np.cumsum(wanted.value_lengths().to_numpy())])
+            asked = lists_.flatten()
+            if sent is not None:
+                own_queries = [sent.value[q] for q in zip(asked.field(QV[0]).to_pylist(), asked.field(QV[1]).to_pylist(), strict=True)]
+                sizes = np.array([len(k) for k, _ in own_queries], np.int64)
+                q_keys, q_weights = (np.concatenate([x[i] for x in own_queries]) if own_queries else np.zeros(0) for i in (0, 1))
+            else:
+                sizes = asked.field("k").value_lengths().to_numpy()
+                q_keys, q_weights = asked.field("k").flatten().to_numpy(), asked.field("w").flatten().to_numpy()
+            own, own_weights = keys.flatten().to_numpy(), weights.flatten().to_numpy()
+            ends = np.concatenate([[0], np.cumsum(sizes)])
             first = np.concatenate([[0], np.cumsum(lists_.value_lengths().to_numpy())])
             at = np.concatenate([[0], np.cumsum(keys.value_lengths().to_numpy())])
-            total = np.zeros(len(pairs))
+            total = np.zeros(len(asked))
             for i in range(b.num_rows):
                 mine, mine_weights = own[at[i] : at[i + 1]], own_weights[at[i] : at[i + 1]]
                 if not len(mine):
@@ -129,11 +145,11 @@ def pair_scores(among: DataFrame, queries: DataFrame, chunks: DataFrame, name: s
                 lo, hi = ends[first[i]], ends[first[i + 1]]
                 place = np.minimum(np.searchsorted(mine, q_keys[lo:hi]), len(mine) - 1)
                 product = np.where(mine[place] == q_keys[lo:hi], mine_weights[place] * q_weights[lo:hi], 0.0)
-                query = np.repeat(np.arange(first[i + 1] - first[i]), np.diff(ends[first[i] : first[i + 1] + 1]))
+                query = np.repeat(np.arange(first[i + 1] - first[i]), sizes[first[i] : first[i + 1]])
                 total[first[i] : first[i + 1]] = np.bincount(query, product, first[i + 1] - first[i])
             chunk_ids = chunk.take(pa.array(np.repeat(np.arange(b.num_rows), np.diff(first))))
             keep = pa.array(total != 0)
-            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (pairs.field(QV[0]), pairs.field(QV[1]), chunk_ids, pa.array(total))], names=[*QV, "chunk_id", name])
+            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (asked.field(QV[0]), asked.field(QV[1]), chunk_ids, pa.array(total))], names=[*QV, "chunk_id", name])
 
     return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in ids) + f", {name} double")
 

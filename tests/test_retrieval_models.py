@@ -158,6 +158,8 @@ def test_pair_scores_equal_the_sums_over_posting_lists(spark, tmp_path):
     whole = {(x.query_id, x.chunk_id): x.bm25 for x in R.bm25(asked, index).collect()}
     among = spark.createDataFrame([(q, 0, c) for q in range(12) for c in range(150) if r.random() < 0.4], "query_id int, variant_no int, chunk_id int")
     got = {(x.query_id, x.chunk_id): x.bm25 for x in R.pair_scores(among, R.query_side(asked), index.forward, "bm25").collect()}
+    few = R.pair_scores(among, R.query_side(asked), index.forward, "bm25", most=5)
+    assert {(x.query_id, x.chunk_id): x.bm25 for x in few.collect()} == got
     assert got.keys() == {(x.query_id, x.chunk_id) for x in among.collect()} & whole.keys()
     assert all(abs(v - whole[k]) < 1e-9 for k, v in got.items())
     n, texts, mine_of = 150, dict(chunks), {}
