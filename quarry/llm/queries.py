@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, decontaminate, embeddings, html_text, licences, pii, quality, simhash, urlrules, warc
+from quarry.llm import bpe, decontaminate, embeddings, html_text, licences, manifest, pii, quality, simhash, urlrules, warc
 from quarry.llm.shared import written
 from quarry.sources.shared import shared_folder
 
@@ -72,6 +72,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_html_text, op2_warc, op3_url_rules, op4_quality_sample, op5_bpe, op6_simhash, op7_licences, op8_embeddings, op9_pii, op10_decontaminate, pipeline)
+    own = (op1_html_text, op2_warc, op3_url_rules, op4_quality_sample, op5_bpe, op6_simhash, op7_licences, op8_embeddings, op9_pii, op10_decontaminate, op12_manifest, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -129,5 +133,50 @@ from dw left join words using (doc_id) left join items using (doc_id)
 """
 
 
+
+def _enc(column: str) -> str:
+    return f"coalesce(octet_length(encode(cast({column} as varchar))) || ':' || {column}, '-')"
+
+
+#: CRC-32, eight steps for each character of the decimal id; only its lowest bit is used.
+_EVEN_CRC = """list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint))),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), cast([0, 0, 0, 0, 0, 0, 0, 0] as bigint[])), lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)) & 1 = 1"""
+_FIELDS = " || ".join(map(_enc, ("doc_id", "source", "lang", "n_chars")))
+
+
+def _up(name: str, start: str) -> str:
+    """Nodes of all levels, three at a time, from start (g, pos, digest, n)."""
+    return f"""{name} as (select g, 0 as level, pos, digest, n from {start}
+         union all select g, level + 1, pos // 3, sha256(string_agg(digest, '' order by pos)), (n + 2) // 3 from {name} where n > 1 group by g, level, pos // 3, n)"""
+
+
+def _beside(name: str, nodes: str) -> str:
+    return f"""{name} as (select a.g, a.level, a.pos, coalesce(string_agg(b.digest, '' order by b.pos) filter (b.pos < a.pos), '') as l, coalesce(string_agg(b.digest, '' order by b.pos) filter (b.pos > a.pos), '') as r
+         from {nodes} a join {nodes} b on a.g = b.g and a.level = b.level and a.pos // 3 = b.pos // 3 where a.n > 1 group by a.g, a.level, a.pos)"""
+
+
+def _fold(name: str, start: str, beside: str) -> str:
+    return f"""{name} as (select id, g, 0 as level, pos, digest, proof from {start}
+         union all select f.id, f.g, f.level + 1, f.pos // 3, sha256(l || f.digest || r), f.proof || l || r from {name} f join {beside} b on b.g = f.g and b.level = f.level and b.pos = f.pos)"""
+
+
+_OP12 = f"""
+with recursive e as (select doc_id, coalesce('=' || source, '') as g, text, {_FIELDS} as head from documents),
+     leaves as (select doc_id, g, row_number() over (partition by g order by doc_id nulls first) - 1 as pos, count(*) over (partition by g) as n, sha256(head || {_enc('text')}) as digest,
+        sha256(head || {_enc(f"(case when {_EVEN_CRC} then replace(text, chr(10), '') else text end)")}) as changed from e),
+     {_up('own', 'leaves')},
+     subroots as (select g as s, row_number() over (order by g) - 1 as pos, count(*) over () as n, digest, '' as g from own where n = 1),
+     {_up('high', 'subroots')},
+     root as (select digest as root from high where n = 1),
+     {_beside('own_beside', 'own')}, {_beside('high_beside', 'high')},
+     {_fold('low', "(select doc_id as id, g, pos, changed as digest, '' as proof from leaves)", 'own_beside')},
+     turned as (select id, digest, proof, pos, '' as g from (select low.id, s.pos, low.digest, low.proof, row_number() over (partition by low.id order by low.level desc) as k from low join subroots s on s.s = low.g) where k = 1),
+     {_fold('last', 'turned', 'high_beside')},
+     done as (select id, digest, proof from (select *, row_number() over (partition by id order by level desc) as k from last) where k = 1)
+select doc_id, l.digest as leaf, s.digest as subroot, root, sha256(proof) as proof_sha256, d.digest as folded_root, d.digest = root as verified
+from leaves l join subroots s on s.s = l.g join done d on d.id = l.doc_id, root
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": _OP2, "op3_url_rules": _OP3, "op8_embeddings": _OP8, "op10_decontaminate": _OP10}
+    return {"op2_warc": _OP2, "op3_url_rules": _OP3, "op8_embeddings": _OP8, "op10_decontaminate": _OP10, "op12_manifest": _OP12}
