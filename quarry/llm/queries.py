@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, decontaminate, embeddings, html_text, licences, manifest, pii, quality, simhash, urlrules, warc
+from quarry.llm import bpe, collocations, decontaminate, embeddings, html_text, licences, manifest, pii, quality, simhash, urlrules, warc
 from quarry.llm.shared import written
 from quarry.sources.shared import shared_folder
 
@@ -76,6 +76,10 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(_read(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_html_text, op2_warc, op3_url_rules, op4_quality_sample, op5_bpe, op6_simhash, op7_licences, op8_embeddings, op9_pii, op10_decontaminate, op12_manifest, pipeline)
+    own = (op1_html_text, op2_warc, op3_url_rules, op4_quality_sample, op5_bpe, op6_simhash, op7_licences, op8_embeddings, op9_pii, op10_decontaminate, op12_manifest, op13_collocations, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -177,6 +181,22 @@ select doc_id, l.digest as leaf, s.digest as subroot, root, sha256(proof) as pro
 from leaves l join subroots s on s.s = l.g join done d on d.id = l.doc_id, root
 """
 
+_OP13 = """
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+     w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from p),
+     n as (select lang, cast(sum(len(w)) as bigint) as n from w group by lang),
+     f as (select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase, count(*) as f from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from w, range(1, 5) t(m) where len(w) >= m) group by all having count(*) >= 30),
+     c as (select lang, m, phrase, f as a, string_split(phrase, ' ') as w from f where m > 1),
+     s as (select lang, a, array_to_string(w[i:i + k - 1], ' ') as phrase from (select lang, a, w, k, unnest(range(1, m - k + 2)) as i from c, range(2, 4) t(k) where m > k)),
+     x as (select lang, phrase, max(a) as most from s group by all),
+     k as (select c.lang, c.phrase, a, w, m, unnest(range(1, m)) as k from c left join x using (lang, phrase) where most is null or 100 * most < 80 * a),
+     d as (select k.lang, k.phrase, a, k, l.f as l, r.f as r, cast((2000000 * cast(a as hugeint)) // (l.f + r.f) as bigint) as score
+           from k join f l on l.lang = k.lang and l.phrase = array_to_string(w[1:k], ' ') join f r on r.lang = k.lang and r.phrase = array_to_string(w[k + 1:], ' ')),
+     b as (select * from (select *, row_number() over (partition by lang, phrase order by score, k) as o from d) where o = 1),
+     t as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b)
+select lang, rank, phrase, a, l, r, n, score from t join n using (lang) where rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": _OP2, "op3_url_rules": _OP3, "op8_embeddings": _OP8, "op10_decontaminate": _OP10, "op12_manifest": _OP12}
+    return {"op2_warc": _OP2, "op3_url_rules": _OP3, "op8_embeddings": _OP8, "op10_decontaminate": _OP10, "op12_manifest": _OP12, "op13_collocations": _OP13}
