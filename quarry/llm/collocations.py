@@ -5,8 +5,8 @@ tasks fill stripes of a bounded number of words, merge() adds stripes of equal p
 from them: an entry is the count of a phrase, the entries of the empty prefix add up to the number of words, the longest
 entry of a prefix and of a suffix tells whether a phrase is only part of longer ones.
 
-Counts are exact. Stripes are made in three passes over the texts: no prefix; one word; two and three words. As no phrase
-is more frequent than its parts, a pass leaves out what has a part below `least`. It tells those by a Bloom filter of the
+Counts are exact. Stripes are made in a pass over the texts for each length of prefix, 0 to 3 words. As no phrase is more
+frequent than its parts, a pass leaves out what has a part below `least`. It tells those by a Bloom filter of the
 frequent phrases of the pass before. A filter never lets a frequent phrase go, and has at most 2^`MOST_BITS` bits at any
 size of the corpus; once it is full, more rare phrases reach the merge, which drops them by their counts.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from quarry.llm.shared import LOWER, Scratch, utf8
 
 #: Words that a task holds before it hands out stripes, and bytes of text taken at once.
-AT_ONCE, SLICE = 1 << 21, 1 << 22
+AT_ONCE, SLICE = 1 << 22, 1 << 22
 #: Bits of a Bloom filter: per phrase, and at most (as a power of two).
 BITS_EACH, MOST_BITS = 16, 28
 #: Shards of the empty prefix and of a hot one; a hot word is at least this share of all.
@@ -90,9 +91,13 @@ def hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    h = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + np.uint64(0x7F4A7C15))
-    return (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+def gram_hash(parts: list[np.ndarray]) -> np.ndarray:
+    """The hashes of phrases whose words have these."""
+    out = parts[0]
+    for b in parts[1:]:
+        h = (out * np.uint64(0x9E3779B97F4A7C15)) ^ (b + np.uint64(0x7F4A7C15))
+        out = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out
 
 
 class Bloom:
@@ -118,7 +123,7 @@ class Bloom:
 
 
 def bloom(phrases: DataFrame, n: int) -> Bloom:
-    """The filter of n phrases (lang, phrase) of one or two words, made in Spark: tasks OR their bits, and the words come."""
+    """The filter of n phrases (lang, phrase), of as many words each, made in Spark: tasks OR their bits, and the words come."""
     own = Bloom(min(MOST_BITS, max(16, (BITS_EACH * max(1, n) - 1).bit_length())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +132,7 @@ def bloom(phrases: DataFrame, n: int) -> Bloom:
             for lang, phrase in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
                 found.setdefault(lang, []).append(phrase.split(b" "))
             for lang, several in found.items():
-                parts = [hashes(lang, [w[i] for w in several]) for i in range(len(several[0]))]
-                places = [*own.places(parts[0] if len(parts) == 1 else pair_hash(*parts))]
+                places = [*own.places(gram_hash([hashes(lang, [w[i] for w in several]) for i in range(len(several[0]))]))]
                 at, bits = np.concatenate([p[0] for p in places]), np.concatenate([p[1] for p in places])
                 order = np.argsort(at, kind="stable")
                 at, bits = at[order], bits[order]
@@ -167,42 +171,29 @@ def word_stripes(lang: str, words: list[bytes], ids: np.ndarray) -> Iterator[pa.
         yield stripes(lang, np.zeros(n, np.int64), pa.array([""]), _shards(words[1:], SHARDS), np.arange(1, n + 1), _texts(words), counts)
 
 
-def pair_stripes(lang: str, words: list[bytes], ids: np.ndarray, frequent: Bloom, hot: frozenset[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
-    """The stripes of one word, of words that may both be frequent."""
-    may = frequent.has(hashes(lang, words))
-    may[0] = False
-    a, b = ids[:-1], ids[1:]
-    code, counts = np.unique((a << 32 | b)[may[a] & may[b]], return_counts=True)
-    if len(code):
-        a, b = code >> 32, code & 0xFFFFFFFF
-        hot_words, text = np.fromiter(((lang, w) in hot for w in words), bool, len(words)), _texts(words)
-        yield stripes(lang, a, text, np.where(hot_words[a], 1 + _shards(words, HOT_SHARDS)[b], 0), b, text, counts)
-
-
-def long_stripes(lang: str, words: list[bytes], ids: np.ndarray, frequent: Bloom, hot: frozenset[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
-    """The stripes of two and three words, where all neighbours may be frequent pairs."""
-    if len(ids) < 3:
+def longer_stripes(lang: str, words: list[bytes], ids: np.ndarray, m: int, frequent: Bloom, hot: frozenset[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
+    """The stripes of m words where they, and the last m of them and the next, may both be frequent."""
+    if len(ids) <= m:
         return
-    h = hashes(lang, words)
-    pairs = (ids[:-1] > 0) & (ids[1:] > 0)
-    pairs[pairs] = frequent.has(pair_hash(h[ids[:-1][pairs]], h[ids[1:][pairs]]))
-    three = np.flatnonzero(pairs[:-1] & pairs[1:])
-    if not len(three):
+    h, n = hashes(lang, words), len(ids) - m + 1
+    may = np.logical_and.reduce([ids[i : n + i] > 0 for i in range(m)])
+    if m == 1:
+        may &= frequent.has(h)[ids]
+    else:
+        at = np.flatnonzero(may)
+        may[at] = frequent.has(gram_hash([h[ids[at + i]] for i in range(m)]))
+    at = np.flatnonzero(may[:-1] & may[1:])
+    if not len(at):
         return
-    text, shard = _texts(words), 1 + _shards(words, HOT_SHARDS)
-    hot_words = np.fromiter(((lang, w) in hot for w in words), bool, len(words))
-    two, place = np.unique(ids[three] << 32 | ids[three + 1], return_inverse=True)
-    prefixes = pc.binary_join_element_wise(text.take(pa.array(two >> 32)), text.take(pa.array(two & 0xFFFFFFFF)), " ")
-    code, where, counts = np.unique(place << 32 | ids[three + 2], return_inverse=True, return_counts=True)
+    text = _texts(words)
+    first, prefixes, place = np.arange(len(words)), text, ids[at]
+    for i in range(1, m):
+        code, place = np.unique(place << 32 | ids[at + i], return_inverse=True)
+        first, prefixes = first[code >> 32], pc.binary_join_element_wise(prefixes.take(pa.array(code >> 32)), text.take(pa.array(code & 0xFFFFFFFF)), " ")
+    code, counts = np.unique(place << 32 | ids[at + m], return_counts=True)
     p, last = code >> 32, code & 0xFFFFFFFF
-    begins_hot = hot_words[two >> 32][p]
-    yield stripes(lang, p, prefixes, np.where(begins_hot, shard[last], 0), last, text, counts)
-    longer = np.flatnonzero(pairs[three + 2])  # the texts end with 0, so there is a pair after these
-    if len(longer):
-        threes = pc.binary_join_element_wise(prefixes.take(pa.array(p)), text.take(pa.array(last)), " ")
-        four, counts = np.unique(where[longer] << 32 | ids[three[longer] + 3], return_counts=True)
-        p, last = four >> 32, four & 0xFFFFFFFF
-        yield stripes(lang, p, threes, np.where(begins_hot[p], shard[last], 0), last, text, counts)
+    is_hot = np.fromiter(((lang, w) in hot for w in words), bool, len(words))
+    yield stripes(lang, p, prefixes, np.where(is_hot[first][p], 1 + _shards(words, HOT_SHARDS)[last], 0), last, text, counts)
 
 
 def merged(docs: DataFrame, make: Callable[[str, list[bytes], np.ndarray], Iterator[pa.RecordBatch]]) -> DataFrame:
@@ -225,13 +216,12 @@ def phrase_counts(docs: DataFrame, least: int, scratch: Scratch, lang_col: str =
     every = totals.agg(F.sum("n")).first()[0] or 0
     ones = scratch.written(words.where(F.col("f") >= least).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("m"), "f"))
     hot = frozenset((r.lang, r.phrase.encode()) for r in ones.where(F.col("f") * HOT_SHARE >= every).collect())  # HOT_SHARE words at most
-    phrase = F.concat_ws(" ", "prefix", "word")
-    frequent = docs.sparkSession.sparkContext.broadcast(bloom(ones, ones.count()))
-    twos = scratch.written(merged(rows, lambda *x: pair_stripes(*x, frequent.value, hot)).where(F.col("f") >= least).select("lang", phrase.alias("phrase"), F.lit(2).alias("m"), "f"))
-    pairs = docs.sparkSession.sparkContext.broadcast(bloom(twos, twos.count()))
-    more = merged(rows, lambda *x: long_stripes(*x, pairs.value, hot)).where(F.col("f") >= least)
-    more = scratch.written(more.select("lang", phrase.alias("phrase"), (F.size(F.split("prefix", " ", -1)) + 1).alias("m"), "f"))
-    return ones.unionByName(twos).unionByName(more), totals
+    every_m = [ones]
+    for m in (1, 2, 3):
+        frequent = docs.sparkSession.sparkContext.broadcast(bloom(every_m[-1], every_m[-1].count()))
+        more = merged(rows, lambda *x, m=m, frequent=frequent: longer_stripes(*x, m, frequent.value, hot)).where(F.col("f") >= least)
+        every_m.append(scratch.written(more.select("lang", F.concat_ws(" ", "prefix", "word").alias("phrase"), F.lit(m + 1).alias("m"), "f")))
+    return reduce(DataFrame.unionByName, every_m), totals
 
 
 def collocations(docs: DataFrame, least: int = 30, most: int = 2000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
