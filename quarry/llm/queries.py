@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, collocations, decontaminate, embeddings, html_text, licences, manifest, pii, quality, simhash, urlrules, warc
+from quarry.llm import bpe, collocations, decontaminate, embeddings, html_text, licences, manifest, pii, pitman_yor, quality, simhash, urlrules, warc
 from quarry.llm.shared import written
 from quarry.sources.shared import shared_folder
 
@@ -72,6 +72,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scored(_read(spark, sf_dir, "documents"))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(_read(spark, sf_dir, "documents"))
 
@@ -87,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_html_text, op2_warc, op3_url_rules, op4_quality_sample, op5_bpe, op6_simhash, op7_licences, op8_embeddings, op9_pii, op10_decontaminate, op12_manifest, op13_collocations, pipeline)
+    own = (op1_html_text, op2_warc, op3_url_rules, op4_quality_sample, op5_bpe, op6_simhash, op7_licences, op8_embeddings, op9_pii, op10_decontaminate, op11_pitman_yor, op12_manifest, op13_collocations, pipeline)
     return {f.__name__: f for f in own}
 
 

@@ -48,6 +48,12 @@ class Scratch:
         self.tables.append(written(df))
         return self.tables[-1]
 
+    def drop(self, df: DataFrame) -> None:
+        """Deletes a table of the job early; other frames stay as they are."""
+        if any(df is t for t in self.tables):
+            discard(df)
+            self.tables = [t for t in self.tables if t is not df]
+
     def last(self, df: DataFrame) -> DataFrame:
         out = written(df)
         for table in self.tables:
