@@ -41,7 +41,8 @@ BITS_EACH, MOST_BITS = 16, 28
 SHARDS, HOT_SHARDS, HOT_SHARE = 1024, 32, 10_000
 #: Piece ends become a full stop, which then is in no word; spaces and tabs stay.
 _PIECES = bytes(0x2E if chr(LOWER[i]) in ".,;:!?\n\x0b\x0c\r" else LOWER[i] for i in range(256))
-_SCHEMA = "lang string, prefix string, shard int, words array<string>, counts array<long>"
+#: entries: count, space, word; tabs between entries, which no word has. Far smaller in a shuffle than arrays are.
+_SCHEMA = "lang string, prefix string, shard int, entries string"
 
 
 class _Ids(dict):
@@ -150,9 +151,9 @@ def stripes(lang: str, prefix_of: np.ndarray, prefixes: pa.Array, shard: np.ndar
     p, s = prefix_of[order], shard[order]
     first = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (s[1:] != s[:-1])]) if len(p) else np.zeros(0, np.int64)
     ends = pa.array(np.append(first, len(p)).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(ends, x) for x in (words.take(pa.array(next_of[order])), pa.array(counts[order].astype(np.int64)))]
-    columns = [pa.array([lang] * len(first), pa.string()), prefixes.take(pa.array(p[first])), pa.array(s[first].astype(np.int32)), *lists]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "prefix", "shard", "words", "counts"])
+    each = pc.binary_join_element_wise(pa.array(counts[order]).cast(pa.string()), words.take(pa.array(next_of[order])), " ")
+    columns = [pa.array([lang] * len(first), pa.string()), prefixes.take(pa.array(p[first])), pa.array(s[first].astype(np.int32)), pc.binary_join(pa.ListArray.from_arrays(ends, each), "\t")]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "prefix", "shard", "entries"])
 
 
 def _texts(words: list[bytes]) -> pa.Array:
@@ -204,8 +205,9 @@ def merged(docs: DataFrame, make: Callable[[str, list[bytes], np.ndarray], Itera
             yield from make(lang, words, ids)
 
     dealt = docs.mapInArrow(run, _SCHEMA).repartition("lang", "prefix", "shard")
-    entries = dealt.select("lang", "prefix", "shard", F.explode(F.arrays_zip("words", "counts")).alias("e"))
-    return entries.groupBy("lang", "prefix", "shard", F.col("e.words").alias("word")).agg(F.sum("e.counts").alias("f")).drop("shard")
+    each = dealt.select("lang", "prefix", "shard", F.explode(F.split("entries", "\t", -1)).alias("e"))
+    each = each.select("lang", "prefix", "shard", F.expr("substring(e, instr(e, ' ') + 1)").alias("word"), F.substring_index("e", " ", 1).cast("long").alias("n"))
+    return each.groupBy("lang", "prefix", "shard", "word").agg(F.sum("n").alias("f")).drop("shard")
 
 
 def phrase_counts(docs: DataFrame, least: int, scratch: Scratch, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
