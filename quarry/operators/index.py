@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -44,31 +44,40 @@ def token_key(token: Column) -> Column:
     return F.xxhash64(token)
 
 
+TABLES = ("postings", "blocks", "tokens", "forward", "vectors", "lengths", "attributes", "stats")
+
+
 @dataclass(frozen=True)
 class Index:
     """The written tables that searches read: built once, searched many times.
 
-    postings: token, salt, chunk_id, tf, part (what the token adds to the chunk's BM25); tokens: token, df, n_salts;
-    forward: chunk_id, keys (sorted hashes of its tokens), weights (their parts); lengths: chunk_id, len; stats: n,
-    avg_len. The posting list of a frequent token is cut into n_salts lists, by chunk.
+    postings: token, salt, chunk_id, tf, part (what the token adds to the chunk's BM25); blocks: the same lists, ordered
+    by chunk and cut every so many, as token, salt, block, n, max_part, chunk_ids, parts; tokens: token, df, n_salts,
+    max_part; forward: chunk_id, keys (sorted hashes of its tokens), weights (their parts); vectors: chunk_id, keys
+    (sorted buckets), weights (of unit length); lengths: chunk_id, len; attributes: chunk_id and what else a hit shows;
+    stats: n, avg_len. The posting list of a frequent token is cut into n_salts lists, by chunk.
     """
 
     postings: DataFrame
+    blocks: DataFrame
     tokens: DataFrame
     forward: DataFrame
+    vectors: DataFrame
     lengths: DataFrame
+    attributes: DataFrame
     stats: DataFrame
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Index:
-        return cls(*[spark.read.parquet(f"{folder}/{name}") for name in ("postings", "tokens", "forward", "lengths", "stats")])
+        return cls(*[spark.read.parquet(f"{folder}/{name}") for name in TABLES])
 
 
-def build(chunks: DataFrame, folder: str, id_col: str = "chunk_id", tokens_col: str = "tokens", salt_rows: int = 100_000, k1: float = 1.4, b: float = 0.72) -> Index:
-    """Writes the index of chunks below folder, in one pass over them. salt_rows: the longest posting list in one piece.
+def build(chunks: DataFrame, folder: str, id_col: str = "chunk_id", tokens_col: str = "tokens", attributes: Sequence[str] = (), salt_rows: int = 100_000, block_rows: int = 128, dim: int = 768, k1: float = 1.4, b: float = 0.72) -> Index:
+    """Writes the index of chunks below folder, in one pass over them.
 
-    A chunk's tokens are counted before the shuffle. Joins to a frequent token are joins of two written tables, which
-    Spark splits.
+    attributes: columns of chunks that hits show, or are chosen by, so that a search reads no texts. salt_rows: the longest
+    posting list in one piece; block_rows: the longest block of it. A chunk's tokens are counted before the shuffle. Joins
+    to a frequent token are joins of two written tables, which Spark splits.
     """
     spark = chunks.sparkSession
 
@@ -76,21 +85,33 @@ def build(chunks: DataFrame, folder: str, id_col: str = "chunk_id", tokens_col:
         write_table(rows, None, f"{folder}/{name}", "errorifexists")
         return spark.read.parquet(f"{folder}/{name}")
 
-    own = put(chunks.select(F.col(id_col).alias("chunk_id"), F.col(tokens_col).alias("tokens"), F.size(tokens_col).cast("long").alias("len")), "tokenized")
+    own = put(chunks.select(F.col(id_col).alias("chunk_id"), F.col(tokens_col).alias("tokens"), F.size(tokens_col).cast("long").alias("len"), *attributes), "tokenized")
     lengths = put(own.select("chunk_id", "len"), "lengths")
+    put(own.select("chunk_id", *attributes), "attributes")
     stats = put(corpus_stats(lengths), "stats")
     raw = put(own.select("chunk_id", "len", F.explode("tokens").alias("token")).groupBy("token", "chunk_id", "len").agg(F.count("*").alias("tf")), "counted")
-    tokens = put(document_frequency(raw).withColumn("n_salts", F.ceil(F.col("df") / salt_rows).cast("int")), "tokens")
+    found = put(document_frequency(raw).withColumn("n_salts", F.ceil(F.col("df") / salt_rows).cast("int")), "frequencies")
     part = bm25_part(F.col("tf"), F.col("df"), F.col("len"), F.col("n"), F.col("avg_len"), k1, b)
     salt = F.pmod(F.xxhash64("chunk_id"), F.col("n_salts").cast("long")).cast("int")
-    postings = put(raw.join(tokens, "token").join(F.broadcast(stats)).select("token", salt.alias("salt"), "chunk_id", "tf", part.alias("part")), "postings")
-    pairs = F.sort_array(F.collect_list(F.struct(token_key(F.col("token")).alias("key"), F.col("part").alias("weight"))))
-    put(postings.groupBy("chunk_id").agg(pairs.alias("p")).select("chunk_id", F.col("p.key").alias("keys"), F.col("p.weight").alias("weights")), "forward")
-    for name in ("tokenized", "counted"):
+    postings = put(raw.join(found, "token").join(F.broadcast(stats)).select("token", salt.alias("salt"), "chunk_id", "tf", part.alias("part")), "postings")
+    nth = F.row_number().over(Window.partitionBy("token", "salt").orderBy("chunk_id")) - 1
+    entries = F.sort_array(F.collect_list(F.struct("chunk_id", "part")))
+    blocks = postings.withColumn("block", F.floor(nth / block_rows).cast("int")).groupBy("token", "salt", "block").agg(F.count("*").alias("n"), F.max("part").alias("max_part"), entries.alias("e"))
+    blocks = put(blocks.select("token", "salt", "block", "n", "max_part", F.col("e.chunk_id").alias("chunk_ids"), F.col("e.part").alias("parts")), "blocks")
+    put(found.join(blocks.groupBy("token").agg(F.max("max_part").alias("max_part")), "token"), "tokens")
+    put(keyed_lists(postings.select("chunk_id", token_key(F.col("token")).alias("key"), F.col("part").alias("weight"))), "forward")
+    put(keyed_lists(hashed_vectors(postings, dim).select("chunk_id", F.col("bucket").alias("key"), F.col("w").alias("weight"))), "vectors")
+    for name in ("tokenized", "counted", "frequencies"):
         drop_table(spark, f"{folder}/{name}")
     return Index.load(spark, folder)
 
 
+def keyed_lists(rows: DataFrame, by: Sequence[str] = ("chunk_id",)) -> DataFrame:
+    """rows (by, key, weight) as one row each: (by, keys in order, their weights)."""
+    pairs = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("key", "weight"))).alias("p"))
+    return pairs.select(*by, F.col("p.key").alias("keys"), F.col("p.weight").alias("weights"))
+
+
 def bucket(token: Column, dim: int = 768) -> Column:
     """A token's bucket, from the first 32 bits of its MD5."""
     return F.pmod(F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long"), F.lit(max(64, dim)))

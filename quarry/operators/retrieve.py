@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.index import Index, token_key
+from quarry.operators.index import Index, hashed_vectors, keyed_lists, token_key
 from quarry.operators.rules import Rules
+from quarry.sources.tables import kept
 
 DIGITS = 6
 QV = ("query_id", "variant_no")
@@ -92,66 +93,106 @@ def query_side(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy(*QV).agg(F.sort_array(F.collect_list(token_key(F.col("token")))).alias("keys")).withColumn("weights", F.transform("keys", lambda k: F.lit(1.0)))
 
 
-def vector_side(vectors: DataFrame, key: Sequence[str]) -> DataFrame:
-    """(key, keys, weights) of sparse vectors (key, bucket, w)."""
-    rows = vectors.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("bucket", "w"))).alias("p"))
-    return rows.select(*key, F.col("p.bucket").alias("keys"), F.col("p.w").alias("weights"))
+def vector_side(tokens: DataFrame, dim: int = 768) -> DataFrame:
+    """(query_id, variant_no, keys, weights) of the hashed vector of each query, to go with an index's vectors."""
+    own = hashed_vectors(tokens.withColumn("tf", F.lit(1)), dim, QV)
+    return keyed_lists(own.select(*QV, F.col("bucket").alias("key"), F.col("w").alias("weight")), QV)
 
 
 def pair_scores(among: DataFrame, queries: DataFrame, chunks: DataFrame, name: str, most: int = 4096) -> DataFrame:
     """(query_id, variant_no, chunk_id, name): for each pair the sum over common keys of the product of both weights.
 
     queries: query_id, variant_no, keys, weights; chunks: chunk_id, keys (sorted), weights. The work follows the pairs,
-    whatever tokens they share: a chunk's keys come once to the queries that ask for it and are looked up in one go. Up to
-    `most` queries are sent to all tasks, so that a pair is two numbers. More of them travel with their pairs, and a
-    chunk's keys come once for each block of about `most` queries. Pairs without a common key are left out.
+    whatever tokens they share: a chunk's keys come once to a block of about `most` queries and are looked up in one go.
+    The queries of a block are dealt to its tasks ahead of the chunks, all within the plan: nothing is collected, and a
+    task holds one block of queries and a batch of chunks. Pairs without a common key are left out.
     """
     ids = [(c, among.schema[c].dataType.simpleString()) for c in (*QV, "chunk_id")]
-    found = queries.select(*QV, "keys", "weights").limit(most + 1).collect()
-    if len(found) <= most:
-        known = {(r[0], r[1]): (np.array(r[2], np.int64), np.array(r[3], np.float64)) for r in found}
-        sent = among.sparkSession.sparkContext.broadcast(known)
-        pairs, extra = among.join(F.broadcast(queries.select(*QV)), list(QV), "left_semi"), []
-        blocks = 1
-    else:
-        sent, extra, blocks = None, ["k", "w"], 1 + queries.count() // most
-        pairs = among.join(queries.select(*QV, F.col("keys").alias("k"), F.col("weights").alias("w")), list(QV))
-    block = F.pmod(F.xxhash64(*QV), F.lit(blocks))
-    # pairs are small but looking them up is not: without a number, Spark would put them into few tasks
+    asked_type = f"array<struct<{', '.join(f'{c}:{t}' for c, t in ids[:2])}>>"
     tasks = int(among.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = pairs.repartition(tasks, "chunk_id").groupBy("chunk_id", block.alias("block")).agg(F.collect_list(F.struct(*QV, *extra)).alias("asked"))
-    rows = grouped.join(chunks, "chunk_id").select("chunk_id", "asked", "keys", "weights")
+    blocks = queries.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / most)).cast("int").alias("n_blocks"))
+    block, spread = F.pmod(F.xxhash64(*QV), F.col("n_blocks")).cast("int"), F.greatest(F.lit(1), F.expr(f"{tasks} div n_blocks").cast("int"))
+    sides = queries.join(F.broadcast(blocks)).withColumn("spread", spread).select(*QV, (block * F.col("spread")).alias("first"), "spread", "keys", "weights")
+    sides = sides.select(F.explode(F.sequence("first", F.col("first") + F.col("spread") - 1)).alias("slot"), F.lit(0).alias("kind"), *QV, F.lit(None).cast(ids[2][1]).alias("chunk_id"), F.lit(None).cast(asked_type).alias("asked"), "keys", "weights")
+    pairs = among.join(F.broadcast(blocks)).groupBy("chunk_id", block.alias("block"), spread.alias("spread")).agg(F.collect_list(F.struct(*QV)).alias("asked"))
+    slot = F.col("block") * F.col("spread") + F.pmod(F.xxhash64("chunk_id"), F.col("spread")).cast("int")
+    rows = pairs.join(chunks.select("chunk_id", "keys", "weights"), "chunk_id").select(slot.alias("slot"), F.lit(1).alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in ids[:2]], "chunk_id", "asked", "keys", "weights")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            chunk, lists_, keys, weights = b.columns
-            asked = lists_.flatten()
-            if sent is not None:
-                own_queries = [sent.value[q] for q in zip(asked.field(QV[0]).to_pylist(), asked.field(QV[1]).to_pylist(), strict=True)]
-                sizes = np.array([len(k) for k, _ in own_queries], np.int64)
-                q_keys, q_weights = (np.concatenate([x[i] for x in own_queries]) if own_queries else np.zeros(0) for i in (0, 1))
-            else:
-                sizes = asked.field("k").value_lengths().to_numpy()
-                q_keys, q_weights = asked.field("k").flatten().to_numpy(), asked.field("w").flatten().to_numpy()
-            own, own_weights = keys.flatten().to_numpy(), weights.flatten().to_numpy()
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            first = np.concatenate([[0], np.cumsum(lists_.value_lengths().to_numpy())])
-            at = np.concatenate([[0], np.cumsum(keys.value_lengths().to_numpy())])
-            total = np.zeros(len(asked))
-            for i in range(b.num_rows):
-                mine, mine_weights = own[at[i] : at[i + 1]], own_weights[at[i] : at[i + 1]]
-                if not len(mine):
+        at_slot, known = None, {}
+        for whole in batches:
+            slots, kinds = whole.column(0).to_numpy(), whole.column(1).to_numpy()
+            cuts = np.flatnonzero((np.diff(slots) != 0) | (np.diff(kinds) != 0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, whole.num_rows], strict=True):
+                if lo == hi:
                     continue
-                lo, hi = ends[first[i]], ends[first[i + 1]]
-                place = np.minimum(np.searchsorted(mine, q_keys[lo:hi]), len(mine) - 1)
-                product = np.where(mine[place] == q_keys[lo:hi], mine_weights[place] * q_weights[lo:hi], 0.0)
-                query = np.repeat(np.arange(first[i + 1] - first[i]), sizes[first[i] : first[i + 1]])
-                total[first[i] : first[i + 1]] = np.bincount(query, product, first[i + 1] - first[i])
-            chunk_ids = chunk.take(pa.array(np.repeat(np.arange(b.num_rows), np.diff(first))))
-            keep = pa.array(total != 0)
-            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (asked.field(QV[0]), asked.field(QV[1]), chunk_ids, pa.array(total))], names=[*QV, "chunk_id", name])
-
-    return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in ids) + f", {name} double")
+                if slots[lo] != at_slot:
+                    at_slot, known = slots[lo], {}
+                part = whole.slice(lo, hi - lo)
+                if kinds[lo] == 0:
+                    for q, v, k, w in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(6), part.column(7), strict=True):
+                        known[q, v] = (k.values.to_numpy(), w.values.to_numpy())
+                elif known:
+                    yield scored(part, known)
+
+    def scored(b: pa.RecordBatch, known: dict) -> pa.RecordBatch:
+        chunk, lists_, keys, weights = (b.column(i) for i in (4, 5, 6, 7))
+        asked = lists_.flatten()
+        mine = [known[q] for q in zip(asked.field(0).to_pylist(), asked.field(1).to_pylist(), strict=True)]
+        sizes = np.array([len(k) for k, _ in mine], np.int64)
+        q_keys, q_weights = (np.concatenate([x[i] for x in mine]) for i in (0, 1))
+        own, own_weights = keys.flatten().to_numpy(), weights.flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        first = np.concatenate([[0], np.cumsum(lists_.value_lengths().to_numpy())])
+        at = np.concatenate([[0], np.cumsum(keys.value_lengths().to_numpy())])
+        total = np.zeros(len(asked))
+        for i in range(b.num_rows):
+            here, here_weights = own[at[i] : at[i + 1]], own_weights[at[i] : at[i + 1]]
+            if not len(here):
+                continue
+            lo, hi = ends[first[i]], ends[first[i + 1]]
+            place = np.minimum(np.searchsorted(here, q_keys[lo:hi]), len(here) - 1)
+            product = np.where(here[place] == q_keys[lo:hi], here_weights[place] * q_weights[lo:hi], 0.0)
+            query = np.repeat(np.arange(first[i + 1] - first[i]), sizes[first[i] : first[i + 1]])
+            total[first[i] : first[i + 1]] = np.bincount(query, product, first[i + 1] - first[i])
+        chunk_ids = chunk.take(pa.array(np.repeat(np.arange(b.num_rows), np.diff(first))))
+        keep = pa.array(total != 0)
+        return pa.RecordBatch.from_arrays([x.filter(keep) for x in (asked.field(0), asked.field(1), chunk_ids, pa.array(total))], names=[*QV, "chunk_id", name])
+
+    dealt = sides.unionByName(rows).repartition(tasks, "slot").sortWithinPartitions("slot", "kind")
+    return dealt.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in ids) + f", {name} double")
+
+
+def reachable(tokens: DataFrame, index: Index, k: int, seeds: int = 64) -> tuple[DataFrame, DataFrame]:
+    """((query_id, variant_no, token, below, floor), their blocks' entries that can reach the k best of their query).
+
+    A query's tokens are ordered by the most that each adds to any chunk; `below` is what those before a token add at
+    most. A chunk counts at the last of its tokens, where it scores at most its part there and `below`. `floor` is a score
+    that k chunks are known to reach: the k-th best of the chunks, `seeds` times k and one list at most, that have the
+    tokens adding most. Blocks whose max_part and below stay under the floor are left out, so the tokens that most chunks
+    have are hardly read. Exact: a chunk of the k best is always among the entries.
+    """
+    order = Window.partitionBy(*QV)
+    rising = order.orderBy("max_part", "token")
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = tokens.join(index.tokens.select("token", "df", "n_salts", "max_part"), "token")
+    ranked = kept(ranked.withColumn("below", before("max_part", rising)).withColumn("rows_before", before("df", order.orderBy(F.col("max_part").desc(), F.col("token").desc()))))
+    early = lists(ranked.where(F.col("rows_before") < seeds * k).select(*QV, "token", "n_salts"), index.postings).select(*QV, "chunk_id").distinct()
+    known = top(combined(pair_scores(early, query_side(tokens), index.forward, "bm25")), k)
+    floors = kept(known.groupBy(*QV).agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k).drop("n"))
+    slack = F.lit(2 * 10.0**-DIGITS)  # scores are rounded, and sums of doubles depend on their order
+    wanted = ranked.join(floors, list(QV), "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - slack).where(F.col("max_part") + F.col("below") >= F.col("floor"))
+    wanted = wanted.select(*QV, "token", "n_salts", "below", "floor")
+    read = wanted.drop("n_salts").join(index.blocks, "token").where(F.col("max_part") + F.col("below") >= F.col("floor"))
+    return wanted, read
+
+
+def block_topk(tokens: DataFrame, index: Index, k: int) -> DataFrame:
+    """(query_id, variant_no, chunk_id, score, rank): the k best chunks per query by BM25, exactly, from the blocks that reach them."""
+    _, read = reachable(tokens, index, k)
+    entries = read.select(*QV, "below", "floor", F.explode(F.arrays_zip("chunk_ids", "parts")).alias("e")).where(F.col("e.parts") + F.col("below") >= F.col("floor"))
+    among = entries.select(*QV, F.col("e.chunk_ids").alias("chunk_id")).distinct()
+    return top(combined(pair_scores(among, query_side(tokens), index.forward, "bm25")), k)
 
 
 def cosine(left: Column, right: Column) -> Column:
@@ -173,15 +214,11 @@ def query_flags(queries: DataFrame, text: Column, rules: Rules) -> DataFrame:
     return queries.select(*QV, rules.flags(text).alias("q_flags"))
 
 
-def chunk_flags(chunks: DataFrame, text: Column, rules: Rules) -> DataFrame:
-    return chunks.select("chunk_id", rules.flags(text).alias("c_flags"))
-
-
 def adjusted(scored: DataFrame, q_flags: DataFrame, c_flags: DataFrame, factors: Sequence[tuple[int, int, float, float]]) -> DataFrame:
     """scored with score times the factors whose rules fire.
 
-    factors: (query rule, chunk rule, factor if both fire, factor if only the query's does). Patterns run once per
-    query and once per chunk; a pair only looks its flags up.
+    factors: (query rule, chunk rule, factor if both fire, factor if only the query's does). c_flags: chunk_id, c_flags,
+    as the index keeps them. Patterns run once per query and once per chunk; a pair only looks its flags up.
     """
     rows = scored.join(q_flags, list(QV)).join(c_flags, "chunk_id")
     product = F.lit(1.0)

@@ -145,7 +145,7 @@ def _var(label: str, text: str, weight: float) -> str:
     return f"{{'label': {lit(label)}, 'text': {text}, 'weight': cast({weight} as double)}}"
 
 
-def _variants_sql(cap: int) -> str:
+def variants_sql(cap: int, queries: str = _Q) -> str:
     empty = "cast([] as struct(label varchar, text varchar, weight double)[])"
     parts = [f"[{_var('original', 'x', 1.0)}]", f"case when len(syn) > 0 then [{_var('synonyms', 'x || chr(32) || array_to_string(syn, chr(32))', 0.9)}] else {empty} end", f"list_transform(planned[1:4], lambda t: {_var('plan', 't', 0.92)})"]
     for triggers, found in INTENTS:
@@ -154,7 +154,7 @@ def _variants_sql(cap: int) -> str:
         if e.variant_queries:
             parts.append(f"case when {_trig(e)} then [{', '.join(_var('keyword:' + e.entry_id, lit(t), 0.84) for t in e.variant_queries[:2])}] else {empty} end")
     parts.append(f"case when len(fac) > 0 then [{_var('condition', lit('facts: ') + ' || x', 1.02)}] else {empty} end")
-    return f"""{_Q}, q2 as (select *, {_SYN} as syn, {_field('search_queries')} as planned, {_FACETS} as fac, {_EXPANDED} as expanded from q),
+    return f"""{queries}, q2 as (select *, {_SYN} as syn, {_field('search_queries')} as planned, {_FACETS} as fac, {_EXPANDED} as expanded from q),
       a as (select query_id, expanded, list_transform(flatten([{', '.join(parts)}]), lambda v: {{'label': v.label, 'text': {sql_collapse('v.text')}, 'weight': v.weight}}) as vs from q2),
       b as (select query_id, expanded, list_filter(vs, lambda v, i: v.text <> '' and list_position(list_transform(vs, lambda w: lower(w.text)), lower(v.text)) = i)[1:{cap}] as vs from a),
       c as (select query_id, case when len(vs) = 1 then list_append(vs, {_var('tokens', 'array_to_string(' + _DISTINCT.format(sql_tokens('expanded')) + ', chr(32))', 0.84)}) else vs end as vs from b)"""
@@ -171,8 +171,8 @@ SQL = {
     "q4_concepts": f"with {_Q} select query_id, array_to_string({_CONCEPTS}, ',') as concepts from q",
     "q5_search_plan": f"with {_Q} select query_id, " + ", ".join(f"array_to_string({_field(f)}, '|') as {f}" for f in P.FIELDS) + " from q",
     "q6_required_facets": f"with {_Q} select query_id, array_to_string(list_sort(list_distinct({_FACETS})), ',') as facets from q",
-    "q7_variants": f"with {_variants_sql(24)} select query_id, i - 1 as variant_no, v.label as label, v.text as text, v.weight as weight from (select query_id, unnest(vs) as v, generate_subscripts(vs, 1) as i from c)",
-    "q8_variant_cap": f"with {_variants_sql(8)} select query_id, cast(len(vs) as bigint) as n from c",
+    "q7_variants": f"with {variants_sql(24)} select query_id, i - 1 as variant_no, v.label as label, v.text as text, v.weight as weight from (select query_id, unnest(vs) as v, generate_subscripts(vs, 1) as i from c)",
+    "q8_variant_cap": f"with {variants_sql(8)} select query_id, cast(len(vs) as bigint) as n from c",
     "q9_intent": f"with {_Q}, {_INTENT} select query_id, question_type, array_to_string(required_facets, '|') as required_facets, array_to_string(concepts, '|') as concepts from i",
     "q10_comparison": f"with {_Q} select query_id, {_COMPARES} as compares from q",
     "q11_retrieval_text": f"with {_Q}, {_INTENT} select query_id, substr(array_to_string(list_filter(list_concat([x, {sql_collapse('x')}, question_type], required_facets, concepts, target_parts, evidence_wanted, avoided), lambda t: t <> ''), ' '), 1, 1400) as retrieval from i",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +14,14 @@ from quarry.operators import index as I
 from quarry.operators import retrieve as R
 from quarry.operators.dense import dense_topk
 from quarry.operators.rules import Rules, any_of
+from quarry.plans import planner as P
+from quarry.queries import planning as N
 from quarry.queries.chunking import sql_fires
-from quarry.queries.indexing import SQL_INDEX, doc_tokens
-from quarry.queries.shared import read, sql_excerpt, sql_tokens
+from quarry.queries.indexing import SQL_INDEX
+from quarry.queries.shared import lit, read, sql_collapse, sql_excerpt, sql_tokens
 from quarry.queries.tagging import TOPICS, sql_values
-from quarry.sources.shared import shared_folder
-from quarry.sources.tables import read_table, write_table
+from quarry.sources.shared import fingerprint, shared_folder
+from quarry.sources.tables import drop_table, fetched, kept, read_table, write_table
 
 _W = "(^|[^a-z])(%s)([^a-z]|$)"
 #: Our own rules: what a query asks for, what a document is, and factors for pairs of them.
@@ -26,17 +30,36 @@ IS = [*any_of(1, "c", "english", "regex", _W % "the"), *any_of(2, "c", "table",
 FACTORS = ((1, 1, 1.2517, 0.5239), (2, 1, 0.2713, 1.1037), (3, 2, 0.9137, 1.0), (1, 3, 1.4973, 1.0))
 
 
-_BUILT: dict[tuple[str, str], str] = {}
+#: What a hit shows and is chosen by: kept in the index, so that a search reads no texts.
+SHOWN = ("source", "source_label", "section", "chunk_type", "hit_key")
+ATTRIBUTES = (*SHOWN, "facets", "c_flags", "chars")
+_BUILT: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a chunk, with its tokens and attributes."""
+    kind = F.when(F.col("doc_id") % 2 == 0, "text").otherwise("table_row")
+    rows = read(spark, d, "documents").select(
+        F.col("doc_id").alias("chunk_id"), T.tokenize("text").alias("tokens"), "source", F.col("source").alias("source_label"), F.col("lang").alias("section"), kind.alias("chunk_type"), R.dedup_key(F.col("source"), F.col("lang"), kind, F.col("text")).alias("hit_key"),
+        F.lower("text").alias("low"), F.length("text").alias("chars"),
+    )
+    return rows.withColumn("facets", Rules(TOPICS).values(F.col("low"))).withColumn("c_flags", Rules(IS).flags(F.col("low"))).drop("low")
 
 
 def index_of(spark: SparkSession, d: str) -> I.Index:
-    """The index of the documents, built below the shared folder by the first query of a Spark application that asks for it."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _BUILT:
+    """The index of the documents below the shared folder, built by the first query of a Spark application that asks for it.
+
+    It is built anew, and the old one deleted, when names, sizes or times of the documents' files have changed.
+    """
+    key, now = (spark.sparkContext.applicationId, d), fingerprint(spark, f"{d}/documents.parquet")
+    known, folder = _BUILT.get(key, ("", ""))
+    if known != now:
+        if folder:
+            drop_table(spark, folder)
         folder = shared_folder(spark)
-        I.build(doc_tokens(spark, d), folder)
-        _BUILT[key] = folder
-    return I.Index.load(spark, _BUILT[key])
+        I.build(_chunks(spark, d), folder, attributes=ATTRIBUTES)
+        _BUILT[key] = (now, folder)
+    return I.Index.load(spark, folder)
 
 
 class Corpus:
@@ -48,7 +71,7 @@ class Corpus:
         self.asked = R.query_tokens(self.queries, T.tokenize("text"))
 
     def candidates(self, asked: DataFrame | None = None) -> DataFrame:
-        return R.candidates(self.asked if asked is None else asked, self.index.postings, self.index.stats, self.index.tokens)
+        return R.candidates(self.asked if asked is None else asked, self.index.postings, self.index.stats, self.index.tokens.select("token", "df", "n_salts"))
 
     def scored(self, asked: DataFrame | None = None) -> DataFrame:
         """The candidates' BM25."""
@@ -56,13 +79,7 @@ class Corpus:
         return R.combined(R.pair_scores(self.candidates(asked), R.query_side(asked), self.index.forward, "bm25"))
 
     def sparse(self, among: DataFrame) -> DataFrame:
-        own = I.hashed_vectors(self.index.postings.select("token", "chunk_id", "tf"))
-        asked = I.hashed_vectors(self.asked.withColumn("tf", F.lit(1)), key=R.QV)
-        return R.pair_scores(among, R.vector_side(asked, R.QV), R.vector_side(own, ["chunk_id"]), "sparse")
-
-    def fields(self) -> DataFrame:
-        kind = F.when(F.col("doc_id") % 2 == 0, "text").otherwise("table_row")
-        return self.docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_label"), F.col("source"), F.col("lang").alias("section"), kind.alias("chunk_type"), R.dedup_key(F.col("source"), F.col("lang"), kind, F.col("text")).alias("hit_key"))
+        return R.pair_scores(among, R.vector_side(self.asked), self.index.vectors, "sparse")
 
 
 def r1_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -70,9 +87,9 @@ def r1_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r2_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Without pruning: every chunk that has a token of the query."""
+    """The best of all chunks, from the blocks of posting lists that can reach them."""
     c = Corpus(spark, d)
-    return R.top(R.combined(R.bm25(c.asked, c.index)), 5).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+    return R.block_topk(c.asked, c.index, 5).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def r3_sparse_cosine(spark: SparkSession, d: str) -> DataFrame:
@@ -100,14 +117,13 @@ def r5_combined(spark: SparkSession, d: str) -> DataFrame:
 
 def r6_adjusted(spark: SparkSession, d: str) -> DataFrame:
     c = Corpus(spark, d)
-    chunks = c.docs.select(F.col("doc_id").alias("chunk_id"), F.lower("text").alias("x"))
-    rows = R.adjusted(c.scored(), R.query_flags(c.queries, F.lower("text"), Rules(ASKS)), R.chunk_flags(chunks, F.col("x"), Rules(IS)), FACTORS)
+    rows = R.adjusted(c.scored(), R.query_flags(c.queries, F.lower("text"), Rules(ASKS)), c.index.attributes.select("chunk_id", "c_flags"), FACTORS)
     return rows.select("query_id", "chunk_id", "score")
 
 
 def r7_best_per_key(spark: SparkSession, d: str) -> DataFrame:
     c = Corpus(spark, d)
-    return R.best_per_key(c.scored().join(c.fields(), "chunk_id")).select("query_id", "chunk_id", "hit_key", "score")
+    return R.best_per_key(c.scored().join(c.index.attributes.select("chunk_id", "hit_key"), "chunk_id")).select("query_id", "chunk_id", "hit_key", "score")
 
 
 def r8_pruned_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +131,7 @@ def r8_pruned_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(c: Corpus, asked: DataFrame | None = None, limit: int = 8) -> DataFrame:
-    rows = R.best_per_key(c.scored(asked).join(c.fields(), "chunk_id"))
+    rows = R.best_per_key(c.scored(asked).join(c.index.attributes.select("chunk_id", *SHOWN), "chunk_id"))
     return R.balanced(R.top(rows, R.variant_size(limit)).drop("rank"), limit)
 
 
@@ -123,36 +139,56 @@ def r9_balanced(spark: SparkSession, d: str) -> DataFrame:
     return _hits(Corpus(spark, d)).select("query_id", "chunk_id", "source_label", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def _variants(c: Corpus, extra: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Each query whole, its first ten tokens, and on request its last five as a priority query."""
-    rows = c.queries.select("query_id", T.tokenize("text").alias("t"))
-    made = [(0, F.col("t"), 1.0, 35.0), (1, F.slice("t", 1, 10), 0.84, 35.0), *([(2, F.slice("t", F.greatest(F.size("t") - 4, F.lit(1)), 5), 50.0, 10000.0)] if extra else [])]
-    every = rows.select("query_id", F.explode(F.array(*[F.struct(F.lit(n).cast("long").alias("variant_no"), t.alias("t"), F.lit(w).alias("weight"), F.lit(b).alias("bonus")) for n, t, w, b in made])).alias("v")).select("query_id", "v.*")
-    return every, R.query_tokens(every, F.col("t"))
+#: Our own texts to search first for queries of a concept; how many hits a variant and such a text bring; where their numbers start.
+PRIORITY = (("english", "the one that there is and of them"), ("english", "in the and on"))
+PER_VARIANT, PER_PRIORITY, FIRST_PRIORITY = 16, 10, 100
+
+
+def _planned(c: Corpus) -> DataFrame:
+    """(query_id, variant_no, text, weight, bonus): the variants that the planner makes of each query."""
+    text = F.col("text")
+    made = P.variants(text, N.SYNONYMS, N.ENTRIES, N.INTENTS, P.plan(Rules(N.CONCEPTS).values(text), N.PROFILES)["search_queries"], [(Rules(N.FACETS), "facts: {query}", 1.02)])
+    return P.variant_table(c.queries, made).select("query_id", F.col("variant_no").cast("long").alias("variant_no"), "text", "weight", F.lit(35.0).alias("bonus"))
+
+
+def _priority(c: Corpus) -> DataFrame:
+    concepts = Rules(N.CONCEPTS).values(F.col("text"))
+    made = F.array(*[F.struct(F.lit(FIRST_PRIORITY + i).cast("long").alias("variant_no"), F.lit(t).alias("text"), F.lit(concept).alias("concept")) for i, (concept, t) in enumerate(PRIORITY)])
+    rows = c.queries.select("query_id", F.explode(F.filter(made, lambda p: F.array_contains(concepts, p["concept"]))).alias("p"))
+    return rows.select("query_id", "p.variant_no", "p.text", F.lit(50.0).alias("weight"), F.lit(10000.0).alias("bonus"))
 
 
 def r10_fused(spark: SparkSession, d: str) -> DataFrame:
+    """The hits of all variants that Q7's planner makes of each query, as one list."""
     c = Corpus(spark, d)
-    variants, asked = _variants(c)
-    return R.fused(_hits(c, asked), variants).select("query_id", "variant_no", "chunk_id", "hit_key", F.round("score", 4).alias("score"))
+    variants = kept(_planned(c))
+    hits = _hits(c, R.query_tokens(variants, T.tokenize("text")), PER_VARIANT)
+    return R.fused(hits, variants).select("query_id", "variant_no", "chunk_id", "hit_key", F.round("score", 4).alias("score"))
 
 
 def r11_priority(spark: SparkSession, d: str) -> DataFrame:
+    """As r10, and with the texts that a query's concepts put first."""
     c = Corpus(spark, d)
-    variants, asked = _variants(c, True)
-    return R.fused(_hits(c, asked), variants).select("query_id", "variant_no", "chunk_id", "hit_key", F.round("score", 3).alias("score"))
+    variants = kept(_planned(c).unionByName(_priority(c)))
+    hits = [_hits(c, R.query_tokens(variants.where(own), T.tokenize("text")), limit) for own, limit in ((F.col("variant_no") < FIRST_PRIORITY, PER_VARIANT), (F.col("variant_no") >= FIRST_PRIORITY, PER_PRIORITY))]
+    return R.fused(hits[0].unionByName(hits[1]), variants).select("query_id", "variant_no", "chunk_id", "hit_key", F.round("score", 3).alias("score"))
+
 
+def _with_excerpts(c: Corpus, hits: DataFrame, chars: int, asked: DataFrame | None = None) -> DataFrame:
+    """hits with the part of the document that fits the query best; texts are read for known hits only.
 
-def _with_excerpts(c: Corpus, hits: DataFrame, chars: int) -> DataFrame:
-    """hits with the part of the document that fits the query best; texts are fetched for hits only."""
-    asked = c.queries.select("query_id", F.array_distinct(T.tokenize("text")).alias("q"))
-    rows = hits.join(c.docs.select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id").join(asked, "query_id")
+    asked: query_id, variant_no, text of the queries, where hits come from others than the benchmark's own.
+    """
+    keys = ["query_id"] if asked is None else list(R.QV)
+    q = (c.queries if asked is None else asked).select(*keys, F.array_distinct(T.tokenize("text")).alias("q"))
+    texts = fetched(c.docs.select(F.col("doc_id").alias("chunk_id"), "text"), hits, "chunk_id")
+    rows = hits.join(texts, "chunk_id").join(q, keys)
     return rows.withColumn("excerpt", excerpt(F.col("text"), F.col("q"), chars)).drop("text", "q")
 
 
 def _limited(spark: SparkSession, d: str, limits: R.Limits) -> DataFrame:
     c = Corpus(spark, d)
-    return _with_excerpts(c, _hits(c, limit=limits.hits), limits.chars).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "excerpt")
+    return _with_excerpts(c, kept(_hits(c, limit=limits.hits)), limits.chars).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "excerpt")
 
 
 def r17_candidate_limits(spark: SparkSession, d: str) -> DataFrame:
@@ -163,11 +199,16 @@ def r17_strict_limits(spark: SparkSession, d: str) -> DataFrame:
     return _limited(spark, d, R.answer_limits(strict=True))
 
 
+def _found(spark: SparkSession, d: str, limit: int = 8) -> tuple[Corpus, DataFrame]:
+    """Balanced hits with their facets, kept."""
+    c = Corpus(spark, d)
+    return c, kept(_hits(c, limit=limit).join(c.index.attributes.select("chunk_id", "facets"), "chunk_id"))
+
+
 def _evidence(spark: SparkSession, d: str, limit: int = 8, chars: int = R.ANSWERS.chars) -> tuple[Corpus, DataFrame]:
     """Balanced hits with what the later steps need."""
-    c = Corpus(spark, d)
-    body = c.docs.select(F.col("doc_id").alias("chunk_id"), Rules(TOPICS).values(F.lower("text")).alias("facets"))
-    return c, _with_excerpts(c, _hits(c, limit=limit), chars).join(body, "chunk_id")
+    c, hits = _found(spark, d, limit)
+    return c, _with_excerpts(c, hits, chars)
 
 
 def _needs(c: Corpus) -> DataFrame:
@@ -182,7 +223,7 @@ def r12_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _covered(spark: SparkSession, d: str) -> tuple[Corpus, DataFrame, DataFrame]:
-    c, hits = _evidence(spark, d)
+    c, hits = _found(spark, d)
     return c, hits, V.coverage(_needs(c), hits, ["mail", "licensed"])
 
 
@@ -195,10 +236,10 @@ TEMPLATES = [("mail", 1, "{query}  address"), ("mail", 2, "how to write to"), ("
 
 
 def _second(spark: SparkSession, d: str) -> tuple[Corpus, DataFrame, DataFrame]:
+    """The hits, and for the queries whose hits lack facets up to four further texts to search with, kept."""
     c, hits, covered = _covered(spark, d)
     templates = spark.createDataFrame(TEMPLATES, "facet string, item_no int, text string")
-    short = c.queries.select("query_id", F.substring("text", 1, 40).alias("text"))
-    return c, hits, V.second_pass(covered, templates, short, 2)
+    return c, hits, kept(V.second_pass(covered, templates, c.queries))
 
 
 def r14_second_pass(spark: SparkSession, d: str) -> DataFrame:
@@ -206,19 +247,20 @@ def r14_second_pass(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r15_appended(spark: SparkSession, d: str) -> DataFrame:
-    """First hits, and new ones of the search with each query's first ten tokens."""
-    c, hits = _evidence(spark, d)
-    key = V.identity(F.col("source"), F.col("section"), F.col("chunk_type"), F.col("excerpt"))
-    variants, asked = _variants(c)
-    more = _with_excerpts(c, _hits(c, asked.where("variant_no = 1")), R.ANSWERS.chars).withColumn("identity", key).withColumn("pass_no", F.lit(1))
-    columns = ["query_id", "chunk_id", "identity", "rank"]
-    return V.appended(hits.withColumn("identity", key).select(*columns), more.select(*columns, "pass_no")).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+    """First hits, and new ones of a second search, with the texts of r14: only queries that lack a facet are searched again."""
+    c, hits, texts = _second(spark, d)
+    again = texts.select("query_id", F.col("pass_no").cast("long").alias("variant_no"), "text")
+    more = kept(_hits(c, R.query_tokens(again, T.tokenize("text"))))
+    shown = _with_excerpts(c, hits.drop("facets").unionByName(more), R.ANSWERS.chars, c.queries.unionByName(again))
+    shown = kept(shown.select("query_id", F.col("variant_no").alias("pass_no"), "chunk_id", "rank", V.identity(F.col("source"), F.col("section"), F.col("chunk_type"), F.col("excerpt")).alias("identity")))
+    rows = V.appended(shown.where("pass_no = 0").drop("pass_no"), shown.where("pass_no > 0"))
+    return rows.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
 def r16_whole_sections(spark: SparkSession, d: str) -> DataFrame:
-    c, hits = _evidence(spark, d)
-    chunks = c.fields().join(c.docs.select(F.col("doc_id").alias("chunk_id"), F.length("text").alias("parent_chars")), "chunk_id")
-    return V.whole_sections(hits, chunks).select("query_id", "source", "section", "chunk_id", F.round("score", 4).alias("score"))
+    c = Corpus(spark, d)
+    chunks = c.index.attributes.select("chunk_id", *SHOWN, F.col("chars").alias("parent_chars"))
+    return V.whole_sections(_hits(c), chunks).select("query_id", "source", "section", "chunk_id", F.round("score", 4).alias("score"))
 
 
 def r18_answerable(spark: SparkSession, d: str) -> DataFrame:
@@ -256,8 +298,11 @@ _ASKED = "asked as (select query_id, variant_no, unnest(list_distinct(t)) as tok
 
 
 def _variants_sql(extra: bool) -> str:
-    more = f" union all select item_id, 2, {sql_tokens('text')}[-5:], 50.0, 10000.0 from benchmark" if extra else ""
-    return f"v as (select item_id as query_id, 0 as variant_no, {sql_tokens('text')} as t, cast(1.0 as double) as weight, cast(35.0 as double) as bonus from benchmark union all select item_id, 1, {sql_tokens('text')}[1:10], 0.84, 35.0 from benchmark{more})"
+    """The planner's variants of the benchmark's texts, and priority texts."""
+    own = f"select query_id, i - 1 as variant_no, list_distinct({sql_tokens('v.text')}) as t, v.weight as weight, 35.0 as bonus from (select query_id, unnest(vs) as v, generate_subscripts(vs, 1) as i from c)"
+    concepts = sql_values(Rules(N.CONCEPTS))
+    more = "".join(f" union all select query_id, {FIRST_PRIORITY + i}, list_distinct({sql_tokens(lit(t))}), 50.0, 10000.0 from q where list_contains({concepts}, '{concept}')" for i, (concept, t) in enumerate(PRIORITY)) if extra else ""
+    return f"{N.variants_sql(24, 'q as (select item_id as query_id, text as x from benchmark)')}, v as ({own}{more})"
 
 
 _BM = """bm as (select query_id, variant_no, post.chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (1 - 0.72 + 0.72 * len / avg_len))) as bm25
@@ -281,8 +326,9 @@ _FIELDS = """fields as (select doc_id as chunk_id, source, lang as section, case
     best as (select * from keyed where kn = 1)"""
 
 
-def _balanced_sql(limit: int) -> str:
-    n = R.variant_size(limit)
+def _balanced_sql(limit: int | str, most: int | str | None = None) -> str:
+    """The balanced hits; limit and most may be expressions over a variant."""
+    n = R.variant_size(limit) if most is None else most
     return f"""{_FIELDS}, tops as (select * from (select *, row_number() over (partition by query_id, variant_no order by score desc, chunk_id) as a from best) where a <= {n}),
     owns as (select *, row_number() over (partition by query_id, variant_no, source order by score desc, chunk_id) as o, min(a) over (partition by query_id, variant_no, source) as f from tops),
     turns as (select *, row_number() over (partition by query_id, variant_no order by case when o <= 2 then 0 else 1 end, case when o <= 2 then f else a end, case when o <= 2 then o else 0 end) as turn from owns),
@@ -290,7 +336,9 @@ def _balanced_sql(limit: int) -> str:
 
 
 def _fused_sql(extra: bool) -> str:
-    return f"""with {SQL_INDEX}, {_variants_sql(extra)}, {_ASKED}, {_BM_CAND}, {_balanced_sql(8)},
+    by = lambda a, b: f"(case when variant_no < {FIRST_PRIORITY} then {a} else {b} end)"
+    limits = by(PER_VARIANT, PER_PRIORITY), by(R.variant_size(PER_VARIANT), R.variant_size(PER_PRIORITY))
+    return f"""with {SQL_INDEX}, {_variants_sql(extra)}, {_ASKED}, {_BM_CAND}, {_balanced_sql(*limits)},
     fused as (select hits.query_id, variant_no, chunk_id, hit_key, rank, round(score * weight + bonus / (rank + 1), 6) as score from hits join v using (query_id, variant_no)),
     one as (select *, row_number() over (partition by query_id, hit_key order by score desc, variant_no, rank) as k from fused)"""
 
@@ -310,6 +358,18 @@ def _excerpts_sql(chars: int) -> str:
     bodies as (select hits.*, d.text, qt.q from hits join documents d on d.doc_id = hits.chunk_id join qt using (query_id)), {sql_excerpt('bodies', 'shown', chars)}"""
 
 
+_SECOND = f"""{_COVER}, tpl(facet, item_no, t) as (values {", ".join(f"('{f}', {n}, '{t}')" for f, n, t in TEMPLATES)}),
+        m as (select query_id, text, unnest(missing) as facet from cov),
+        s as (select query_id, facet, item_no, {sql_collapse("replace(t, '{query}', text)")} as text from m join tpl using (facet)),
+        o as (select *, row_number() over (partition by query_id, lower(text) order by facet, item_no) as k from s),
+        p as (select * from (select query_id, text, row_number() over (partition by query_id order by facet, item_no) as pass_no from o where k = 1) where pass_no <= 4)"""
+
+
+def _again(sql: str) -> str:
+    """The search's common table expressions under names of their own."""
+    return re.sub(r"\b(v|asked|bm|every|ranked|firsts|per|cum|cand|scored|fields|keyed|best|tops|owns|turns|hits)\b", r"\1_2", sql)
+
+
 def _factor_sql() -> str:
     q, c = {r.number: r for r in Rules(ASKS).rules}, {r.number: r for r in Rules(IS).rules}
     fires = lambda r, x: sql_fires(r).replace("(x,", f"({x},").replace("(x)", f"({x})")
@@ -332,19 +392,17 @@ SQL = {
     "r10_fused": f"{_fused_sql(False)} select query_id, cast(variant_no as bigint) as variant_no, chunk_id, hit_key, round(score, 4) as score from one where k = 1",
     "r11_priority": f"{_fused_sql(True)} select query_id, cast(variant_no as bigint) as variant_no, chunk_id, hit_key, round(score, 3) as score from one where k = 1",
     "r13_coverage": f"{_COVER} select query_id, array_to_string(required, ',') as required, array_to_string(covered, ',') as covered, array_to_string(missing, ',') as missing, case when len(required) > 0 then len(missing) = 0 else n > 0 end as answerable from cov",
-    "r14_second_pass": f"""{_COVER}, tpl(facet, item_no, t) as (values {", ".join(f"('{f}', {n}, '{t}')" for f, n, t in TEMPLATES)}),
-        m as (select query_id, text, unnest(missing) as facet from cov),
-        s as (select query_id, facet, item_no, trim(regexp_replace(replace(t, '{{query}}', substr(text, 1, 40)), '\\s+', ' ', 'g')) as text from m join tpl using (facet)),
-        o as (select *, row_number() over (partition by query_id, lower(text) order by facet, item_no) as k from s),
-        p as (select *, row_number() over (partition by query_id order by facet, item_no) as pass_no from o where k = 1)
-        select query_id, pass_no, text from p where pass_no <= 2""",
-    "r15_appended": f"""with {SQL_INDEX}, {_variants_sql(False)}, {_ASKED}, {_BM_CAND}, {_balanced_sql(8)},
-        {_excerpts_sql(520)}, ident as (select *, source || '|' || section || '|' || chunk_type || '|' || substr(sha1(excerpt), 1, 12) as identity from shown),
-        a as (select * from ident where variant_no = 0),
-        b as (select *, row_number() over (partition by query_id, identity order by rank) as k from ident where variant_no = 1 and not exists (select 1 from a where a.query_id = ident.query_id and a.identity = ident.identity)),
-        c as (select *, row_number() over (partition by query_id order by rank) as m from b where k = 1),
+    "r14_second_pass": f"{_SECOND} select query_id, pass_no, text from p",
+    "r15_appended": f"""{_SECOND}, v_2 as (select query_id, pass_no as variant_no, list_distinct({sql_tokens('text')}) as t from p), {_again(f"{_ASKED}, {_BM_CAND}, {_balanced_sql(8)}")},
+        qt as (select item_id as query_id, 0 as pass_no, list_distinct({sql_tokens('text')}) as q from benchmark union all select query_id, pass_no, list_distinct({sql_tokens('text')}) from p),
+        found as (select query_id, 0 as pass_no, chunk_id, source, section, chunk_type, rank from hits union all select query_id, variant_no, chunk_id, source, section, chunk_type, rank from hits_2),
+        bodies as (select found.*, d.text, qt.q from found join documents d on d.doc_id = found.chunk_id join qt using (query_id, pass_no)), {sql_excerpt('bodies', 'shown', 520)},
+        ident as (select *, source || '|' || section || '|' || chunk_type || '|' || substr(sha1(excerpt), 1, 12) as identity from shown),
+        a as (select * from ident where pass_no = 0),
+        b as (select *, row_number() over (partition by query_id, identity order by pass_no, rank) as k from ident where pass_no > 0 and not exists (select 1 from a where a.query_id = ident.query_id and a.identity = ident.identity)),
+        e as (select *, row_number() over (partition by query_id order by pass_no, rank) as m from b where k = 1),
         l as (select query_id, max(rank) as top from a group by query_id)
-        select query_id, chunk_id, rank from a union all select query_id, chunk_id, m + coalesce(top, 0) from c left join l using (query_id) where m <= 4""",
+        select query_id, chunk_id, rank from a union all select query_id, chunk_id, m + coalesce(top, 0) from e left join l using (query_id) where m <= 4""",
     "r16_whole_sections": f"""{_BASE}, {_balanced_sql(8)},
         asked2 as (select * from (select *, row_number() over (partition by query_id, source, section order by rank) as k from hits) where k = 1),
         own as (select source, section, chunk_id from (select f.*, row_number() over (partition by f.source, f.section order by f.chunk_type = 'text' desc, length(d.text) desc, f.chunk_id) as k from fields f join documents d on d.doc_id = f.chunk_id) where k = 1),

@@ -1,4 +1,4 @@
-"""A folder that the driver and all executors share."""
+"""A folder that the driver and all executors share, and what is in one."""
 
 from __future__ import annotations
 
@@ -17,3 +17,13 @@ def shared_folder(spark: SparkSession) -> str:
         top = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files below a path: what changes when its content does."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, out = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True), []
+    while files.hasNext():
+        f = files.next()
+        out.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return "\n".join(sorted(out))

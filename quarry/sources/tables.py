@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from quarry.sources.shared import shared_folder
 
 
 def read_table(spark: SparkSession, url: str | None, table: str, **options: str) -> DataFrame:
@@ -24,6 +29,29 @@ def write_table(rows: DataFrame, url: str | None, table: str, mode: str = "appen
         rows.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """rows from a table in the shared folder: what follows reads them, and no executor's loss makes them anew."""
+    folder = shared_folder(rows.sparkSession)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+def fetched(table: DataFrame, ids: DataFrame, id_col: str, most: int = 256) -> DataFrame:
+    """The rows of a table whose id is among ids (id_col), for ids that are few against it.
+
+    Integer ids are first told apart into at most `most` ranges, which reach the scan, so that row groups between them,
+    whose statistics show it, aren't read; then a join picks the rows.
+    """
+    if isinstance(table.schema[id_col].dataType, IntegralType):
+        ends = ids.agg(F.min(id_col).alias("a"), F.max(id_col).alias("b")).first()
+        if ends.a is None:
+            return table.limit(0)
+        width = (ends.b - ends.a) // most + 1
+        found = ids.groupBy(F.expr(f"(cast({id_col} as decimal(20, 0)) - {ends.a}) div {width}").alias("r")).agg(F.min(id_col).alias("a"), F.max(id_col).alias("b")).collect()
+        table = table.where(reduce(or_, [F.col(id_col).between(r.a, r.b) for r in found]))
+    return table.join(ids.select(id_col).distinct(), id_col, "left_semi")
+
+
 def drop_table(spark: SparkSession, folder: str) -> None:
     """Deletes a Parquet folder that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
