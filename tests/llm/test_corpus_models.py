@@ -231,3 +231,18 @@ def test_held_out_text_is_likelier_than_by_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     held = [r for r in pitman_yor.scored(docs).collect() if r.held_out]
     assert sum(r.score for r in held) > 0.95 * sum(r.base_score for r in held)
+
+
+def test_packed_postings_come_back_whole():
+    rng = np.random.default_rng(4)
+    for high, most in ((50, 3), (300_000, 900), (5, 100_000)):
+        rows, docs = np.unique(np.stack([np.sort(rng.integers(0, 40, 300)), rng.integers(0, high, 300)]), axis=1)
+        times = rng.integers(1, most, len(rows))
+        steps, counts = pitman_yor.packed(rows, docs + 1000, times, 41, 1000)
+        lengths, found, n = pitman_yor.unpacked(steps, counts, np.full(41, 1000))
+        got = Counter()
+        for r, d, t in zip(np.repeat(np.arange(41), lengths).tolist(), found.tolist(), n.tolist(), strict=True):
+            got[r, d] += t
+        assert +got == Counter({(r, d): t for r, d, t in zip(rows.tolist(), (docs + 1000).tolist(), times.tolist(), strict=True)})
+    steps, counts = pitman_yor.packed(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0)
+    assert len(steps) == len(counts) == 0 and len(pitman_yor.unpacked(steps, counts, np.zeros(0, np.int64))[1]) == 0
