@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import tags as G
 from quarry.operators.rules import Rules, all_of, any_of
+from quarry.plans import vocabulary as W
 from quarry.queries.chunking import sql_fires, sql_first
 from quarry.queries.shared import lit, read
 
@@ -51,6 +52,16 @@ def g1_topics(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.array_join(Rules(TOPICS).values(F.col("hay")), ",").alias("tags"))
 
 
+def g1_rule_table(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a rule, of pieces of its text that must occur, or mustn't, against all documents: by joins."""
+    docs = read(spark, d, "documents").where("text is not null")
+    made = [(1, "contains_ci", 6, 6, False), (2, "contains", 21, 4, False), (2, "contains", 40, 4, False), (3, "contains", 60, 5, True)]
+    terms = F.array(*[F.struct(F.lit(c).alias("clause_no"), F.lit(kind).alias("kind"), F.substring("text", at, n).alias("term"), F.lit(negate).alias("negate")) for c, kind, at, n, negate in made])
+    found = W.fired(docs.select(F.col("doc_id").alias("id"), "text"), docs.select(F.col("doc_id").alias("rule_no"), F.explode(terms).alias("t")).select("rule_no", "t.*"))
+    rows = found.groupBy("id").agg(F.sort_array(F.collect_set("rule_no")).alias("r"))
+    return rows.select(F.col("id").alias("doc_id"), F.size("r").cast("long").alias("n"), F.array_join(F.transform("r", lambda x: x.cast("string")), ",").alias("rules"))
+
+
 def g2_captured(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.array_join(G.captured(F.col("hay"), Rules(FAMILIES), F.lit("text")), ",").alias("tags"))
 
@@ -75,7 +86,7 @@ def g7_tag_table(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("category", "tag").agg(F.count("*").alias("n"))
 
 
-QUERIES = (g1_topics, g2_captured, g3_presence, g4_ontology, g6_facets, g7_tag_table)
+QUERIES = (g1_topics, g1_rule_table, g2_captured, g3_presence, g4_ontology, g6_facets, g7_tag_table)
 
 _HAY = f"h as (select doc_id, lower(source || ' ' || {TITLE} || ' ' || lang || ' text ' || text || ' ' || substr(text, 1, 1400)) as x from documents)"
 
@@ -97,6 +108,9 @@ _PRESENCE = _list([f"case when regexp_matches(x, {lit(p)}) then '{tag}' end" for
 
 SQL = {
     "g1_topics": f"with {_HAY} select doc_id, array_to_string({sql_values(Rules(TOPICS))}, ',') as tags from h",
+    "g1_rule_table": """with r as (select doc_id as rule_no, substr(text, 6, 6) as a, substr(text, 21, 4) as b, substr(text, 40, 4) as c, substr(text, 60, 5) as x from documents where text is not null and length(text) >= 6),
+        m as (select doc_id, rule_no from documents d join r on contains(lower(text), lower(a)) and (b = '' or contains(text, b) or (c <> '' and contains(text, c))) and not (x <> '' and contains(text, x)))
+        select doc_id, count(*) as n, string_agg(rule_no, ',' order by rule_no) as rules from m group by doc_id""",
     "g2_captured": f"with {_HAY} select doc_id, array_to_string({_CAPTURED}, ',') as tags from h",
     "g3_presence": f"with {_HAY} select doc_id, array_to_string({_PRESENCE}, ',') as tags from h",
     "g4_ontology": f"with {_HAY} select doc_id, array_to_string({sql_values(Rules(ONTOLOGY), True)}, ',') as tags from h",
