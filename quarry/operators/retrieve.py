@@ -163,14 +163,16 @@ def pair_scores(among: DataFrame, queries: DataFrame, chunks: DataFrame, name: s
     return dealt.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in ids) + f", {name} double")
 
 
-def reachable(tokens: DataFrame, index: Index, k: int, seeds: int = 64) -> tuple[DataFrame, DataFrame]:
-    """((query_id, variant_no, token, below, floor), their blocks' entries that can reach the k best of their query).
+def reachable(tokens: DataFrame, index: Index, k: int, seeds: int = 16, ahead: float = 0.6) -> DataFrame:
+    """(query_id, variant_no, token, floor, rest, block columns): the blocks that can hold one of the k best of their query.
 
     A query's tokens are ordered by the most that each adds to any chunk; `below` is what those before a token add at
-    most. A chunk counts at the last of its tokens, where it scores at most its part there and `below`. `floor` is a score
-    that k chunks are known to reach: the k-th best of the chunks, `seeds` times k and one list at most, that have the
-    tokens adding most. Blocks whose max_part and below stay under the floor are left out, so the tokens that most chunks
-    have are hardly read. Exact: a chunk of the k best is always among the entries.
+    most. A chunk is found at the last of its tokens, where it scores at most its part there and `below`. `floor` is a
+    score that k chunks are known to reach: the k-th best of the chunks that have the tokens adding most, `seeds` times k
+    and one list. Blocks whose max_part and below stay under the floor can't hold a chunk of the k best at its last token;
+    of these only those that come to `ahead` of the floor are read, to know more of the chunks that others hold. So the
+    tokens that most chunks have are hardly read. rest: the most that an unread block of the token adds, 0 where all are
+    read. Tokens without a block that is read stand with nulls, since they may add their rest to any chunk.
     """
     order = Window.partitionBy(*QV)
     rising = order.orderBy("max_part", "token")
@@ -179,19 +181,28 @@ def reachable(tokens: DataFrame, index: Index, k: int, seeds: int = 64) -> tuple
     ranked = kept(ranked.withColumn("below", before("max_part", rising)).withColumn("rows_before", before("df", order.orderBy(F.col("max_part").desc(), F.col("token").desc()))))
     early = lists(ranked.where(F.col("rows_before") < seeds * k).select(*QV, "token", "n_salts"), index.postings).select(*QV, "chunk_id").distinct()
     known = top(combined(pair_scores(early, query_side(tokens), index.forward, "bm25")), k)
-    floors = kept(known.groupBy(*QV).agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k).drop("n"))
+    floors = known.groupBy(*QV).agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k).drop("n")
     slack = F.lit(2 * 10.0**-DIGITS)  # scores are rounded, and sums of doubles depend on their order
-    wanted = ranked.join(floors, list(QV), "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - slack).where(F.col("max_part") + F.col("below") >= F.col("floor"))
-    wanted = wanted.select(*QV, "token", "n_salts", "below", "floor")
-    read = wanted.drop("n_salts").join(index.blocks, "token").where(F.col("max_part") + F.col("below") >= F.col("floor"))
-    return wanted, read
+    wanted = kept(ranked.join(floors, list(QV), "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - slack).select(*QV, "token", "max_part", "below", "floor"))
+    reach = F.col("max_part") + F.col("below") >= F.col("floor") * ahead
+    blocks = wanted.where(reach).drop("max_part").join(index.blocks, "token").withColumn("read", reach)
+    rest = blocks.groupBy(*QV, "token").agg(F.max(F.when(~F.col("read"), F.col("max_part"))).alias("rest"))
+    tokens_ = wanted.select(*QV, "token", "floor", "max_part", reach.alias("reach")).join(rest, [*QV, "token"], "left")
+    tokens_ = tokens_.select(*QV, "token", "floor", F.when(F.col("reach"), F.coalesce("rest", F.lit(0.0))).otherwise(F.col("max_part")).alias("rest"))
+    return tokens_.join(blocks.where("read").select(*QV, "token", "n", "chunk_ids", "parts"), [*QV, "token"], "left")
 
 
 def block_topk(tokens: DataFrame, index: Index, k: int) -> DataFrame:
-    """(query_id, variant_no, chunk_id, score, rank): the k best chunks per query by BM25, exactly, from the blocks that reach them."""
-    _, read = reachable(tokens, index, k)
-    entries = read.select(*QV, "below", "floor", F.explode(F.arrays_zip("chunk_ids", "parts")).alias("e")).where(F.col("e.parts") + F.col("below") >= F.col("floor"))
-    among = entries.select(*QV, F.col("e.chunk_ids").alias("chunk_id")).distinct()
+    """(query_id, variant_no, chunk_id, score, rank): the k best chunks per query by BM25, exactly, from the blocks that reach them.
+
+    What is read of a chunk, and the rest of its query's other tokens, bounds its score; only chunks whose bound reaches
+    the floor are scored, from the forward table.
+    """
+    read = kept(reachable(tokens, index, k))
+    bounds = read.select(*QV, "token", "floor", "rest").distinct().groupBy(*QV).agg(F.max("floor").alias("floor"), F.sum("rest").alias("rests"))
+    entries = read.where("n is not null").select(*QV, "rest", F.explode(F.arrays_zip("chunk_ids", "parts")).alias("e"))
+    most = entries.groupBy(*QV, F.col("e.chunk_ids").alias("chunk_id")).agg(F.sum(F.col("e.parts") - F.col("rest")).alias("more"))
+    among = most.join(F.broadcast(bounds), list(QV)).where(F.col("more") + F.col("rests") >= F.col("floor")).select(*QV, "chunk_id")
     return top(combined(pair_scores(among, query_side(tokens), index.forward, "bm25")), k)
 
 

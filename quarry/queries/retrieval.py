@@ -87,7 +87,13 @@ def r1_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r2_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The best of all chunks, from the blocks of posting lists that can reach them."""
+    """Without pruning: every chunk that has a token of the query."""
+    c = Corpus(spark, d)
+    return R.top(R.combined(R.bm25(c.asked, c.index)), 5).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def r2_block_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same best of all chunks, from the blocks of posting lists that can reach them."""
     c = Corpus(spark, d)
     return R.block_topk(c.asked, c.index, 5).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -291,7 +297,7 @@ def s6_hit_table(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, None, folder)
 
 
-QUERIES = (r1_candidates, r2_bm25_topk, r3_sparse_cosine, r4_dense_topk, r5_combined, r6_adjusted, r7_best_per_key, r8_pruned_topk, r9_balanced, r10_fused, r11_priority, r12_rerank, r13_coverage, r14_second_pass, r15_appended, r16_whole_sections, r17_candidate_limits, r17_strict_limits, r18_answerable, r19_pack, s6_trace, s6_hit_table)
+QUERIES = (r1_candidates, r2_bm25_topk, r2_block_topk, r3_sparse_cosine, r4_dense_topk, r5_combined, r6_adjusted, r7_best_per_key, r8_pruned_topk, r9_balanced, r10_fused, r11_priority, r12_rerank, r13_coverage, r14_second_pass, r15_appended, r16_whole_sections, r17_candidate_limits, r17_strict_limits, r18_answerable, r19_pack, s6_trace, s6_hit_table)
 
 _V1 = f"v as (select item_id as query_id, 0 as variant_no, list_distinct({sql_tokens('text')}) as t, 1.0 as weight, 35.0 as bonus from benchmark)"
 _ASKED = "asked as (select query_id, variant_no, unnest(list_distinct(t)) as token from v)"
@@ -379,6 +385,7 @@ def _factor_sql() -> str:
 SQL = {
     "r1_candidates": f"{_BASE} select query_id, chunk_id from cand",
     "r2_bm25_topk": f"{_BASE} select query_id, chunk_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from every) where rank <= 5",
+    "r2_block_topk": f"{_BASE} select query_id, chunk_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from every) where rank <= 5",
     "r3_sparse_cosine": f"{_BASE}, {_SPARSE} select query_id, chunk_id, round(sparse, 6) as sparse from sparse",
     "r4_dense_topk": """with u as (select vec_id, list_transform(e, lambda v: v / sqrt(list_sum(list_transform(e, lambda w: w * w)))) as e from (select vec_id, cast(embedding as double[]) as e from embeddings)),
         p as (select q.vec_id as query_id, c.vec_id as chunk_id, list_dot_product(q.e, c.e) as s from u q, u c where q.vec_id % 50 = 0)

@@ -27,8 +27,10 @@ def test_block_topk_equals_all_scores(spark, tmp_path):
     asked = spark.createDataFrame([(q, 0, f"t{t}") for q in range(15) for t in r.sample(range(63), 6)] + [(99, 0, "nowhere")], "query_id int, variant_no int, token string")
     whole = {tuple(x) for x in R.top(R.combined(R.bm25(asked, index)), 4).select("query_id", "chunk_id", "score", "rank").collect()}
     assert {tuple(x) for x in R.block_topk(asked, index, 4).select("query_id", "chunk_id", "score", "rank").collect()} == whole
-    wanted, read = R.reachable(asked, index, 4, seeds=4)
-    assert read.agg(F.sum("n")).first()[0] < asked.join(index.tokens, "token").agg(F.sum("df")).first()[0]
+    for ahead in (1.0, 0.3):
+        read = R.reachable(asked, index, 4, seeds=4, ahead=ahead)
+        assert read.agg(F.sum("n")).first()[0] < asked.join(index.tokens, "token").agg(F.sum("df")).first()[0]
+        assert read.where("rest < 0").isEmpty()
     assert index.blocks.where("n > 8 or size(chunk_ids) <> n or array_max(parts) <> max_part").isEmpty()
 
 
