@@ -29,6 +29,77 @@ def write_table(rows: DataFrame, url: str | None, table: str, mode: str = "appen
         rows.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
 
 
+def read_partitioned(spark: SparkSession, url: str, table: str, column: str, parts: int, **options: str) -> DataFrame:
+    """A table by JDBC in so many ranges of an integer, date or time column, each read by a task of its own.
+
+    The column's ends are asked of the database first; rows where it is null come with the first range.
+    """
+    ends = spark.read.format("jdbc").options(url=url, query=f'select min("{column}") as "a", max("{column}") as "b" from {table}', **options).load().first()
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if ends.a is not None and parts > 1:
+        reader = reader.options(partitionColumn=column, lowerBound=str(ends.a), upperBound=str(ends.b), numPartitions=parts)
+    return reader.load()
+
+
+def merge_batch(new: DataFrame, batch: int, url: str, table: str, key: str, order: str, types: str, **options: str) -> None:
+    """Brings a stream's batch into a database table by key: for foreachBatch.
+
+    Tasks write the batch, a row for each key, into a staging table; then one transaction merges that into the table, the
+    row of the largest order winning, new before old on a tie, and notes the batch's number. A repeated batch, or one that
+    failed halfway, thus changes nothing twice. types: the columns' types as the database names them.
+    """
+    spark = new.sparkSession
+    stage, noted = f"{table}_stage", f"{table}_batches"
+    how = {"createTableColumnTypes": types, **options}
+    if not _has_table(spark, url, table):
+        new.limit(0).write.format("jdbc").options(url=url, dbtable=table, **how).save()
+    if not _has_table(spark, url, noted):
+        new.limit(0).selectExpr("cast(0 as bigint) as batch").write.format("jdbc").options(url=url, dbtable=noted, **options).save()
+    if spark.read.format("jdbc").options(url=url, query=f'select count(*) as "n" from {noted} where "batch" = {int(batch)}', **options).load().first().n:
+        return
+    last = new.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where("_n = 1").drop("_n")
+    last.write.format("jdbc").options(url=url, dbtable=stage, **how).mode("overwrite").save()
+    q = lambda name, of: f'{of}."{name}"'
+    columns = new.columns
+    merge = (
+        f"merge into {table} t using {stage} s on {q(key, 't')} = {q(key, 's')} "
+        f"when matched and {q(order, 's')} >= {q(order, 't')} then update set {', '.join(f'"{c}" = {q(c, 's')}' for c in columns if c != key)} "
+        f"when not matched then insert ({', '.join(f'"{c}"' for c in columns)}) values ({', '.join(q(c, 's') for c in columns)})"
+    )
+    _run(spark, url, merge, f"insert into {noted} values ({int(batch)})")
+
+
+def _connected(spark: SparkSession, url: str):
+    return spark._jvm.java.sql.DriverManager.getConnection(url)
+
+
+def _has_table(spark: SparkSession, url: str, table: str) -> bool:
+    with_ = _connected(spark, url)
+    try:
+        found = with_.getMetaData().getTables(None, None, None, None)
+        while found.next():
+            if found.getString("TABLE_NAME").lower() == table.lower():
+                return True
+        return False
+    finally:
+        with_.close()
+
+
+def _run(spark: SparkSession, url: str, *statements: str) -> None:
+    """Statements in one transaction of the database."""
+    with_ = _connected(spark, url)
+    try:
+        with_.setAutoCommit(False)
+        for statement in statements:
+            with_.createStatement().executeUpdate(statement)
+        with_.commit()
+    except Exception:
+        with_.rollback()
+        raise
+    finally:
+        with_.close()
+
+
 def kept(rows: DataFrame) -> DataFrame:
     """rows from a table in the shared folder: what follows reads them, and no executor's loss makes them anew."""
     folder = shared_folder(rows.sparkSession)
