@@ -15,7 +15,7 @@ from quarry.functions import text as T
 
 @dataclass(frozen=True)
 class Weights:
-    """Gains and losses of the greedy re-rank; missing: extra loss for a required facet that a hit lacks."""
+    """Gains and losses of the greedy re-rank; missing: extra loss for a required facet that a hit lacks."""
 
     target: float = 0.42
     general: float = 0.12

@@ -371,6 +371,28 @@ _SECOND = f"""{_COVER}, tpl(facet, item_no, t) as (values {", ".join(f"('{f}', {
         p as (select * from (select query_id, text, row_number() over (partition by query_id order by facet, item_no) as pass_no from o where k = 1) where pass_no <= 4)"""
 
 
+def _rerank_sql(limit: int, pool: int, missing: dict[str, float], w: V.Weights = V.Weights()) -> str:
+    """The greedy choice as a recursive query: what is chosen so far, the facets that it covers, and the best of the rest."""
+    lost = "".join(f" - {loss} * cast(list_contains(required, '{facet}') and not list_contains(facets, '{facet}') as int)" for facet, loss in missing.items())
+    both = "len(list_intersect(a.toks, b.toks))"
+    return f"""{_BASE.replace("with ", "with recursive ", 1)}, {_balanced_sql(pool)}, {_excerpts_sql(520)},
+    fac as (select doc_id as chunk_id, {_TOPICS} as facets from (select doc_id, lower(text) as x from documents)),
+    wants as (select item_id as query_id, list_distinct({_TOPICS}) as required from (select item_id, lower(text) as x from benchmark)),
+    pool0 as (select s.query_id, s.chunk_id, s.source, s.section, s.chunk_type, s.score, facets, required, list_distinct({sql_tokens('s.excerpt')}) as toks, len(list_intersect(facets, required)) as has,
+        row_number() over (partition by s.query_id order by s.score desc, s.rank, s.chunk_id) as i, max(s.score) over (partition by s.query_id) as top from shown s join fac using (chunk_id) join wants using (query_id)),
+    pool as (select *, score / top - case when len(required) > 0 then {w.no_target} * cast(has = 0 as int) + {w.each_missing} * (len(required) - has) else 0 end{lost} as base from pool0 where i <= {3 * limit}),
+    near as (select a.query_id, a.i, coalesce(list(b.i) filter (b.source = a.source), []) as src, coalesce(list(b.i) filter (b.section = a.section), []) as sec,
+        coalesce(list(b.i) filter (b.source = a.source and b.section = a.section and b.chunk_type = a.chunk_type), []) as plc, coalesce(list(b.i) filter ({both} > {w.similarity} * greatest(1, len(a.toks) + len(b.toks) - {both})), []) as cls
+        from pool a join pool b using (query_id) group by a.query_id, a.i),
+    pick as (select distinct query_id, 0 as place, cast([] as bigint[]) as chosen, cast([] as varchar[]) as covered, cast(null as bigint) as chunk_id from pool
+      union all select query_id, place + 1, list_append(chosen, i), list_concat(covered, facets), chunk_id from (select *, row_number() over (partition by query_id order by value desc, i) as k from (
+        select g.*, greatest(round(base + {w.target} * len(list_intersect(fresh, required)) + case when len(required) > 0 then {w.general} * least(len(fresh), {w.general_most}) else {w.general_free} * least(len(fresh), {w.general_free_most}) end
+          + case when place > 0 then {w.new_source} * cast(not list_has_any(chosen, src) as int) + {w.new_section} * cast(not list_has_any(chosen, sec) as int) - {w.same_place} * cast(list_has_any(chosen, plc) as int) - {w.similar} * cast(list_has_any(chosen, cls) as int) else 0 end, 12), -1.0) as value
+        from (select p.*, n.src, n.sec, n.plc, n.cls, s.place, s.chosen, s.covered, list_filter(p.facets, lambda f: not list_contains(s.covered, f)) as fresh
+          from pick s join pool p using (query_id) join near n on n.query_id = p.query_id and n.i = p.i where s.place < {limit} and not list_contains(s.chosen, p.i)) g)) where k = 1)
+    select query_id, chunk_id, cast(place as bigint) as place from pick where place > 0"""
+
+
 def _again(sql: str) -> str:
     """The search's common table expressions under names of their own."""
     return re.sub(r"\b(v|asked|bm|every|ranked|firsts|per|cum|cand|scored|fields|keyed|best|tops|owns|turns|hits)\b", r"\1_2", sql)
@@ -398,6 +420,7 @@ SQL = {
     "r9_balanced": f"{_BASE}, {_balanced_sql(8)} select query_id, chunk_id, source as source_label, score, rank from hits",
     "r10_fused": f"{_fused_sql(False)} select query_id, cast(variant_no as bigint) as variant_no, chunk_id, hit_key, round(score, 4) as score from one where k = 1",
     "r11_priority": f"{_fused_sql(True)} select query_id, cast(variant_no as bigint) as variant_no, chunk_id, hit_key, round(score, 3) as score from one where k = 1",
+    "r12_rerank": _rerank_sql(8, 24, {"mail": 0.35}),
     "r13_coverage": f"{_COVER} select query_id, array_to_string(required, ',') as required, array_to_string(covered, ',') as covered, array_to_string(missing, ',') as missing, case when len(required) > 0 then len(missing) = 0 else n > 0 end as answerable from cov",
     "r14_second_pass": f"{_SECOND} select query_id, pass_no, text from p",
     "r15_appended": f"""{_SECOND}, v_2 as (select query_id, pass_no as variant_no, list_distinct({sql_tokens('text')}) as t from p), {_again(f"{_ASKED}, {_BM_CAND}, {_balanced_sql(8)}")},

@@ -27,3 +27,8 @@ def fingerprint(spark: SparkSession, path: str) -> str:
         f = files.next()
         out.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
     return "\n".join(sorted(out))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

@@ -151,6 +151,20 @@ def read_latest(spark: SparkSession, folder: str, before: int | None = None) ->
     return spark.read.parquet(f"{folder}/v{found[-1]}") if found else None
 
 
+def last_version(spark: SparkSession, folder: str) -> int:
+    """The number of a table's last complete version, -1 if there is none."""
+    return max(_versions(spark, folder), default=-1)
+
+
+def write_version(rows: DataFrame, number: int, folder: str) -> None:
+    """A version of a small table, beside those before it; the last two stay."""
+    spark = rows.sparkSession
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{folder}/v{number}")
+    for v in _versions(spark, folder):
+        if v < number - 1:
+            drop_table(spark, f"{folder}/v{v}")
+
+
 def upsert_batch(new: DataFrame, batch: int, folder: str, key: str, order: str) -> None:
     """Brings a stream's batch into a table: for foreachBatch. Each batch is a version made from the one before it.
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.index import unit
-from quarry.sources.shared import shared_folder
+from quarry.operators.index import embed_missing, missing_batches, unit
+from quarry.sources.shared import exists, shared_folder
 
 SCHEMA = "key string, values array<double>"
 
@@ -18,6 +20,20 @@ def write_cache(rows: DataFrame, path: str | None = None) -> tuple[SparkSession,
     return rows.sparkSession, path
 
 
+def fill_cache(keyed: DataFrame, path: str, embed: Callable[[list[str]], list[list[float]]], size: int = 24, most: int = 0) -> DataFrame:
+    """The cache at path with the vectors that keyed (key, dense_text) lacks there: those alone are made and appended.
+
+    A run that fails halfway has appended what its tasks ended, and the next one makes the rest. Texts that embed to
+    nothing are asked again each time. most: only so many at once; 0 for all.
+    """
+    spark = keyed.sparkSession
+    empty = spark.createDataFrame([], SCHEMA)
+    cache = read_cache((spark, path)) if exists(spark, path) else empty
+    new = embed_missing(missing_batches(keyed, cache, size, most), embed, size=size)
+    new.select("key", "values").write.mode("append").json(path)
+    return read_cache((spark, path))
+
+
 def read_cache(cache: tuple[SparkSession, str]) -> DataFrame:
     """(key, values) of a cache: bad lines are skipped, of equal keys the last line wins, vectors have length 1, zero ones go."""
     spark, path = cache
