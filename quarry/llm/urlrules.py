@@ -7,8 +7,9 @@ some rule has. Expressions meet rules in an equi-join on the first 32 bits of th
 decides.
 
 A null URL or one without "://" has an empty host and path and meets no rule. What no rule fits gets `otherwise`.
-Equal (host, path) pairs are judged once, so repeated rows and a hot host cost one expansion; null page ids pass
-through. An empty page table gives an empty result; without rules every row gets `otherwise`. Rules with null host or
+Equal (host, path) pairs are judged once, so repeated rows and a hot host cost one expansion. What they are judged to is
+written before rows are joined to it: a hot URL then is a key that Spark splits, and rows without a host, which may be many,
+pass by the join. Null page ids pass through. An empty page table gives an empty result; without rules every row gets `otherwise`. Rules with null host or
 path count as empty ones; an empty host fits nothing.
 """
 
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.shared import written
+
 _A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -43,5 +46,7 @@ def verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_co
     )
     fits = expressions.join(rules, "short").where("full = digest")
     rank = F.struct((F.length("r_host") + F.length("r_path")).alias("n"), (F.col("action") == "block").cast("int").alias("b"), F.concat("r_host", "r_path").alias("rule"), F.col("action"))
-    won = fits.groupBy("host", "path").agg(F.max(rank).alias("won"))
-    return own.join(won, ["host", "path"], "left").select(id_col, "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.action", F.lit(otherwise)).alias("verdict"))
+    won = written(fits.groupBy("host", "path").agg(F.max(rank).alias("won")).select("host", "path", "won.rule", "won.action"))
+    judged = own.where("host <> ''").join(won, ["host", "path"], "left").select(id_col, "host", "path", "rule", F.coalesce("action", F.lit(otherwise)).alias("verdict"))
+    none = own.where("host = ''").select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
+    return judged.unionByName(none)

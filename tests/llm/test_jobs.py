@@ -311,3 +311,23 @@ def test_pipeline(spark):
     assert second.columns == docs.columns and second.select("doc_id").distinct().count() == second.count()
     found = {r.doc_id: r.component_id for r in simhash.near_duplicates(first, width=5, similarity=0.8).collect()}
     assert {r.doc_id for r in second.collect()} == {i for i, c in found.items() if i == c}
+
+
+def test_a_hot_url_is_split(spark):
+    """Two thirds of the rows have one URL and many have none: the join to verdicts is split, and columns may clash."""
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    url = F.when(F.col("id") % 3 > 0, "https://hot.example.org/es/page").when(F.col("id") % 2 == 0, F.concat(F.lit("http://h"), F.col("id").cast("string"), F.lit(".com/de/x")))
+    pages = spark.range(60_000).repartition(6).select(F.col("id").alias("page_id"), url.alias("url"), F.lit("x").alias("host"), F.lit("y").alias("action"), F.lit("z").alias("rule"))
+    how = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k, None) for k in how}
+    try:
+        for k, v in how.items():
+            spark.conf.set(k, v)
+        out = urlrules.verdicts(pages, rules)
+        rows = out.collect()
+        assert "isSkew=true" in out._jdf.queryExecution().executedPlan().toString() or "SortMergeJoin(skew=true)" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    want = {"hot.example.org": ("example.org/es/", "block"), "": (None, "allow")}
+    assert len(rows) == 60_000 and all((r.rule, r.verdict) == want.get(r.host, ("com/de/", "block")) for r in rows)
