@@ -110,8 +110,9 @@ def pair_scores(among: DataFrame, queries: DataFrame, chunks: DataFrame, name: s
     ids = [(c, among.schema[c].dataType.simpleString()) for c in (*QV, "chunk_id")]
     asked_type = f"array<struct<{', '.join(f'{c}:{t}' for c, t in ids[:2])}>>"
     tasks = int(among.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = 4 * tasks  # dealt by hash, so that few tasks get none and few get many
     blocks = queries.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / most)).cast("int").alias("n_blocks"))
-    block, spread = F.pmod(F.xxhash64(*QV), F.col("n_blocks")).cast("int"), F.greatest(F.lit(1), F.expr(f"{tasks} div n_blocks").cast("int"))
+    block, spread = F.pmod(F.xxhash64(*QV), F.col("n_blocks")).cast("int"), F.greatest(F.lit(1), F.expr(f"{slots} div n_blocks").cast("int"))
     sides = queries.join(F.broadcast(blocks)).withColumn("spread", spread).select(*QV, (block * F.col("spread")).alias("first"), "spread", "keys", "weights")
     sides = sides.select(F.explode(F.sequence("first", F.col("first") + F.col("spread") - 1)).alias("slot"), F.lit(0).alias("kind"), *QV, F.lit(None).cast(ids[2][1]).alias("chunk_id"), F.lit(None).cast(asked_type).alias("asked"), "keys", "weights")
     pairs = among.join(F.broadcast(blocks)).groupBy("chunk_id", block.alias("block"), spread.alias("spread")).agg(F.collect_list(F.struct(*QV)).alias("asked"))

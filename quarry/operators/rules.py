@@ -66,7 +66,7 @@ class Rules:
         """The rules of a table; more than `most` rows are an error."""
         rows = [tuple(r) for r in rules.select(*[c.split()[0] for c in COLUMNS.split(", ")]).limit(most + 1).collect()]
         if len(rows) > most:
-            raise ValueError(f"over {most} rows of rules: too many to compile into an expression")
+            raise ValueError(f"over {most} rows of rules: too many to compile into an expression; plans.vocabulary.fired() joins tables of any size")
         return cls(rows, target)
 
     def first(self, text: Column, default: str = "") -> Column:

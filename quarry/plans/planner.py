@@ -37,7 +37,7 @@ def entries_of(table: DataFrame, most: int = 10_000) -> list[Entry]:
     """The entries of a table as sources.keywords gives it, in order; more than `most` are an error."""
     rows = table.orderBy("module", "entry_no").limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError(f"over {most} keyword entries: too many to compile into a plan")
+        raise ValueError(f"over {most} keyword entries: too many to compile into a plan; vocabulary.matched() joins tables of any size")
     return [Entry(r.module, r.entry_id, tuple(r.triggers), tuple(r.expansions), tuple(r.variant_queries)) for r in rows]
 
 

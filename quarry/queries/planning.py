@@ -117,9 +117,9 @@ def q13_broad(spark: SparkSession, d: str) -> DataFrame:
 
 def q1_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     """Every document as a keyword entry, of a word and a piece of its text, against every benchmark text: by joins."""
-    entries = read(spark, d, "documents").select(F.col("source").alias("module"), F.col("doc_id").alias("entry_no"), F.col("doc_id").cast("string").alias("entry_id"), F.array(F.regexp_extract("text", "[A-Za-z0-9]{5,}", 0), F.substring("text", 12, 4)).alias("triggers"))
+    entries = read(spark, d, "documents").select(F.col("source").alias("module"), F.col("doc_id").alias("entry_no"), F.col("doc_id").cast("string").alias("entry_id"), F.array(F.regexp_extract("text", "[A-Za-z0-9]{5,}", 0), F.substring("text", 12, 4)).alias("triggers"), F.array("lang", F.substring("text", 12, 4)).alias("expansions"))
     queries = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return W.matched(queries, entries).select("query_id", F.size("entries").cast("long").alias("n"), F.array_join("entries", ",").alias("entries"))
+    return W.matched(queries, entries).select("query_id", F.size("entries").cast("long").alias("n"), F.array_join("entries", ",").alias("entries"), F.sha1(F.array_join("expansions", "|")).alias("expansions"))
 
 
 QUERIES = (q1_matched_entries, q1_vocabulary, q2_expansions, q3_expanded_tokens, q4_concepts, q5_search_plan, q6_required_facets, q7_variants, q8_variant_cap, q9_intent, q10_comparison, q11_retrieval_text, q12_preferred_source, q13_broad)
@@ -174,9 +174,9 @@ _INTENT = f"i as (select query_id, x, case when {_COMPARES} then 'comparison' el
 
 SQL = {
     "q1_matched_entries": f"with {_Q} select query_id, array_to_string(list_filter([" + ", ".join(f"case when {_trig(e)} then {lit(e.entry_id)} end" for e in ENTRIES) + "], lambda t: t is not null), ',') as entries from q",
-    "q1_vocabulary": """with e as (select source, doc_id, unnest([regexp_extract(text, '[A-Za-z0-9]{5,}'), substr(text, 12, 4)]) as t from documents),
-        m as (select distinct item_id as query_id, source, doc_id from benchmark b join e on e.t <> '' and case when regexp_matches(e.t, '^[A-Za-z0-9][A-Za-z0-9_.+-]*$') then regexp_matches(b.text, '(?i)(?:^|[^A-Za-z0-9])' || regexp_escape(e.t) || '(?:[^A-Za-z0-9]|$)') else contains(lower(b.text), lower(e.t)) end)
-        select item_id as query_id, count(doc_id) as n, coalesce(string_agg(doc_id, ',' order by source, doc_id), '') as entries from benchmark left join m on m.query_id = item_id group by item_id""",
+    "q1_vocabulary": """with e as (select source, doc_id, lang || '|' || substr(text, 12, 4) as x, unnest([regexp_extract(text, '[A-Za-z0-9]{5,}'), substr(text, 12, 4)]) as t from documents),
+        m as (select distinct item_id as query_id, source, doc_id, x from benchmark b join e on e.t <> '' and case when regexp_matches(e.t, '^[A-Za-z0-9][A-Za-z0-9_.+-]*$') then regexp_matches(b.text, '(?i)(?:^|[^A-Za-z0-9])' || regexp_escape(e.t) || '(?:[^A-Za-z0-9]|$)') else contains(lower(b.text), lower(e.t)) end)
+        select item_id as query_id, count(doc_id) as n, coalesce(string_agg(doc_id, ',' order by source, doc_id), '') as entries, sha1(coalesce(string_agg(x, '|' order by source, doc_id), '')) as expansions from benchmark left join m on m.query_id = item_id group by item_id""",
     "q2_expansions": f"with {_Q} select query_id, array_to_string({_EXP}, '|') as terms from q",
     "q3_expanded_tokens": f"with {_Q}, e as (select query_id, {sql_tokens(_EXPANDED)} as t from q) select query_id, array_to_string({_DISTINCT.format('t').replace('lambda t, i: list_position(t, t)', 'lambda y, i: list_position(t, y)')}, ' ') as tokens from e",
     "q4_concepts": f"with {_Q} select query_id, array_to_string({_CONCEPTS}, ',') as concepts from q",

@@ -64,7 +64,7 @@ def test_a_large_vocabulary_matches_as_a_nested_loop(spark):
     texts = [(i, " ".join(word(r.randint(1, 6)).upper() if r.random() < 0.2 else word(r.randint(1, 6)) for _ in range(30)) + r.choice(["", " x-ab-2.", "\nthe ab"])) for i in range(60)] + [(900, None), (901, "")]
     entries = spark.range(200_000).select(F.lit("m").alias("module"), F.col("id").cast("int").alias("entry_no"), F.col("id").cast("string").alias("entry_id"))
     table = spark.createDataFrame([*enumerate(terms)], "n int, t string")
-    entries = entries.join(table, F.col("entry_no") == F.col("n")).select("module", "entry_no", "entry_id", F.array("t", F.lit("")).alias("triggers"))
+    entries = entries.join(table, F.col("entry_no") == F.col("n")).select("module", "entry_no", "entry_id", F.array("t", F.lit("")).alias("triggers"), F.array().cast("array<string>").alias("expansions"))
     queries = spark.createDataFrame(texts, "query_id int, text string")
     got = {(x.query_id, int(e)) for x in W.matched(queries, entries).collect() for e in x.entries}
     sample = set(r.sample(range(200_000), 1500)) | {e for _, e in r.sample(sorted(got), min(300, len(got)))}
@@ -80,12 +80,14 @@ def test_a_large_vocabulary_matches_as_a_nested_loop(spark):
 
 
 def test_vocabulary_equals_the_compiled_one(spark):
-    entries = [P.Entry("m", "one", ("The", "keit.")), P.Entry("m", "two", ("x", "new york")), P.Entry("n", "none", ("zzz",))]
+    entries = [P.Entry("m", "one", ("The", "keit."), ("more", "words")), P.Entry("m", "two", ("x", "new york"), ("york",)), P.Entry("n", "none", ("zzz",))]
     rows = [(1, "the end"), (2, "Einsamkeit. New York"), (3, "then X-ray"), (4, None), (5, "axb")]
     queries = spark.createDataFrame(rows, "query_id int, text string")
-    table = spark.createDataFrame([(e.module, i, e.entry_id, list(e.triggers)) for i, e in enumerate(entries)], "module string, entry_no int, entry_id string, triggers array<string>")
+    table = spark.createDataFrame([(e.module, i, e.entry_id, list(e.triggers), list(e.expansions)) for i, e in enumerate(entries)], "module string, entry_no int, entry_id string, triggers array<string>, expansions array<string>")
     want = {x.query_id: x.e or [] for x in queries.select("query_id", P.matched(F.col("text"), entries).alias("e")).collect()}
-    assert {x.query_id: x.entries for x in W.matched(queries, table).collect()} == want | {4: []}
+    more = {x.query_id: x.e or [] for x in queries.select("query_id", P.expansions(F.col("text"), (), entries).alias("e")).collect()}
+    got = W.matched(queries, table).collect()
+    assert {x.query_id: x.entries for x in got} == want | {4: []} and {x.query_id: x.expansions for x in got} == more | {4: []}
 
 
 def test_rule_tables_fire_as_compiled_rules(spark):
