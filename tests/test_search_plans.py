@@ -85,7 +85,7 @@ def test_vocabulary_equals_the_compiled_one(spark):
     queries = spark.createDataFrame(rows, "query_id int, text string")
     table = spark.createDataFrame([(e.module, i, e.entry_id, list(e.triggers), list(e.expansions)) for i, e in enumerate(entries)], "module string, entry_no int, entry_id string, triggers array<string>, expansions array<string>")
     want = {x.query_id: x.e or [] for x in queries.select("query_id", P.matched(F.col("text"), entries).alias("e")).collect()}
-    more = {x.query_id: x.e or [] for x in queries.select("query_id", P.expansions(F.col("text"), (), entries).alias("e")).collect()}
+    more = {x.query_id: x.e or [] for x in queries.select("query_id", P.expansions(F.col("text"), (("zzzz", ("none",)),), entries).alias("e")).collect()}
     got = W.matched(queries, table).collect()
     assert {x.query_id: x.entries for x in got} == want | {4: []} and {x.query_id: x.expansions for x in got} == more | {4: []}
 
