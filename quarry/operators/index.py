@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -86,10 +87,8 @@ def build(chunks: DataFrame, folder: str, id_col: str = "chunk_id", tokens_col:
         return spark.read.parquet(f"{folder}/{name}")
 
     own = put(chunks.select(F.col(id_col).alias("chunk_id"), F.col(tokens_col).alias("tokens"), F.size(tokens_col).cast("long").alias("len"), *attributes), "tokenized")
-    lengths = put(own.select("chunk_id", "len"), "lengths")
-    put(own.select("chunk_id", *attributes), "attributes")
-    stats = put(corpus_stats(lengths), "stats")
-    raw = put(own.select("chunk_id", "len", F.explode("tokens").alias("token")).groupBy("token", "chunk_id", "len").agg(F.count("*").alias("tf")), "counted")
+    counts = lambda: put(own.select("chunk_id", "len", F.explode("tokens").alias("token")).groupBy("token", "chunk_id", "len").agg(F.count("*").alias("tf")), "counted")
+    stats, raw, _ = _together(lambda: put(corpus_stats(put(own.select("chunk_id", "len"), "lengths")), "stats"), counts, lambda: put(own.select("chunk_id", *attributes), "attributes"))
     found = put(document_frequency(raw).withColumn("n_salts", F.ceil(F.col("df") / salt_rows).cast("int")), "frequencies")
     part = bm25_part(F.col("tf"), F.col("df"), F.col("len"), F.col("n"), F.col("avg_len"), k1, b)
     salt = F.pmod(F.xxhash64("chunk_id"), F.col("n_salts").cast("long")).cast("int")
@@ -97,15 +96,24 @@ def build(chunks: DataFrame, folder: str, id_col: str = "chunk_id", tokens_col:
     nth = F.row_number().over(Window.partitionBy("token", "salt").orderBy("chunk_id")) - 1
     entries = F.sort_array(F.collect_list(F.struct("chunk_id", "part")))
     blocks = postings.withColumn("block", F.floor(nth / block_rows).cast("int")).groupBy("token", "salt", "block").agg(F.count("*").alias("n"), F.max("part").alias("max_part"), entries.alias("e"))
-    blocks = put(blocks.select("token", "salt", "block", "n", "max_part", F.col("e.chunk_id").alias("chunk_ids"), F.col("e.part").alias("parts")), "blocks")
-    put(found.join(blocks.groupBy("token").agg(F.max("max_part").alias("max_part")), "token"), "tokens")
-    put(keyed_lists(postings.select("chunk_id", token_key(F.col("token")).alias("key"), F.col("part").alias("weight"))), "forward")
-    put(keyed_lists(hashed_vectors(postings, dim).select("chunk_id", F.col("bucket").alias("key"), F.col("w").alias("weight"))), "vectors")
+    blocks = blocks.select("token", "salt", "block", "n", "max_part", F.col("e.chunk_id").alias("chunk_ids"), F.col("e.part").alias("parts"))
+    most = postings.groupBy("token").agg(F.max("part").alias("max_part"))
+    _together(
+        lambda: put(blocks, "blocks"), lambda: put(found.join(most, "token"), "tokens"),
+        lambda: put(keyed_lists(postings.select("chunk_id", token_key(F.col("token")).alias("key"), F.col("part").alias("weight"))), "forward"),
+        lambda: put(keyed_lists(hashed_vectors(postings, dim).select("chunk_id", F.col("bucket").alias("key"), F.col("w").alias("weight"))), "vectors"),
+    )
     for name in ("tokenized", "counted", "frequencies"):
         drop_table(spark, f"{folder}/{name}")
     return Index.load(spark, folder)
 
 
+def _together(*jobs: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Jobs that don't need each other, handed to Spark at once, so that none waits for another's last task."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
+
+
 def keyed_lists(rows: DataFrame, by: Sequence[str] = ("chunk_id",)) -> DataFrame:
     """rows (by, key, weight) as one row each: (by, keys in order, their weights)."""
     pairs = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("key", "weight"))).alias("p"))
