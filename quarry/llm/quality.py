@@ -2,25 +2,25 @@
 
 Two generative models over hashed n-grams are fitted: one on target documents, one on the raw text of all documents. A
 document's log importance is the sum, over all its n-grams and their repetitions, of the log ratio of target to raw
-probability. Gumbel noise is added, and the k largest are kept: a draw of k documents without replacement in proportion
+probability, tempered by length: times sqrt(`length` / number of its words and marks), so that long texts don't lead by
+their length. Gumbel noise is added, and the k largest are kept: a draw of k documents without replacement in proportion
 to their importance weights.
 
-N-grams are words, runs of ASCII marks (each a 64-bit hash), and pairs of neighbours between white space (`1 <<
-PAIR_BITS` buckets; all pairs of equal neighbours are one n-gram). Words and pairs have models of their own. The
-ratio of an n-gram seen `own` times in target documents, where `expected` follow from the raw model, is (own + smooth) /
-(expected + smooth). Its log counts in proportion to the posterior probability that the ratio differs from 1 at all, at
-prior odds of exp(-sure^2 / 2): chance differences of rare n-grams count next to nothing, whichever side they are on.
+N-grams are words and runs of ASCII marks (`1 << WORD_BITS` buckets), and pairs of neighbours between white space (`1 <<
+PAIR_BITS` buckets; pairs of equal neighbours are told by the power of two of their place in a run of such pairs). Words
+and pairs have models of their own. Both count documents, each once for a bucket, so that one document's repetitions don't
+pass for many documents. The ratio of a bucket that `own` target documents hold, where `expected` follow from the raw
+model, is (own + smooth) / (expected + smooth). Its log counts in proportion to the posterior probability that the ratio differs from 1 at all, at
+prior odds of exp(-sure^2 / 2), since the text of a few labelled documents differs from the raw model by chance in most
+buckets. Every bucket has its weight; none is left out.
 
-Counts of both models are summed in Spark over all documents, in a table that grows with the corpus. Target documents
-come from labels: a bounded sample of at most `max_labels` labelled ids, those of smallest hash, is the only bound here.
-A fifth of its target documents is held out; their scores and those of the other labelled documents set the limit that
-tells them apart best, where a lost share of target documents counts ten times, and k is the number of all documents at
-or above it. So k follows the corpus, while which documents near the limit are among the k is left to the draw.
+Counts of both models are summed in Spark over all documents. Target documents come from labels: a bounded sample of at
+most `max_labels` labelled ids, those of smallest hash, is the only bound here. A fifth of its target documents is held
+out; their scores and those of the other labelled documents set the limit that tells them apart best, where a lost share
+of target documents counts ten times, and k is the number of all documents at or above it. So k follows the corpus,
+while which documents near the limit are among the k is left to the draw.
 
-What reaches the driver and is sent with the tasks: the sample, and the n-grams whose ratio counts at all (over
-`least_weight`). Such an n-gram has an own and expected count of at least 3 together, and both sum up to the number of
-target n-grams, so there are fewer than those of the sampled documents; of more than `most_grams` those of the largest
-weight are taken.
+What reaches the driver and is sent with the tasks: the sample, and one number for each bucket, whatever the corpus.
 
 Null and empty texts have no n-grams and score 0. Null ids take part, with the noise of a null. Rows with equal id and
 text tie: all of them stay or go together, so the sample may exceed k by such ties. Without usable labels every
@@ -43,9 +43,10 @@ from pyspark.sql import types as T
 
 from quarry.llm.shared import LOWER, PIECE, WORD_BYTES, batch, discard, utf8, written
 
-PAIR_BITS = 18
-#: N-grams that a task holds before it counts them.
-_AT_ONCE = 1 << 21
+WORD_BITS, PAIR_BITS = 20, 18
+#: Buckets of words and marks, and all buckets; those of pairs come after those of words.
+_WORDS = 1 << WORD_BITS
+_ALL = _WORDS + (1 << PAIR_BITS)
 #: Turns every byte but ASCII marks into a space.
 _MARK_BYTES = bytes(b if 0x21 <= b <= 0x7E and not chr(b).isalnum() else 0x20 for b in range(256))
 _SAME = np.uint64(0x5BD1E9955BD1E995)
@@ -66,16 +67,18 @@ class _Hashes(dict):
 def _pairs(h: np.ndarray) -> np.ndarray:
     if len(h) < 2:
         return np.zeros(0, np.int64)
-    p = np.where(h[:-1] == h[1:], _SAME, (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:])
+    same, at = h[:-1] == h[1:], np.arange(len(h) - 1)
+    run = np.where(same, at - np.maximum.accumulate(np.where(same, -1, at)), 1)
+    p = np.where(same, _SAME * (np.log2(run).astype(np.uint64) + np.uint64(1)), (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:])
     p = (p ^ (p >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return (p >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
 
 def grams(text: bytes, known: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of a text's words and marks, as signed longs, and the buckets of its pairs, all with repetitions."""
+    """The buckets of a text's words and marks, and those of its pairs, all with repetitions."""
     parts = (text.translate(WORD_BYTES).split() + text.translate(_MARK_BYTES).split(), text.translate(LOWER).split())
     words, between = (np.fromiter(map(known.__getitem__, part), np.uint64, len(part)) for part in parts)
-    return words.view(np.int64), _pairs(between)
+    return (words >> np.uint64(64 - WORD_BITS)).astype(np.int64), _pairs(between) + _WORDS
 
 
 def labelled(labels: DataFrame, max_labels: int = 20_000, id_col: str = "doc_id") -> dict[int, bool]:
@@ -90,81 +93,50 @@ def _held_out(key) -> bool:
 
 
 def counts(docs: DataFrame, target: frozenset, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The written table (pair, gram, raw, own): how often each n-gram stands in all documents and in the target ones."""
+    """The written table (gram, raw, own): how many documents, and how many target ones, hold each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size = _Hashes(), [], 0
-        pairs = np.zeros((2, 1 << PAIR_BITS), np.int64)
-
-        def counted() -> pa.RecordBatch:
-            every, place, raw = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True, return_counts=True)
-            mine = np.concatenate([np.full(len(w), chosen) for w, chosen in held])
-            own = np.bincount(place[mine], minlength=len(every))
-            return table(False, every, raw, own)
-
-        def table(pair: bool, gram: np.ndarray, raw: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-            return batch(pair=pa.array(np.full(len(gram), pair)), gram=pa.array(gram.astype(np.int64)), raw=pa.array(raw.astype(np.int64)), own=pa.array(own.astype(np.int64)))
-
+        known, seen = _Hashes(), np.zeros((2, _ALL), np.int64)
         for whole in batches:
             for at in range(0, whole.num_rows, PIECE):
                 b = whole.slice(at, PIECE)
                 for key, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
-                    words, two = grams(text, known)
-                    if not len(words):
-                        continue
-                    chosen = key in target
-                    held.append((words, chosen))
-                    size += len(words)
-                    if len(two):
-                        found, n = np.unique(two, return_counts=True)
-                        pairs[0, found] += n
-                        if chosen:
-                            pairs[1, found] += n
-                    if size >= _AT_ONCE:
-                        yield counted()
-                        held, size = [], 0
-        if held:
-            yield counted()
-        at = np.flatnonzero(pairs[0])
-        yield table(True, at, pairs[0, at], pairs[1, at])
-
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, "pair boolean, gram long, raw long, own long")
-    return written(rows.groupBy("pair", "gram").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own")))
+                    found = np.unique(np.concatenate(grams(text, known)))
+                    seen[0, found] += 1
+                    if key in target:
+                        seen[1, found] += 1
+        at = np.flatnonzero(seen[0])
+        yield batch(gram=pa.array(at.astype(np.int32)), raw=pa.array(seen[0, at]), own=pa.array(seen[1, at]))
+
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, "gram int, raw long, own long")
+    return written(rows.groupBy("gram").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own")))
 
 
 class Model:
-    """The log ratios that count: of words and marks by hash, of pairs by bucket."""
+    """The weight of each bucket: the log ratio as far as it counts."""
 
-    def __init__(self, words: dict[int, float], pairs: dict[int, float]) -> None:
-        order = np.array(sorted(words), np.int64)
-        self.words, self.word_weights = order, np.array([words[k] for k in order.tolist()], np.float64)
-        self.pairs = np.zeros(1 << PAIR_BITS)
-        if pairs:
-            self.pairs[list(pairs)] = list(pairs.values())
-        self.empty = not (words or pairs)
+    def __init__(self, weights: np.ndarray, length: float = 400.0) -> None:
+        self.weights, self.length, self.empty = weights, length, not weights.any()
 
     def score(self, words: np.ndarray, pairs: np.ndarray) -> float:
-        total = float(self.pairs[pairs].sum())
-        if len(self.words) and len(words):
-            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-            total += float(self.word_weights[at][self.words[at] == words].sum())
-        return total
-
-
-def fit(counted: DataFrame, smooth: float = 0.1, sure: tuple[float, float] = (5.0, 8.0), least_weight: float = 1e-3, most_grams: int = 1 << 22) -> Model:
-    """The model of a table of counts. sure: of words and marks, and of pairs."""
-    totals = {r.pair: (r.raw, r.own) for r in counted.groupBy("pair").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own")).collect()}
-    found: dict[bool, dict[int, float]] = {False: {}, True: {}}
-    for pair, (raw, own) in totals.items():
-        if not own:
+        if not len(words):
+            return 0.0
+        return float(self.weights[words].sum() + self.weights[pairs].sum()) * math.sqrt(self.length / len(words))
+
+
+def fit(counted: DataFrame, smooth: float = 0.1, sure: tuple[float, float] = (3.5, 5.0), length: float = 400.0) -> Model:
+    """The model of a table of counts, which has at most a row for each bucket. sure: of words and marks, and of pairs."""
+    rows = counted.toArrow()
+    gram, raw, own = (rows.column(c).to_numpy() for c in ("gram", "raw", "own"))
+    weights = np.zeros(_ALL)
+    for mine, odds in ((gram < _WORDS, sure[0]), (gram >= _WORDS, sure[1])):
+        if not own[mine].sum():
             continue
-        expected = F.col("raw") * (own / raw)
-        ratio = F.log((F.col("own") + smooth) / (expected + smooth))
-        square = (F.col("own") - expected) ** 2 / (expected + 1)
-        weight = ratio / (1 + F.exp(F.least(F.lit(50.0), (sure[pair] ** 2 - square) / 2)))
-        rows = counted.where(F.col("pair") == pair).select("gram", weight.alias("weight")).where(F.abs("weight") > least_weight)
-        found[pair] = {r.gram: r.weight for r in rows.orderBy(F.abs("weight").desc(), "gram").limit(most_grams).collect()}
-    return Model(found[False], found[True])
+        expected = raw[mine] * (own[mine].sum() / raw[mine].sum())
+        ratio = np.log((own[mine] + smooth) / (expected + smooth))
+        square = (own[mine] - expected) ** 2 / (expected + 1)
+        weights[gram[mine]] = ratio / (1 + np.exp(np.minimum(50.0, (odds**2 - square) / 2)))
+    return Model(weights, length)
 
 
 def scores(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "_score") -> DataFrame:
