@@ -6,13 +6,16 @@ of its children. The node with the largest sum is found; the smallest density on
 threshold, and the largest-sum subtree of each node at or above the threshold is content.
 
 What stands beside content is judged by density and kind. Below the threshold, a part of mostly link text goes, and so
-does bare text of a container; headings, paragraphs, lists and tables stay, and containers are searched for them. A
+does bare text of a container with under a quarter of the characters that the best node has per tag; headings,
+paragraphs, lists and tables stay, and containers are searched for them. A
 region that is content as a whole only loses what is cut.
 
 Cut are: menus, headers and footers outside the article, sidebars, forms, dialogs, scripts and styles, by element or
 role; and notices, adverts, comments and the like by a word of the class or id. A name never cuts much: where named
 parts hold half of the text (of the page's articles, if it has any), names count for nothing, and a name that holds
-other words too (`has-sidebar`) cuts only a node below the threshold with under a quarter of the text.
+other words too (`has-sidebar`) cuts only a node below the threshold with under a quarter of the text. But comments and
+notices, told by a name or by the heading of a `div` or `section`, go at any size, unless nothing else is left or an article
+is in them.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed. Null
 and empty pages give an empty text; malformed pages never fail: a tag cut off at the end is dropped, an attribute quote
@@ -44,6 +47,9 @@ CUT_ROLES = frozenset("navigation banner contentinfo complementary search form d
 #: Words of a class or id that name what isn't the article, and words that say nothing beside them.
 NAMES = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside notice cookie cookies consent banner popup modal overlay ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments respond reply replies disqus share sharing social related recommended newsletter subscribe subscription signup login search widget".split())
 BESIDE = frozenset("site page main top bottom left right box bar area block container wrapper wrap list section item items inner outer row col the primary secondary global side".split())
+#: Those of the names whose parts go at any size, and how the heading of such a part begins.
+ALWAYS_NAMES = frozenset("comment comments respond reply replies disqus notice cookie cookies consent".split())
+ALWAYS_HEADINGS = re.compile(r"\s*(?:\d+\s+)?(?:comments?|responses?|replies|trending|most (?:read|popular)|related (?:articles|posts|stories)|you may also like|leave a (?:comment|reply))\s*(?:\(\d+\))?\s*:?\s*", re.I)
 #: Those of the names that an article may call parts of its own.
 OF_ARTICLES = frozenset("header masthead banner".split())
 #: Elements that hold parts side by side, and say nothing about them.
@@ -66,8 +72,9 @@ _MARKS = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
-#: What a node's own element and attributes say: nothing, always cut, cut while it holds little, a plain name, a mixed name.
-OPEN, HARD, LITTLE, NAMED, MIXED = range(5)
+#: What a node's own element, attributes and heading say: nothing, always cut, cut while it holds little, a plain name, a
+#: mixed name, a name that cuts at any size.
+OPEN, HARD, LITTLE, NAMED, MIXED, ALWAYS = range(6)
 
 
 def _says(tag: str, attributes: str, inside: bool) -> int:
@@ -85,8 +92,11 @@ def _says(tag: str, attributes: str, inside: bool) -> int:
         for token in value.split():
             words = [w.lower() for w in _WORDS.findall(token)]
             names = [w for w in words if w in NAMES and not (inside and w in OF_ARTICLES)]
+            plain = all(w in names or w in BESIDE for w in words)
+            if plain and not ALWAYS_NAMES.isdisjoint(names):
+                return ALWAYS
             if names:
-                found = max(found, NAMED if all(w in names or w in BESIDE for w in words) else MIXED) if found != NAMED else NAMED
+                found = max(found, NAMED if plain else MIXED) if found != NAMED else NAMED
     return found
 
 
@@ -130,6 +140,8 @@ def parse(html: str) -> Page:
         node = stack[-1]
         text = unescape(text)
         page.own[node] += len("".join(text.split()))
+        if page.tags[node] in _HEADINGS and page.tags[stack[-2]] in ("div", "section") and ALWAYS_HEADINGS.fullmatch(text):
+            page.says[stack[-2]] = ALWAYS
         page.events.append((node, text))
 
     while at < len(html):
@@ -249,6 +261,15 @@ def _cut(page: Page, chars: list[int]) -> tuple[list[bool], list[int]]:
             out[i] = out[page.parents[i]] or (page.says[i] in kinds and i not in but)
         return out
 
+    holds = [page.tags[i] in ("article", "main") for i in range(n)]  # an article in it
+    for i in range(n - 1, 0, -1):
+        holds[page.parents[i]] = holds[page.parents[i]] or holds[i]
+    always = frozenset(i for i in range(n) if page.says[i] == ALWAYS and not holds[i])
+    rest = below((HARD, LITTLE, NAMED, ALWAYS), frozenset(i for i in range(n) if page.says[i] == ALWAYS and holds[i]))
+    if any(c and not x for x, c in zip(rest, page.own, strict=True)):  # something else is left on the page
+        page.says = [HARD if i in always else NAMED if x == ALWAYS else x for i, x in enumerate(page.says)]
+    else:
+        page.says = [NAMED if x == ALWAYS else x for x in page.says]
     hard = below((HARD,))
     seen = _sums(page, [0 if x else c for x, c in zip(hard, page.own, strict=True)])
     inside = [False] * n  # in what the page itself calls its article, if it has one with text
@@ -284,6 +305,7 @@ def content(page: Page) -> list[bool]:
         node = parents[node]
         threshold = min(threshold, density[node])
 
+    usual = chars[best] / _sums(page, [1] * n)[best]
     above = [not out[i] and left[i] > 0 and density[i] >= threshold for i in range(n)]
     for i in range(n):  # a name with other words beside it cuts only what is thin
         if page.says[i] == MIXED and not above[i] and 4 * left[i] < left[body]:
@@ -318,7 +340,7 @@ def content(page: Page) -> list[bool]:
                 continue
             elif tags[i] in CONTAINERS:
                 searched[i] = True
-                kept[i] = above[i]
+                kept[i] = above[i] or (not linked and 4 * page.own[i] >= usual)
             else:
                 kept[i] = whole[i] = True
         begun = begun or (kept[i] and page.own[i] > 0 and not linked)

@@ -353,3 +353,22 @@ def test_hadamard_is_orthogonal_and_codes_agree_for_near_vectors():
 def test_limit_between():
     assert quality.limit_between([0.0, 1.0], [-2.0, -4.0]) == -1.0
     assert quality.limit_between([1.0], []) == -np.inf and quality.limit_between([], [1.0]) == np.inf
+
+
+def _paragraphs(word: str, n: int, k: int = 40) -> str:
+    return f"<p>{(word + ' ') * k}</p>" * n
+
+
+@pytest.mark.parametrize(("html", "words"), [
+    (f"<div>{_paragraphs('aa', 3)}</div><div>{'zz ' * 30}</div>", {"aa": 120, "zz": 30}),
+    (f"{_paragraphs('aa', 3)}<div>{'zz ' * 30}</div>", {"aa": 120, "zz": 30}),
+    (f"<div>{_paragraphs('aa', 3)}</div><div id=comments>{_paragraphs('cc', 5)}</div>", {"aa": 120}),
+    (f"<div><p>post</p></div><div class='cookie-notice'>{'cc ' * 60}</div>", {"post": 1}),
+    (f"<div>{_paragraphs('aa', 3)}</div><section><h3>3 responses</h3>{_paragraphs('cc', 3, 8)}</section>", {"aa": 120}),
+    (f"<div>{_paragraphs('aa', 3)}</div><div><h3>Trending</h3><ul><li>cc<li>cc</ul></div>", {"aa": 120}),
+    (f"<div class=comments>{_paragraphs('aa', 2)}</div>", {"aa": 80}),
+    (f"<div class=cookies><article>{_paragraphs('aa', 2)}</article></div><p>zz</p>", {"aa": 80, "zz": 1}),
+])
+def test_html_bare_text_stays_and_comments_go_at_any_size(html, words):
+    found = html_text.main_text(f"<html><body>{html}</body></html>").split()
+    assert {w: found.count(w) for w in set(found)} == words
