@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import bpe, decontaminate, pii, quality, simhash
 from quarry.llm.queries import tokenizer
-from quarry.llm.shared import written
+from quarry.llm.shared import discard, written
 from quarry.sources.shared import shared_folder
 
 
@@ -78,9 +78,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. A stage's table is deleted when the next one has been written."""
+    docs, made = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
         path = shared_folder(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if made is not None:
+            discard(made)
+        made = docs
     return docs
