@@ -1,31 +1,32 @@
 """Language-model scores by a hierarchical Pitman-Yor process, its Chinese restaurants seated by Gibbs sampling.
 
-The top restaurant serves words: every word of the training texts, and the end of each text, is a customer. A table that is
-opened there sends the spelling of its word down as customers of a hierarchy of restaurants of bytes. Their contexts are
-the low five bits of up to three bytes before (which tell letters apart); a restaurant's parent is that of the context
-without its first byte, so longer contexts share parents, down to the empty context over the uniform distribution of 256
-bytes and the word's end. The end of a text is the empty word. Words never seen in training are one event, as in the base score; its probability is that
-of a new table with a spelling that is none of theirs.
-
-A sweep takes customers of every word out and seats them again, each with probability proportional to a table's size less
-the discount, or, at a new table, to what the parent predicts; then the bytes' restaurants from the longest context to the
-empty one, whose customers are the tables above. Of one dish's customers at most `MOVES`, drawn at random, are seated anew
-in a sweep: any such choice leaves the posterior as it is, and a hot word costs no more than others. New dishes begin with
-the seating that is typical for many customers. Within a restaurant, the tables of other dishes count as they were when the
-sweep began, which lets Spark seat dishes in parallel. After `burn` sweeps, the predictive probabilities of `samples` sweeps
-are averaged.
-
-Counts come from all training texts: tasks hand out, for a bounded number of tokens at a time, each word with the documents
-that hold it (postings), and these are summed by word, joined with the words' probabilities, and sent back to the place of
-their documents, to be summed there. Only the byte model goes to all tasks: at most 32^3 contexts of 257 symbols, whatever the corpus.
+Every word has a restaurant: the customers of `u` are the words that follow u in training texts (the end of a text is the empty
+word, which also stands before the first one). A table opened there sends its word to the restaurant of all words, and a table
+opened in that sends the spelling of its word down to a hierarchy of restaurants of bytes. Their contexts are the low five bits
+of up to three bytes before (which tell letters apart); a restaurant's parent is that of the context without its first byte,
+down to the empty context over the uniform distribution of 256 bytes and the word's end. Words never seen in training are one
+event, as in the base score; its probability is that of a new table with a spelling that is none of theirs.
+
+A sweep goes from the longest contexts to the empty one: pairs of words, words, bytes. It takes all customers of a dish out of a
+restaurant and seats them anew. What they do elsewhere depends on the number of their tables alone, so that is drawn from its
+posterior (generalised Stirling numbers: exact up to `EXACT` customers, by their saddle point beyond). A dish with one customer
+has one table. Within a restaurant, the tables of other dishes count as they were when the sweep began, which lets Spark seat
+dishes in parallel. After `burn` sweeps, the predictive probabilities of `samples` sweeps are averaged.
+
+Texts become chunks of a bounded number of tokens: their words, and a number for each token. Chunks send their words, and the
+pairs of words in them, to parts by the word's or the first word's hash, in one packed row for each chunk and part; parts count
+them, and remember where each chunk's entries went. In a sweep, parts of pairs and of words exchange tables and probabilities;
+then both send prices to the chunks, whose tokens add them up. The number of parts grows with the corpus. Words are told apart
+by 64-bit hashes. Only the byte model goes to all tasks: at most 32^3 contexts of 257 symbols, whatever the corpus.
 
 Null texts count as empty: one token, the end. A null id counts as an empty text, whose remainder is 0, so it is held out.
-Repeated rows are scored each, and learned from each. Without training documents words are spelled by the uniform
-distribution. An empty table gives an empty result. Long texts are read in slices. Only the named columns are read.
+Repeated rows are scored each, and learned from each. Without training documents all words are one event. An empty table
+gives an empty result. Long texts are read in slices. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -40,19 +41,27 @@ from pyspark.taskcontext import TaskContext
 from quarry.llm.shared import LOWER, Scratch, batch, utf8
 
 SYMBOLS, END, DEPTH, CLASS = 257, 256, 3, 32
-#: Customers of one dish that a sweep seats anew, tokens that a task holds, bytes of text taken at once.
-MOVES, AT_ONCE, SLICE = 64, 1 << 22, 1 << 22
+#: Tokens of a chunk, bytes of text taken at once, tokens for each part of words and pairs.
+AT_ONCE, SLICE, PART = 1 << 22, 1 << 22, 1 << 20
+#: Customers of a dish up to which numbers of tables have exact weights; customers that reseated() moves.
+EXACT, MOVES = 1024, 64
+GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = re.compile(rb"[ \t-\r]")
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def uniform(keys: np.ndarray, n: np.ndarray, seed: int) -> np.ndarray:
     """n[i] numbers between 0 and 1 for each key, one after another: the same for a key and seed wherever they are drawn."""
     at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     with np.errstate(over="ignore"):
-        x = np.repeat(keys.view(np.uint64), n) + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+        x = np.repeat(keys.view(np.uint64), n) + at.astype(np.uint64) * GOLD + np.uint64(seed * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)
+    return (mixed(x) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
 def first_seating(c: int, outside: float, share: float, d: float, draw: Iterator[float]) -> list[int]:
@@ -110,19 +119,113 @@ def reseated(sizes: list[int], c: int, outside: float, share: float, d: float, d
     return sizes
 
 
-def sweep(keys: np.ndarray, c: np.ndarray, sizes: list[list[int] | None], outside: np.ndarray, share: np.ndarray, d: float, seed: int) -> list[list[int]]:
-    """reseated() for many dishes; outside counts all tables of the restaurant, the dish's own still among them."""
-    seated = np.array([sum(s) if s else 0 for s in sizes], np.int64)
-    change = np.where((seated == 0) | (np.abs(c - seated) > MOVES), np.minimum(c, 4097), np.abs(c - seated))
-    need = np.where(c > 1, 2 * np.minimum(c, MOVES) + change, 0)
-    out = []
-    for at in range(0, len(c), 256):
-        part = slice(at, at + 256)
-        u, ends = uniform(keys[part], need[part], seed).tolist(), np.cumsum(need[part]).tolist()
-        for i, (n, own, o, p) in enumerate(zip(c[part].tolist(), sizes[part], outside[part].tolist(), share[part].tolist(), strict=True)):
-            draw = iter(u[(ends[i - 1] if i else 0) : ends[i]])
-            out.append([] if n == 0 else [1] if n == 1 else reseated(list(own or []), n, o - d * len(own or []), p, d, draw))
-    return out
+_STIRLING: dict[float, np.ndarray] = {}
+
+
+def stirling_logs(d: float) -> np.ndarray:
+    """[c, t]: logs of the generalised Stirling numbers, by which c customers of a dish sit at t tables; kept for the last discounts."""
+    if d not in _STIRLING:
+        if len(_STIRLING) > 1:
+            _STIRLING.pop(next(iter(_STIRLING)))
+        out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+        out[1, 1] = 0.0
+        t = np.arange(1, EXACT + 1)
+        for c in range(2, EXACT + 1):
+            own = t[:c]
+            out[c, 1 : c + 1] = np.logaddexp(out[c - 1, :c], out[c - 1, 1 : c + 1] + np.log(np.maximum(1e-300, c - 1 - d * own)))
+        _STIRLING[d] = out
+    return _STIRLING[d]
+
+
+def gamma_logs(x: np.ndarray) -> np.ndarray:
+    """Logs of the gamma function of positive numbers."""
+    x = np.asarray(x, np.float64)
+    low = np.where(x < 8, x, 1.0)
+    small = np.log(low * (low + 1) * (low + 2) * (low + 3)) + np.log((low + 4) * (low + 5) * (low + 6) * (low + 7))
+    y = np.where(x < 8, x + 8, x)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - (1 / 360 - 1 / 1260 / y**2) / y**2) / y - np.where(x < 8, small, 0.0)
+
+
+def table_size(x: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """At z = 1 - exp(-x): g = 1 - (1 - z)^d, and z g' / g, the mean size of a table there."""
+    g = -np.expm1(-d * x)
+    return g, d * -np.expm1(-x) * np.exp(x * (1 - d)) / g
+
+
+def saddle_logs(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """stirling_logs() of many customers: c! / (t! d^t) times the coefficient of z^c in g(z)^t. While tables are few for so many
+    customers by its sum over powers of (1 - z)^d, where little cancels; then by the saddle point, joined to it."""
+
+    def saddle(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        low, high = np.full(c.shape, 1e-9), np.full(c.shape, 60.0 / (1 - d) + 1)
+        for _ in range(45):
+            x = np.sqrt(low * high)
+            more = table_size(x, d)[1] < c / t
+            low, high = np.where(more, x, low), np.where(more, high, x)
+        g, m = table_size(x, d)
+        z, rest = -np.expm1(-x), np.exp(-x)
+        spread = m * (1 + z * (1 - d) / rest - m)
+        return gamma_logs(c + 1) - gamma_logs(t + 1) - t * math.log(d) + t * np.log(g) - c * np.log(z) - 0.5 * np.log(2 * np.pi * np.maximum(1e-300, t * spread))
+
+    def powers(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        total, choose = np.zeros(t.shape), np.ones(t.shape)
+        for j in range(1, 41):
+            choose = choose * (t - j + 1) / -j
+            if abs(j * d - round(j * d)) > 1e-12:
+                total += choose / math.gamma(-j * d) * np.exp(gamma_logs(c - j * d) - gamma_logs(c - d))
+        return np.log(np.maximum(1e-300, total)) + gamma_logs(c - d) - gamma_logs(t + 1) - t * math.log(d)
+
+    c, t = np.asarray(c, np.float64), np.asarray(t, np.float64)
+    few = np.floor(np.clip((3 / ((1 - d) * d ** (d / (1 - d)))) ** (1 - d) * c**d, 8, c / 2))
+    own = np.broadcast_to(c, t.shape)
+    return np.where(t <= few, powers(c, np.minimum(t, few)), saddle(own, np.minimum(t, own - 1e-3)) + (powers(c, few) - saddle(c, few)))
+
+
+def many_tables(c: np.ndarray, outside: np.ndarray, share: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
+    """table_counts() of dishes of more than EXACT customers: from a grid of numbers of tables about the likeliest."""
+    low, high = np.full(len(c), 1e-9), np.full(len(c), 60.0 / (1 - d) + 1)
+    for _ in range(60):  # where one more table makes no difference
+        x = np.sqrt(low * high)
+        g, m = table_size(x, d)
+        more = g * share * (outside + d * c / m) * m < d * c
+        low, high = np.where(more, x, low), np.where(more, high, x)
+    best = np.clip(c / table_size(x, d)[1], 1, c)
+    step = np.ceil(12 * np.sqrt(best + 4) / 64)
+    first = np.maximum(1, np.floor(best - 32 * step))
+    t = first[:, None] + step[:, None] * np.arange(64)
+    inside = t <= c[:, None]
+    t = np.where(inside, t, c[:, None])
+    logs = saddle_logs(c[:, None], t, d) + gamma_logs(outside[:, None] / d + t) + t * np.log(d * share)[:, None]
+    logs = np.where(inside, logs, -np.inf)
+    weights = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
+    at = u * weights[:, -1]
+    k = np.minimum((weights <= at[:, None]).sum(axis=1), 63)
+    before = np.where(k > 0, weights[np.arange(len(c)), np.maximum(0, k - 1)], 0.0)
+    within = (at - before) / np.maximum(1e-300, weights[np.arange(len(c)), k] - before)
+    return np.clip(first + step * k + np.floor(within * step) - (step - 1) // 2, 1, c).astype(np.int64)
+
+
+def table_counts(keys: np.ndarray, c: np.ndarray, outside: np.ndarray, share: np.ndarray, d: float, seed: int) -> np.ndarray:
+    """Tables of many dishes of c customers, all seated anew: t has the weight S_d(c, t) (outside | d)_t share^t.
+    outside: the restaurant's concentration and the discounts of its other dishes' tables."""
+    t = np.minimum(c, 1).astype(np.int64)
+    u, share = uniform(keys, np.ones(len(keys), np.int64), seed), np.maximum(share, 1e-300)
+    order = np.argsort(c, kind="stable")
+    sizes, begins = np.unique(c[order], return_index=True)
+    for size, begin, end in zip(sizes.tolist(), begins.tolist(), [*begins.tolist()[1:], len(c)][: len(sizes)], strict=True):
+        if not 1 < size <= EXACT:
+            continue
+        row, n = stirling_logs(d)[size, 1 : size + 1], np.arange(size)
+        for at in range(begin, end, max(1, (1 << 18) // size)):
+            mine = order[at : min(end, at + max(1, (1 << 18) // size))]
+            logs = np.cumsum(np.log((outside[mine, None] + d * n) * share[mine, None]), axis=1) + row
+            weights = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
+            t[mine] = 1 + np.minimum((weights <= (u[mine] * weights[:, -1])[:, None]).sum(axis=1), size - 1)
+    many = order[np.searchsorted(c[order], EXACT, "right") :]
+    for at in range(0, len(many), 2048):
+        mine = many[at : at + 2048]
+        t[mine] = many_tables(c[mine].astype(np.float64), outside[mine], share[mine], d, u[mine])
+    return t
 
 
 @dataclass
@@ -153,7 +256,8 @@ class Spelling:
     def log_table(self) -> np.ndarray:
         """Natural logs for the deepest contexts, by key; kept for the tasks of a worker."""
         if not hasattr(self, "_log"):
-            self._log = np.log(self.predicted(DEPTH)).ravel().astype(np.float32)
+            p = self.predicted(DEPTH)
+            self._log = np.log(p, out=p).ravel().astype(np.float32)
         return self._log
 
 
@@ -171,16 +275,21 @@ def binary(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
 
 
-def spelled(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The keys at the deepest contexts of all symbols of all words, and where each word begins."""
+def lettered(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of all words, an END after each word, and where each word begins."""
     letters, lengths = raw(words.cast(pa.binary()), np.uint8)
     ends = np.cumsum(lengths + 1) - 1
     symbols = np.full(len(letters) + len(lengths), END, np.int64)
     inside = np.ones(len(symbols), bool)
     inside[ends] = False
     symbols[inside] = letters
+    return symbols, np.concatenate([[0], ends[:-1] + 1]).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
+
+
+def spelled(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The keys at the deepest contexts of all symbols of all words, and where each word begins."""
+    symbols, starts = lettered(words)
     begins = np.zeros(len(symbols), bool)
-    starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
     begins[starts] = True
     context, before = np.zeros(len(symbols), np.int64), symbols % CLASS
     for i in range(DEPTH):
@@ -189,6 +298,17 @@ def spelled(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return context * SYMBOLS + symbols, starts
 
 
+def hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words: a number for each place and byte, added up and mixed."""
+    out = [np.zeros(0, np.uint64)]
+    for at in range(0, len(words), 1 << 14):
+        symbols, starts = lettered(words.slice(at, 1 << 14))
+        place = np.arange(len(symbols)) - np.repeat(starts, np.diff(np.append(starts, len(symbols))))
+        with np.errstate(over="ignore"):
+            out.append(mixed(np.add.reduceat(mixed((place * SYMBOLS + symbols + 1).astype(np.uint64) * GOLD), starts)))
+    return np.concatenate(out)
+
+
 class _Ids(dict):
     """word -> its number in order of appearance."""
 
@@ -231,31 +351,35 @@ def spelling_logs(model: Spelling, words: pa.Array) -> np.ndarray:
     return np.add.reduceat(model.log_table()[keys].astype(np.float64), starts) if len(starts) else np.zeros(0)
 
 
-def discount(counts: DataFrame, column: str = "c") -> float:
+def discount(ones: int | None, twos: int | None) -> float:
     """The usual estimate from how many dishes have one and two customers."""
-    r = counts.agg(F.count_if(F.col(column) == 1).alias("one"), F.count_if(F.col(column) == 2).alias("two")).first()
-    return min(0.95, max(0.05, r.one / (r.one + 2 * r.two))) if r.one + r.two else 0.5
+    return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones or twos else 0.5
+
+
+def listed(words: bytes) -> list[bytes]:
+    return words.split(b"\n")
+
 
+def rows_of(schema: pa.Schema, rows: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(rows, schema)
 
-def postings(docs: DataFrame, id_col: str, text_col: str, remainders: int = 10) -> DataFrame:
-    """Rows of two kinds. Documents: pid, n (its number in task pid), doc_id, held_out, n_tokens. Words of about AT_ONCE
-    tokens of task pid: word, n_train (times in training documents), and the documents from number n on that have it, packed()."""
+
+def chunks(docs: DataFrame, id_col: str, text_col: str, remainders: int = 10) -> DataFrame:
+    """Rows of two kinds. Documents: pid, n (its number in task pid), doc_id, held_out, n_tokens. Chunks of about AT_ONCE tokens:
+    chunk, its words (the end of a text first), ids (a word's number for each token), and for the documents of task pid from
+    number n on how many of the tokens they have (lengths) and whether they are learned from; before: what precedes the first token."""
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(id_col).cast("string").alias("name"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, n, start = TaskContext.get().partitionId(), 0, 0
-        known, ids, numbers, training, size, doc_type = _Ids(), [], [], [], 0, None
-
-        def words() -> pa.RecordBatch:
-            code, times = np.unique(np.concatenate(ids) << 31 | np.concatenate(numbers), return_counts=True)
-            word, doc = code >> 31, code & 0x7FFFFFFF
-            learned = np.zeros(n - start + 1, bool)
-            learned[np.array(training, np.int64) - start] = True
-            rows = len(known)
-            steps, counts = packed(word, doc, times, rows, start)
-            n_train = np.bincount(word, times * learned[doc - start], rows).astype(np.int64)
-            return batch(pid=pa.array([pid] * rows, pa.int32()), n=pa.array([start] * rows, pa.int32()), doc_id=pa.nulls(rows, doc_type), held_out=pa.nulls(rows, pa.bool_()), n_tokens=pa.nulls(rows, pa.int64()), word=pa.array(list(known), pa.binary()).cast(pa.string()), n_train=pa.array(n_train), steps=steps, counts=counts)
+        pid, n, start, chunk, before, size = TaskContext.get().partitionId(), 0, 0, 0, 0, 0
+        known, ids, lengths, learned, doc_type = _Ids({b"": 0}), [], [], [], None
+
+        def written() -> pa.RecordBatch:
+            packed_ids = pa.compress(pa.py_buffer(np.concatenate(ids)), codec="zstd", asbytes=True)
+            cells = [b"\n".join(known), packed_ids, np.array(lengths, np.int32).tobytes(), np.array(learned, np.uint8).tobytes()]
+            words, tokens, many, which = (pa.array([x], pa.binary()) for x in cells)
+            return batch(pid=pa.array([pid], pa.int32()), n=pa.array([start], pa.int32()), doc_id=pa.nulls(1, doc_type), held_out=pa.nulls(1, pa.bool_()), n_tokens=pa.nulls(1, pa.int64()), chunk=pa.array([pid << 32 | chunk], pa.int64()), words=words, ids=tokens, lengths=many, learned=which, before=pa.array([before], pa.int32()))
 
         for b in batches:
             doc_type = b.column(0).type
@@ -263,93 +387,240 @@ def postings(docs: DataFrame, id_col: str, text_col: str, remainders: int = 10)
             for name, text in zip(b.column(1).to_pylist(), utf8(b.column(2)), strict=True):
                 out = zlib.crc32((name or "").encode()) % remainders == 0
                 held.append(out)
-                if not out:
-                    training.append(n)
-                text, at, count = text.translate(LOWER), 0, 1
-                while True:
+                lengths.append(0)
+                learned.append(not out)
+                text, at, count, last, done = text.translate(LOWER), 0, 0, b"", False
+                while not done:
                     cut = _BLANK.search(text, at + SLICE)
                     end = cut.start() if cut else len(text)
                     found = text[at:end].split()
-                    at, count = end, count + len(found)
-                    if at >= len(text):
+                    at, done = end, end >= len(text)
+                    if done:
                         found.append(b"")
-                    ids.append(np.fromiter(map(known.__getitem__, found), np.int64, len(found)))
-                    numbers.append(np.full(len(found), n, np.int64))
-                    size += len(found)
+                    ids.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
+                    lengths[-1] += len(found)
+                    size, count, last = size + len(found), count + len(found), found[-1] if found else last
                     if size >= AT_ONCE:
-                        yield words()
-                        known, ids, numbers, training, size, start = _Ids(), [], [], [] if out else [n], 0, n
-                    if at >= len(text):
-                        break
+                        yield written()
+                        known, ids, lengths, learned = _Ids({b"": 0}), [], [] if done else [0], [] if done else [not out]
+                        start, chunk, before, size = n + done, chunk + 1, 0 if done else known[last], 0
                 tokens.append(count)
                 n += 1
             rows = n - first
-            none = pa.nulls(rows, pa.binary())
-            yield batch(pid=pa.array([pid] * rows, pa.int32()), n=pa.array(range(first, n), pa.int32()), doc_id=b.column(0), held_out=pa.array(held, pa.bool_()), n_tokens=pa.array(tokens, pa.int64()), word=pa.nulls(rows, pa.string()), n_train=pa.nulls(rows, pa.int64()), steps=none, counts=none)
-        if ids:
-            yield words()
+            none, no_int, no_long = pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64())
+            yield batch(pid=pa.array([pid] * rows, pa.int32()), n=pa.array(range(first, n), pa.int32()), doc_id=b.column(0), held_out=pa.array(held, pa.bool_()), n_tokens=pa.array(tokens, pa.int64()), chunk=no_long, words=none, ids=none, lengths=none, learned=none, before=no_int)
+        if size:
+            yield written()
+
+    return own.mapInArrow(run, f"pid int, n int, doc_id {kind}, held_out boolean, n_tokens long, chunk long, words binary, ids binary, lengths binary, learned binary, before int")
+
+
+class Chunk:
+    """A chunk with its words in the order of their parts: keys, words, the words' parts' edges; tokens: w, and u before it."""
+
+    def __init__(self, row: dict, parts: int) -> None:
+        words = pa.array(listed(row["words"]), pa.binary())
+        self.lengths = np.frombuffer(row["lengths"], np.int32).astype(np.int64)
+        ids = np.frombuffer(pa.decompress(row["ids"], decompressed_size=4 * int(self.lengths.sum()), codec="zstd"), np.int32)
+        before = np.empty_like(ids)
+        before[1:] = ids[:-1]
+        starts = np.cumsum(self.lengths) - self.lengths
+        before[starts[self.lengths > 0]] = 0
+        if row["before"]:
+            before[0] = row["before"]
+        keys = hashes(words)
+        part = (keys % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.words, self.keys, self.edges = words.take(pa.array(order)), keys[order], np.searchsorted(part[order], np.arange(parts + 1))
+        self.w, self.u = rank[ids], rank[before]
+        self.learned = np.repeat(np.frombuffer(row["learned"], np.uint8), self.lengths)
+
+    def pair_codes(self) -> np.ndarray:
+        return self.u * np.int64(len(self.keys)) + self.w
+
+    def each(self) -> Iterator[tuple[int, slice]]:
+        """The parts that have words of the chunk, and which."""
+        for q in np.flatnonzero(np.diff(self.edges)).tolist():
+            yield q, slice(int(self.edges[q]), int(self.edges[q + 1]))
+
+
+def sent_words(tokens: DataFrame, parts: int) -> DataFrame:
+    """(part, chunk, words, n): words of a chunk, and how often they are in its training documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("n", pa.binary())])
+        for b in batches:
+            for row in b.to_pylist():
+                own = Chunk(row, parts)
+                n, words = np.bincount(own.w, own.learned, len(own.keys)).astype(np.int32), own.words.to_pylist()
+                yield from rows_of(schema, [{"part": q, "chunk": row["chunk"], "words": b"\n".join(words[at]), "n": n[at].tobytes()} for q, at in own.each()]).to_batches()
+
+    return tokens.mapInArrow(run, "part int, chunk long, words binary, n binary")
 
-    return own.mapInArrow(run, f"pid int, n int, doc_id {kind}, held_out boolean, n_tokens long, word string, n_train long, steps binary, counts binary")
 
+_WORDS = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("codes", pa.binary()), ("words", pa.binary()), ("keys", pa.binary()), ("c", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
 
-def spelling_customers(words: DataFrame) -> DataFrame:
-    """(key, c) of words (word, t): what their tables send to the restaurants of the longest contexts."""
+
+def merged_words(table: pa.Table) -> pa.Table:
+    """One row for the words of a part, by key, and one for each chunk: where its words are among them (codes)."""
+    part, rows = table.column("part")[0].as_py(), table.to_pylist()
+    own = [listed(r["words"]) for r in rows]
+    words = pa.array([w for ws in own for w in ws], pa.binary())
+    keys, first, at = np.unique(hashes(words), return_index=True, return_inverse=True)
+    c = np.bincount(at, np.concatenate([np.frombuffer(r["n"], np.int32) for r in rows]), len(keys)).astype(np.int64)
+    ends = np.cumsum([len(ws) for ws in own])
+    out = [{"part": part, "chunk": r["chunk"], "codes": x.astype(np.int32).tobytes()} for r, x in zip(rows, np.split(at, ends[:-1]), strict=True)]
+    out.append({"part": part, "words": b"\n".join(words.take(pa.array(first)).to_pylist()), "keys": keys.tobytes(), "c": c.tobytes(), "n": int(c.sum()), "v": int((c > 0).sum())})
+    return rows_of(_WORDS, out)
+
+
+def sent_pairs(tokens: DataFrame, parts: int) -> DataFrame:
+    """(part, chunk, u, many, w, n): keys of first words, how many second words each has, their keys, times in training documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), *[(x, pa.binary()) for x in ("u", "many", "w", "n")]])
+        for b in batches:
+            for row in b.to_pylist():
+                own = Chunk(row, parts)
+                code = own.pair_codes()
+                code <<= 1
+                code |= own.learned
+                own.w = own.u = own.learned = None
+                code.sort()
+                n = (code & 1).astype(np.int32)
+                code >>= 1
+                first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+                n = np.add.reduceat(n, first).astype(np.uint32)
+                u, w = np.divmod(code[first], len(own.keys))
+                del code, first
+                edges, out = np.searchsorted(u, own.edges), []
+                for q in np.flatnonzero(np.diff(edges)).tolist():
+                    at = slice(int(edges[q]), int(edges[q + 1]))
+                    us, many = np.unique(u[at], return_counts=True)
+                    out.append({"part": q, "chunk": row["chunk"], "u": own.keys[us].tobytes(), "many": many.astype(np.int32).tobytes(), "w": own.keys[w[at]].tobytes(), "n": n[at].tobytes()})
+                yield from rows_of(schema, out).to_batches()
+
+    return tokens.mapInArrow(run, "part int, chunk long, u binary, many binary, w binary, n binary")
+
+
+_PAIRS = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("to", pa.int32()), *[(x, pa.binary()) for x in ("codes", "us", "u_once", "mu", "mw", "c", "keys", "once", "more")], ("ones", pa.int64()), ("twos", pa.int64())])
+
+
+def merged_pairs(table: pa.Table, parts: int) -> pa.Table:
+    """Rows of three kinds. One for the pairs of a part: first words (us), how many second words each has once (u_once), and its
+    pairs that occur more often: first word (mu), second word among those asked for (mw), count c. For each chunk codes: 0 a pair
+    not in training, 1 one that occurs once, k + 2 the k-th of the others. For each part of second words (to): their keys, and
+    how many pairs with them occur once, or more often, which are asked for."""
+    part, rows = table.column("part")[0].as_py(), table.to_pylist()
+    kinds = {"u": np.uint64, "many": np.int32, "w": np.uint64, "n": np.uint32}
+    u, many, w, n = (np.concatenate([np.frombuffer(r[x], kind) for r in rows]) for x, kind in kinds.items())
+    u = np.repeat(u, many)
+    with np.errstate(over="ignore"):
+        pair = u * GOLD + w
+    order = np.argsort(pair)
+    pair = pair[order]
+    begins = np.r_[True, pair[1:] != pair[:-1]]
+    first = np.flatnonzero(begins)
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(begins) - 1
+    c = np.add.reduceat(n[order].astype(np.int64), first)
+    seen = np.flatnonzero(c)
+    us, ui = np.unique(u[order[first[seen]]], return_inverse=True)
+    ws, wi = np.unique(w[order[first[seen]]], return_inverse=True)
+    once, more = c[seen] == 1, np.flatnonzero(c[seen] > 1)
+    more = more[np.argsort(ui[more], kind="stable")]
+    code = np.zeros(len(c), np.int32)
+    code[seen[once]] = 1
+    code[seen[more]] = 2 + np.arange(len(more))
+    n_once, n_more = np.bincount(wi[once], minlength=len(ws)), np.bincount(wi[more], minlength=len(ws))
+    to = (ws % np.uint64(parts)).astype(np.int64)
+    by_part = np.argsort(to, kind="stable")
+    asked = np.empty(len(ws), np.int64)
+    asked[by_part] = np.cumsum(n_more[by_part] > 0) - 1
+    ends = np.cumsum([len(r["n"]) // 4 for r in rows])
+    out = [{"part": part, "chunk": r["chunk"], "codes": x.tobytes()} for r, x in zip(rows, np.split(code[group], ends[:-1]), strict=True)]
+    out.append({"part": part, "us": us.tobytes(), "u_once": np.bincount(ui[once], minlength=len(us)).astype(np.int64).tobytes(), "mu": ui[more].astype(np.int32).tobytes(), "mw": asked[wi[more]].astype(np.int32).tobytes(), "c": c[seen[more]].tobytes(), "ones": int(once.sum()), "twos": int((c == 2).sum())})
+    edges = np.searchsorted(to[by_part], np.arange(parts + 1))
+    for q in np.flatnonzero(np.diff(edges)).tolist():
+        mine = by_part[edges[q] : edges[q + 1]]
+        out.append({"part": part, "to": q, "keys": ws[mine].tobytes(), "once": n_once[mine].astype(np.int64).tobytes(), "more": n_more[mine].astype(np.int64).tobytes()})
+    return rows_of(_PAIRS, out)
+
+
+_BYTES = pa.list_(pa.binary())
+_STATE = pa.schema([("part", pa.int32()), *[(x, pa.binary()) for x in ("words", "keys", "c", "once", "c1", "t")], ("p", _BYTES), ("ask_from", pa.list_(pa.int32())), ("ask", _BYTES), ("customers", pa.int64()), ("tables", pa.int64()), ("ones", pa.int64()), ("twos", pa.int64()), ("known", pa.float64())])
+_STATE_SQL = "part int, words binary, keys binary, c binary, once binary, c1 binary, t binary, p array<binary>, ask_from array<int>, ask array<binary>, customers long, tables long, ones long, twos long, known double"
+
+
+def first_state(words: pa.Table, asks: pa.Table) -> pa.Table:
+    """The restaurant of all words, its part: every pair has one table. ask: which words a part of pairs asks for."""
+    row = words.to_pylist()[0]
+    keys = np.frombuffer(row["keys"], np.uint64)
+    once, c1, ask_from, ask = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), [], []
+    for r in asks.to_pylist():
+        at = np.searchsorted(keys, np.frombuffer(r["keys"], np.uint64))
+        more = np.frombuffer(r["more"], np.int64)
+        once[at] += np.frombuffer(r["once"], np.int64)
+        c1[at] += more
+        if more.any():
+            ask_from.append(r["part"])
+            ask.append(at[more > 0].astype(np.int32).tobytes())
+    return counted({**{x: row[x] for x in ("part", "words", "keys", "c")}, "once": once.tobytes(), "p": [], "ask_from": ask_from, "ask": ask}, once + c1, np.minimum(1, once + c1))
+
+
+def counted(row: dict, c1: np.ndarray, t: np.ndarray) -> pa.Table:
+    return rows_of(_STATE, [{**row, "c1": c1.tobytes(), "t": t.tobytes(), "customers": int(c1.sum()), "tables": int(t.sum()), "ones": int((c1 == 1).sum()), "twos": int((c1 == 2).sum())}])
+
+
+def spelling_customers(state: DataFrame) -> DataFrame:
+    """(key, c): what the words' tables send to the restaurants of the longest contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, starts = spelled(b.column(0))
-            if len(keys):
-                t = np.repeat(b.column(1).to_numpy(), np.diff(np.append(starts, len(keys))))
+            for words, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                keys, starts = spelled(pa.array(listed(words), pa.binary()))
                 found, place = np.unique(keys, return_inverse=True)
-                yield batch(key=pa.array(found), c=pa.array(np.bincount(place, t).astype(np.int64)))
+                c = np.bincount(place, np.repeat(np.frombuffer(t, np.int64), np.diff(np.append(starts, len(keys))))).astype(np.int64)
+                yield batch(key=pa.array(found[c > 0]), c=pa.array(c[c > 0]))
 
-    return words.select("word", "t").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return state.select("words", "t").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def seat_bytes(customers: DataFrame, states: list[DataFrame | None], model: Spelling, seed: int, scratch: Scratch) -> tuple[Spelling, list[DataFrame | None]]:
+def seat_bytes(customers: DataFrame, model: Spelling, first: bool, seed: int, scratch: Scratch) -> Spelling:
     """One sweep of the restaurants of bytes, from the longest contexts to the empty one."""
-    new, out, discounts = Spelling(strength=model.strength), list(states), list(model.discounts)
+    new, discounts = Spelling(strength=model.strength), list(model.discounts)
     sent = customers.sparkSession.sparkContext.broadcast(model)
     for depth in range(DEPTH, -1, -1):
-        if states[depth] is None:
-            customers = scratch.written(customers)
-            discounts[depth] = discount(customers)
+        customers = scratch.written(customers)
+        if first:
+            r = customers.agg(F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")).first()
+            discounts[depth] = discount(r.one, r.two)
         d = discounts[depth]
-        old = states[depth]
-        rows = customers.withColumn("sizes", F.lit(None).cast("array<int>")) if old is None else customers.join(old.select("key", "sizes"), "key", "left")
 
         def run(batches: Iterator[pa.RecordBatch], depth=depth, d=d) -> Iterator[pa.RecordBatch]:
-            parents, tables = sent.value.predicted(depth - 1), sent.value.open_tables(depth)
+            old = sent.value
+            parents, open_tables = old.predicted(depth - 1), old.open_tables(depth)
+            by_key = np.argsort(old.keys[depth])
             for b in batches:
                 key, c = b.column(0).to_numpy(), b.column(1).to_numpy()
                 where, symbol = np.divmod(key, SYMBOLS)
-                share = parents[where % max(1, len(parents)), symbol]
-                sizes = sweep(key, c, b.column(2).to_pylist(), sent.value.strength + d * tables[where], share, d, seed + depth)
-                yield batch(key=b.column(0), c=b.column(1), sizes=pa.array(sizes, pa.list_(pa.int32())))
-
-        out[depth] = scratch.written(rows.select("key", "c", "sizes").mapInArrow(run, "key long, c long, sizes array<int>"))
-        found = out[depth].select("key", "c", F.size("sizes").cast("long").alias("t"))
+                own = np.zeros(len(key), np.int64)
+                if len(by_key):
+                    at = by_key[np.minimum(np.searchsorted(old.keys[depth], key, sorter=by_key), len(by_key) - 1)]
+                    own = np.where(old.keys[depth][at] == key, old.tables[depth][at], 0)
+                t = table_counts(key, c, old.strength + d * (open_tables[where] - own), parents[where % max(1, len(parents)), symbol], d, seed + depth)
+                yield batch(key=b.column(0), c=b.column(1), t=pa.array(t))
+
+        found = scratch.written(customers.mapInArrow(run, "key long, c long, t long"))
+        scratch.drop(customers)
         table = found.toArrow()  # 32^depth contexts of 257 symbols at most
         new.keys[depth], new.customers[depth], new.tables[depth] = (table.column(x).to_numpy() for x in ("key", "c", "t"))
         up = F.pmod(F.expr(f"key div {SYMBOLS}"), F.lit(CLASS ** max(0, depth - 1))) * SYMBOLS + F.col("key") % SYMBOLS
         customers = found.groupBy(up.alias("key")).agg(F.sum("t").alias("c"))
     new.discounts = tuple(discounts)
-    return new, out
-
-
-def seat_words(words: DataFrame, model: Spelling, d: float, strength: float, tables: int, seed: int) -> DataFrame:
-    """words (word, c, sizes, t, t_sum) after one sweep; t: their tables."""
-    sent = words.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c = b.column(2).to_numpy()
-            share = np.exp(spelling_logs(sent.value, b.column(0)))
-            sizes = sweep(b.column(1).to_numpy(), c, b.column(3).to_pylist(), np.full(len(c), strength + d * tables), share, d, seed)
-            yield batch(word=b.column(0), c=b.column(2), sizes=pa.array(sizes, pa.list_(pa.int32())), t=pa.array([len(s) for s in sizes], pa.int64()), t_sum=b.column(4))
-
-    rows = words.select("word", F.xxhash64("word").alias("key"), "c", "sizes", "t_sum").mapInArrow(run, "word string, c long, sizes array<int>, t long, t_sum long")
-    return rows.withColumn("t_sum", F.col("t_sum") + F.col("t"))
+    return new
 
 
 @dataclass
@@ -362,7 +633,7 @@ class Sample:
 
 
 def predictive_logs(c: np.ndarray, t_mean: np.ndarray, words: pa.Array, samples: list[Sample], d: float, strength: float, total: int) -> np.ndarray:
-    """Natural logs of the words' predictive probabilities, averaged over samples.
+    """Natural logs of the words' predictive probabilities in the restaurant of all words, averaged over samples.
 
     All words without customers are one event, as in the base score: its probability is that of any spelling but theirs.
     """
@@ -371,78 +642,202 @@ def predictive_logs(c: np.ndarray, t_mean: np.ndarray, words: pa.Array, samples:
         return np.logaddexp(np.logaddexp.reduce(new), np.log(c - d * t_mean)) - np.log(strength + total)
 
 
-def known_spellings(words: DataFrame, models: list[Spelling]) -> list[float]:
-    """For each model, the probability of the spellings of all words (word) together."""
-    sent = words.sparkSession.sparkContext.broadcast(models)
+def priced_words(state: DataFrame, model: Spelling, tables: int, customers: int, d: float, strength: float, keep: bool) -> DataFrame:
+    """state with the words' probabilities in their restaurant as the last of p (or, unless keep, the only one); known: the
+    probability of the spellings of all words of training."""
+    sent = state.sparkSession.sparkContext.broadcast(Sample(model, tables, 0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [float(np.exp(spelling_logs(m, b.column(0))).sum()) for m in sent.value]
-            yield batch(i=pa.array(range(len(own)), pa.int32()), share=pa.array(own, pa.float64()))
+            for row in b.to_pylist():
+                words, c1, t = pa.array(listed(row["words"]), pa.binary()), np.frombuffer(row["c1"], np.int64), np.frombuffer(row["t"], np.int64)
+                p = np.exp(predictive_logs(c1, t, words, [sent.value], d, strength, customers))
+                known = float(np.exp(spelling_logs(sent.value.model, words))[c1 > 0].sum())
+                yield from rows_of(_STATE, [{**row, "p": [*(row["p"] if keep else []), p.tobytes()], "known": known}]).to_batches()
+
+    return state.mapInArrow(run, _STATE_SQL)
+
 
-    found = {r.i: r.share for r in words.select("word").mapInArrow(run, "i int, share double").groupBy("i").agg(F.sum("share").alias("share")).collect()}
-    return [found.get(i, 0.0) for i in range(len(models))]
+def answers(state: DataFrame) -> DataFrame:
+    """(part, sender, p): the probabilities of the words that a part of pairs asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("part", pa.int32()), ("sender", pa.int32()), ("p", pa.binary())])
+        for b in batches:
+            for row in b.to_pylist():
+                p = np.frombuffer(row["p"][-1], np.float64)
+                yield from rows_of(schema, [{"part": q, "sender": row["part"], "p": p[np.frombuffer(at, np.int32)].tobytes()} for q, at in zip(row["ask_from"], row["ask"], strict=True)]).to_batches()
+
+    return state.select("part", "p", "ask_from", "ask").mapInArrow(run, "part int, sender int, p binary")
+
+
+_SEATED = pa.schema([("part", pa.int32()), ("to", pa.int32()), ("sums", pa.binary()), ("t", pa.binary()), ("t_sum", pa.binary()), ("u_tables", _BYTES)])
+_SEATED_SQL = "part int, to int, sums binary, t binary, t_sum binary, u_tables array<binary>"
+
+
+def seat_pairs(pairs: DataFrame, seated: DataFrame | None, state: DataFrame, d: float, strength: float, seed: int, sampled: int) -> DataFrame:
+    """One sweep of all words' restaurants: tables t of the pairs that occur more than once, t_sum over samples, all tables of
+    each restaurant (u_tables, by sample), and for each part of second words (to) their new customers (sums)."""
+    columns = pairs.where("us is not null").select("part", "u_once", "mu", "mw", "c")
+    old = ["t", "t_sum", "u_tables"]
+    if seated is None:
+        both = columns.withColumns({x: F.lit(None).cast(_SEATED_SQL.split(f" {x} ")[1].split(",")[0]) for x in old})
+    else:
+        both = columns.join(seated.where("to is null").select("part", *old), "part")
+
+    def run(key: tuple, own: pa.Table, sent: pa.Table) -> pa.Table:
+        row, got = own.to_pylist()[0], sorted(sent.to_pylist(), key=lambda r: r["sender"])
+        u_once, c = np.frombuffer(row["u_once"], np.int64), np.frombuffer(row["c"], np.int64)
+        mu, mw = np.frombuffer(row["mu"], np.int32), np.frombuffer(row["mw"], np.int32)
+        t = np.frombuffer(row["t"], np.int32).astype(np.int64) if row["t"] is not None else np.ones(len(c), np.int64)
+        tables = u_once + np.bincount(mu, t, len(u_once)).astype(np.int64)
+        p = np.concatenate([np.zeros(0), *[np.frombuffer(r["p"], np.float64) for r in got]])
+        t = table_counts(np.arange(len(c)) + (row["part"] << 32), c, strength + d * (tables[mu] - t), p[mw], d, seed)
+        u_tables = (u_once + np.bincount(mu, t, len(u_once)).astype(np.int64)).tobytes()
+        t_sum = t + (np.frombuffer(row["t_sum"], np.int32) if sampled > 0 else 0) if sampled >= 0 else t
+        out = [{"part": row["part"], "t": t.astype(np.int32).tobytes(), "t_sum": t_sum.astype(np.int32).tobytes(), "u_tables": [*(row["u_tables"] if sampled > 0 else []), u_tables]}]
+        sums = np.split(np.bincount(mw, t, len(p)).astype(np.int64), np.cumsum([len(r["p"]) // 8 for r in got])[:-1]) if got else []
+        out += [{"part": row["part"], "to": r["sender"], "sums": x.tobytes()} for r, x in zip(got, sums, strict=True)]
+        return rows_of(_SEATED, out)
+
+    return both.groupBy("part").cogroup(answers(state).groupBy("part")).applyInArrow(run, _SEATED_SQL)
+
+
+def seat_words(state: DataFrame, seated: DataFrame, model: Spelling, d: float, strength: float, tables: int, seed: int) -> DataFrame:
+    """One sweep of the restaurant of all words, whose customers are the tables of seat_pairs(): state with new c1 and t."""
+    sent = state.sparkSession.sparkContext.broadcast(model)
+
+    def run(key: tuple, own: pa.Table, got: pa.Table) -> pa.Table:
+        row, new = own.to_pylist()[0], {r["part"]: r["sums"] for r in got.to_pylist()}
+        c1, t = np.frombuffer(row["once"], np.int64).copy(), np.frombuffer(row["t"], np.int64)
+        for sender, at in zip(row["ask_from"], row["ask"], strict=True):
+            c1[np.frombuffer(at, np.int32)] += np.frombuffer(new[sender], np.int64)
+        share = np.exp(spelling_logs(sent.value, pa.array(listed(row["words"]), pa.binary())))
+        t = table_counts(np.frombuffer(row["keys"], np.int64), c1, strength + d * (tables - t), share, d, seed)
+        return counted(row, c1, t)
+
+    sums = seated.where("to is not null").select(F.col("to"), "part", "sums")
+    return state.groupBy("part").cogroup(sums.groupBy("to")).applyInArrow(run, _STATE_SQL)
+
+
+def prices(codes: DataFrame, state: DataFrame, pairs: DataFrame, seated: DataFrame, unseen: list[float], d: float, strength: float) -> DataFrame:
+    """(chunk, part, c, p, v). Of a chunk's words of a part: counts c, and p: for each sample what a restaurant of that word
+    leaves to the restaurant of all words, then their probabilities there. Of a chunk's pairs of a part: v, the customers less discounts."""
+    samples = len(unseen)
+    left = codes.unionByName(state.select("part", "keys", F.col("c").alias("wc"), "p"), allowMissingColumns=True)
+    right = pairs.where("chunk is not null").select("part", "chunk", "codes").unionByName(pairs.where("us is not null").select("part", "us", "c"), allowMissingColumns=True)
+    right = right.unionByName(seated.where("to is null").select("part", "t_sum", "u_tables"), allowMissingColumns=True)
+    schema = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("c", pa.binary()), ("p", pa.binary()), ("v", pa.binary())])
+
+    def run(key: tuple, of_words: pa.Table, of_pairs: pa.Table) -> pa.Table:
+        part, own, beside = key[0].as_py(), of_words.to_pylist(), of_pairs.to_pylist()
+        row = next(r for r in own if r["keys"] is not None)
+        c, keys = np.frombuffer(row["wc"], np.int64), np.frombuffer(row["keys"], np.uint64)
+        us, values, tables = np.zeros(0, np.uint64), np.array([0.0, 1 - d]), [np.zeros(0, np.int64)] * samples
+        of_part, found = (next((r for r in beside if r[x] is not None), None) for x in ("us", "t_sum"))
+        if of_part is not None:
+            us, tables = np.frombuffer(of_part["us"], np.uint64), [np.frombuffer(x, np.int64) for x in found["u_tables"]]
+            values = np.r_[values, np.frombuffer(of_part["c"], np.int64) - d * np.frombuffer(found["t_sum"], np.int32) / samples]
+        at, info = np.searchsorted(keys, us), []
+        for t in tables:
+            total = np.zeros(len(keys))
+            total[at] = t
+            info.append((strength + d * total) / (strength + c))
+        info = np.array([*info, *[np.where(c > 0, np.frombuffer(p, np.float64), x) for p, x in zip(row["p"], unseen, strict=True)]], np.float32)
+        values = values.astype(np.float32)
+        out = []
+        for r in own:
+            if r["chunk"] is not None:
+                own_codes = np.frombuffer(r["codes"], np.int32)
+                out.append({"chunk": r["chunk"], "part": part, "c": c[own_codes].tobytes(), "p": info[:, own_codes].tobytes()})
+        out += [{"chunk": r["chunk"], "part": part, "v": values[np.frombuffer(r["codes"], np.int32)].tobytes()} for r in beside if r["chunk"] is not None]
+        return rows_of(schema, out)
+
+    return left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(run, "chunk long, part int, c binary, p binary, v binary")
+
+
+def sums(tokens: DataFrame, priced: DataFrame, parts: int, floor: float, samples: int, strength: float) -> DataFrame:
+    """(key, n_known, base_score, score) of the documents of each chunk."""
+    schema = pa.schema([("key", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+    def run(key: tuple, own: pa.Table, got: pa.Table) -> pa.Table:
+        row, got = own.to_pylist()[0], sorted(got.to_pylist(), key=lambda r: r["part"])
+        chunk = Chunk(row, parts)
+        c = np.concatenate([np.frombuffer(r["c"], np.int64) for r in got if r["c"] is not None])
+        p = np.concatenate([np.frombuffer(r["p"], np.float32).reshape(2 * samples, -1) for r in got if r["p"] is not None], axis=1)
+        v = np.concatenate([np.frombuffer(r["v"], np.float32) for r in got if r["v"] is not None])
+        code = chunk.pair_codes()
+        order = np.argsort(code)
+        code = code[order]
+        begins = np.r_[True, code[1:] != code[:-1]]
+        at = np.empty(len(order), np.int32)
+        at[order] = np.cumsum(begins, dtype=np.int32) - 1
+        u, w = np.divmod(code[begins], len(c))
+        del code, order, begins
+        price = v / (strength + c[u])
+        for k in range(samples):
+            price += p[k][u].astype(np.float64) * p[samples + k][w] / samples
+        doc = np.repeat(np.arange(len(chunk.lengths)), chunk.lengths)
+        base = np.log10((c + 0.1) / floor)
+        known, base, own = (np.bincount(doc, x, len(chunk.lengths)) for x in (c[chunk.w] > 0, base[chunk.w], np.log10(price)[at]))
+        keys = np.arange(len(known)) + ((row["pid"] << 32) + row["n"])
+        return pa.Table.from_arrays([pa.array(keys), pa.array(known.astype(np.int64)), pa.array(base), pa.array(own)], schema=schema)
+
+    return tokens.groupBy("chunk").cogroup(priced.groupBy("chunk")).applyInArrow(run, "key long, n_known long, base_score double, score double")
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", burn: int = 1, samples: int = 3, strength: float = 1.0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of docs: log10 probabilities."""
-    scratch = Scratch()
-    rows = scratch.written(postings(docs, id_col, text_col))
-    posted = rows.where("word is not null").select("word", "pid", "n", "n_train", "steps", "counts")
-    words = scratch.written(posted.groupBy("word").agg(F.sum("n_train").alias("c")))
-    totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("ones")).first()
-    d = discount(words)
-
-    # a word that occurs once has one table in every seating, so only the others have a state
-    ones = scratch.written(spelling_customers(words.where("c = 1").withColumn("t", F.col("c"))))
-    state = words.where("c > 1").select("word", "c", F.lit(None).cast("array<int>").alias("sizes"), F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("t_sum"))
-    tables, model, byte_states, kept = totals.v, Spelling(), [None] * (DEPTH + 1), []
+    scratch, spark = Scratch(), docs.sparkSession
+    rows = scratch.written(chunks(docs, id_col, text_col))
+    tokens = rows.where("chunk is not null").select("chunk", "pid", "n", "words", "ids", "lengths", "learned", "before")
+    parts = 1 + int(rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first().n) // PART
+
+    words = scratch.written(sent_words(tokens, parts).groupBy("part").applyInArrow(merged_words, "part int, chunk long, codes binary, words binary, keys binary, c binary, n long, v long"))
+    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+
+    def merged(table: pa.Table) -> pa.Table:
+        return merged_pairs(table, parts)
+
+    pairs = scratch.written(sent_pairs(tokens, parts).groupBy("part").applyInArrow(merged, "part int, chunk long, to int, codes binary, us binary, u_once binary, mu binary, mw binary, c binary, keys binary, once binary, more binary, ones long, twos long"))
+    r = pairs.agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos")).first()
+    d_pairs = discount(r.ones, r.twos)
+    def first(key: tuple, own: pa.Table, asks: pa.Table) -> pa.Table:
+        return first_state(own, asks)
+
+    asks = pairs.where("to is not null").select("to", "part", "keys", "once", "more")
+    start = scratch.written(words.where("keys is not null").select("part", "words", "keys", "c").groupBy("part").cogroup(asks.groupBy("to")).applyInArrow(first, _STATE_SQL))
+
+    def drop(*tables: DataFrame | None) -> None:
+        for table in tables:
+            scratch.drop(table)
+        spark._jvm.System.gc()  # lets Spark delete the files of shuffles that nothing reads any more
+
+    def all_of(state: DataFrame) -> tuple:
+        return tuple(x or 0 for x in state.agg(*[F.sum(x).alias(x) for x in ("customers", "tables", "ones", "twos", "known")]).first())
+
+    customers, tables, ones, twos, _ = all_of(start)
+    d_words, model, seated, unseen = discount(ones, twos), Spelling(), None, []
+    state = scratch.written(priced_words(start, model, tables, customers, d_words, strength, False))
+    drop(start)
+    codes, pairs_asked = scratch.written(words.where("chunk is not null").select("part", "chunk", "codes")), pairs
+    pairs = scratch.written(pairs.where("to is null").drop("to", "keys", "once", "more"))
+    drop(words, pairs_asked)
     for i in range(burn + samples):
-        customers = ones.unionByName(spelling_customers(state)).groupBy("key").agg(F.sum("c").alias("c"))
-        model, byte_states = seat_bytes(customers, byte_states, model, 10 * i + 1, scratch)
-        if i == burn:
-            state = state.withColumn("t_sum", F.lit(0).cast("long"))
-        before, state = state, scratch.written(seat_words(state, model, d, strength, tables, 10 * i))
-        scratch.drop(before)
-        tables = totals.ones + state.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first().t
+        before, seated = seated, scratch.written(seat_pairs(pairs, seated, state, d_pairs, strength, 10 * i + 5, i - burn))
+        new = scratch.written(seat_words(state, seated, model, d_words, strength, tables, 10 * i))
+        drop(before, state)
+        customers, tables, *_ = all_of(new)
+        model = seat_bytes(spelling_customers(new), model, i == 0, 10 * i + 1, scratch)
+        state = scratch.written(priced_words(new, model, tables, customers, d_words, strength, i > burn))
+        drop(new)
         if i >= burn:
-            kept.append((model, tables))
+            unseen.append((strength + d_words * tables) * max(1e-300, 1 - all_of(state)[4]) / (strength + customers))
 
-    shares = known_spellings(words.where("c > 0"), [m for m, _ in kept])
-    sent = docs.sparkSession.sparkContext.broadcast([Sample(m, t, share) for (m, t), share in zip(kept, shares, strict=True)])
     floor = totals.n + 0.1 * (totals.v + 1)
-
-    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c = b.column(1).to_numpy()
-            own = predictive_logs(c, b.column(2).to_numpy() / samples, b.column(0), sent.value, d, strength, totals.n) / np.log(10)
-            yield batch(word=b.column(0), known=pa.array(c > 0), base=pa.array(np.log10((c + 0.1) / floor)), own=pa.array(own))
-
-    every_word = state.select("word", "c", "t_sum").unionByName(words.where("c < 2").select("word", "c", (F.col("c") * samples).alias("t_sum")))
-    priced = scratch.written(every_word.mapInArrow(values, "word string, known boolean, base double, own double"))
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}  # the tasks' documents whose postings lie here: known, base, own
-
-        for b in batches:
-            lengths, doc, times = unpacked(b.column(2), b.column(3), b.column(1).to_numpy().astype(np.int64))
-            pid = np.repeat(b.column(0).to_numpy(), lengths)
-            values_ = [np.repeat(b.column(i).to_numpy(zero_copy_only=False).astype(np.float64), lengths) * times for i in (4, 5, 6)]
-            for p in np.unique(pid).tolist():
-                mine = pid == p
-                size = int(doc[mine].max()) + 1
-                if p not in held or held[p].shape[1] < size:
-                    held[p] = np.pad(held[p], ((0, 0), (0, 2 * size - held[p].shape[1]))) if p in held else np.zeros((3, size))
-                for k in range(3):
-                    held[p][k] += np.bincount(doc[mine], values_[k][mine], held[p].shape[1])
-        for p, (known, base, own) in held.items():
-            at = np.flatnonzero(own)  # no document is certain
-            yield batch(key=pa.array(at | p << 32), known=pa.array(known[at].astype(np.int64)), base=pa.array(base[at]), own=pa.array(own[at]))
-
-    # prices go to the word's postings, and those to their task's documents: one sum for each, whole
-    joined = posted.drop("n_train").join(priced, "word").select("pid", "n", "steps", "counts", "known", "base", "own").repartition("pid")
-    by_doc = joined.mapInArrow(sums, "key long, n_known long, base_score double, score double")
-    by_doc = by_doc.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")])
-    every = rows.where("word is null").withColumn("key", F.shiftleft(F.col("pid").cast("long"), 32).bitwiseOR(F.col("n").cast("long")))
-    out = every.join(by_doc, "key", "left").select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", F.coalesce("n_known", F.lit(0)).alias("n_known"), F.lit(totals.n).cast("long").alias("train_tokens"), F.coalesce("base_score", F.lit(0.0)).alias("base_score"), "score")
+    priced = scratch.written(prices(codes, state, pairs, seated, unseen, d_pairs, strength))
+    drop(codes, state, pairs, seated)
+    by_doc = sums(tokens, priced, parts, floor, samples, strength).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")])
+    every = rows.where("chunk is null").withColumn("key", F.shiftleft(F.col("pid").cast("long"), 32).bitwiseOR(F.col("n").cast("long")))
+    out = every.join(by_doc, "key", "left").select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", F.coalesce("n_known", F.lit(0)).alias("n_known"), F.lit(totals.n).cast("long").alias("train_tokens"), F.coalesce("base_score", F.lit(0.0)).alias("base_score"), F.coalesce("score", F.lit(0.0)).alias("score"))
     return scratch.last(out)

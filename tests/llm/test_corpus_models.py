@@ -246,3 +246,37 @@ def test_packed_postings_come_back_whole():
         assert +got == Counter({(r, d): t for r, d, t in zip(rows.tolist(), (docs + 1000).tolist(), times.tolist(), strict=True)})
     steps, counts = pitman_yor.packed(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0)
     assert len(steps) == len(counts) == 0 and len(pitman_yor.unpacked(steps, counts, np.zeros(0, np.int64))[1]) == 0
+
+
+@pytest.mark.parametrize("c,outside,share,d", [(12, 40.0, 0.05, 0.8), (90, 10.0, 0.1, 0.5), (1300, 400.0, 0.01, 0.9), (1300, 4000.0, 0.3, 0.6)])
+def test_all_customers_are_seated_anew(c, outside, share, d):
+    """Numbers of tables drawn at once follow the posterior; beyond EXACT customers too, by their means."""
+    logs = np.full(c + 1, -np.inf)
+    logs[1], t = 0.0, np.arange(1, c + 1)
+    for n in range(2, c + 1):
+        logs[1 : n + 1] = np.logaddexp(logs[:n], logs[1 : n + 1] + np.log(np.maximum(1e-300, n - 1 - d * t[:n])))
+    logs = logs[1:] + np.cumsum(np.log((outside + d * np.arange(c)) * share))
+    want = np.exp(logs - logs.max())
+    want /= want.sum()
+    n = 20_000
+    got = pitman_yor.table_counts(np.arange(n) * 7919, np.full(n, c), np.full(n, outside), np.full(n, share), d, 3)
+    sd = math.sqrt((want * t**2).sum() - (want * t).sum() ** 2)
+    assert got.min() >= 1 and got.max() <= c and abs(got.mean() - (want * t).sum()) < 0.06 * sd and abs(got.std() - sd) < 0.06 * sd
+
+
+def test_words_are_seated_in_the_restaurant_of_the_word_before(spark):
+    """Texts of the same words in another order score otherwise: those in a known order are likelier."""
+    rows = [(i, "one two three four five six") for i in range(40)] + [(1000 + i, "six four two five three one") for i in range(2)]
+    got = {r.doc_id: r for r in pitman_yor.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1000].base_score == pytest.approx(got[0].base_score) and got[0].score > got[1000].score + 1
+
+
+def test_words_keep_their_places_in_chunks(spark, monkeypatch):
+    """Small parts give the same counts as one."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    columns = ("doc_id", "n_tokens", "n_known", "base_score")
+    whole = {r.doc_id: r for r in pitman_yor.scored(docs, burn=0, samples=1).collect()}
+    monkeypatch.setattr(pitman_yor, "PART", 3000)
+    for r in pitman_yor.scored(docs, burn=0, samples=1).collect():
+        assert [r[x] for x in columns[:3]] == [whole[r.doc_id][x] for x in columns[:3]]
+        assert r.base_score == pytest.approx(whole[r.doc_id].base_score) and r.score == pytest.approx(whole[r.doc_id].score, rel=0.1)
