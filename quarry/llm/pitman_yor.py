@@ -17,7 +17,7 @@ Texts become chunks of a bounded number of tokens: their words, and a number for
 pairs of words in them, to parts by the word's or the first word's hash, in one packed row for each chunk and part; parts count
 them, and remember where each chunk's entries went. In a sweep, parts of pairs and of words exchange tables and probabilities;
 then both send prices to the chunks, whose tokens add them up. The number of parts grows with the corpus. Words are told apart
-by 64-bit hashes. Only the byte model goes to all tasks: at most 32^3 contexts of 257 symbols, whatever the corpus.
+by 64-bit hashes. Numbers travel by places of bytes, compressed, since most are small; shuffles go when their table is written. Only the byte model goes to all tasks: at most 32^3 contexts of 257 symbols, whatever the corpus.
 
 Null texts count as empty: one token, the end. A null id counts as an empty text, whose remainder is 0, so it is held out.
 Repeated rows are scored each, and learned from each. Without training documents all words are one event. An empty table
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from quarry.llm.shared import LOWER, Scratch, batch, utf8
+from quarry.llm.shared import LOWER, Scratch, batch, brief_shuffles, utf8
 
 SYMBOLS, END, DEPTH, CLASS = 257, 256, 3, 32
 #: Tokens of a chunk, bytes of text taken at once, tokens for each part of words and pairs.
@@ -317,6 +317,19 @@ class _Ids(dict):
         return n
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """An array in few bytes: the lowest bytes of all its values, then the next ones, and so on, compressed behind their number."""
+    places = np.ascontiguousarray(np.ascontiguousarray(values).ravel().view(np.uint8).reshape(-1, values.itemsize).T)
+    return len(places[0]).to_bytes(8, "little") + pa.compress(pa.py_buffer(places), codec="zstd", asbytes=True)
+
+
+def opened(data: bytes, kind: type) -> np.ndarray:
+    """The values of squeezed()."""
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    places = np.frombuffer(pa.decompress(data[8:], decompressed_size=n * size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(places.reshape(size, n).T).view(kind).ravel()
+
+
 STEP, TIMES = 65535, 255
 
 
@@ -376,8 +389,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, remainders: int = 10) ->
         known, ids, lengths, learned, doc_type = _Ids({b"": 0}), [], [], [], None
 
         def written() -> pa.RecordBatch:
-            packed_ids = pa.compress(pa.py_buffer(np.concatenate(ids)), codec="zstd", asbytes=True)
-            cells = [b"\n".join(known), packed_ids, np.array(lengths, np.int32).tobytes(), np.array(learned, np.uint8).tobytes()]
+            cells = [b"\n".join(known), squeezed(np.concatenate(ids)), np.array(lengths, np.int32).tobytes(), np.array(learned, np.uint8).tobytes()]
             words, tokens, many, which = (pa.array([x], pa.binary()) for x in cells)
             return batch(pid=pa.array([pid], pa.int32()), n=pa.array([start], pa.int32()), doc_id=pa.nulls(1, doc_type), held_out=pa.nulls(1, pa.bool_()), n_tokens=pa.nulls(1, pa.int64()), chunk=pa.array([pid << 32 | chunk], pa.int64()), words=words, ids=tokens, lengths=many, learned=which, before=pa.array([before], pa.int32()))
 
@@ -421,7 +433,7 @@ class Chunk:
     def __init__(self, row: dict, parts: int) -> None:
         words = pa.array(listed(row["words"]), pa.binary())
         self.lengths = np.frombuffer(row["lengths"], np.int32).astype(np.int64)
-        ids = np.frombuffer(pa.decompress(row["ids"], decompressed_size=4 * int(self.lengths.sum()), codec="zstd"), np.int32)
+        ids = opened(row["ids"], np.int32)
         before = np.empty_like(ids)
         before[1:] = ids[:-1]
         starts = np.cumsum(self.lengths) - self.lengths
@@ -455,7 +467,7 @@ def sent_words(tokens: DataFrame, parts: int) -> DataFrame:
             for row in b.to_pylist():
                 own = Chunk(row, parts)
                 n, words = np.bincount(own.w, own.learned, len(own.keys)).astype(np.int32), own.words.to_pylist()
-                yield from rows_of(schema, [{"part": q, "chunk": row["chunk"], "words": b"\n".join(words[at]), "n": n[at].tobytes()} for q, at in own.each()]).to_batches()
+                yield from rows_of(schema, [{"part": q, "chunk": row["chunk"], "words": b"\n".join(words[at]), "n": squeezed(n[at])} for q, at in own.each()]).to_batches()
 
     return tokens.mapInArrow(run, "part int, chunk long, words binary, n binary")
 
@@ -469,18 +481,19 @@ def merged_words(table: pa.Table) -> pa.Table:
     own = [listed(r["words"]) for r in rows]
     words = pa.array([w for ws in own for w in ws], pa.binary())
     keys, first, at = np.unique(hashes(words), return_index=True, return_inverse=True)
-    c = np.bincount(at, np.concatenate([np.frombuffer(r["n"], np.int32) for r in rows]), len(keys)).astype(np.int64)
+    c = np.bincount(at, np.concatenate([opened(r["n"], np.int32) for r in rows]), len(keys)).astype(np.int64)
     ends = np.cumsum([len(ws) for ws in own])
-    out = [{"part": part, "chunk": r["chunk"], "codes": x.astype(np.int32).tobytes()} for r, x in zip(rows, np.split(at, ends[:-1]), strict=True)]
+    out = [{"part": part, "chunk": r["chunk"], "codes": squeezed(x.astype(np.int32))} for r, x in zip(rows, np.split(at, ends[:-1]), strict=True)]
     out.append({"part": part, "words": b"\n".join(words.take(pa.array(first)).to_pylist()), "keys": keys.tobytes(), "c": c.tobytes(), "n": int(c.sum()), "v": int((c > 0).sum())})
     return rows_of(_WORDS, out)
 
 
 def sent_pairs(tokens: DataFrame, parts: int) -> DataFrame:
-    """(part, chunk, u, many, w, n): keys of first words, how many second words each has, their keys, times in training documents."""
+    """(part, chunk, u, many, ws, w, n): keys of first words, how many second words each has, the keys of all second words, each
+    once, which of them every pair has, times in training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), *[(x, pa.binary()) for x in ("u", "many", "w", "n")]])
+        schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), *[(x, pa.binary()) for x in ("u", "many", "ws", "w", "n")]])
         for b in batches:
             for row in b.to_pylist():
                 own = Chunk(row, parts)
@@ -496,13 +509,17 @@ def sent_pairs(tokens: DataFrame, parts: int) -> DataFrame:
                 u, w = np.divmod(code[first], len(own.keys))
                 del code, first
                 edges, out = np.searchsorted(u, own.edges), []
+                here, place = np.zeros(len(own.keys), bool), np.zeros(len(own.keys), np.int32)
                 for q in np.flatnonzero(np.diff(edges)).tolist():
                     at = slice(int(edges[q]), int(edges[q + 1]))
                     us, many = np.unique(u[at], return_counts=True)
-                    out.append({"part": q, "chunk": row["chunk"], "u": own.keys[us].tobytes(), "many": many.astype(np.int32).tobytes(), "w": own.keys[w[at]].tobytes(), "n": n[at].tobytes()})
+                    here[w[at]] = True
+                    ws = np.flatnonzero(here)
+                    here[ws], place[ws] = False, np.arange(len(ws))
+                    out.append({"part": q, "chunk": row["chunk"], "u": own.keys[us].tobytes(), "many": squeezed(many.astype(np.int32)), "ws": own.keys[ws].tobytes(), "w": squeezed(place[w[at]]), "n": squeezed(n[at])})
                 yield from rows_of(schema, out).to_batches()
 
-    return tokens.mapInArrow(run, "part int, chunk long, u binary, many binary, w binary, n binary")
+    return tokens.mapInArrow(run, "part int, chunk long, u binary, many binary, ws binary, w binary, n binary")
 
 
 _PAIRS = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("to", pa.int32()), *[(x, pa.binary()) for x in ("codes", "us", "u_once", "mu", "mw", "c", "keys", "once", "more")], ("ones", pa.int64()), ("twos", pa.int64())])
@@ -514,9 +531,10 @@ def merged_pairs(table: pa.Table, parts: int) -> pa.Table:
     not in training, 1 one that occurs once, k + 2 the k-th of the others. For each part of second words (to): their keys, and
     how many pairs with them occur once, or more often, which are asked for."""
     part, rows = table.column("part")[0].as_py(), table.to_pylist()
-    kinds = {"u": np.uint64, "many": np.int32, "w": np.uint64, "n": np.uint32}
-    u, many, w, n = (np.concatenate([np.frombuffer(r[x], kind) for r in rows]) for x, kind in kinds.items())
-    u = np.repeat(u, many)
+    u = np.concatenate([np.repeat(np.frombuffer(r["u"], np.uint64), opened(r["many"], np.int32)) for r in rows])
+    w = np.concatenate([np.frombuffer(r["ws"], np.uint64)[opened(r["w"], np.int32)] for r in rows])
+    counts = [opened(r["n"], np.uint32) for r in rows]
+    n, ends = np.concatenate(counts), np.cumsum([len(x) for x in counts])
     with np.errstate(over="ignore"):
         pair = u * GOLD + w
     order = np.argsort(pair)
@@ -539,13 +557,12 @@ def merged_pairs(table: pa.Table, parts: int) -> pa.Table:
     by_part = np.argsort(to, kind="stable")
     asked = np.empty(len(ws), np.int64)
     asked[by_part] = np.cumsum(n_more[by_part] > 0) - 1
-    ends = np.cumsum([len(r["n"]) // 4 for r in rows])
-    out = [{"part": part, "chunk": r["chunk"], "codes": x.tobytes()} for r, x in zip(rows, np.split(code[group], ends[:-1]), strict=True)]
+    out = [{"part": part, "chunk": r["chunk"], "codes": squeezed(x)} for r, x in zip(rows, np.split(code[group], ends[:-1]), strict=True)]
     out.append({"part": part, "us": us.tobytes(), "u_once": np.bincount(ui[once], minlength=len(us)).astype(np.int64).tobytes(), "mu": ui[more].astype(np.int32).tobytes(), "mw": asked[wi[more]].astype(np.int32).tobytes(), "c": c[seen[more]].tobytes(), "ones": int(once.sum()), "twos": int((c == 2).sum())})
     edges = np.searchsorted(to[by_part], np.arange(parts + 1))
     for q in np.flatnonzero(np.diff(edges)).tolist():
         mine = by_part[edges[q] : edges[q + 1]]
-        out.append({"part": part, "to": q, "keys": ws[mine].tobytes(), "once": n_once[mine].astype(np.int64).tobytes(), "more": n_more[mine].astype(np.int64).tobytes()})
+        out.append({"part": part, "to": q, "keys": ws[mine].tobytes(), "once": squeezed(n_once[mine].astype(np.int64)), "more": squeezed(n_more[mine].astype(np.int64))})
     return rows_of(_PAIRS, out)
 
 
@@ -561,8 +578,8 @@ def first_state(words: pa.Table, asks: pa.Table) -> pa.Table:
     once, c1, ask_from, ask = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), [], []
     for r in asks.to_pylist():
         at = np.searchsorted(keys, np.frombuffer(r["keys"], np.uint64))
-        more = np.frombuffer(r["more"], np.int64)
-        once[at] += np.frombuffer(r["once"], np.int64)
+        more = opened(r["more"], np.int64)
+        once[at] += opened(r["once"], np.int64)
         c1[at] += more
         if more.any():
             ask_from.append(r["part"])
@@ -721,13 +738,13 @@ def seat_words(state: DataFrame, seated: DataFrame, model: Spelling, d: float, s
 
 
 def prices(codes: DataFrame, state: DataFrame, pairs: DataFrame, seated: DataFrame, unseen: list[float], d: float, strength: float) -> DataFrame:
-    """(chunk, part, c, p, v). Of a chunk's words of a part: counts c, and p: for each sample what a restaurant of that word
-    leaves to the restaurant of all words, then their probabilities there. Of a chunk's pairs of a part: v, the customers less discounts."""
+    """(chunk, part, c, t, p, v). Of a chunk's words of a part: counts c, and for each sample the tables t of a word's restaurant
+    and the probability p in the restaurant of all words. Of a chunk's pairs of a part: v, the customers less discounts."""
     samples = len(unseen)
     left = codes.unionByName(state.select("part", "keys", F.col("c").alias("wc"), "p"), allowMissingColumns=True)
     right = pairs.where("chunk is not null").select("part", "chunk", "codes").unionByName(pairs.where("us is not null").select("part", "us", "c"), allowMissingColumns=True)
     right = right.unionByName(seated.where("to is null").select("part", "t_sum", "u_tables"), allowMissingColumns=True)
-    schema = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("c", pa.binary()), ("p", pa.binary()), ("v", pa.binary())])
+    schema = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("c", pa.binary()), ("t", pa.binary()), ("p", pa.binary()), ("v", pa.binary())])
 
     def run(key: tuple, of_words: pa.Table, of_pairs: pa.Table) -> pa.Table:
         part, own, beside = key[0].as_py(), of_words.to_pylist(), of_pairs.to_pylist()
@@ -738,34 +755,33 @@ def prices(codes: DataFrame, state: DataFrame, pairs: DataFrame, seated: DataFra
         if of_part is not None:
             us, tables = np.frombuffer(of_part["us"], np.uint64), [np.frombuffer(x, np.int64) for x in found["u_tables"]]
             values = np.r_[values, np.frombuffer(of_part["c"], np.int64) - d * np.frombuffer(found["t_sum"], np.int32) / samples]
-        at, info = np.searchsorted(keys, us), []
-        for t in tables:
-            total = np.zeros(len(keys))
-            total[at] = t
-            info.append((strength + d * total) / (strength + c))
-        info = np.array([*info, *[np.where(c > 0, np.frombuffer(p, np.float64), x) for p, x in zip(row["p"], unseen, strict=True)]], np.float32)
+        total = np.zeros((samples, len(keys)), np.int64)
+        total[:, np.searchsorted(keys, us)] = tables
+        p = np.array([np.where(c > 0, np.frombuffer(p, np.float64), x) for p, x in zip(row["p"], unseen, strict=True)], np.float32)
         values = values.astype(np.float32)
         out = []
         for r in own:
             if r["chunk"] is not None:
-                own_codes = np.frombuffer(r["codes"], np.int32)
-                out.append({"chunk": r["chunk"], "part": part, "c": c[own_codes].tobytes(), "p": info[:, own_codes].tobytes()})
-        out += [{"chunk": r["chunk"], "part": part, "v": values[np.frombuffer(r["codes"], np.int32)].tobytes()} for r in beside if r["chunk"] is not None]
+                own_codes = opened(r["codes"], np.int32)
+                out.append({"chunk": r["chunk"], "part": part, "c": squeezed(c[own_codes]), "t": squeezed(total[:, own_codes]), "p": squeezed(p[:, own_codes])})
+        out += [{"chunk": r["chunk"], "part": part, "v": squeezed(values[opened(r["codes"], np.int32)])} for r in beside if r["chunk"] is not None]
         return rows_of(schema, out)
 
-    return left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(run, "chunk long, part int, c binary, p binary, v binary")
+    return left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(run, "chunk long, part int, c binary, t binary, p binary, v binary")
 
 
-def sums(tokens: DataFrame, priced: DataFrame, parts: int, floor: float, samples: int, strength: float) -> DataFrame:
+def sums(tokens: DataFrame, priced: DataFrame, parts: int, floor: float, samples: int, d: float, strength: float) -> DataFrame:
     """(key, n_known, base_score, score) of the documents of each chunk."""
     schema = pa.schema([("key", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(key: tuple, own: pa.Table, got: pa.Table) -> pa.Table:
         row, got = own.to_pylist()[0], sorted(got.to_pylist(), key=lambda r: r["part"])
         chunk = Chunk(row, parts)
-        c = np.concatenate([np.frombuffer(r["c"], np.int64) for r in got if r["c"] is not None])
-        p = np.concatenate([np.frombuffer(r["p"], np.float32).reshape(2 * samples, -1) for r in got if r["p"] is not None], axis=1)
-        v = np.concatenate([np.frombuffer(r["v"], np.float32) for r in got if r["v"] is not None])
+        c = np.concatenate([opened(r["c"], np.int64) for r in got if r["c"] is not None])
+        left = np.concatenate([opened(r["t"], np.int64).reshape(samples, -1) for r in got if r["t"] is not None], axis=1)
+        left = ((strength + d * left) / (strength + c)).astype(np.float32)
+        p = np.concatenate([opened(r["p"], np.float32).reshape(samples, -1) for r in got if r["p"] is not None], axis=1)
+        v = np.concatenate([opened(r["v"], np.float32) for r in got if r["v"] is not None])
         code = chunk.pair_codes()
         order = np.argsort(code)
         code = code[order]
@@ -776,7 +792,7 @@ def sums(tokens: DataFrame, priced: DataFrame, parts: int, floor: float, samples
         del code, order, begins
         price = v / (strength + c[u])
         for k in range(samples):
-            price += p[k][u].astype(np.float64) * p[samples + k][w] / samples
+            price += left[k][u].astype(np.float64) * p[k][w] / samples
         doc = np.repeat(np.arange(len(chunk.lengths)), chunk.lengths)
         base = np.log10((c + 0.1) / floor)
         known, base, own = (np.bincount(doc, x, len(chunk.lengths)) for x in (c[chunk.w] > 0, base[chunk.w], np.log10(price)[at]))
@@ -788,7 +804,17 @@ def sums(tokens: DataFrame, priced: DataFrame, parts: int, floor: float, samples
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", burn: int = 1, samples: int = 3, strength: float = 1.0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of docs: log10 probabilities."""
-    scratch, spark = Scratch(), docs.sparkSession
+    with brief_shuffles(docs.sparkSession):
+        return _scored(docs, id_col, text_col, burn, samples, strength)
+
+
+def _scored(docs: DataFrame, id_col: str, text_col: str, burn: int, samples: int, strength: float) -> DataFrame:
+    scratch = Scratch()
+
+    def drop(*tables: DataFrame | None) -> None:
+        for table in tables:
+            scratch.drop(table)
+
     rows = scratch.written(chunks(docs, id_col, text_col))
     tokens = rows.where("chunk is not null").select("chunk", "pid", "n", "words", "ids", "lengths", "learned", "before")
     parts = 1 + int(rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first().n) // PART
@@ -802,17 +828,13 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", burn
     pairs = scratch.written(sent_pairs(tokens, parts).groupBy("part").applyInArrow(merged, "part int, chunk long, to int, codes binary, us binary, u_once binary, mu binary, mw binary, c binary, keys binary, once binary, more binary, ones long, twos long"))
     r = pairs.agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos")).first()
     d_pairs = discount(r.ones, r.twos)
+
     def first(key: tuple, own: pa.Table, asks: pa.Table) -> pa.Table:
         return first_state(own, asks)
 
     asks = pairs.where("to is not null").select("to", "part", "keys", "once", "more")
     start = scratch.written(words.where("keys is not null").select("part", "words", "keys", "c").groupBy("part").cogroup(asks.groupBy("to")).applyInArrow(first, _STATE_SQL))
 
-    def drop(*tables: DataFrame | None) -> None:
-        for table in tables:
-            scratch.drop(table)
-        spark._jvm.System.gc()  # lets Spark delete the files of shuffles that nothing reads any more
-
     def all_of(state: DataFrame) -> tuple:
         return tuple(x or 0 for x in state.agg(*[F.sum(x).alias(x) for x in ("customers", "tables", "ones", "twos", "known")]).first())
 
@@ -837,7 +859,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", burn
     floor = totals.n + 0.1 * (totals.v + 1)
     priced = scratch.written(prices(codes, state, pairs, seated, unseen, d_pairs, strength))
     drop(codes, state, pairs, seated)
-    by_doc = sums(tokens, priced, parts, floor, samples, strength).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")])
+    by_doc = sums(tokens, priced, parts, floor, samples, d_pairs, strength).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")])
     every = rows.where("chunk is null").withColumn("key", F.shiftleft(F.col("pid").cast("long"), 32).bitwiseOR(F.col("n").cast("long")))
     out = every.join(by_doc, "key", "left").select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", F.coalesce("n_known", F.lit(0)).alias("n_known"), F.lit(totals.n).cast("long").alias("train_tokens"), F.coalesce("base_score", F.lit(0.0)).alias("base_score"), F.coalesce("score", F.lit(0.0)).alias("score"))
     return scratch.last(out)

@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import count
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -280,3 +282,49 @@ def test_words_keep_their_places_in_chunks(spark, monkeypatch):
     for r in pitman_yor.scored(docs, burn=0, samples=1).collect():
         assert [r[x] for x in columns[:3]] == [whole[r.doc_id][x] for x in columns[:3]]
         assert r.base_score == pytest.approx(whole[r.doc_id].base_score) and r.score == pytest.approx(whole[r.doc_id].score, rel=0.1)
+
+
+def test_arrays_come_back_from_few_bytes():
+    rng = np.random.default_rng(5)
+    for values in (np.zeros(0, np.int64), np.array([-1, 0, 1 << 62]), rng.geometric(0.3, 5000).astype(np.int32), rng.integers(0, 1 << 63, 99).astype(np.uint64), rng.random((3, 40)).astype(np.float32)):
+        assert (pitman_yor.opened(pitman_yor.squeezed(values), values.dtype) == values.ravel()).all()
+        back = pitman_yor.opened(pitman_yor.squeezed(values.T), values.dtype)
+        assert back.flags.writeable and (back == values.T.ravel()).all()
+    assert len(pitman_yor.squeezed(rng.geometric(0.3, 5000))) < 5000
+
+
+def test_scores_leave_no_shuffle_behind(spark, monkeypatch):
+    """Once a table is written, no file of its shuffle is on disk any more; the session's setting comes back."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen = spark.conf.get(name), []
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    written = pitman_yor.Scratch.written
+
+    def files() -> set:
+        return {f for folder in folders for f in Path(folder).glob("*/shuffle_*.data")}
+
+    def watched(self, df):
+        old = files()
+        out = written(self, df)
+        until = time.monotonic() + 2
+        while files() - old and time.monotonic() < until:  # files are deleted in the background
+            time.sleep(0.05)
+        seen.append(len(files() - old))
+        return out
+
+    monkeypatch.setattr(pitman_yor.Scratch, "written", watched)
+    docs = spark.createDataFrame([(i, f"one two three word{i % 7}") for i in range(50)], "doc_id long, text string")
+    assert pitman_yor.scored(docs, burn=0, samples=1).count() == 50
+    assert len(seen) > 5 and not any(seen)
+    assert spark.conf.get(name) == before
+
+
+def test_pairs_of_words_travel_in_few_bytes(spark):
+    """Keys of second words go once for each chunk and part: 12 bytes for each pair of words before, and no pair is lost."""
+    rng = np.random.default_rng(6)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in np.minimum(rng.zipf(1.3, 3000), 2000))) for i in range(20)], "doc_id long, text string").repartition(1)
+    tokens = pitman_yor.chunks(docs, "doc_id", "text").where("chunk is not null").select("chunk", "pid", "n", "words", "ids", "lengths", "learned", "before")
+    rows = [r.asDict() for r in pitman_yor.sent_pairs(tokens, 3).collect()]
+    pairs = {p for _, text in docs.collect() for p in zip(["", *text.split()], [*text.split(), ""], strict=True)}
+    assert sum(len(x) for r in rows for x in r.values() if isinstance(x, bytearray | bytes)) < 7 * len(pairs)
+    assert sum(len(pitman_yor.opened(r["n"], np.uint32)) for r in rows) == len(pairs)
