@@ -17,7 +17,8 @@ Texts become chunks of a bounded number of tokens: their words, and a number for
 pairs of words in them, to parts by the word's or the first word's hash, in one packed row for each chunk and part; parts count
 them, and remember where each chunk's entries went. In a sweep, parts of pairs and of words exchange tables and probabilities;
 then both send prices to the chunks, whose tokens add them up. The number of parts grows with the corpus. Words are told apart
-by 64-bit hashes. Numbers travel by places of bytes, compressed, since most are small; shuffles go when their table is written. Only the byte model goes to all tasks: at most 32^3 contexts of 257 symbols, whatever the corpus.
+by 64-bit hashes. Numbers travel by places of bytes, compressed, since most are small; shuffles go when their table is written.
+Only the byte model goes to all tasks: at most 32^3 contexts of 257 symbols, whatever the corpus.
 
 Null texts count as empty: one token, the end. A null id counts as an empty text, whose remainder is 0, so it is held out.
 Repeated rows are scored each, and learned from each. Without training documents all words are one event. An empty table
