@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from quarry.llm.shared import LOWER, Scratch, batch, brief_shuffles, utf8
+from quarry.llm.shared import LOWER, PIECE, Scratch, batch, brief_shuffles, utf8
 
 SYMBOLS, END, DEPTH, CLASS = 257, 256, 3, 32
 #: Tokens of a chunk, bytes of text taken at once, tokens for each part of words and pairs.
@@ -319,15 +319,17 @@ class _Ids(dict):
 
 
 def squeezed(values: np.ndarray) -> bytes:
-    """An array in few bytes: the lowest bytes of all its values, then the next ones, and so on, compressed behind their number."""
+    """An array in few bytes: the lowest bytes of all its values, then the next ones, and so on, compressed behind their number.
+    Memory comes from the system, which gets it back at once; Arrow's own pool would keep much of it in a worker."""
     places = np.ascontiguousarray(np.ascontiguousarray(values).ravel().view(np.uint8).reshape(-1, values.itemsize).T)
-    return len(places[0]).to_bytes(8, "little") + pa.compress(pa.py_buffer(places), codec="zstd", asbytes=True)
+    return len(places[0]).to_bytes(8, "little") + pa.compress(pa.py_buffer(places), codec="zstd", asbytes=True, memory_pool=pa.system_memory_pool())
 
 
-def opened(data: bytes, kind: type) -> np.ndarray:
+def opened(data: bytes | pa.Buffer, kind: type) -> np.ndarray:
     """The values of squeezed()."""
-    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
-    places = np.frombuffer(pa.decompress(data[8:], decompressed_size=n * size, codec="zstd"), np.uint8)
+    data = pa.py_buffer(data)
+    n, size = int.from_bytes(data[:8].to_pybytes(), "little"), np.dtype(kind).itemsize
+    places = np.frombuffer(pa.decompress(data.slice(8), decompressed_size=n * size, codec="zstd", memory_pool=pa.system_memory_pool()), np.uint8)
     return np.ascontiguousarray(places.reshape(size, n).T).view(kind).ravel()
 
 
@@ -394,7 +396,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, remainders: int = 10) ->
             words, tokens, many, which = (pa.array([x], pa.binary()) for x in cells)
             return batch(pid=pa.array([pid], pa.int32()), n=pa.array([start], pa.int32()), doc_id=pa.nulls(1, doc_type), held_out=pa.nulls(1, pa.bool_()), n_tokens=pa.nulls(1, pa.int64()), chunk=pa.array([pid << 32 | chunk], pa.int64()), words=words, ids=tokens, lengths=many, learned=which, before=pa.array([before], pa.int32()))
 
-        for b in batches:
+        for b in (whole.slice(at, PIECE) for whole in batches for at in range(0, whole.num_rows, PIECE)):
             doc_type = b.column(0).type
             first, held, tokens = n, [], []
             for name, text in zip(b.column(1).to_pylist(), utf8(b.column(2)), strict=True):
@@ -429,35 +431,49 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, remainders: int = 10) ->
 
 
 class Chunk:
-    """A chunk with its words in the order of their parts: keys, words, the words' parts' edges; tokens: w, and u before it."""
+    """A chunk with its words in the order of their parts: keys, words, the words' parts' edges; tokens: w, a word's place among them."""
 
     def __init__(self, row: dict, parts: int) -> None:
         words = pa.array(listed(row["words"]), pa.binary())
-        self.lengths = np.frombuffer(row["lengths"], np.int32).astype(np.int64)
-        ids = opened(row["ids"], np.int32)
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        starts = np.cumsum(self.lengths) - self.lengths
-        before[starts[self.lengths > 0]] = 0
-        if row["before"]:
-            before[0] = row["before"]
+        self.lengths, self.learned = np.frombuffer(row["lengths"], np.int32).astype(np.int64), np.frombuffer(row["learned"], np.uint8)
+        self.some = self.lengths > 0
+        self.starts = (np.cumsum(self.lengths) - self.lengths)[self.some]
         keys = hashes(words)
         part = (keys % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
         self.words, self.keys, self.edges = words.take(pa.array(order)), keys[order], np.searchsorted(part[order], np.arange(parts + 1))
-        self.w, self.u = rank[ids], rank[before]
-        self.learned = np.repeat(np.frombuffer(row["learned"], np.uint8), self.lengths)
-
-    def pair_codes(self) -> np.ndarray:
-        return self.u * np.int64(len(self.keys)) + self.w
+        self.w, self.end, self.before = rank[opened(row["ids"], np.int32)], rank[0], rank[row["before"]]
 
     def each(self) -> Iterator[tuple[int, slice]]:
         """The parts that have words of the chunk, and which."""
         for q in np.flatnonzero(np.diff(self.edges)).tolist():
             yield q, slice(int(self.edges[q]), int(self.edges[q + 1]))
 
+    def pairs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Part for part of first words: the pairs of words at the part's tokens (first * number of words + second), and these tokens'
+        places. A part at a time, since arrays of all tokens take most of a worker's memory."""
+        at = np.empty(len(self.w), np.int64)
+        at[1:] = self.w[:-1]
+        at[self.starts] = self.end
+        at[:1] = self.before
+        at <<= 32
+        at |= np.arange(len(at), dtype=np.int32)
+        at.sort()
+        edges = np.searchsorted(at, self.edges << 32)
+        for q in np.flatnonzero(np.diff(edges)).tolist():
+            own = at[edges[q] : edges[q + 1]]
+            place = own & 0xFFFFFFFF
+            yield q, (own >> 32) * len(self.keys) + self.w[place], place
+
+    def by_document(self, values: np.ndarray) -> np.ndarray:
+        """Sums of the tokens' values for each document."""
+        out = np.zeros(len(self.lengths), values.dtype)
+        if len(self.starts):
+            out[self.some] = np.add.reduceat(values, self.starts)
+        return out
+
 
 def sent_words(tokens: DataFrame, parts: int) -> DataFrame:
     """(part, chunk, words, n): words of a chunk, and how often they are in its training documents."""
@@ -467,7 +483,7 @@ def sent_words(tokens: DataFrame, parts: int) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 own = Chunk(row, parts)
-                n, words = np.bincount(own.w, own.learned, len(own.keys)).astype(np.int32), own.words.to_pylist()
+                n, words = np.bincount(own.w[np.repeat(own.learned, own.lengths) > 0], minlength=len(own.keys)).astype(np.int32), own.words.to_pylist()
                 yield from rows_of(schema, [{"part": q, "chunk": row["chunk"], "words": b"\n".join(words[at]), "n": squeezed(n[at])} for q, at in own.each()]).to_batches()
 
     return tokens.mapInArrow(run, "part int, chunk long, words binary, n binary")
@@ -498,27 +514,20 @@ def sent_pairs(tokens: DataFrame, parts: int) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 own = Chunk(row, parts)
-                code = own.pair_codes()
-                code <<= 1
-                code |= own.learned
-                own.w = own.u = own.learned = None
-                code.sort()
-                n = (code & 1).astype(np.int32)
-                code >>= 1
-                first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-                n = np.add.reduceat(n, first).astype(np.uint32)
-                u, w = np.divmod(code[first], len(own.keys))
-                del code, first
-                edges, out = np.searchsorted(u, own.edges), []
-                here, place = np.zeros(len(own.keys), bool), np.zeros(len(own.keys), np.int32)
-                for q in np.flatnonzero(np.diff(edges)).tolist():
-                    at = slice(int(edges[q]), int(edges[q + 1]))
-                    us, many = np.unique(u[at], return_counts=True)
-                    here[w[at]] = True
+                learned = np.repeat(own.learned, own.lengths)
+                here, rank = np.zeros(len(own.keys), bool), np.zeros(len(own.keys), np.int32)
+                for q, code, place in own.pairs():
+                    code <<= 1
+                    code |= learned[place]
+                    code.sort()
+                    first = np.flatnonzero(np.r_[True, code[1:] >> 1 != code[:-1] >> 1])
+                    n = np.add.reduceat((code & 1).astype(np.int32), first).astype(np.uint32)
+                    u, w = np.divmod(code[first] >> 1, len(own.keys))
+                    us, many = np.unique(u, return_counts=True)
+                    here[w] = True
                     ws = np.flatnonzero(here)
-                    here[ws], place[ws] = False, np.arange(len(ws))
-                    out.append({"part": q, "chunk": row["chunk"], "u": own.keys[us].tobytes(), "many": squeezed(many.astype(np.int32)), "ws": own.keys[ws].tobytes(), "w": squeezed(place[w[at]]), "n": squeezed(n[at])})
-                yield from rows_of(schema, out).to_batches()
+                    here[ws], rank[ws] = False, np.arange(len(ws))
+                    yield from rows_of(schema, [{"part": q, "chunk": row["chunk"], "u": own.keys[us].tobytes(), "many": squeezed(many.astype(np.int32)), "ws": own.keys[ws].tobytes(), "w": squeezed(rank[w]), "n": squeezed(n)}]).to_batches()
 
     return tokens.mapInArrow(run, "part int, chunk long, u binary, many binary, ws binary, w binary, n binary")
 
@@ -776,29 +785,24 @@ def sums(tokens: DataFrame, priced: DataFrame, parts: int, floor: float, samples
     schema = pa.schema([("key", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(key: tuple, own: pa.Table, got: pa.Table) -> pa.Table:
-        row, got = own.to_pylist()[0], sorted(got.to_pylist(), key=lambda r: r["part"])
-        chunk = Chunk(row, parts)
-        c = np.concatenate([opened(r["c"], np.int64) for r in got if r["c"] is not None])
-        left = np.concatenate([opened(r["t"], np.int64).reshape(samples, -1) for r in got if r["t"] is not None], axis=1)
+        row = own.to_pylist()[0]
+        got = {x: {q.as_py(): y.as_buffer() for q, y in zip(got.column("part"), got.column(x), strict=True) if y.is_valid} for x in ("c", "t", "p", "v")}
+        c, left, p = (np.concatenate([opened(y, kind).reshape(n, -1) for _, y in sorted(got[x].items())], axis=1) for x, kind, n in (("c", np.int64, 1), ("t", np.int64, samples), ("p", np.float32, samples)))
+        c = c[0]
         left = ((strength + d * left) / (strength + c)).astype(np.float32)
-        p = np.concatenate([opened(r["p"], np.float32).reshape(samples, -1) for r in got if r["p"] is not None], axis=1)
-        v = np.concatenate([opened(r["v"], np.float32) for r in got if r["v"] is not None])
-        code = chunk.pair_codes()
-        order = np.argsort(code)
-        code = code[order]
-        begins = np.r_[True, code[1:] != code[:-1]]
-        at = np.empty(len(order), np.int32)
-        at[order] = np.cumsum(begins, dtype=np.int32) - 1
-        u, w = np.divmod(code[begins], len(c))
-        del code, order, begins
-        price = v / (strength + c[u])
-        for k in range(samples):
-            price += left[k][u].astype(np.float64) * p[k][w] / samples
-        doc = np.repeat(np.arange(len(chunk.lengths)), chunk.lengths)
-        base = np.log10((c + 0.1) / floor)
-        known, base, own = (np.bincount(doc, x, len(chunk.lengths)) for x in (c[chunk.w] > 0, base[chunk.w], np.log10(price)[at]))
-        keys = np.arange(len(known)) + ((row["pid"] << 32) + row["n"])
-        return pa.Table.from_arrays([pa.array(keys), pa.array(known.astype(np.int64)), pa.array(base), pa.array(own)], schema=schema)
+        chunk = Chunk(row, parts)
+        score = np.empty(len(chunk.w))
+        for q, code, place in chunk.pairs():
+            code, at = np.unique(code, return_inverse=True)
+            u, w = np.divmod(code, len(c))
+            price = opened(got["v"][q], np.float32) / (strength + c[u])
+            for k in range(samples):
+                price += left[k][u].astype(np.float64) * p[k][w] / samples
+            score[place] = np.log10(price)[at]
+        score = chunk.by_document(score)
+        known, base = (chunk.by_document(x[chunk.w]) for x in ((c > 0).astype(np.int64), np.log10((c + 0.1) / floor)))
+        keys = np.arange(len(score)) + ((row["pid"] << 32) + row["n"])
+        return pa.Table.from_arrays([pa.array(keys), pa.array(known), pa.array(base), pa.array(score)], schema=schema)
 
     return tokens.groupBy("chunk").cogroup(priced.groupBy("chunk")).applyInArrow(run, "key long, n_known long, base_score double, score double")
 

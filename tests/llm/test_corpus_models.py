@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import count
@@ -328,3 +329,90 @@ def test_pairs_of_words_travel_in_few_bytes(spark):
     pairs = {p for _, text in docs.collect() for p in zip(["", *text.split()], [*text.split(), ""], strict=True)}
     assert sum(len(x) for r in rows for x in r.values() if isinstance(x, bytearray | bytes)) < 7 * len(pairs)
     assert sum(len(pitman_yor.opened(r["n"], np.uint32)) for r in rows) == len(pairs)
+
+
+class Steps:
+    """In place of a DataFrame: gives the function that Spark would call."""
+
+    def groupBy(self, *columns):
+        return self
+
+    cogroup = groupBy
+
+    def mapInArrow(self, run, schema):
+        return run
+
+    applyInArrow = mapInArrow
+
+
+def chunk_row(ids: np.ndarray, n_words: int, lengths: list[int], learned: list[int], before: int = 0) -> dict:
+    words = b"\n".join([b"", *(b"w%d" % i for i in range(1, n_words))])
+    return {"chunk": 7, "pid": 0, "n": 0, "words": words, "ids": pitman_yor.squeezed(ids.astype(np.int32)), "lengths": np.array(lengths, np.int32).tobytes(), "learned": np.array(learned, np.uint8).tobytes(), "before": before}
+
+
+def priced_rows(rows: list[dict], row: dict, parts: int, samples: int) -> pa.Table:
+    """What prices() sends to a chunk, made up from the words' and pairs' keys alone."""
+    chunk, out = pitman_yor.Chunk(row, parts), []
+    for q, at in chunk.each():
+        key = chunk.keys[at].astype(np.int64) & 1023
+        out.append({"chunk": 7, "part": q, "c": pitman_yor.squeezed(key % 5), "t": pitman_yor.squeezed(np.array([key % (k + 2) for k in range(samples)])), "p": pitman_yor.squeezed(np.array([(key + k + 1) / 2048 for k in range(samples)], np.float32))})
+    for r in rows:
+        first = np.repeat(np.frombuffer(r["u"], np.uint64), pitman_yor.opened(r["many"], np.int32)).astype(np.int64) & 15
+        second = np.frombuffer(r["ws"], np.uint64)[pitman_yor.opened(r["w"], np.int32)].astype(np.int64) & 15
+        out.append({"chunk": 7, "part": r["part"], "v": pitman_yor.squeezed((0.25 * first + 0.5 * second).astype(np.float32))})
+    return pa.Table.from_pylist(out, pa.schema([("chunk", pa.int64()), ("part", pa.int32()), *[(x, pa.binary()) for x in ("c", "t", "p", "v")]]))
+
+
+def test_chunks_send_all_pairs_and_sum_their_prices():
+    """A chunk that begins within a text, with texts that have no token in it: pairs, times and sums as by brute force."""
+    rng, parts = np.random.default_rng(8), 5
+    lengths, learned = [40, 0, 1, 300, 0, 60], [1, 0, 1, 0, 1, 1]
+    ids = rng.integers(0, 30, sum(lengths))
+    row = chunk_row(ids, 30, lengths, learned, before=9)
+    rows = [r for b in pitman_yor.sent_pairs(Steps(), parts)([pa.RecordBatch.from_pylist([row])]) for r in b.to_pylist()]
+    key = pitman_yor.hashes(pa.array([b"", *(b"w%d" % i for i in range(1, 30))], pa.binary())).tolist()
+    want, triples, at = Counter(), [], 0
+    for doc, n in enumerate(lengths):
+        for i in range(at, at + n):
+            u = ids[i - 1] if i > at else 9 if i == 0 else 0
+            want[key[u], key[ids[i]]] += learned[doc]
+            triples.append((doc, key[u], key[ids[i]]))
+        at += n
+    got = Counter()
+    for r in rows:
+        u = np.repeat(np.frombuffer(r["u"], np.uint64), pitman_yor.opened(r["many"], np.int32)).tolist()
+        w = np.frombuffer(r["ws"], np.uint64)[pitman_yor.opened(r["w"], np.int32)].tolist()
+        for a, b, n in zip(u, w, pitman_yor.opened(r["n"], np.uint32).tolist(), strict=True):
+            assert a % parts == r["part"] and (a, b) not in got
+            got[a, b] = n
+    assert got == want
+    out = pitman_yor.sums(Steps(), Steps(), parts, 1000.0, 2, 0.7, 1.0)((7,), pa.Table.from_pylist([row]), priced_rows(rows, row, parts, 2)).to_pylist()
+    known, base, score = np.zeros(6, int), np.zeros(6), np.zeros(6)
+    for doc, u, w in triples:
+        c, cu, low = (w & 1023) % 5, (u & 1023) % 5, u & 1023
+        known[doc] += c > 0
+        base[doc] += math.log10((c + 0.1) / 1000)
+        score[doc] += math.log10((0.25 * (u & 15) + 0.5 * (w & 15) + sum((1 + 0.7 * (low % (k + 2))) * ((w & 1023) + k + 1) / 2048 for k in range(2)) / 2) / (1 + cu))
+    assert [r["key"] for r in out] == list(range(6)) and [r["n_known"] for r in out] == known.tolist()
+    assert np.allclose([r["base_score"] for r in out], base) and np.allclose([r["score"] for r in out], score, rtol=1e-5)
+
+
+def test_memory_of_a_chunk_is_bounded():
+    """Peak bytes for each token of a chunk; arrays of all its tokens, many at once, took 45 for pairs and 75 for sums."""
+    rng, n, parts = np.random.default_rng(9), 1 << 20, 16
+    row = chunk_row(rng.integers(0, 5000, n), 5000, [1024] * (n // 1024), [1] * (n // 1024))
+    own, rows, peaks = pa.Table.from_pylist([row]), [], []
+    tracemalloc.start()
+    try:
+        for b in pitman_yor.sent_pairs(Steps(), parts)(own.to_batches()):
+            rows.append(b)
+        peaks.append(tracemalloc.get_traced_memory()[1] / n)
+        got = priced_rows([r for b in rows for r in b.to_pylist()], row, parts, 3)
+        rows.clear()
+        before = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        pitman_yor.sums(Steps(), Steps(), parts, 1000.0, 3, 0.7, 1.0)((7,), own, got)
+        peaks.append((tracemalloc.get_traced_memory()[1] - before) / n)
+    finally:
+        tracemalloc.stop()
+    assert peaks[0] < 30 and peaks[1] < 40, peaks
