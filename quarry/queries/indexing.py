@@ -71,7 +71,9 @@ def i7_missing(spark: SparkSession, d: str) -> DataFrame:
 
 def i8_unit_vectors(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "embeddings").select("vec_id", I.unit(F.transform("embedding", lambda v: v * F.lit(3.0))).alias("u"))
-    return rows.select("vec_id", F.array_join(F.transform("u", lambda v: F.format_number(F.round(v, 5), 5)), " ").alias("unit"))
+    # a small negative number stays negative zero: round() and format_number() would lose its sign
+    near = lambda v: F.signum(v) * (F.floor(F.abs(v) * 1e5 + 0.5).cast("double") / 1e5)
+    return rows.select("vec_id", F.array_join(F.transform("u", lambda v: F.format_string("%.5f", near(v))), " ").alias("unit"))
 
 
 def _stub(texts: list[str]) -> list[list[float]]:
