@@ -13,3 +13,10 @@ def test_unit_vectors_keep_the_sign_of_what_rounds_to_zero(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"file://{tmp_path}/embeddings.parquet")
     got = {r.vec_id: r.unit for r in indexing.i8_unit_vectors(spark, f"file://{tmp_path}").collect()}
     assert got == {1: "0.60000 -0.00000 0.80000", 2: "-1.00000 0.00000 -0.00000", 3: "0.60000 -0.80000 0.00000"}
+
+
+def test_a_term_that_ends_a_line_is_no_plain_word(spark):
+    """`abc` and a line end must occur as they are; as a word the term would want another character behind it."""
+    queries = spark.createDataFrame([(1, "xabc\nd"), (2, "abc d"), (3, "ABC\n"), (4, "abc\n\nd")], "query_id int, text string")
+    entries = spark.createDataFrame([("m", 1, "one", ["abc\n"], ["more"])], "module string, entry_no int, entry_id string, triggers array<string>, expansions array<string>")
+    assert {r.query_id: r.entries for r in W.matched(queries, entries).collect()} == {1: ["one"], 2: [], 3: ["one"], 4: ["one"]}
