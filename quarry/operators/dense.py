@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from quarry.sources.tables import kept
 
 #: Pivots (the only rows that reach the driver), vectors and queries of a block, and what rounding may add to an angle.
 PIVOTS, BLOCK, SLACK = 64, 4096, 1e-6
+#: Cosines are rounded to so many digits before they are compared.
+DIGITS = 6
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -57,6 +60,19 @@ def _pivots(vectors: DataFrame, most: int) -> dict[int, np.ndarray]:
     return {d: np.array(v, float) for d, v in found.items()}
 
 
+def _best(asked: np.ndarray, ids: list, vectors: pa.Array, chunks: pa.Array, k: int, kind: pa.DataType, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The k best chunks of each query, by the rounded cosine and then the smaller id, as they are compared in the end."""
+    order = pc.sort_indices(chunks)
+    chunks, held = chunks.take(order), _matrix(vectors.take(order)).T
+    for at in range(0, len(ids), rows):
+        scores = np.floor(asked[at : at + rows] @ held * 10.0**DIGITS + 0.5) / 10.0**DIGITS
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(len(scores)), best.shape[1])
+        found = scores[row, best.ravel()]
+        keep = found > 0
+        yield pa.RecordBatch.from_arrays([pa.array([ids[at + i] for i in row[keep]], kind), chunks.take(pa.array(best.ravel()[keep])), pa.array(found[keep])], names=["query_id", "chunk_id", "dense"])
+
+
 def _products(pairs: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, dense) of the k best of each query in each batch of the cells that it is paired with.
 
@@ -89,12 +105,7 @@ def _products(pairs: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                 elif held:
                     if len(held) > 1:
                         held = [np.concatenate(held)]
-                    scores = held[0] @ _matrix(part.column(7)).T
-                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                    row = np.repeat(np.arange(len(ids)), best.shape[1])
-                    found = scores[row, best.ravel()]
-                    keep = found > 0
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in row[keep]], b.column(5).type), part.column(6).take(pa.array(best.ravel()[keep])), pa.array(found[keep])], names=["query_id", "chunk_id", "dense"])
+                    yield from _best(held[0], ids, part.column(7), part.column(6), k, b.column(5).type)
 
     return asked.unionByName(here).repartition(*place).sortWithinPartitions(*place, "kind").mapInArrow(run, f"query_id {q_kind}, chunk_id {v_kind}, dense double")
 
@@ -120,5 +131,5 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, pivots: int = PIV
     early = kept(_products(first.where("first"), own, k))
     far = early.withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select(F.col("query_id").alias("id"), F.acos(F.least(F.lit(1.0), F.col("dense") - SLACK)).alias("far"))
     late = first.where("not first").join(far, "id", "left").where(F.col("far").isNull() | (F.col("least") <= F.col("far") + SLACK)).drop("far")
-    rows = early.unionByName(_products(late, own, k)).withColumn("dense", F.round("dense", 6)).where("dense > 0")
+    rows = early.unionByName(_products(late, own, k)).withColumn("dense", F.round("dense", DIGITS)).where("dense > 0")
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

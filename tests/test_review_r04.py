@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from quarry.operators.dense import dense_topk
 from quarry.plans import vocabulary as W
 from quarry.queries import indexing
 
@@ -20,3 +23,12 @@ def test_a_term_that_ends_a_line_is_no_plain_word(spark):
     queries = spark.createDataFrame([(1, "xabc\nd"), (2, "abc d"), (3, "ABC\n"), (4, "abc\n\nd")], "query_id int, text string")
     entries = spark.createDataFrame([("m", 1, "one", ["abc\n"], ["more"])], "module string, entry_no int, entry_id string, triggers array<string>, expansions array<string>")
     assert {r.query_id: r.entries for r in W.matched(queries, entries).collect()} == {1: ["one"], 2: [], 3: ["one"], 4: ["one"]}
+
+
+def test_dense_ties_after_rounding_go_to_the_smaller_id(spark):
+    """Nearly equal vectors: the cosines differ in the ninth digit only, the largest ids being nearest."""
+    rows = [(0, [1.0, 0.0])] + [(i, [math.cos(a), math.sin(a)]) for i in range(1, 40) for a in [0.5 - i * 1e-9]]
+    table = spark.createDataFrame(rows, "chunk_id long, vector array<double>").coalesce(1)
+    asked = table.where("chunk_id = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    got = dense_topk(asked, table, 4, pivots=2).orderBy("rank").collect()
+    assert [r.chunk_id for r in got] == [0, 1, 2, 3] and len({r.dense for r in got}) == 2
