@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 
 from pyspark.sql import functions as F
 
+from quarry.operators import index as I
+from quarry.operators import retrieve as R
+from quarry.operators import scan as S
 from quarry.operators.dense import dense_topk
 from quarry.plans import vocabulary as W
-from quarry.queries import indexing
+from quarry.queries import indexing, retrieval
 
 
 def test_unit_vectors_keep_the_sign_of_what_rounds_to_zero(spark, tmp_path):
@@ -54,3 +58,35 @@ def test_rule_tables_in_blocks_shuffle_no_pairs(spark):
     for most in (1000, 40):
         assert {x.id: x.rules for x in W.fired_lists(texts, rules, most).collect()} == want and len(want) > 40
     assert "Exchange" not in W.fired_lists(texts, rules)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scans_find_what_posting_lists_do(spark, tmp_path):
+    """Pairs, scores, and the best of each hit by scans, in one block of queries and in several, against posting lists."""
+    r = random.Random(12)
+    chunks = [(c, [f"t{min(int(r.expovariate(0.15)), 30)}" for _ in range(r.randint(0, 25))], f"h{c % 40}") for c in range(300)]
+    table = spark.createDataFrame(chunks, "chunk_id long, tokens array<string>, hit_key string").repartition(3)
+    index = I.build(table, f"file://{tmp_path}/lists")
+    own = S.build(table, f"file://{tmp_path}/own", F.xxhash64("hit_key"), ["hit_key"])
+    asked = spark.createDataFrame([(q, 0, f"t{t}") for q in range(12) for t in r.sample(range(33), 5)] + [(99, 0, "nowhere")], "query_id long, variant_no long, token string")
+    among = R.candidates(asked, index.postings, index.stats, index.tokens.select("token", "df", "n_salts"), target=60)
+    scored = R.combined(R.pair_scores(among, R.query_side(asked), index.forward, "bm25"))
+    rows = lambda x, *c: {tuple(round(v, 5) if isinstance(v, float) else v for v in y) for y in x.select("query_id", "chunk_id", "score", *c).collect()}
+    want = rows(scored)
+    assert len(want) > 600 and rows(R.combined(R.bm25(asked, index))) == rows(S.search(asked, own, pruned=False)) > want
+    best = R.top(R.best_per_key(scored.join(table.select("chunk_id", "hit_key"), "chunk_id")), 7)
+    for most in (4096, 5):
+        assert rows(S.search(asked, own, target=60, most=most)) == want
+        found = S.search(asked, own, top=7, by_hit=True, target=60, most=most)
+        assert rows(R.top(R.best_per_key(found, "hit"), 7), "rank") == rows(best, "rank")
+    assert "Exchange" not in S.search(asked, own, shown=["hit_key"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_searches_build_no_posting_lists(spark, tmp_path):
+    """Below the folder of r1 are each chunk's own tokens, frequencies and statistics: no lists, blocks or vectors."""
+    path, d = f"{tmp_path}/documents.parquet", f"file://{tmp_path}"
+    spark.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("word and w"), "id").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source")).write.parquet(f"file://{path}")
+    spark.createDataFrame([(1, "and w3 w4")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    rows = retrieval.r1_candidates(spark, d)
+    assert {x.chunk_id for x in rows.collect()} == {3, 4} and "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    folder = retrieval._BUILT[spark.sparkContext.applicationId, d][1].removeprefix("file:").removeprefix("//")
+    assert sorted(x for x in os.listdir(folder) if not x.startswith(".")) == ["own", "stats", "tokens"]
