@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
+from quarry.operators import coverage as V
 from quarry.operators import index as I
 from quarry.operators import retrieve as R
 from quarry.operators import scan as S
@@ -90,3 +93,11 @@ def test_searches_build_no_posting_lists(spark, tmp_path):
     assert {x.chunk_id for x in rows.collect()} == {3, 4} and "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
     folder = retrieval._BUILT[spark.sparkContext.applicationId, d][1].removeprefix("file:").removeprefix("//")
     assert sorted(x for x in os.listdir(folder) if not x.startswith(".")) == ["own", "stats", "tokens"]
+
+
+def test_trace_scores_round_as_sql(spark):
+    """0.5005 lies below its half in binary: SQL gives 0.5, rounding of its decimal digits 0.501."""
+    scores = [0.5005, 0.5015, 61.0005, 12.3456]
+    hits = spark.createDataFrame([(1, i, x, "s", "en", "text", ["m"], ["f"], "words") for i, x in enumerate(scores)], "query_id long, rank int, score double, source_label string, section string, chunk_type string, metadata array<string>, facets array<string>, excerpt string")
+    got = [x["score"] for x in json.loads(V.trace(hits).first().trace)]
+    assert got == [duckdb.execute("select round(?::double, 3)", [x]).fetchone()[0] for x in scores]
